@@ -89,9 +89,9 @@ SELECT flight_id, runway, visit, min(time) AS start_time, max(time) AS end_time,
 GROUP BY 1, 2, 3 HAVING count(*) >= 8""")
 cte("clus", "visits", """
 SELECT flight_id, CAST(c AS BIGINT) AS cluster, min(start_time) AS start_time, max(end_time) AS end_time FROM (
-  SELECT *, sum(CASE WHEN reach IS NULL OR start_time > reach THEN 1 ELSE 0 END) OVER (PARTITION BY flight_id ORDER BY start_time, end_time
+  SELECT *, sum(CASE WHEN reach IS NULL OR start_time > reach THEN 1 ELSE 0 END) OVER (PARTITION BY flight_id ORDER BY start_time, end_time, runway
     ROWS UNBOUNDED PRECEDING) AS c FROM (
-    SELECT *, max(end_time) OVER (PARTITION BY flight_id ORDER BY start_time, end_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM visits))
+    SELECT *, max(end_time) OVER (PARTITION BY flight_id ORDER BY start_time, end_time, runway ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM visits))
 GROUP BY 1, 2""")
 cte("arow", "obs clus", """
 SELECT o.*, c.cluster FROM obs o JOIN (SELECT *, lead(start_time) OVER (PARTITION BY flight_id ORDER BY cluster) AS nxt FROM clus) c

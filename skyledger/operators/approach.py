@@ -53,12 +53,12 @@ def corridor_visits(obs: DataFrame, cfg: ApproachConfig = DEFAULT) -> DataFrame:
 
 def merge_intervals(visits: DataFrame) -> DataFrame:
     """Union overlapping visits of one flight across runways."""
-    w = Window.partitionBy("flight_id").orderBy("start_time", "end_time")
+    w = Window.partitionBy("flight_id").orderBy("start_time", "end_time", "runway")
     reach = F.max("end_time").over(w.rowsBetween(Window.unboundedPreceding, -1))
     return (
         visits.withColumn("reach", reach)
         .withColumn("opens", (F.col("reach").isNull() | (F.col("start_time") > F.col("reach"))).cast("long"))
-        .withColumn("cluster", F.sum("opens").over(running(["flight_id"], ["start_time", "end_time"])))
+        .withColumn("cluster", F.sum("opens").over(running(["flight_id"], ["start_time", "end_time", "runway"])))
         .groupBy("flight_id", "cluster")
         .agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"))
     )

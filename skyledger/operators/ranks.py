@@ -46,20 +46,20 @@ def cumulative(df: DataFrame, value: str, sums: Sequence[str], keys: Sequence[st
 
 
 def value_counts(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    return materialize(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")), "counts")
+    return materialize(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("copies_")), "counts")
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolation quantiles as columns q0, q1, …; groups of any size."""
     counts = value_counts(df.withColumn(value, F.col(value).cast("double")), value, keys)
-    ranked = cumulative(counts, value, ["n"], keys)
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
+    ranked = cumulative(counts, value, ["copies_"], keys)
+    totals = counts.groupBy(*keys).agg(F.sum("copies_").alias("total"))
     ranked = ranked.join(totals, list(keys)) if keys else ranked.crossJoin(totals)
     aggs = []
     for i, q in enumerate(qs):
         pos = (F.col("total") - 1) * F.lit(float(q))
-        aggs += [F.min(F.when(F.col("c_n") > F.floor(pos), F.col(value))).alias(f"lo{i}"),
-                 F.min(F.when(F.col("c_n") > F.ceil(pos), F.col(value))).alias(f"hi{i}"),
+        aggs += [F.min(F.when(F.col("c_copies_") > F.floor(pos), F.col(value))).alias(f"lo{i}"),
+                 F.min(F.when(F.col("c_copies_") > F.ceil(pos), F.col(value))).alias(f"hi{i}"),
                  F.max(pos - F.floor(pos)).alias(f"f{i}")]
     found = ranked.groupBy(*keys).agg(F.max("total").alias("n"), *aggs)
     return found.select(*keys, "n", *[(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"f{i}")).alias(f"q{i}")
@@ -69,8 +69,8 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], keys: Sequen
 def weak_percentile(df: DataFrame, value: str, out: str = "pct") -> DataFrame:
     """100 · share of the cohort at or below each row's value."""
     counts = value_counts(df, value)
-    ranked = cumulative(counts, value, ["n"]).crossJoin(counts.agg(F.sum("n").alias("total")))
-    shares = ranked.select(value, (F.col("c_n") * 100.0 / F.col("total")).alias(out))
+    ranked = cumulative(counts, value, ["copies_"]).crossJoin(counts.agg(F.sum("copies_").alias("total")))
+    shares = ranked.select(value, (F.col("c_copies_") * 100.0 / F.col("total")).alias(out))
     return df.join(shares, value, "left")
 
 
