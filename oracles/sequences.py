@@ -139,7 +139,7 @@ cte("p_snap", "p_cnt", snapped("p_cnt"))
 cte("p_grid", "p_snap", gridded("p_snap", MC + ", s.onground, s.flight_phase, s.squawk"))
 cte("p_res", "p_grid", resampled("p_grid"))
 cte("p_attr", "p_cnt", "SELECT DISTINCT segment_id, icao24, n_imputed_impossible, n_imputed_missing, is_emergency FROM p_cnt")
-cte("clean", "p_res p_attr", "SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY segment_id) AS n_steps FROM p_res JOIN p_attr USING (segment_id)) WHERE n_steps >= 10")
+cte("clean", "p_res p_attr", "SELECT * EXCLUDE (n, hs, hc) FROM (SELECT *, count(*) OVER (PARTITION BY segment_id) AS n_steps FROM p_res JOIN p_attr USING (segment_id)) WHERE n_steps >= 10")
 O["preprocess"] = query("SELECT segment_id, flight_id, icao24, time, " + ", ".join(f"{r(c)} AS {c}" for c in (*RS, "dist_to_runway_m")) + ", onground, flight_phase, squawk, "
                         + ", ".join(f"{c}_missing" for c in MEASURED) + ", is_emergency, n_imputed_impossible, n_imputed_missing, n_steps FROM clean", "clean")
 NULLF = " OR ".join(f"{c} IS NULL" for c in (*RS[:5], "hdg_sin", "hdg_cos", "dist_to_runway_m", "onground"))

@@ -192,7 +192,7 @@ def with_frame(rows: DataFrame, cfg: ApproachConfig = DEFAULT) -> DataFrame:
         "gap_s": F.col("time") - F.lag("time").over(w),
         "step_m": haversine_m(F.lag("lat").over(w), F.lag("lon").over(w), "lat", "lon"),
         "rise": F.abs(F.col("alt") - F.lag("alt").over(w)),
-    }).withColumns({"ground_rate": F.col("step_m") / F.col("gap_s"), "vertical_rate": F.col("rise") / F.col("gap_s")})
+    }).withColumns({"ground_rate": F.try_divide("step_m", "gap_s"), "vertical_rate": F.try_divide("rise", "gap_s")})
 
 
 def quality_gates(framed: DataFrame, cfg: ApproachConfig = DEFAULT, within: Column | None = None) -> dict[str, Column]:

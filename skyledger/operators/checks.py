@@ -88,7 +88,7 @@ def dataset_verdict(df: DataFrame, expected: Sequence[str] = DERIVED_STATE_COLUM
     facts = rows.crossJoin(days).crossJoin(copies).crossJoin(consistency_report(df).select(F.col("passes").alias("consistent")))
     t, d = F.col("trajectories"), F.col("days")
     return facts.select(
-        ((F.lit(shape_ok)) & (F.col("bad") == 0) & (F.col("outside") * 100.0 / F.col("n") < 1.0)).alias("real"),
+        ((F.lit(shape_ok)) & (F.col("bad") == 0) & (F.try_divide(F.col("outside") * 100.0, F.col("n")) < 1.0)).alias("real"),
         ((F.col("empty") == 0) & (F.col("copies") == 0) & F.col("consistent")).alias("usable"),
         F.when(t < 500, "NOT_YET").when((d < 30) | (t < 5_000), "SOFT_DEV").when((d < 90) | (t < 20_000), "CONDITIONAL").otherwise("PASS").alias("enough"),
         "trajectories", "days", "copies")

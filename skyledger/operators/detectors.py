@@ -74,9 +74,9 @@ def _average_path(n: float) -> float:
     return 1.0 if n == 2 else 2.0 * (math.log(n - 1.0) + EULER_GAMMA) - 2.0 * (n - 1.0) / n
 
 
-def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
+def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[dict]:
     """Nodes as (feature, cut, left, right, path): feature −1 marks a leaf."""
-    nodes: list[tuple] = []
+    nodes: list[list] = []
     stack = [(np.arange(len(x)), 0, -1, False)]
     while stack:
         idx, depth, parent, right = stack.pop()
@@ -89,11 +89,12 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
             f = int(rng.choice(varied))
             low, high = x[idx, f].min(), x[idx, f].max()
             cut = float(rng.uniform(low, high))
+            cut = cut if cut < high else float(low)
             nodes.append([f, cut, -1, -1, 0.0])
             stack += [(idx[x[idx, f] <= cut], depth + 1, me, False), (idx[x[idx, f] > cut], depth + 1, me, True)]
         if parent >= 0:
             nodes[parent][3 if right else 2] = me
-    return [tuple(n) for n in nodes]
+    return [dict(zip(("feature", "cut", "left", "right", "path"), n)) for n in nodes]
 
 
 def fit_forest(train: DataFrame, key: str = "segment_id", trees: int = 200, sample: int = 256, seed: int = 42) -> DataFrame:

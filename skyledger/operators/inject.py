@@ -44,7 +44,7 @@ def with_onset(rows: DataFrame, fraction: float = 0.5, window: int | None = None
     rows = rows.withColumn("onset", onset)
     ramp = (F.when(F.col("onset") >= F.col("n") - 1, F.when(F.col("step") >= F.col("n") - 1, 1.0).otherwise(0.0))
             .when(F.col("step") < F.col("onset"), 0.0)
-            .otherwise((F.col("step") - F.col("onset")) / (F.col("n") - 1 - F.col("onset"))))
+            .otherwise(F.try_divide(F.col("step") - F.col("onset"), F.col("n") - 1 - F.col("onset"))))
     return rows.withColumn("ramp", ramp)
 
 

@@ -30,7 +30,7 @@ def _wins(pos: str = "pos") -> Column:
 def auroc(df: DataFrame, score: str = "score", label: str = "label", keys: Sequence[str] = ()) -> DataFrame:
     """Share of (positive, negative) pairs in the right order, ties counting half."""
     steps = confusion_steps(df, score, label, keys)
-    return steps.groupBy(*keys).agg((F.sum(_wins()) / F.max(F.col("t_pos") * F.col("t_neg"))).alias("auroc"))
+    return steps.groupBy(*keys).agg(F.try_divide(F.sum(_wins()), F.max(F.col("t_pos") * F.col("t_neg"))).alias("auroc"))
 
 
 def _at_or_above() -> dict[str, Column]:
@@ -40,14 +40,14 @@ def _at_or_above() -> dict[str, Column]:
 def pr_curve(df: DataFrame, score: str = "score", label: str = "label", keys: Sequence[str] = ()) -> DataFrame:
     """Precision and recall when everything at or above each distinct score is flagged."""
     steps = confusion_steps(df, score, label, keys).withColumns(_at_or_above())
-    return steps.select(*keys, F.col(score).alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-                        (F.col("tp") / F.col("t_pos")).alias("recall"))
+    return steps.select(*keys, F.col(score).alias("threshold"), F.try_divide("tp", F.col("tp") + F.col("fp")).alias("precision"),
+                        F.try_divide("tp", "t_pos").alias("recall"))
 
 
 def average_precision(df: DataFrame, score: str = "score", label: str = "label", keys: Sequence[str] = ()) -> DataFrame:
     """Step sum of precision over recall gains (no trapezoids)."""
     steps = confusion_steps(df, score, label, keys).withColumns(_at_or_above())
-    gain = F.col("pos") / F.col("t_pos") * F.col("tp") / (F.col("tp") + F.col("fp"))
+    gain = F.try_divide(F.col("pos") * F.col("tp"), F.col("t_pos") * (F.col("tp") + F.col("fp")))
     return steps.groupBy(*keys).agg(F.sum(gain).alias("average_precision"))
 
 
@@ -88,7 +88,7 @@ def pick_threshold(df: DataFrame, max_fpr: float = 0.15, score: str = "score", l
         "fpr": F.col("fp") / F.greatest(F.col("t_neg"), F.lit(1))}).filter(F.col("fpr") <= max_fpr)
     best = rated.agg(F.max(F.struct(F.round("f2", 12).alias("f2"), (-F.col(score)).alias("t"), "fpr", "tp", "t_pos")).alias("b"))
     return best.select((-F.col("b.t")).alias("threshold"), F.col("b.f2").alias("f2"), F.col("b.fpr").alias("fpr"),
-                       (F.col("b.tp") / F.col("b.t_pos")).alias("recall"))
+                       F.try_divide("b.tp", "b.t_pos").alias("recall"))
 
 
 def operating_point(df: DataFrame, threshold: float, score: str = "score", label: str = "label", strict: bool = False) -> DataFrame:

@@ -32,7 +32,7 @@ def column_profile(df: DataFrame, numeric: Sequence[str], other: Sequence[str] =
         aggs += [F.min(c).cast("double").alias(f"lo_{c}"), F.max(c).cast("double").alias(f"hi_{c}"), F.avg(c).alias(f"avg_{c}")]
     none = F.lit(None).cast("double")
     return unpivot(df.agg(*aggs), "column", {c: {
-        "nulls": F.col("n") - F.col(f"c_{c}"), "null_pct": (F.col("n") - F.col(f"c_{c}")) * 100.0 / F.col("n"), "n_unique": F.col(f"d_{c}"),
+        "nulls": F.col("n") - F.col(f"c_{c}"), "null_pct": F.try_divide((F.col("n") - F.col(f"c_{c}")) * 100.0, F.col("n")), "n_unique": F.col(f"d_{c}"),
         "min": F.col(f"lo_{c}") if c in numeric else none, "max": F.col(f"hi_{c}") if c in numeric else none,
         "mean": F.col(f"avg_{c}") if c in numeric else none} for c in (*numeric, *other)})
 
@@ -258,7 +258,7 @@ def gap_spatial_profile(df: DataFrame, gap_s: int) -> DataFrame:
     w = ordered(FLIGHT)
     rows = df.withColumns({"dt": F.col("time") - F.lag("time").over(w), "jump": F.round(haversine_m(F.lag("lat").over(w), F.lag("lon").over(w), "lat", "lon"), 3),
                            "before": F.lag("onground").over(w)}).filter(F.col("dt") > gap_s)
-    rows = rows.withColumn("speed", F.round(F.col("jump") / F.col("dt"), 6))
+    rows = rows.withColumn("speed", F.round(F.try_divide("jump", "dt"), 6))
     facts = rows.agg(F.count(F.lit(1)).alias("gaps"), F.max("jump").alias("max_jump"), F.avg(F.col("before").cast("double")).alias("ground_before"),
                      F.avg(F.col("onground").cast("double")).alias("ground_after"), F.avg((F.col("jump") < 2000).cast("double")).alias("near_share"))
     jump = exact_quantiles(rows, "jump", [0.5, 0.9]).select(F.col("q0").alias("median_jump"), F.col("q1").alias("p90_jump"))

@@ -80,7 +80,7 @@ def interpolate(df: DataFrame, columns, keys=SEGMENT) -> DataFrame:
     filled = {}
     for c in columns:
         p, n = F.col(f"p_{c}"), F.col(f"n_{c}")
-        share = (F.col("time") - p["time"]) / (n["time"] - p["time"])
+        share = F.try_divide(F.col("time") - p["time"], n["time"] - p["time"])
         filled[c] = F.coalesce(F.col(c), F.when(p.isNotNull() & n.isNotNull(), p["v"] + (n["v"] - p["v"]) * share), p["v"], n["v"])
     return df.withColumns(filled).drop(*[f"{a}_{c}" for a in "pn" for c in columns])
 

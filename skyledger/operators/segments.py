@@ -44,8 +44,8 @@ def segment_facts(clean: DataFrame, window: int) -> DataFrame:
     near = (F.col("dist_to_runway_m") < 5000) & (F.col("baroaltitude") < 1500)
     return rows.groupBy(*SEGMENT).agg(
         F.max("total").alias("n_steps"), F.count_if(~any_mask()).alias("valid_steps"), F.count(F.lit(1)).alias("window_steps"),
-        F.coalesce(F.max("jump"), zero).alias("max_altitude_jump_m"), F.coalesce(F.max(F.col("jump") / F.col("dt")), zero).alias("max_vertical_rate"),
-        F.coalesce(F.max(F.col("move") / F.col("dt")), zero).alias("max_ground_speed"), F.max(F.coalesce(near, F.lit(False))).alias("terminal_op"))
+        F.coalesce(F.max("jump"), zero).alias("max_altitude_jump_m"), F.coalesce(F.max(F.try_divide("jump", "dt")), zero).alias("max_vertical_rate"),
+        F.coalesce(F.max(F.try_divide("move", "dt")), zero).alias("max_ground_speed"), F.max(F.coalesce(near, F.lit(False))).alias("terminal_op"))
 
 
 def assessment_state(min_valid: int = 30) -> dict[str, Column]:

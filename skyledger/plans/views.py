@@ -78,8 +78,9 @@ class Views:
 
     @cached_property
     def meta(self) -> DataFrame:
-        return splits.segment_meta(self.stored_clean).join(
-            segments.detect_go_around(self.stored_clean), ["flight_id", "segment_id"])
+        """Segment attributes; the go-around rule reads heights, so field elevation is taken off first."""
+        low = self.stored_clean.withColumn("baroaltitude", F.col("baroaltitude") - 580.0)
+        return splits.segment_meta(self.stored_clean).join(segments.detect_go_around(low), ["flight_id", "segment_id"])
 
     @cached_property
     def split(self) -> DataFrame:
@@ -149,12 +150,12 @@ def tidy(df: DataFrame, digits: int = 3) -> DataFrame:
 REGISTRY: dict[str, object] = {}
 
 
-def register(name: str):
+def register(name: str, digits: int = 3):
     """Add a query: a function of the views that returns a frame."""
 
     def keep(fn):
         assert name not in REGISTRY, name
-        REGISTRY[name] = lambda spark, sf_dir: tidy(fn(Views(spark, sf_dir)))
+        REGISTRY[name] = lambda spark, sf_dir: tidy(fn(Views(spark, sf_dir)), digits)
         return fn
 
     return keep

@@ -49,7 +49,7 @@ STEPS = (
      ("icao24", "concat('a', lpad(CAST(k % 60 AS {text}), 5, '0'))"), ("time", "t0 + step * i")),
     (("lat", f"lat0 + north0 * {number(_DEG_PER_M)}"), ("lon", "lon0 + east0 * deg_lon"),
      ("alt0", "CASE WHEN kind = 5 THEN 1.0668e4 "
-              "WHEN kind = 13 AND along0 < 2.5e3 THEN elev0 + 1.31019448e2 + 1e-1 * (2.5e3 - along0) "
+              "WHEN kind = 13 AND along0 < 2.5e3 THEN elev0 + 1.31019448e2 + 1.2e-1 * (2.5e3 - along0) "
               "WHEN along0 > 0e0 THEN elev0 + 5.24077793e-2 * along0 ELSE elev0 END "
               "+ CASE WHEN kind = 15 AND i = 20 THEN 2.5e3 ELSE 0e0 END")),
     (("flight_id", "concat(icao24, '_', CAST(t0 AS {text}))"),
@@ -57,7 +57,7 @@ STEPS = (
      ("geoaltitude", "CASE WHEN (3 * k + i) % 37 = 0 THEN NULL ELSE alt0 + 3e1 END"),
      ("velocity", "CASE WHEN (k + i) % 23 = 0 THEN NULL WHEN kind = 6 THEN 5e1 WHEN kind = 7 THEN 1.1e2 "
                   "ELSE 8e1 + 2e-1 * ((7 * k + 3 * i) % 11 - 5) END"),
-     ("vertrate", "CASE WHEN kind = 8 THEN -1.2e1 WHEN kind = 13 AND along0 < 2.5e3 THEN 7.5e0 ELSE -3.9e0 END"),
+     ("vertrate", "CASE WHEN kind = 8 THEN -1.2e1 WHEN kind = 13 AND along0 < 2.5e3 THEN 9e0 ELSE -3.9e0 END"),
      ("heading", "bearing0 + CASE WHEN kind = 10 AND along0 < 3e3 THEN 2.5e1 ELSE 0e0 END"),
      ("onground", "kind = 14 AND along0 < 3e2"),
      ("callsign", "concat('FLT', CAST(k % 500 AS {text}))"),

@@ -71,6 +71,6 @@ def pick_evenly(dates: DataFrame, n: int, column: str) -> DataFrame:
     if n == 1:
         keep = F.col("r") == F.floor(F.col("m") / 2)
     else:
-        j = F.ceil(F.col("r") * (n - 1) / (F.col("m") - 1))
+        j = F.ceil(F.try_divide(F.col("r") * (n - 1), F.col("m") - 1))
         keep = (j <= n - 1) & (F.floor(j * (F.col("m") - 1) / (n - 1)) == F.col("r"))
     return numbered.filter((F.lit(n) >= F.col("m")) | keep).select(column)
