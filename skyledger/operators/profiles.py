@@ -162,7 +162,7 @@ def derived_vs_reported(df: DataFrame, step_s: int) -> DataFrame:
     w = ordered(FLIGHT)
     rows = df.withColumns({"dt": F.col("time") - F.lag("time").over(w), "move": haversine_m(F.lag("lat").over(w), F.lag("lon").over(w), "lat", "lon")})
     rows = rows.filter((F.col("dt") == step_s) & ~grounded() & F.col("velocity").isNotNull()).withColumn("derived", F.col("move") / F.col("dt"))
-    rows = rows.withColumn("off", F.round(F.abs(F.col("derived") - F.col("velocity")), 6))
+    rows = rows.withColumn("off", F.abs(F.col("derived") - F.col("velocity")))
     middle = exact_quantiles(rows, "off", [0.5]).select(F.col("q0").alias("median_difference"))
     return rows.agg(F.count(F.lit(1)).alias("n"), F.corr("derived", "velocity").alias("correlation")).crossJoin(middle)
 
@@ -256,9 +256,9 @@ def update_intervals(df: DataFrame) -> DataFrame:
 def gap_spatial_profile(df: DataFrame, gap_s: int) -> DataFrame:
     """Jump, implied speed and ground state at the gaps above gap_s."""
     w = ordered(FLIGHT)
-    rows = df.withColumns({"dt": F.col("time") - F.lag("time").over(w), "jump": F.round(haversine_m(F.lag("lat").over(w), F.lag("lon").over(w), "lat", "lon"), 3),
+    rows = df.withColumns({"dt": F.col("time") - F.lag("time").over(w), "jump": haversine_m(F.lag("lat").over(w), F.lag("lon").over(w), "lat", "lon"),
                            "before": F.lag("onground").over(w)}).filter(F.col("dt") > gap_s)
-    rows = rows.withColumn("speed", F.round(F.try_divide("jump", "dt"), 6))
+    rows = rows.withColumn("speed", F.try_divide("jump", "dt"))
     facts = rows.agg(F.count(F.lit(1)).alias("gaps"), F.max("jump").alias("max_jump"), F.avg(F.col("before").cast("double")).alias("ground_before"),
                      F.avg(F.col("onground").cast("double")).alias("ground_after"), F.avg((F.col("jump") < 2000).cast("double")).alias("near_share"))
     jump = exact_quantiles(rows, "jump", [0.5, 0.9]).select(F.col("q0").alias("median_jump"), F.col("q1").alias("p90_jump"))

@@ -72,10 +72,16 @@ COLUMNS = ("k", "i", "flight_id", "time", "icao24", "lat", "lon", "baroaltitude"
            "lastposupdate")
 
 
+def spread(keys: DataFrame) -> DataFrame:
+    """Rows over all tasks when the scan has fewer splits than there are shuffle partitions."""
+    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keys.repartition(tasks, *keys.columns) if keys.rdd.getNumPartitions() < tasks else keys
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The observation view: one row per aircraft and second, with its flight id."""
     rows = (
-        spark.read.parquet(f"{sf_dir}/orders.parquet")
+        spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"))
         .select(F.expr("o_orderkey div 10").alias("k"),
                 F.explode(F.sequence(F.expr("o_orderkey % 10 * 8"), F.expr("o_orderkey % 10 * 8 + 7"))).alias("i"))
     )
