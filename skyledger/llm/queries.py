@@ -53,3 +53,51 @@ def _(spark, sf_dir):
 
     docs = table(spark, sf_dir).withColumn("held_out", langid.held_out())
     return langid.predict(docs, langid.fit(docs.filter("NOT held_out")), keep=("doc_id", "held_out"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+b AS (SELECT doc_id, source, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+win AS (SELECT DISTINCT text, words, unnest(range(0, len(words) - 7)) AS i FROM b WHERE len(words) >= 8),
+wk AS (SELECT text, i, array_to_string(words[i + 1:i + 8], ' ') AS w FROM win),
+rep AS (SELECT text, i FROM (SELECT text, i, count(*) OVER (PARTITION BY text, w) AS n FROM wk) WHERE n >= 2),
+cov AS (SELECT text, sum(least(8, coalesce(nxt - i, 8))) AS n FROM (SELECT text, i, lead(i) OVER (PARTITION BY text ORDER BY i) AS nxt FROM rep) GROUP BY text),
+tl AS (SELECT DISTINCT source, text, lines FROM b),
+ln AS (SELECT source, text, translate(lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'))), '123456789', '000000000') AS line,
+        len(list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM (SELECT source, text, unnest(lines) AS l FROM tl)),
+f AS (SELECT source, line FROM ln GROUP BY source, line
+      HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > 0.1 * (SELECT count(DISTINCT text) FROM documents x WHERE x.source IS NOT DISTINCT FROM ln.source)),
+lost AS (SELECT ln.source, ln.text, sum(n) AS n FROM ln JOIN f ON ln.source IS NOT DISTINCT FROM f.source AND ln.line = f.line GROUP BY ln.source, ln.text),
+r AS (SELECT b.doc_id, len(words) AS n_words, length(regexp_replace(b.text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+        length(b.text) - length(translate(b.text, '#*$%&|<>', '')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+        coalesce(cov.n, 0) AS n_repeat_words, coalesce(lost.n, 0) AS n_line_words
+      FROM b LEFT JOIN cov ON b.text = cov.text LEFT JOIN lost ON b.text = lost.text AND b.source IS NOT DISTINCT FROM lost.source)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+  n_repeat_words::BIGINT AS n_repeat_words, n_line_words::BIGINT AS n_line_words,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - n_line_words >= 0.3 * n_words AS kept FROM r
+"""
+
+
+@register("op8_line_frequency", OP8_SQL)
+def _(spark, sf_dir):
+    from skyledger.llm import line_rules
+
+    return line_rules.rules(table(spark, sf_dir))
+
+
+@register("op9_secret_forest")
+def _(spark, sf_dir):
+    from skyledger.llm import secrets
+
+    return secrets.scan(table(spark, sf_dir)).filter("is_secret").select("doc_id", "place", "candidate", "word", "before", "after", "rule_label", "score", "is_secret")
+
+
+@register("op5_quality_classifier")
+def _(spark, sf_dir):
+    from skyledger.llm import quality
+
+    docs = table(spark, sf_dir).select("doc_id", "text", "lang", "source")
+    scored = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", *(F.round(c, 6).alias(c) for c in ("p_content", "p_meta", "score")), "kept")
