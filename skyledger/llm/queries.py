@@ -101,3 +101,10 @@ def _(spark, sf_dir):
     docs = table(spark, sf_dir).select("doc_id", "text", "lang", "source")
     scored = quality.classify(docs, table(spark, sf_dir, "labels"))
     return scored.select("doc_id", *(F.round(c, 6).alias(c) for c in ("p_content", "p_meta", "score")), "kept")
+
+
+@register("op1_substring_dedup")
+def _(spark, sf_dir):
+    from skyledger.llm import substring_dedup
+
+    return substring_dedup.dedup(table(spark, sf_dir), digest=True)
