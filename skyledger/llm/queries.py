@@ -108,3 +108,10 @@ def _(spark, sf_dir):
     from skyledger.llm import substring_dedup
 
     return substring_dedup.dedup(table(spark, sf_dir), digest=True)
+
+
+@register("op2_ngram_jaccard_join")
+def _(spark, sf_dir):
+    from skyledger.llm import jaccard_join
+
+    return jaccard_join.join_components(table(spark, sf_dir))
