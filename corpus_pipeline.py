@@ -1,13 +1,75 @@
-"""A training corpus from raw documents: STAGES in order, each written and read again before the next."""
+"""A training corpus from raw documents: STAGES in order, each written and read again before the next.
+
+Every stage works on all documents that the one before it kept and returns the columns of `documents`; the last
+one returns the encoded corpus. Nulls, repeated rows and empty tables are treated as the operators say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from skyledger.llm import bpe, jaccard_join, mixing, numbered, quality, secrets
 from skyledger.session import scratch_path
 
-STAGES: list = []
-#: The first stage is a trained classifier, which SQL cannot express.
+UID = "__uid"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return numbered.with_uid(docs, "doc_id", F.coalesce(F.sha2("text", 256), F.lit("")), UID)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the co-trained classifier rejects."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.score(docs, model, prefix="__q_")
+    return scored.filter("__q_kept").select(docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the first document of every group of near copies."""
+    keyed = _keyed(docs)
+    groups = jaccard_join.join_components(keyed, UID)
+    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(UID))
+    rows = keyed.join(kept, UID, "left_semi")
+    if not numbered.ids_are_unique(docs, "doc_id"):
+        rows = rows.dropDuplicates([UID])
+    return rows.select(docs.columns)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask the secrets found in the texts; no document is dropped."""
+    found = secrets.scan(docs).filter("is_secret")
+    masked = secrets.mask(docs, found)
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return masked.select(docs.columns)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or leave out documents so that the sources meet their weights; a part of a copy counts from a half on."""
+    keyed = _keyed(docs)
+    taken = mixing.balance(keyed, id_col=UID).filter("taken > 0")
+    copies = taken.groupBy(F.col("doc_id").alias(UID)).agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("__copies")).filter("__copies > 0")
+    return keyed.join(copies, UID).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encode every document and decode it again."""
+    import public_tokenizers
+
+    vocabulary = bpe.Vocabulary.read(public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.round_trip(docs, vocabulary)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("secret_scans", secret_scans),
+    ("source_mixing", source_mixing),
+    ("bpe_encoding", bpe_encoding),
+]
+#: A trained classifier has no SQL; tests hold every stage against a plain version instead.
 ORACLE_SQL = None
 
 

@@ -209,10 +209,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labe
     return co_train(content, meta, y, pool_content, pool_meta)
 
 
-def score(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5) -> DataFrame:
-    """All columns of docs with p_content, p_meta, score and kept."""
+def score(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5, prefix: str = "") -> DataFrame:
+    """All columns of docs with p_content, p_meta, score and kept, under names that begin with `prefix`."""
+    added = [prefix + c for c in ("p_content", "p_meta", "score", "kept")]
     if model is None:
-        return docs.select("*", F.lit(1.0).alias("p_content"), F.lit(1.0).alias("p_meta"), F.lit(1.0).alias("score"), F.lit(True).alias("kept"))
+        return docs.select("*", *(F.lit(1.0).alias(c) for c in added[:3]), F.lit(True).alias(added[3]))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two weight vectors
     columns = docs.columns
     wide = docs.select("*", F.coalesce("text", F.lit("")).alias("__in"), F.col("source").cast("string").alias("__source"), F.col("lang").cast("string").alias("__lang"))
@@ -226,9 +227,9 @@ def score(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5) -> D
             margins = [model_.margin(x) * line[0] + line[1] for model_, x, line in zip((m.content, m.meta), (content, meta), m.calibrate, strict=True)]
             total = sigmoid(margins[0] * m.combine[0] + margins[1] * m.combine[1] + m.combine[2])
             out = [sigmoid(margins[0]), sigmoid(margins[1]), total]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *(pa.array(x, pa.float64()) for x in out), pa.array(total >= threshold, pa.bool_())], names=[*columns, "p_content", "p_meta", "score", "kept"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *(pa.array(x, pa.float64()) for x in out), pa.array(total >= threshold, pa.bool_())], names=[*columns, *added])
 
-    schema = StructType(list(docs.schema.fields)).add("p_content", "double").add("p_meta", "double").add("score", "double").add("kept", "boolean")
+    schema = StructType(list(docs.schema.fields)).add(added[0], "double").add(added[1], "double").add(added[2], "double").add(added[3], "boolean")
     return wide.mapInArrow(run, schema)
 
 

@@ -115,3 +115,10 @@ def _(spark, sf_dir):
     from skyledger.llm import jaccard_join
 
     return jaccard_join.join_components(table(spark, sf_dir))
+
+
+@register("op4_nn_descent")
+def _(spark, sf_dir):
+    from skyledger.llm import nn_descent
+
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
