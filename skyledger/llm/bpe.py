@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from skyledger.llm.batches import row_slices
 
@@ -145,9 +146,7 @@ def _map(df: DataFrame, vocabulary: Vocabulary, text_col: str, keep: list[str],
     """Apply one(codec, value) -> tuple to each row of `text_col`, beside the columns of `keep`."""
     slim = df.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).alias("__in"))
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)  # a tokenizer file's tables, a fixed size
-    schema = slim.drop("__in").schema
-    for name, kind in (part.split(" ", 1) for part in fields.split(", ")):
-        schema = schema.add(name, kind)
+    schema = StructType([*slim.drop("__in").schema.fields, *StructType.fromDDL(fields).fields])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
