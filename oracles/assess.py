@@ -150,8 +150,8 @@ cte("summ", "asd", f"SELECT *, {AID} AS attempt_id, {QF} AS quality_flags FROM a
 O["attempt_summary"] = query(f"SELECT attempt_id, flight_id AS operation_id, status, direction, runway, geometry_runway, specificity, {r('round(confidence, 4)', 6)} AS confidence, {r(f'round({FIN}, 4)', 6)} AS score_margin, failed, outcome, observed_samples, {r('max_gap_s', 6)} AS max_gap_s, "
                              "start_time, end_time, reasons, quality_flags FROM summ", "summ")
 PRI = "CASE status WHEN 'review_required' THEN 0 WHEN 'partial_observation' THEN 1 WHEN 'criteria_observed' THEN 2 WHEN 'not_assessable' THEN 3 ELSE 99 END"
-O["rank_attempts"] = query(f"SELECT attempt_id, status, start_time FROM summ ORDER BY {PRI}, start_time DESC, attempt_id LIMIT 100", "summ")
-O["filter_attempt_queue"] = query(f"SELECT attempt_id, direction, outcome, start_time FROM summ WHERE status = 'review_required' AND contains(failed, 'observed_descent_rate') ORDER BY {PRI}, start_time DESC, attempt_id LIMIT 5000", "summ")
+O["rank_attempts"] = query(f"SELECT attempt_id, status, start_time FROM summ ORDER BY {PRI}, start_time DESC, attempt_id", "summ")
+O["filter_attempt_queue"] = query(f"SELECT attempt_id, direction, outcome, start_time FROM summ WHERE status = 'review_required' AND contains(failed, 'observed_descent_rate') ORDER BY {PRI}, start_time DESC, attempt_id", "summ")
 O["landing_outcome"] = query(f"SELECT {K}, outcome IN ('landing_observed', 'touch_and_go') AS available, CASE WHEN outcome IN ('landing_observed', 'touch_and_go') THEN NULL WHEN outcome = 'go_around' THEN 'go_around_observed' WHEN last_along > 0 THEN 'evidence_ends_before_threshold' ELSE 'landing_not_observed' END AS reason, {r('round(last_along, 1)')} AS evidence_end_along_m FROM asd", "asd")
 O["quality_flag_union"] = query(f"SELECT {K}, quality_flags AS flags FROM summ", "summ")
 O["case_path"] = query(f"SELECT {K}, time, {r('along')} AS along, {r('cross_m')} AS \"cross\", {r('baroaltitude - elevation')} AS height, {r(pmod('heading - bearing + 180e0') + ' - 180e0')} AS track_offset FROM attf", "attf")

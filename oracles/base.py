@@ -78,7 +78,9 @@ cte("env", "", "SELECT * FROM (VALUES " + ", ".join(
     for d, b, sl, sh, vl, vh in PUBLISHED_ENVELOPE) + ") AS t(direction, speed_class, bin, speed_lo, speed_hi, rate_lo, rate_hi)")
 
 # ---- approach ----
-cte("idxd", "obs", "SELECT *, row_number() OVER (PARTITION BY flight_id ORDER BY time) AS idx FROM obs")
+cte("mobs", "obs", derived.with_masks_sql())
+cte("cobs", "mobs", "SELECT DISTINCT * FROM mobs WHERE lat IS NOT NULL AND NOT lat_missing AND NOT lon_missing")
+cte("idxd", "cobs", "SELECT *, row_number() OVER (PARTITION BY flight_id ORDER BY time) AS idx FROM cobs")
 cte("inside", "idxd rwy", f"SELECT * FROM (SELECT flight_id, time, idx, runway, {frame()} FROM idxd, rwy) "
     "WHERE along BETWEEN -500 AND 20000 AND abs(cross_m) <= 6000")
 cte("visits", "inside", """
@@ -93,8 +95,8 @@ SELECT flight_id, CAST(c AS BIGINT) AS cluster, min(start_time) AS start_time, m
     ROWS UNBOUNDED PRECEDING) AS c FROM (
     SELECT *, max(end_time) OVER (PARTITION BY flight_id ORDER BY start_time, end_time, runway ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM visits))
 GROUP BY 1, 2""")
-cte("arow", "obs clus", """
-SELECT o.*, c.cluster FROM obs o JOIN (SELECT *, lead(start_time) OVER (PARTITION BY flight_id ORDER BY cluster) AS nxt FROM clus) c
+cte("arow", "cobs clus", """
+SELECT o.*, c.cluster FROM cobs o JOIN (SELECT *, lead(start_time) OVER (PARTITION BY flight_id ORDER BY cluster) AS nxt FROM clus) c
 ON o.flight_id = c.flight_id AND o.time >= c.start_time AND (o.time <= c.end_time OR (o.time <= c.end_time + 180 AND (nxt IS NULL OR o.time < nxt)))""")
 cte("cand", "arow rwy", f"SELECT *, along BETWEEN 0 AND 25000 AND abs(cross_m) <= 6000 AND NOT coalesce(baroaltitude > elevation + 3000, FALSE) AS gate "
     f"FROM (SELECT *, {frame()} FROM arow, rwy)")

@@ -29,8 +29,8 @@ O["scale_profile"] = query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", {r(f
 cte("flen", "obs", "SELECT flight_id, CAST(count(*) AS DOUBLE) AS n FROM obs GROUP BY 1")
 O["length_quantiles"] = query(" UNION ALL ".join(f"SELECT 'P{int(q * 100)}' AS quantile, {r(f'quantile_cont(n, {q})')} AS rows FROM flen" for q in (0.5, 0.75, 0.9, 0.95, 0.99, 1.0)), "flen")
 O["length_ecdf"] = query(f"SELECT CAST(n AS BIGINT) AS n_rows, c AS flights, {r('sum(c) OVER (ORDER BY n) / sum(c) OVER ()')} AS ecdf FROM (SELECT n, count(*) AS c FROM flen GROUP BY 1)", "flen")
-O["long_tail_profile"] = query(f"""SELECT coalesce(mg, 0) > 60 AS gappy, count(*) AS flights, {r('avg(g)')} AS mean_ground_share, {r('avg(n)')} AS mean_rows FROM (SELECT *, quantile_cont(CAST(n AS DOUBLE), 0.3) OVER () AS mark FROM (
-SELECT flight_id, count(*) AS n, avg(CAST(onground AS INTEGER)) AS g, max(gap) AS mg FROM (SELECT *, time - lag(time) OVER (PARTITION BY flight_id ORDER BY time) AS gap FROM obs WHERE NOT (i > 30 AND k % 3 = 0)) GROUP BY 1)) WHERE n > mark GROUP BY 1""", "obs")
+O["long_tail_profile"] = query(f"""SELECT coalesce(mg, 0) > 300 AS gappy, count(*) AS flights, {r('avg(g)')} AS mean_ground_share, {r('avg(n)')} AS mean_rows FROM (SELECT *, quantile_cont(CAST(n AS DOUBLE), 0.99) OVER () AS mark FROM (
+SELECT fid, count(*) AS n, avg(CAST(onground AS INTEGER)) AS g, max(gap) AS mg FROM (SELECT *, time - lag(time) OVER (PARTITION BY fid ORDER BY time) AS gap FROM (SELECT *, concat(icao24, '_', CAST(k // 60 % (1 + k % 5) AS VARCHAR)) AS fid FROM obs)) GROUP BY 1)) WHERE n > mark GROUP BY 1""", "obs")
 BANDS = {"10-60s": (15, 70), "1-3min": (70, 180), "3-10min": (180, 600), "10-30min": (600, 1800)}
 cte("gaps", "obs", "SELECT * FROM (SELECT time - lag(time) OVER (PARTITION BY flight_id ORDER BY time) AS g FROM obs) WHERE g IS NOT NULL")
 O["gap_histogram"] = query(" UNION ALL ".join(f"SELECT '{n}' AS band, {r(f'count(*) FILTER (g > {a} AND g <= {b}) * 1e2 / count(*)')} AS pct FROM gaps" for n, (a, b) in BANDS.items()), "gaps")
@@ -53,8 +53,6 @@ count(DISTINCT (time // 86400 + 3) % 7) AS weekdays, count(DISTINCT time // 3600
 DH = "radians(h - lag(h) OVER (PARTITION BY flight_id, segment_id ORDER BY time))"
 O["turning_and_range"] = query(f"SELECT flight_id, segment_id, {r('coalesce(sum(t), 0)')} AS turn_deg, {r('max(baroaltitude) - min(baroaltitude)')} AS alt_range FROM (SELECT *, abs(degrees(atan2(sin(dh), cos(dh)))) AS t FROM (SELECT *, {DH} AS dh FROM (SELECT *, {pmod('heading + (i % 4) * 40')} AS h FROM seg))) GROUP BY 1, 2", "seg")
 O["channel_summary"] = query(" UNION ALL ".join(f"SELECT flight_id, segment_id, '{c}' AS channel, {r(f'arg_min({c}, time)')} AS \"start\", {r(f'arg_max({c}, time)')} AS \"end\", {r(f'min({c})')} AS min, {r(f'max({c})')} AS max FROM seg GROUP BY 1, 2" for c in ("lat", "vertrate", "dist_to_runway_m")), "seg")
-O["check_schema"] = "SELECT * FROM (VALUES ('alert', 'missing', ''), ('i', 'extra', 'bigint'), ('k', 'extra', 'bigint'), ('lastposupdate', 'extra', 'bigint'), ('squawk2', 'extra', 'int')) AS t(\"column\", problem, type)"
-O["check_types"] = "SELECT * FROM (VALUES ('velocity', 'expected_numeric', 'string'), ('onground', 'expected_boolean', 'int')) AS t(\"column\", problem, type)"
 O["check_critical_nulls"] = query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS nulls, count(*) = count({c}) AS passes FROM d21" for c in CRITICAL), "d21")
 O["check_bounds"] = query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} < {a}) AS below_min, count(*) FILTER ({c} > {b}) AS above_max, {r(f'min({c})')} AS min_seen, {r(f'max({c})')} AS max_seen FROM wild" for c, (a, b) in BOUNDS.items()), "wild")
 O["check_region"] = query("SELECT count(*) FILTER (lat < 38.5e0 OR lat > 42.5e0 OR lon < -6e0 OR lon > -1.1e0) AS outside, count(*) AS n_rows FROM (SELECT lat + (k % 9 - 4) * 0.6e0 AS lat, lon + (k % 7 - 3) * 0.8e0 AS lon FROM obs)", "obs")

@@ -65,7 +65,6 @@ O["flights_dedupe_slices"] = query("SELECT icao24, firstseen, callsign, lastseen
 O["scan_by_day_ranges"] = query("SELECT time // 86400 * 86400 AS range_start, count(*) AS n_rows FROM obs GROUP BY 1", "obs")
 MON = "CAST(date_trunc('week', make_timestamp(CAST(time * 1000000 AS BIGINT))) AS DATE)"
 WEEK = f"strftime({MON}, '%Y%m%d')"
-O["list_tables_in_range"] = query(f"SELECT DISTINCT concat('states_', {WEEK}) AS name FROM obs WHERE {WEEK} BETWEEN '20180101' AND '20191231'", "obs")
 O["choose_canonical_batches"] = query(f"""SELECT concat('lemd_', w) AS batch, kind, concat('/data/lemd_', w, '__', kind, '_20260101.parquet') AS path FROM (
 SELECT w, CASE WHEN substring(w, 8, 1) IN ('0', '2', '4', '6', '8') THEN 'deduped' ELSE 'snapshot' END AS kind FROM (SELECT DISTINCT {WEEK} AS w FROM obs))""", "obs")
 O["sink_partitioned_parquet"] = query(f"SELECT CAST({MON} AS VARCHAR) AS monday, count(*) AS n_rows, min(time) AS first_time FROM obs GROUP BY 1", "obs")
@@ -79,8 +78,6 @@ O["scan_external_units"] = query(f"SELECT icao24, time, {r('lat')} AS lat, {r('l
                                  "FALSE AS onground FROM obs WHERE i % 9 <> 4", "obs")
 O["normalize_column_aliases"] = query(f"SELECT icao24, time, {r('baroaltitude')} AS baroaltitude, {r('heading')} AS heading, {r('vertrate')} AS vertrate, onground FROM obs", "obs")
 O["union_batches"] = query("SELECT CASE WHEN time < 1530000000 THEN 'early' ELSE 'late' END AS batch, count(*) AS n_rows, count(CASE WHEN time >= 1530000000 THEN lon END) AS with_lon FROM obs GROUP BY 1", "obs")
-O["schema_set_diff"] = ("SELECT * FROM (VALUES ('operation', 'missing'), ('time_utc', 'missing'), ('velocity_kmh', 'missing'), ('dist_to_runway_m', 'missing'), "
-                        "('flight_phase', 'missing'), ('k', 'extra'), ('i', 'extra'), ('lastposupdate', 'extra')) AS t(\"column\", problem)")
 
 # uploads
 cte("up", "raw", """SELECT k, i, CASE WHEN (k + i) % 61 = 0 THEN time + 0.5e0 ELSE CAST(time AS DOUBLE) END AS tnum,

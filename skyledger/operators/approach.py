@@ -1,7 +1,7 @@
 """Approach attempts: find them, infer the runway, judge them.
 
-The row work of one attempt is a chain of windows over (flight_id, cluster), which needs one
-shuffle and one sort; nothing is collected and no group is larger than the attempt itself.
+Rows are folded to canonical ones and move once, by flight. Everything after that is a chain of windows
+over the flight or over (flight_id, cluster) inside it; nothing is collected or joined back.
 """
 
 from __future__ import annotations
@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.config import DEFAULT, MAX_ALTITUDE_BIAS_M, PUBLISHED_ENVELOPE, ApproachConfig
-from skyledger.functions.geo import angle_between, distance_bin, haversine_m, landing_runways, path_height_m, with_runway_frame
-from skyledger.operators.dedupe import observed
-from skyledger.operators.sequence import attach_latest, ordered, running
+from skyledger.config import DEFAULT, LANDING_RUNWAYS, MAX_ALTITUDE_BIAS_M, PUBLISHED_ENVELOPE, ApproachConfig
+from skyledger.functions.geo import (
+    along_track_m, angle_between, cross_track_m, distance_bin, haversine_m, landing_runways, path_height_m, runway_struct, with_runway_frame,
+)
+from skyledger.operators.dedupe import TIE_BREAK, canonical_positions, observed
+from skyledger.operators.sequence import ordered, running
 
 ATTEMPT = ("flight_id", "cluster")
 CRITERIA = ("lateral_path_proxy", "barometric_path_proxy", "observed_descent_rate",
@@ -36,7 +38,7 @@ def corridor_visits(obs: DataFrame, cfg: ApproachConfig = DEFAULT) -> DataFrame:
 
     Rows are numbered before the corridor filter, so the break rule can count the rows outside.
     """
-    numbered = obs.select("flight_id", "time", "lat", "lon").withColumn("idx", F.row_number().over(ordered(["flight_id"])))
+    numbered = flight_rows(obs).select("flight_id", "time", "lat", "lon").withColumn("idx", F.row_number().over(ordered(["flight_id"])))
     inside = runway_candidates(numbered).filter(in_corridor(cfg))
     w = ordered(["flight_id", "runway"])
     away_s = F.col("time") - F.lag("time").over(w)
@@ -64,16 +66,55 @@ def merge_intervals(visits: DataFrame) -> DataFrame:
     )
 
 
+def flight_rows(obs: DataFrame) -> DataFrame:
+    """Canonical rows (unique seconds with an observed position), brought together by flight.
+
+    Equal copies are folded before the rows move; of different reports of one second the smallest stays.
+    """
+    kept = canonical_positions(obs)
+    lead = [c for c in TIE_BREAK if c in kept.columns]
+    rest = [c for c in kept.columns if c not in (*lead, "flight_id", "time")]
+    best = F.row_number().over(Window.partitionBy("flight_id", "time").orderBy(*lead, *rest))
+    return kept.distinct().repartition("flight_id").withColumn("best_", best).filter("best_ = 1").drop("best_")
+
+
 def attempt_rows(obs: DataFrame, cfg: ApproachConfig = DEFAULT) -> DataFrame:
-    """Rows of every candidate attempt, extended past the corridor but never into the next one."""
-    clusters = merge_intervals(corridor_visits(obs, cfg)).select(
-        "flight_id", F.col("start_time").alias("time"),
-        F.struct("cluster", "end_time").alias("attempt"))
-    return (
-        attach_latest(obs, clusters, "flight_id", "attempt")
-        .filter(F.col("time") <= F.col("attempt.end_time") + cfg.extension_s)
-        .withColumn("cluster", F.col("attempt.cluster")).drop("attempt")
-    )
+    """Rows of every candidate attempt, extended past the corridor but never into the next one.
+
+    The four corridors are columns of the row. Visits, their union over the runways and the extension are
+    windows over the flight, so the rows move once and nothing is joined back.
+    """
+    rows = flight_rows(obs)
+    kept = rows.columns
+    line = ordered(["flight_id"])
+    before = line.rowsBetween(Window.unboundedPreceding, -1)
+    number = range(len(LANDING_RUNWAYS))
+    inside = {}
+    for j, r in enumerate(LANDING_RUNWAYS):
+        place = ("lat", "lon", r.lat, r.lon, r.bearing)
+        inside[f"in{j}"] = along_track_m(*place).between(-500.0, cfg.gate_along) & (F.abs(cross_track_m(*place)) <= cfg.gate_cross)
+    rows = rows.withColumns(inside | {"idx": F.row_number().over(line)})
+    rows = rows.withColumns({f"prev{j}": F.last(F.when(F.col(f"in{j}"), F.struct("time", "idx")), True).over(before) for j in number})
+
+    def opens(j: int) -> Column:
+        away_s = F.col("time") - F.col(f"prev{j}.time")
+        away_rows = F.col("idx") - F.col(f"prev{j}.idx") - 1
+        broke = (away_s > cfg.reentry_gap_s) | ((away_rows >= cfg.persist_rows) & (away_s >= cfg.persist_s))
+        return F.col(f"in{j}") & F.coalesce(broke, F.lit(True))
+
+    rows = rows.withColumns({f"open{j}": opens(j) for j in number}).drop(*[f"prev{j}" for j in number])
+    rows = rows.withColumns({f"visit{j}": F.sum(F.col(f"open{j}").cast("int")).over(running(["flight_id"])) for j in number})
+    for j in number:
+        visit = Window.partitionBy("flight_id", f"visit{j}")
+        supported = F.count(F.when(F.col(f"in{j}"), 1)).over(visit) >= cfg.infer_min_rows
+        rows = rows.withColumn(f"end{j}", F.when(F.col(f"open{j}") & supported, F.max(F.when(F.col(f"in{j}"), F.col("time"))).over(visit)))
+    # end_: where a visit begins, the time at which the last of those beginning here ends
+    rows = rows.withColumn("end_", F.greatest(*[f"end{j}" for j in number]))
+    rows = rows.withColumn("reach", F.max("end_").over(before))
+    first = F.col("end_").isNotNull() & (F.col("reach").isNull() | (F.col("time") > F.col("reach")))
+    rows = rows.withColumn("cluster", F.sum(first.cast("long")).over(running(["flight_id"])))
+    ends = F.max("end_").over(Window.partitionBy(*ATTEMPT))
+    return rows.withColumn("ends", ends).filter((F.col("cluster") > 0) & (F.col("time") <= F.col("ends") + cfg.extension_s)).select(*kept, "cluster")
 
 
 # ---- runway inference -------------------------------------------------------------------------
@@ -85,67 +126,96 @@ def usable_track(rows: DataFrame, cfg: ApproachConfig) -> Column:
     return heading
 
 
+def with_runway_scores(rows: DataFrame, cfg: ApproachConfig = DEFAULT) -> DataFrame:
+    """Add `scores` to attempt rows: one struct per landing runway, the same on every row of an attempt.
+
+    score is null where the geometry does not support the runway.
+    """
+    attempt = Window.partitionBy(*ATTEMPT)
+    kept = rows.columns
+    alt_seen = F.coalesce(observed(rows, "baroaltitude"), F.lit(False))
+    track_ok = F.coalesce(usable_track(rows, cfg), F.lit(False))
+    steps: list[dict[str, Column]] = [{}, {}, {}]
+    structs = []
+    for j, r in enumerate(LANDING_RUNWAYS):
+        place = ("lat", "lon", r.lat, r.lon, r.bearing)
+        steps[0] |= {f"along{j}": along_track_m(*place), f"cross{j}": cross_track_m(*place), f"dist{j}": haversine_m("lat", "lon", r.lat, r.lon)}
+        gate = F.col(f"along{j}").between(0.0, cfg.gate_along * 1.25) & (F.abs(f"cross{j}") <= cfg.gate_cross) & ~(
+            alt_seen & (F.col("baroaltitude") > r.elevation + cfg.gate_height))
+        steps[1][f"gate{j}"] = F.coalesce(gate, F.lit(False))
+        last_gate = F.max(F.when(F.col(f"gate{j}"), F.col("time"))).over(attempt)
+        steps[2][f"recent{j}"] = F.col(f"gate{j}") & (F.col("time") >= last_gate - cfg.infer_window_s)
+        recent = F.col(f"recent{j}")
+        lateral = F.abs(f"cross{j}") / F.greatest(F.lit(250.0), F.col(f"along{j}") * 0.12)
+        turned = recent & track_ok
+        at = F.when(recent, F.col("time"))
+        structs.append({
+            "min_dist": F.min(f"dist{j}").over(attempt), "gate_rows": F.count(F.when(F.col(f"gate{j}"), 1)).over(attempt),
+            "rows_used": F.count(F.when(recent, 1)).over(attempt), "span_s": F.max(at).over(attempt) - F.min(at).over(attempt),
+            "lateral": F.percentile(F.when(recent, lateral), 0.5).over(attempt), "track_rows": F.count(F.when(turned, 1)).over(attempt),
+            "track_median": F.percentile(F.when(turned, angle_between("heading", r.bearing)), 0.5).over(attempt)})
+    for step in steps:
+        rows = rows.withColumns(step)
+    rows = rows.withColumns({f"{name}{j}": value for j, s in enumerate(structs) for name, value in s.items()})
+    scores = []
+    for j, r in enumerate(LANDING_RUNWAYS):
+        stats = {name: F.col(f"{name}{j}") for name in structs[j]}
+        supported = (stats["gate_rows"] >= cfg.infer_min_rows) & (stats["span_s"] >= cfg.infer_min_duration_s)
+        track_error = F.when(stats["track_rows"] >= 3, stats["track_median"]).otherwise(90.0)
+        score = stats["lateral"] + track_error / 30.0 + F.least(stats["min_dist"] / cfg.terminal_distance, F.lit(2.0))
+        fixed = runway_struct(r, j)
+        names = ("ord", "runway", "direction", "rwy_lat", "rwy_lon", "bearing", "elevation")
+        scores.append(F.struct(F.when(supported, score).alias("score"), *[fixed[n].alias(n) for n in names], *[c.alias(n) for n, c in stats.items()], track_error.alias("track_error")))
+    return rows.withColumn("scores", F.array(*scores)).select(*kept, "scores")
+
+
 def runway_scores(rows: DataFrame, cfg: ApproachConfig = DEFAULT) -> DataFrame:
     """One row per attempt and landing runway; score is null where the geometry does not support it."""
-    alt_seen = observed(rows, "baroaltitude")
-    alt_high = F.col("baroaltitude") > F.col("elevation") + cfg.gate_height
-    cand = runway_candidates(rows.withColumns({"alt_seen": alt_seen, "track_ok": F.coalesce(usable_track(rows, cfg), F.lit(False))}))
-    gate = F.col("along").between(0.0, cfg.gate_along * 1.25) & (F.abs("cross") <= cfg.gate_cross) & ~(
-        F.col("alt_seen") & alt_high)
-    cand = cand.withColumn("gate", F.coalesce(gate, F.lit(False)))
-    last_gate = F.max(F.when(F.col("gate"), F.col("time"))).over(Window.partitionBy(*ATTEMPT, "ord"))
-    cand = cand.withColumn("recent", F.col("gate") & (F.col("time") >= last_gate - cfg.infer_window_s))
-    lateral = F.abs("cross") / F.greatest(F.lit(250.0), F.col("along") * 0.12)
-    turned = F.col("recent") & F.col("track_ok")
-    stats = cand.groupBy(*ATTEMPT, "ord", "runway", "direction", "rwy_lat", "rwy_lon", "bearing", "elevation").agg(
-        F.min("dist").alias("min_dist"), F.count_if("gate").alias("gate_rows"), F.count_if("recent").alias("rows_used"),
-        (F.max(F.when(F.col("recent"), F.col("time"))) - F.min(F.when(F.col("recent"), F.col("time")))).alias("span_s"),
-        F.percentile(F.when(F.col("recent"), lateral), 0.5).alias("lateral"),
-        F.count_if(turned).alias("track_rows"),
-        F.percentile(F.when(turned, angle_between("heading", "bearing")), 0.5).alias("track_median"))
-    supported = (F.col("gate_rows") >= cfg.infer_min_rows) & (F.col("span_s") >= cfg.infer_min_duration_s)
-    track_error = F.when(F.col("track_rows") >= 3, F.col("track_median")).otherwise(90.0)
-    score = F.col("lateral") + track_error / 30.0 + F.least(F.col("min_dist") / cfg.terminal_distance, F.lit(2.0))
-    return stats.withColumn("track_error", track_error).withColumn("score", F.when(supported, score))
+    once = with_runway_scores(rows, cfg).groupBy(*ATTEMPT).agg(F.first("scores").alias("scores"))
+    return once.select(*ATTEMPT, F.inline("scores"))
 
 
-def infer_runway(scores: DataFrame, cfg: ApproachConfig = DEFAULT) -> DataFrame:
-    """Pick the best runway per attempt from its (at most four) scored candidates."""
-    packed = scores.groupBy(*ATTEMPT).agg(F.array_sort(F.collect_list(F.when(
-        F.col("score").isNotNull(),
-        F.struct("score", "ord", "runway", "direction", "rwy_lat", "rwy_lon", "bearing", "elevation", "rows_used")))).alias("c"))
-    best = packed.withColumn("w", F.get("c", F.lit(0)))
+def chosen_runway(cfg: ApproachConfig) -> dict[str, Column]:
+    """The inference columns from `c`, the scored candidates in ascending order, and `w`, the first of them."""
     same = F.filter("c", lambda x: x["direction"] == F.col("w.direction"))
     other = F.filter("c", lambda x: x["direction"] != F.col("w.direction"))
     inf = F.lit(float("inf"))
-    wide = best.withColumns({
-        "direction_margin": F.coalesce(F.get(other, F.lit(0))["score"] - F.col("w.score"), inf),
-        "exact_margin": F.coalesce(F.get(same, F.lit(1))["score"] - F.col("w.score"), inf),
-    })
-    refused = (F.col("w.score") > cfg.max_score) | (F.col("direction_margin") < cfg.min_direction_margin)
-    exact = F.col("exact_margin") >= cfg.min_exact_margin
+    direction_margin = F.coalesce(F.get(other, F.lit(0))["score"] - F.col("w.score"), inf)
+    exact_margin = F.coalesce(F.get(same, F.lit(1))["score"] - F.col("w.score"), inf)
+    refused = (F.col("w.score") > cfg.max_score) | (direction_margin < cfg.min_direction_margin)
+    exact = exact_margin >= cfg.min_exact_margin
     known = F.col("w").isNotNull() & ~F.coalesce(refused, F.lit(False))
-    clipped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("direction_margin") / 2.0))
-    return wide.select(
-        *ATTEMPT,
-        F.when(known, F.when(exact, F.col("w.runway")).otherwise(F.concat(F.col("w.direction"), F.lit("_pair")))).alias("runway"),
-        F.when(known, F.col("w.runway")).alias("geometry_runway"),
-        F.when(known, F.col("w.direction")).alias("direction"),
-        F.when(~known, "unknown").when(exact, "exact").otherwise("direction").alias("specificity"),
-        F.when(known, clipped / (1.0 + F.col("w.score"))).otherwise(0.0).alias("confidence"),
-        F.when(F.col("w").isNull(), 0.0).when(known & exact, F.col("exact_margin")).otherwise(F.col("direction_margin")).alias("score_margin"),
-        F.col("w.score").alias("score"),
-        F.when(F.col("w").isNull(), "no_supported_runway_candidate").when(~known, "runway_direction_ambiguous").alias("reason"),
-        "w.rwy_lat", "w.rwy_lon", "w.bearing", "w.elevation",
-    )
+    clipped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), direction_margin / 2.0))
+    return {
+        "runway": F.when(known, F.when(exact, F.col("w.runway")).otherwise(F.concat(F.col("w.direction"), F.lit("_pair")))),
+        "geometry_runway": F.when(known, F.col("w.runway")), "direction": F.when(known, F.col("w.direction")),
+        "specificity": F.when(~known, "unknown").when(exact, "exact").otherwise("direction"),
+        "confidence": F.when(known, clipped / (1.0 + F.col("w.score"))).otherwise(0.0),
+        "score_margin": F.when(F.col("w").isNull(), 0.0).when(known & exact, exact_margin).otherwise(direction_margin),
+        "score": F.col("w.score"),
+        "reason": F.when(F.col("w").isNull(), "no_supported_runway_candidate").when(~known, "runway_direction_ambiguous"),
+        "rwy_lat": F.col("w.rwy_lat"), "rwy_lon": F.col("w.rwy_lon"), "bearing": F.col("w.bearing"), "elevation": F.col("w.elevation"),
+    }
+
+
+def _inferred(rows: DataFrame, kept: list[str], cfg: ApproachConfig) -> DataFrame:
+    ranked = F.array_sort(F.filter("scores", lambda x: x["score"].isNotNull()))
+    found = rows.withColumn("c", ranked).withColumn("w", F.get("c", F.lit(0)))
+    return found.select(*kept, *[value.alias(name) for name, value in chosen_runway(cfg).items()])
+
+
+def infer_runway(scores: DataFrame, cfg: ApproachConfig = DEFAULT) -> DataFrame:
+    """Pick the best runway per attempt from its (at most four) scored candidates."""
+    names = ["score", *[c for c in scores.columns if c not in ("score", *ATTEMPT)]]
+    packed = scores.groupBy(*ATTEMPT).agg(F.collect_list(F.struct(*names)).alias("scores"))
+    return _inferred(packed, list(ATTEMPT), cfg)
 
 
 def extract_attempts(obs: DataFrame, cfg: ApproachConfig = DEFAULT) -> DataFrame:
-    """Rows of the attempts with an inferred runway, with the inference columns on every row."""
+    """Canonical rows of the attempts with an inferred runway, with the inference columns on every row."""
     keep = [c for c in obs.columns if c in (*CHANNELS, "speed_class") or c.endswith("_missing")]
-    rows = attempt_rows(obs.select("flight_id", *keep), cfg).repartition(*ATTEMPT)
-    chosen = infer_runway(runway_scores(rows, cfg), cfg).filter("geometry_runway IS NOT NULL")
-    return rows.join(chosen, list(ATTEMPT))
+    rows = with_runway_scores(attempt_rows(obs.select("flight_id", *keep), cfg), cfg)
+    return _inferred(rows, [c for c in rows.columns if c != "scores"], cfg).filter("geometry_runway IS NOT NULL")
 
 
 # ---- judging attempts -------------------------------------------------------------------------

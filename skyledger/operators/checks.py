@@ -168,9 +168,9 @@ def canonical_values(df: DataFrame) -> DataFrame:
         *[c for c in df.columns if c not in out], *[v.alias(c) for c, v in out.items()], F.col("errors_").alias("errors"))
 
 
-def error_report(canonical: DataFrame, limit: int = 20) -> DataFrame:
-    """Rows with errors, at most `limit` of them named per row."""
-    return canonical.filter(F.size("errors") > 0).withColumn("errors", F.slice("errors", 1, limit))
+def error_report(canonical: DataFrame) -> DataFrame:
+    """Rows with errors, all of them named, with their number."""
+    return canonical.filter(F.size("errors") > 0).withColumn("n_errors", F.size("errors"))
 
 
 def step_losses(steps: dict[str, DataFrame], key: str = "segment_id") -> DataFrame:

@@ -10,6 +10,7 @@ from skyledger.functions.decode import crosswind_from_right, headwind, qnh_bias_
 from skyledger.operators.approach import ATTEMPT, assess
 
 HOUR_S = 3_600
+DAY_S = 86_400
 
 
 def prefer_report_type(reports: DataFrame, preferred: str = "FM-15", order: str = "file_order") -> DataFrame:
@@ -29,8 +30,13 @@ def asof_weather(attempts: DataFrame, reports: DataFrame, at: str = "midpoint",
     Adds observed_at, age_s, weather (null if too old) and weather_reason.
     """
     fields = [c for c in reports.columns if c not in (station, "observed_at")]
-    follow = Window.partitionBy(station).orderBy("observed_at")
-    spans = reports.select(station, "observed_at", F.struct(*fields).alias("w")).withColumn("until", F.lead("observed_at").over(follow))
+    # the next report of a day's last one is the first of the next day that has any: one row per station and day
+    days = Window.partitionBy(station).orderBy("day_")
+    dated = reports.select(station, "observed_at", F.struct(*fields).alias("w"), F.floor(F.col("observed_at") / DAY_S).alias("day_"))
+    firsts = dated.groupBy(station, "day_").agg(F.min("observed_at").alias("first_")).withColumn("next_", F.lead("first_").over(days))
+    follow = Window.partitionBy(station, "day_").orderBy("observed_at")
+    spans = dated.withColumn("until", F.lead("observed_at").over(follow)).join(firsts.select(station, "day_", "next_"), [station, "day_"])
+    spans = spans.withColumn("until", F.coalesce("until", "next_")).drop("day_", "next_")
     closed = spans.filter("until IS NOT NULL").withColumn("hour", F.explode(F.sequence(
         F.floor(F.col("observed_at") / HOUR_S), F.floor((F.col("until") - 1) / HOUR_S))))
     last = spans.filter("until IS NULL").select(station, F.col("observed_at").alias("last_at"), F.col("w").alias("last_w"))
@@ -64,9 +70,13 @@ def attempt_keys(attempts: DataFrame, station: str) -> DataFrame:
 
 def aircraft_lookup(attempts: DataFrame, registry: DataFrame) -> DataFrame:
     """Registry fields by the aircraft part of the flight id; typecode trimmed, upper, blank to null."""
-    fields = registry.dropDuplicates(["icao24"]).withColumns({
-        "registered": F.lit(True),
+    typed = registry.withColumns({
+        "icao24": F.lower(F.trim("icao24")),
         "typecode": F.nullif(F.upper(F.trim(F.coalesce("typecode", F.lit("")))), F.lit(""))})
+    rest = [c for c in typed.columns if c not in ("icao24", "typecode")]
+    # of repeated keys the row with the smallest type code counts, then the smallest rest; no code comes last
+    best = F.min(F.struct(F.col("typecode").isNull().alias("none_"), "typecode", *rest)).alias("b")
+    fields = typed.groupBy("icao24").agg(best).select("icao24", "b.*").drop("none_").withColumn("registered", F.lit(True))
     return attempts.join(fields, "icao24", "left").withColumn("registered", F.coalesce("registered", F.lit(False)))
 
 
@@ -90,11 +100,12 @@ def assess_contextual(attempts: DataFrame, context: DataFrame, envelope: DataFra
 def supplied_context_violations(df: DataFrame) -> DataFrame:
     """Operations whose supplied weather is not co-located or whose type code is not unique."""
     fields = ("qnh_hpa", "wind_from_direction_deg", "wind_speed_mps")
+    typecode = F.nullif(F.upper(F.trim("aircraft_typecode")), F.lit(""))
     anywhere = df.groupBy("flight_id").agg(
         *[F.max(F.col(f).isNotNull()).alias(f"has_{f}") for f in fields],
         F.array_sort(F.collect_set(F.array_join(F.transform(
             F.array(*[F.col(f).isNotNull() for f in fields]), lambda x: F.when(x, "1").otherwise("0")), ""))).alias("patterns"),
-        F.min(F.upper(F.trim("aircraft_typecode"))).alias("type_lo"), F.max(F.upper(F.trim("aircraft_typecode"))).alias("type_hi"))
+        F.min(typecode).alias("type_lo"), F.max(typecode).alias("type_hi"))
     full = F.array_join(F.array(*[F.when(F.col(f"has_{f}"), "1").otherwise("0") for f in fields]), "")
     sparse = F.exists("patterns", lambda p: (p != "000") & (p != full))
     return anywhere.select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -287,8 +288,11 @@ def _log_density(x: np.ndarray, weight, mean, var) -> np.ndarray:
     return np.stack(logs, axis=1)
 
 
-def fit_gmm(train: DataFrame, key: str = "segment_id", components: int = 8, iterations: int = 15, seed: int = 42, floor: float = 1e-6):
-    """Diagonal mixture by expectation-maximisation; a pass returns one small row per partition."""
+def fit_gmm(train: DataFrame, key: str = "segment_id", components: int = 8, iterations: int = 200, seed: int = 42, floor: float = 1e-6, tolerance: float = 1e-3):
+    """Diagonal mixture by expectation-maximisation; a pass returns one small row per partition.
+
+    Stops when the mean log likelihood changes by less than `tolerance`; a warning says if it never does.
+    """
     start = train.select("features", hash_uniform(F.col(key), seed, "gmm").alias("u")).orderBy("u").limit(components).toPandas()
     mean = _matrix(start["features"])
     dims = mean.shape[1]
@@ -296,6 +300,7 @@ def fit_gmm(train: DataFrame, key: str = "segment_id", components: int = 8, iter
     var = np.tile(np.maximum(np.array([float(v or 0.0) for v in spread]), floor), (len(mean), 1))
     weight = np.full(len(mean), 1.0 / len(mean))
     vectors = materialize(train.select("features"), "gmm")
+    last = None
     for _ in range(iterations):
         now = vectors.sparkSession.sparkContext.broadcast((weight, mean, var))
 
@@ -306,18 +311,25 @@ def fit_gmm(train: DataFrame, key: str = "segment_id", components: int = 8, iter
                 if not len(x):
                     continue
                 logs = _log_density(x, *now.value)
-                resp = np.exp(logs - np.logaddexp.reduce(logs, axis=1)[:, None])
-                part = np.concatenate([resp.sum(axis=0)[:, None], resp.T @ x, resp.T @ (x * x)], axis=1)
+                whole = np.logaddexp.reduce(logs, axis=1)
+                resp = np.exp(logs - whole[:, None])
+                part = np.concatenate([resp.sum(axis=0)[:, None], resp.T @ x, resp.T @ (x * x), np.full((len(now.value[0]), 1), whole.sum())], axis=1)
                 total = part if total is None else total + part
             if total is not None:
                 yield pd.DataFrame({"c": np.repeat(np.arange(len(total)), total.shape[1]), "i": np.tile(np.arange(total.shape[1]), len(total)), "v": total.ravel()})
 
         sums = vectors.mapInPandas(expect, "c int, i int, v double").groupBy("c", "i").agg(F.sum("v").alias("v")).toPandas()
-        table = np.zeros((len(mean), 1 + 2 * dims))
+        table = np.zeros((len(mean), 2 + 2 * dims))
         table[sums["c"], sums["i"]] = sums["v"]
+        likelihood = table[0, -1] / max(table[:, 0].sum(), 1e-9)
         mass = np.maximum(table[:, :1], 1e-9)
         weight, mean = (mass / mass.sum())[:, 0], table[:, 1:1 + dims] / mass
-        var = np.maximum(table[:, 1 + dims:] / mass - mean ** 2, floor)
+        var = np.maximum(table[:, 1 + dims:-1] / mass - mean ** 2, floor)
+        if last is not None and abs(likelihood - last) < tolerance:
+            break
+        last = likelihood
+    else:
+        warnings.warn(f"the mixture did not converge in {iterations} passes", stacklevel=2)
     return weight, mean, var
 
 

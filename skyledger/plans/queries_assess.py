@@ -25,13 +25,13 @@ def _(v):
 
 @register("runway_score")
 def _(v):
-    return approach.runway_scores(approach.attempt_rows(v.obs)).select(
+    return approach.runway_scores(approach.attempt_rows(v.masked)).select(
         *KEY, "runway", "gate_rows", "rows_used", "span_s", "lateral", "track_error", "min_dist", "score")
 
 
 @register("infer_runway")
 def _(v):
-    found = approach.infer_runway(approach.runway_scores(approach.attempt_rows(v.obs)))
+    found = approach.infer_runway(approach.runway_scores(approach.attempt_rows(v.masked)))
     margin = F.when(F.col("score_margin") < 1e9, F.col("score_margin"))
     return found.select(*KEY, "runway", "geometry_runway", "direction", "specificity", "confidence", margin.alias("score_margin"), "reason")
 
@@ -248,7 +248,7 @@ def _(v):
 
 @register("rank_attempts")
 def _(v):
-    return queue.rank_attempts(reports.attempt_summary(v.assessed)).limit(100).select("attempt_id", "status", "start_time")
+    return queue.rank_attempts(reports.attempt_summary(v.assessed)).select("attempt_id", "status", "start_time")
 
 
 @register("filter_attempt_queue")

@@ -55,17 +55,17 @@ def _(v):
 
 @register("corridor_visits")
 def _(v):
-    return approach.corridor_visits(v.obs)
+    return approach.corridor_visits(v.masked)
 
 
 @register("merge_intervals")
 def _(v):
-    return approach.merge_intervals(approach.corridor_visits(v.obs))
+    return approach.merge_intervals(approach.corridor_visits(v.masked))
 
 
 @register("attempt_extension")
 def _(v):
-    return approach.attempt_rows(v.obs).groupBy("flight_id", "cluster").agg(
+    return approach.attempt_rows(v.masked).groupBy("flight_id", "cluster").agg(
         F.min("time").alias("start_time"), F.max("time").alias("end_time"), F.count(F.lit(1)).alias("n_rows"))
 
 

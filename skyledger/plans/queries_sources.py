@@ -101,17 +101,6 @@ def _(v):
     return v.obs.groupBy(F.expr("time div 86400 * 86400").alias("range_start")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@register("list_tables_in_range")
-def _(v):
-    weeks = v.obs.select(F.date_format(writers.weekly_date(), "yyyyMMdd").alias("d")).distinct().toPandas()["d"]
-    for week in weeks:  # one view per week of data: a calendar, not rows
-        v.spark.sql(f"SELECT '{week}' AS week").createOrReplaceTempView(f"states_{week}")
-    names = readers.tables_in_range(v.spark, "states", "2018-01-01", "2019-12-31")
-    for week in weeks:
-        v.spark.catalog.dropTempView(f"states_{week}")
-    return v.spark.createDataFrame([(n,) for n in names], "name string")
-
-
 @register("choose_canonical_batches")
 def _(v):
     week = F.date_format(writers.weekly_date(), "yyyyMMdd")
@@ -178,12 +167,6 @@ def _(v):
     return readers.union_batches({"early": early, "late": late}).groupBy("batch").agg(F.count(F.lit(1)).alias("n_rows"), F.count("lon").alias("with_lon"))
 
 
-@register("schema_set_diff")
-def _(v):
-    found = checks.schema_report(v.obs)
-    return v.spark.createDataFrame([(c, p) for c, p, _ in found if p in ("missing", "extra")], "column string, problem string")
-
-
 # ---- decoding ---------------------------------------------------------------------------------
 
 @register("decode_wind")

@@ -35,6 +35,10 @@ class Views:
     def raw(self) -> DataFrame:
         return derived.with_copies(self.obs)
 
+    @cached_property
+    def masked(self) -> DataFrame:
+        return derived.with_masks(self.obs)
+
     @cached_property
     def wx(self) -> DataFrame:
         return derived.weather_reports(self.obs)
@@ -57,7 +61,7 @@ class Views:
 
     @cached_property
     def attempts(self) -> DataFrame:
-        return approach.extract_attempts(self.obs)
+        return approach.extract_attempts(self.masked)
 
     @cached_property
     def envelope(self) -> DataFrame:

@@ -115,6 +115,29 @@ def with_copies_sql() -> str:
             "AS copy FROM obs)")
 
 
+MASKED = (
+    # what a row is: 0 as it was, 1 an imputed position far off, 2 a copy, 3 a report without a position
+    ("time", "CASE WHEN variant IN (1, 3) THEN time + 1 ELSE time END"),
+    ("lat", "CASE WHEN variant = 1 THEN lat + 5e-1 WHEN variant = 3 THEN NULL ELSE lat END"),
+    ("lon", "CASE WHEN variant = 1 THEN lon - 5e-1 ELSE lon END"),
+    ("lat_missing", "variant = 1"), ("lon_missing", "variant = 1"),
+)
+VARIANTS = ("array_compact(array(0, CASE WHEN (k + i) % 7 = 3 THEN 1 END, CASE WHEN (k + i) % 11 = 4 THEN 2 END, CASE WHEN (k + i) % 13 = 5 THEN 3 END))",
+            "list_filter([0, CASE WHEN (k + i) % 7 = 3 THEN 1 END, CASE WHEN (k + i) % 11 = 4 THEN 2 END, CASE WHEN (k + i) % 13 = 5 THEN 3 END], lambda x: x IS NOT NULL)")
+
+
+def with_masks(obs: DataFrame) -> DataFrame:
+    """A grid with imputed positions between the real ones, copies and reports without a position."""
+    rows = obs.select("*", F.explode(F.expr(VARIANTS[0])).alias("variant"))
+    kept = [c for c in obs.columns if c not in dict(MASKED)]
+    return rows.selectExpr(*kept, *[f"{e} AS {n}" for n, e in MASKED])
+
+
+def with_masks_sql() -> str:
+    kept = [c for c in COLUMNS if c not in dict(MASKED)]
+    return f"SELECT {', '.join(kept)}, {', '.join(f'{e} AS {n}' for n, e in MASKED)} FROM (SELECT *, unnest({VARIANTS[1]}) AS variant FROM obs)"
+
+
 def weather_reports(obs: DataFrame) -> DataFrame:
     """One decoded report per half hour of the observed span, every 20th missing."""
     span = obs.agg(F.expr("floor(min(time) / 3600) * 3600").alias("a"), F.expr("floor(max(time) / 3600) * 3600 + 3600").alias("b"))

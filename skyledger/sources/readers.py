@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +37,11 @@ def typed_states(text: DataFrame) -> DataFrame:
 
 
 def scan_states_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV (gzip is read as is) with the sixteen state columns."""
-    return typed_states(spark.read.schema(text_schema(STATE_COLUMNS)).option("header", True).csv(path))
+    """Header CSV (gzip is read as is) with the sixteen state columns, found by their names in any order.
+
+    Files of one folder must share a header; one that differs is an error, not a shift of columns.
+    """
+    return typed_states(spark.read.option("header", True).option("enforceSchema", False).csv(path))
 
 
 def scan_parquet_cohort(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -48,7 +52,10 @@ def scan_parquet_cohort(spark: SparkSession, path: str, columns: Sequence[str] |
 def scan_validated_input(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
     """An upload with a checked header: derived columns dropped, unknown ones refused, no nesting."""
     if kind == "csv":
-        df = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
+        names = next(csv.reader([spark.read.text(path).first().value]))
+        kept = validate_columns([n.strip() for n in names])  # before Spark renames a repeated name
+        df = spark.read.schema(text_schema([n.strip() for n in names])).option("header", True).option("mode", "FAILFAST").csv(path)
+        return df.select(*kept)
     else:
         df = require_flat(spark.read.parquet(path))
     return df.select(*validate_columns(df.columns))
