@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyledger.config import FEATURES
@@ -160,124 +160,153 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype="float64").reshape(len(column), -1)
 
 
-def knn_score(train: DataFrame, rows: DataFrame, key: str = "segment_id", k: int = 5, small_rows: int = 50_000,
-              pivots: int = 32, block_rows: int = 4_000) -> DataFrame:
-    """Exact distance to the k-th nearest train vector.
+def _smallest(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """The k smallest distances from each row of x to y, fewer if y is shorter."""
+    m = min(k, len(y))
+    return np.vstack([np.partition(_distances(x[s:s + 256], y), m - 1, axis=1)[:, :m] for s in range(0, len(x), 256)])
 
-    A train set that is checked to be small is sent to every task. Beyond that, both sides are cut
-    into pivot cells and bounded blocks, and a block pair is compared only if the triangle
-    inequality leaves it a chance; each pair returns at most k distances per row.
+
+def _parts(cells: dict[int, int]) -> Column:
+    """Number of parts of the row's cell, from a literal with one entry per pivot."""
+    return F.element_at(F.create_map(*[F.lit(int(v)) for item in cells.items() for v in item]), F.col("cell"))
+
+
+def _meet(left: DataFrame, base: DataFrame, key: str, k: int, blocks: dict[int, int], block_rows: int) -> DataFrame:
+    """(key, d): the k smallest distances of every left row to every block of the cell it names.
+
+    A cell's train rows are dealt to blocks of about `block_rows`, its query rows to groups of the same size.
     """
-    if train.limit(small_rows + 1).count() <= small_rows:
-        return _knn_small(train, rows, key, k)
-    return _knn_blocks(train, rows, key, k, pivots, block_rows)
+    n = left.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()  # one number per pivot
+    salts = {r.cell: -(-r.n // block_rows) for r in n if r.cell in blocks}
+    kind = dict(left.dtypes)[key]
+    if not salts:
+        return left.limit(0).select(key, F.lit(0.0).alias("d"))
+    named = F.col("cell").isin([int(c) for c in salts])
+    ask = left.filter(named).withColumn("salt", F.pmod(F.xxhash64(key), _parts(salts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), (_parts(blocks) - 1).cast("int"))))
+    have = base.filter(named).withColumn("block", F.pmod(F.xxhash64(key, F.lit(1)), _parts(blocks)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), (_parts(salts) - 1).cast("int"))))
 
+    def compare(_, a: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(t):
+            return pd.DataFrame({key: pd.Series(dtype="object"), "d": pd.Series(dtype="float64")})
+        best = _smallest(_matrix(a["features"]), _matrix(t["features"]), k)
+        return pd.DataFrame({key: np.repeat(a[key].to_numpy(), best.shape[1]), "d": best.ravel()})
 
-def _knn_small(train: DataFrame, rows: DataFrame, key: str, k: int) -> DataFrame:
-    base = rows.sparkSession.sparkContext.broadcast(_matrix(train.select("features").toPandas()["features"]))
+    ids = ["cell", "block", "salt"]
+    return ask.groupBy(*ids).cogroup(have.groupBy(*ids)).applyInPandas(compare, f"{key} {kind}, d double")
 
-    def score(batches):
-        for pdf in batches:
-            x, t = _matrix(pdf["features"]), base.value
-            out = np.empty(len(x))
-            for s in range(0, len(x), 512):
-                d = _distances(x[s:s + 512], t)
-                out[s:s + 512] = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-            yield pd.DataFrame({key: pdf[key], "score": out})
 
-    return rows.select(key, "features").mapInPandas(score, f"{key} {dict(rows.dtypes)[key]}, score double")
+def _k_best(found: DataFrame, key: str, k: int) -> DataFrame:
+    ranked = found.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy("d")))
+    return ranked.filter(F.col("rn") <= k).drop("rn")
+
 
+def knn_score(train: DataFrame, rows: DataFrame, key: str = "segment_id", k: int = 5, pivots: int = 32, block_rows: int = 4_000) -> DataFrame:
+    """Exact distance to the k-th nearest train vector, in two rounds over pivot cells.
 
-def _knn_blocks(train: DataFrame, rows: DataFrame, key: str, k: int, pivots: int, block_rows: int) -> DataFrame:
+    The first round compares every row with its own cell and so bounds its k-th distance. The second one goes
+    to those other cells that the triangle inequality does not rule out for that row. Both are joins on the cell;
+    the driver sees the pivots and one count and radius per pivot.
+    """
     spark = rows.sparkSession
     chosen = train.select("features", hash_uniform(F.col(key), "pivot").alias("u")).orderBy("u").limit(pivots).toPandas()
-    centre = _matrix(chosen["features"])
-    shared = spark.sparkContext.broadcast(centre)
+    if chosen.empty:
+        return rows.limit(0).select(key, F.lit(0.0).alias("score"))
+    shared = spark.sparkContext.broadcast(_matrix(chosen["features"]))  # `pivots` vectors
 
     def place(batches):
         for pdf in batches:
             d = _distances(_matrix(pdf["features"]), shared.value)
-            cell = d.argmin(axis=1)
+            cell = d.argmin(axis=1) if len(d) else np.zeros(0, int)
             yield pdf.assign(cell=cell.astype("int32"), reach=d[np.arange(len(d)), cell])
 
     kind = dict(rows.dtypes)[key]
     schema = f"{key} {kind}, features array<double>, cell int, reach double"
     queries = materialize(rows.select(key, F.col("features").cast("array<double>")).mapInPandas(place, schema), "knn")
     base = materialize(train.select(key, F.col("features").cast("array<double>")).mapInPandas(place, schema), "knn")
-    # Per cell: row count, radius and its k smallest pivot distances. At most `pivots` rows each.
-    near = base.withColumn("rn", F.row_number().over(Window.partitionBy("cell", F.pmod(F.xxhash64(key), F.lit(64))).orderBy("reach"))).filter(
-        F.col("rn") <= k).groupBy("cell").agg(F.slice(F.array_sort(F.collect_list("reach")), 1, k).alias("near"))
-    b = base.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("r")).join(near, "cell").toPandas().set_index("cell")
-    q = queries.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("r")).toPandas().set_index("cell")
-    apart = _distances(centre, centre)
-    pairs = []
-    for i, qi in q.iterrows():
-        bound = np.sort(np.concatenate([apart[i, j] + qi.r + np.array(bj.near, dtype="float64") for j, bj in b.iterrows()]))
-        theta = bound[min(k, len(bound)) - 1] + 1e-9
-        for j, bj in b.iterrows():
-            if apart[i, j] - qi.r - bj.r <= theta:
-                pairs += [(int(i), int(x), int(j), int(y)) for x in range(-(-int(qi.n) // block_rows)) for y in range(-(-int(bj.n) // block_rows))]
-    pair = spark.createDataFrame(pairs, "qc int, qb int, tc int, tb int")
-
-    def blocked(df: DataFrame, stats: pd.DataFrame, cell: str, block: str) -> DataFrame:
-        parts = F.create_map(*[F.lit(v) for c, s in stats.iterrows() for v in (int(c), -(-int(s.n) // block_rows))])
-        return df.withColumn(block, F.pmod(F.xxhash64(key), F.element_at(parts, F.col("cell"))).cast("int")).withColumnRenamed("cell", cell)
-
-    left = blocked(queries, q, "qc", "qb").join(pair, ["qc", "qb"])
-    right = blocked(base, b, "tc", "tb").join(pair, ["tc", "tb"])
-    ids = ["qc", "qb", "tc", "tb"]
+    cells = base.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("r")).collect()
+    blocks = {c.cell: -(-c.n // block_rows) for c in cells}
+    radius = {c.cell: c.r for c in cells}
+
+    first = materialize(_k_best(_meet(queries, base, key, k, blocks, block_rows), key, k), "knn")
+    bounds = first.groupBy(key).agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).alias("bound"))
+
+    def others(batches):
+        for pdf in batches:
+            d = _distances(_matrix(pdf["features"]), shared.value)
+            bound = pdf["bound"].fillna(np.inf).to_numpy() + 1e-9
+            wanted = np.zeros(d.shape, bool)
+            for c, r in radius.items():
+                wanted[:, c] = (d[:, c] - r <= bound) & (pdf["cell"].to_numpy() != c)
+            i, c = np.nonzero(wanted)
+            yield pd.DataFrame({key: pdf[key].to_numpy()[i], "features": pdf["features"].to_numpy()[i], "cell": c.astype("int32")})
+
+    further = queries.join(bounds, key, "left").mapInPandas(others, f"{key} {kind}, features array<double>, cell int")
+    second = _meet(materialize(further, "knn"), base, key, k, blocks, block_rows)
+    return _k_best(first.unionByName(second), key, k).groupBy(key).agg(F.max("d").alias("score"))
+
+
+def _nearest_positions(asked: DataFrame, points: DataFrame, k: int, edge: float, block_rows: int) -> DataFrame:
+    """(z_lat, z_lon, d, found): distance to the k-th nearest point in the nine cells around each asked position."""
+    def cell(c: str) -> Column:
+        return F.floor(F.col(c) / F.lit(edge)).cast("long")
+
+    placed = points.withColumns({"x": cell("z_lat"), "y": cell("z_lon")})
+    filled = placed.groupBy("x", "y").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    near = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda n: F.struct((cell("z_lat") + F.floor(n / 3) - 1).alias("x"), (cell("z_lon") + n % 3 - 1).alias("y")))
+    around = asked.select("z_lat", "z_lon", F.inline(near)).join(filled, ["x", "y"])
+    crowds = around.groupBy("x", "y").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("salts"))
+    here = F.xxhash64("z_lat", "z_lon")
+    ask = around.join(crowds, ["x", "y"]).withColumn("salt", F.pmod(here, F.col("salts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    have = placed.join(filled, ["x", "y"]).join(crowds, ["x", "y"]).withColumn("block", F.pmod(F.xxhash64("z_lat", "z_lon", "copy"), F.col("blocks")).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
 
     def compare(_, a: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(t):
-            return pd.DataFrame({key: pd.Series(dtype="object"), "d": pd.Series(dtype="float64")})
-        x, y, m = _matrix(a["features"]), _matrix(t["features"]), min(k, len(t))
-        best = np.vstack([np.partition(_distances(x[s:s + 512], y), m - 1, axis=1)[:, :m] for s in range(0, len(x), 512)])
-        return pd.DataFrame({key: np.repeat(a[key].to_numpy(), m), "d": best.ravel()})
+            return pd.DataFrame({c: pd.Series(dtype="float64") for c in ("z_lat", "z_lon", "d")})
+        x, y = a[["z_lat", "z_lon"]].to_numpy("float64"), t[["z_lat", "z_lon"]].to_numpy("float64")
+        m = min(k, len(y))
+        best = np.vstack([np.partition(np.sqrt(((x[s:s + 64, None, :] - y[None]) ** 2).sum(axis=2)), m - 1, axis=1)[:, :m] for s in range(0, len(x), 64)])
+        return pd.DataFrame({"z_lat": np.repeat(x[:, 0], m), "z_lon": np.repeat(x[:, 1], m), "d": best.ravel()})
 
-    found = left.groupBy(*ids).cogroup(right.groupBy(*ids)).applyInPandas(compare, f"{key} {kind}, d double")
-    ranked = found.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy("d")))
-    return ranked.filter(F.col("rn") <= k).groupBy(key).agg(F.max("d").alias("score"))
+    ids = ["x", "y", "block", "salt"]
+    met = ask.select(*ids, "z_lat", "z_lon").groupBy(*ids).cogroup(have.select(*ids, "z_lat", "z_lon").groupBy(*ids)).applyInPandas(compare, "z_lat double, z_lon double, d double")
+    ranked = met.withColumn("rn", F.row_number().over(Window.partitionBy("z_lat", "z_lon").orderBy("d"))).filter(F.col("rn") <= k)
+    return ranked.groupBy("z_lat", "z_lon").agg(F.max("d").alias("d"), F.count(F.lit(1)).alias("found"))
 
 
-def position_knn(train: DataFrame, rows: DataFrame, k: int = 5, sample: int = 80_000, keys=("flight_id", "segment_id")) -> DataFrame:
-    """Mean over valid rows of the distance to the k-th nearest train position.
+def position_knn(train: DataFrame, rows: DataFrame, k: int = 5, keys=("flight_id", "segment_id"), per_cell: int = 64, block_rows: int = 20_000) -> DataFrame:
+    """Mean over valid rows of the exact distance to the k-th nearest train position.
 
-    The train side is a hash sample of a fixed size, so what is sent to the tasks never grows.
+    Train positions are folded (k copies of one suffice) and laid on a grid. A position whose k-th distance within
+    the nine cells around it is at most one cell edge is done; the others go on with cells four times as wide,
+    until the nine cells hold everything. Cells are joined by their numbers, crowded ones in blocks.
     """
-    valid = train.filter("valid").select("z_lat", "z_lon", F.xxhash64("segment_id", "step").alias("h"))
-    total = valid.count()
-    share = min(1.0, 2.0 * sample / max(total, 1))
-    offered = valid.filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("h").limit(sample)
-    points = offered.select("z_lat", "z_lon").toPandas().to_numpy("float64")
-    order = np.argsort(points[:, 0], kind="stable")
-    shared = rows.sparkSession.sparkContext.broadcast(points[order])
-
-    def nearest(batches):
-        for pdf in batches:
-            p = shared.value
-            m = min(k, len(p))
-            q = pdf[["z_lat", "z_lon"]].to_numpy("float64")
-            out = np.empty(len(q))
-            turn = np.argsort(q[:, 0], kind="stable")
-            for s in range(0, len(q), 64):
-                idx = turn[s:s + 64]
-                low, high = q[idx, 0].min(), q[idx, 0].max()
-                width = 0.05
-                while True:
-                    a, z = np.searchsorted(p[:, 0], low - width), np.searchsorted(p[:, 0], high + width, side="right")
-                    if z - a >= m:
-                        d = np.sqrt(((q[idx][:, None, :] - p[None, a:z, :]) ** 2).sum(axis=2))
-                        best = np.partition(d, m - 1, axis=1)[:, m - 1]
-                        if best.max() <= width or (a == 0 and z == len(p)):
-                            break
-                    width *= 2.0
-                out[idx] = best
-            yield pd.DataFrame({**{c: pdf[c] for c in keys}, "d": out})
-
-    types = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in keys) + ", d double"
-    scored = rows.filter("valid").select(*keys, "z_lat", "z_lon").mapInPandas(nearest, schema).groupBy(*keys).agg(F.avg("d").alias("score"))
+    folded = train.filter("valid").groupBy("z_lat", "z_lon").agg(F.count(F.lit(1)).alias("n"))
+    points = materialize(folded.select("z_lat", "z_lon", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))).alias("copy")), "points")
+    asked = materialize(rows.filter("valid").select("z_lat", "z_lon").distinct(), "asked")
+    span = points.select("z_lat", "z_lon").unionByName(asked).agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("z_lat", "z_lon")]).first()
+    count = points.count()
+    done = []
+    if count and span.min_z_lat is not None:
+        sides = [max(span[f"max_{c}"] - span[f"min_{c}"], 1e-9) for c in ("z_lat", "z_lon")]
+        edge = max(math.sqrt(sides[0] * sides[1] * per_cell / count), max(sides) / 1e6)
+        while True:
+            last = edge >= max(sides)
+            found = materialize(_nearest_positions(asked, points, k, edge, block_rows), "nearest")
+            sure = found if last else found.filter((F.col("found") >= k) & (F.col("d") <= edge))
+            done.append(sure.select("z_lat", "z_lon", "d"))
+            if last:
+                break
+            asked = materialize(asked.join(sure, ["z_lat", "z_lon"], "left_anti"), "asked")
+            if asked.isEmpty():
+                break
+            edge *= 4
     every = rows.select(*keys).distinct()
+    if not done:
+        return every.withColumn("score", F.lit(0.0))
+    nearest = done[0]
+    for part in done[1:]:
+        nearest = nearest.unionByName(part)
+    scored = rows.filter("valid").join(nearest, ["z_lat", "z_lon"]).groupBy(*keys).agg(F.avg("d").alias("score"))
     return every.join(scored, list(keys), "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 

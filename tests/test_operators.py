@@ -63,8 +63,8 @@ def test_block_neighbours_equal_brute_force(spark):
     train[:140] = train[0]
     want = np.sort(np.sqrt(((rows[:, None] - train[None]) ** 2).sum(axis=2)), axis=1)[:, 4]
     a, b = vectors(spark, train, "t"), vectors(spark, rows, "r")
-    for small in (10, 50_000):
-        got = detectors.knn_score(a, b, small_rows=small, pivots=6, block_rows=60).toPandas()
+    for pivots, block_rows in ((6, 60), (300, 4_000)):
+        got = detectors.knn_score(a, b, pivots=pivots, block_rows=block_rows).toPandas()
         got = got.assign(i=got["segment_id"].str[1:].astype(int)).sort_values("i")["score"].to_numpy()
         assert np.allclose(got, want)
 
@@ -89,6 +89,18 @@ def test_position_neighbours_equal_brute_force(spark):
     assert got["none"] == 0.0 and all(abs(got[f"s{k}"] - d[k::4].mean()) < 1e-9 for k in range(4))
 
 
+def test_position_neighbours_beyond_80000_train_points(spark):
+    rng = np.random.default_rng(6)
+    t = np.vstack([rng.normal(size=(60_000, 2)) * 0.01, rng.normal(size=(30_000, 2)) + 5, np.repeat([[9.0, -9.0]], 500, axis=0)])
+    q = np.vstack([rng.normal(size=(30, 2)), rng.normal(size=(10, 2)) * 40])
+    schema = "flight_id string, segment_id string, z_lat double, z_lon double, valid boolean"
+    train = spark.createDataFrame(pd.DataFrame({"flight_id": "f", "segment_id": "s", "z_lat": t[:, 0], "z_lon": t[:, 1], "valid": True}), schema)
+    rows = frame(spark, [("f", f"s{i}", float(a), float(b), True) for i, (a, b) in enumerate(q)], schema)
+    got = {r.segment_id: r.score for r in detectors.position_knn(train, rows, block_rows=7_000).collect()}
+    for i, x in enumerate(q):
+        assert abs(got[f"s{i}"] - np.partition(np.sqrt(((t - x) ** 2).sum(axis=1)), 4)[4]) < 1e-9
+
+
 def test_hidden_cells_get_a_companion(spark):
     df = frame(spark, [("m", "a", 50), ("m", "b", 30), ("m", "c", 4), ("n", "a", 12), ("n", "b", 20)], "section string, key string, n long")
     got = {(r.section, r.key): (r.value, r.flag) for r in disclosure.suppress_small_cells(df, ["section"]).collect()}
