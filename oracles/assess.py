@@ -81,9 +81,9 @@ O["fit_reference"] = query(f"SELECT {C3}, attempt_count, speed_samples, rate_sam
 cte("yrows", "trows", f"SELECT t.*, y.year FROM trows t JOIN (SELECT {K}, year(make_timestamp(CAST(min(time) * 1000000 AS BIGINT))) AS year FROM trows GROUP BY 1, 2) y USING ({K}) WHERE speed_class = 'unknown'")
 Y3 = "year, direction, bin"
 cte("ycell", "yrows", f"""SELECT c.*, s.sm, v.rm FROM (SELECT {Y3}, count(DISTINCT (flight_id, cluster)) AS n FROM yrows GROUP BY 1, 2, 3) c JOIN (SELECT {Y3}, round(median(v), 4) AS sm FROM ({balanced('yrows', 'speed_ok', Y3)}) GROUP BY 1, 2, 3) s USING ({Y3})
-JOIN (SELECT {Y3}, round(median(v), 4) AS rm FROM ({balanced('yrows', 'rate_ok', Y3)}) GROUP BY 1, 2, 3) v USING ({Y3}) WHERE n >= 10""")
+JOIN (SELECT {Y3}, round(median(v), 4) AS rm FROM ({balanced('yrows', 'rate_ok', Y3)}) GROUP BY 1, 2, 3) v USING ({Y3}) WHERE n >= 20""")
 O["year_drift"] = query(f"""SELECT direction, bin, years, {r('ss', 6)} AS speed_shift, {r('rs', 6)} AS rate_shift, greatest(ss, rs) <= 0.5 AS within_limit FROM (
-SELECT y.direction, y.bin, years, round(s / (speed_hi - speed_lo), 4) AS ss, round(r / (rate_hi - rate_lo), 4) AS rs FROM (SELECT direction, bin, count(*) AS years, max(sm) - min(sm) AS s, max(rm) - min(rm) AS r FROM ycell GROUP BY 1, 2 HAVING count(*) >= 2) y JOIN env e ON e.direction = y.direction AND e.bin = y.bin)""", "ycell", "env")
+SELECT y.direction, y.bin, years, round(s / (speed_hi - speed_lo), 4) AS ss, round(r / (rate_hi - rate_lo), 4) AS rs FROM (SELECT direction, bin, count(*) AS years, max(sm) - min(sm) AS s, max(rm) - min(rm) AS r FROM ycell GROUP BY 1, 2 HAVING count(*) >= 2) y JOIN (SELECT * FROM fit WHERE speed_class = 'unknown') e ON e.direction = y.direction AND e.bin = y.bin)""", "ycell", "fit")
 O["validate_reference"] = query("""SELECT direction, speed_class, bin, CASE WHEN bin = '0-1500' THEN CASE WHEN speed_hi + 1 > 150 THEN 'speed_bounds_out_of_order' ELSE 'speed_bounds_out_of_order' END ELSE CASE WHEN rate_lo > 30 THEN 'x' ELSE 'rate_bounds_implausible' END END AS problems FROM fit WHERE bin IN ('0-1500', '1500-3000')""", "fit")
 
 # ---- contextual ----
@@ -173,6 +173,8 @@ row_number() OVER (PARTITION BY section ORDER BY CASE WHEN n > 9 THEN 0 ELSE 1 E
 O["suppress_small_cells"] = query(f"SELECT section, key, flag, CASE WHEN flag IS NULL THEN n END AS value FROM ({hidden('cmap')})", "cmap")
 O["suppress_nested"] = query(f"SELECT section, key, flag, CASE WHEN flag IS NULL THEN n END AS value FROM ({hidden('nmap')})", "nmap")
 O["published_rate"] = query(f"SELECT section, key, flag, CASE WHEN flag IS NULL THEN n END AS value, {r('CASE WHEN flag IS NULL THEN round(CAST(n AS DOUBLE) / total, 4) END', 6)} AS rate FROM ({hidden('cmap')})", "cmap")
+cte("cmap2", "cmap obs", "SELECT section, key, n FROM cmap UNION ALL SELECT 'kinds', concat('kind ', CAST(kind AS VARCHAR)), CASE WHEN kind = 4 THEN least(n, 1) ELSE least(n, 10) END "
+    "FROM (SELECT k % 16 AS kind, count(*) AS n FROM obs GROUP BY 1) WHERE kind IN (4, 9)")
 # Enumerate the value of each hidden cell that leaves the others a feasible rest.
-O["suppression_recoverable"] = query(f"""SELECT section, key FROM (SELECT h.section, h.key, count(*) AS ways FROM ({hidden('cmap')}) h JOIN (SELECT section, count(*) FILTER (flag = '<10') AS p, count(*) FILTER (flag = 'suppressed') AS c, sum(n) FILTER (flag IS NOT NULL) AS rest FROM ({hidden('cmap')}) GROUP BY 1) s ON s.section = h.section,
-(SELECT unnest(range(1, 10)) AS v) WHERE h.flag = '<10' AND CASE WHEN c > 0 THEN rest - v - (p - 1) >= 10 ELSE rest - v BETWEEN p - 1 AND 9 * (p - 1) END GROUP BY 1, 2) WHERE ways = 1""", "cmap")
+O["suppression_recoverable"] = query(f"""SELECT section, key FROM (SELECT h.section, h.key, count(*) AS ways FROM ({hidden('cmap2')}) h JOIN (SELECT section, count(*) FILTER (flag = '<10') AS p, count(*) FILTER (flag = 'suppressed') AS c, sum(n) FILTER (flag IS NOT NULL) AS rest FROM ({hidden('cmap2')}) GROUP BY 1) s ON s.section = h.section,
+(SELECT unnest(range(1, 10)) AS v) WHERE h.flag = '<10' AND CASE WHEN c > 0 THEN rest - v - (p - 1) >= 10 ELSE rest - v BETWEEN p - 1 AND 9 * (p - 1) END GROUP BY 1, 2) WHERE ways = 1""", "cmap2")

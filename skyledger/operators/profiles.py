@@ -267,13 +267,18 @@ def gap_spatial_profile(df: DataFrame, gap_s: int) -> DataFrame:
 
 
 def split_threshold_sweep(df: DataFrame, thresholds: Sequence[int]) -> DataFrame:
-    """Extra splits and segment lengths for each gap threshold, in one pass over the rows."""
-    seen = with_gap(df.select("flight_id", "time"))
-    upto = Window.partitionBy("flight_id").orderBy("time").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cuts = seen.withColumns({f"s{t}": F.sum(F.coalesce(F.col("gap_s") > t, F.lit(False)).cast("long")).over(upto) for t in thresholds})
-    long = cuts.select("flight_id", F.inline(F.array(*[F.struct(F.lit(t).alias("threshold_s"), F.col(f"s{t}").alias("seg")) for t in thresholds])))
-    sizes = long.groupBy("threshold_s", "flight_id", "seg").agg(F.count(F.lit(1)).alias("n"))
-    extra = sizes.groupBy("threshold_s").agg(F.sum((F.col("seg") > 0).cast("long")).alias("splits"), F.max("n").alias("max_rows"))
+    """Extra splits and segment lengths for each gap threshold, in one pass over the rows.
+
+    Only the rows that begin a segment at some threshold are listed per threshold; a length is the distance of
+    their row numbers.
+    """
+    line = Window.partitionBy("flight_id").orderBy("time")
+    seen = with_gap(df.select("flight_id", "time")).withColumns({"at": F.row_number().over(line), "whole": F.count(F.lit(1)).over(Window.partitionBy("flight_id"))})
+    begins = F.filter(F.array(*map(F.lit, thresholds)), lambda t: (F.col("at") == 1) | (F.col("gap_s") > t))
+    marks = seen.filter((F.col("at") == 1) | (F.col("gap_s") > min(thresholds))).select("flight_id", "at", "whole", F.explode(begins).alias("threshold_s"))
+    follow = F.lead("at").over(Window.partitionBy("flight_id", "threshold_s").orderBy("at"))
+    sizes = marks.withColumn("n", (F.coalesce(follow, F.col("whole") + 1) - F.col("at")).cast("long"))
+    extra = sizes.groupBy("threshold_s").agg(F.sum((F.col("at") > 1).cast("long")).alias("splits"), F.max("n").alias("max_rows"))
     found = exact_quantiles(sizes, "n", [0.95, 0.99], ["threshold_s"])
     return extra.join(found.select("threshold_s", F.col("q0").alias("p95"), F.col("q1").alias("p99")), "threshold_s")
 

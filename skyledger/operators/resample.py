@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,14 +114,18 @@ CLEAN_COLUMNS = ("segment_id", "flight_id", "icao24", "time", *INTERPOLATED, "he
                  "n_imputed_impossible", "n_imputed_missing", "n_steps")
 
 
-def preprocess_steps(df: DataFrame, cfg: PrepConfig = PREP) -> dict[str, DataFrame]:
-    """The ordered steps of the cleaning job by name, each built on the one before."""
-    deduped = dedupe_rounded_time(df)
-    segmented = segment_gaps(deduped, cfg.gap_s)
+def preprocess_steps(df: DataFrame, cfg: PrepConfig = PREP, store: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
+    """The ordered steps of the cleaning job by name, each built on the one before.
+
+    store keeps the rows after the steps that move them; a caller that reads several steps passes `materialize`,
+    so that none runs twice.
+    """
+    deduped = store(dedupe_rounded_time(df))
+    segmented = store(segment_gaps(deduped, cfg.gap_s))
     engaged = filter_d(segmented)
     trimmed = trim_idle(with_step_speed(engaged), cfg.move_speed).drop("step_s", "step_m", "step_speed")
-    counted = with_counters(flag_impossible(trimmed, cfg))
-    gridded = resample(counted)
+    counted = store(with_counters(flag_impossible(trimmed, cfg)))
+    gridded = store(resample(counted))
     return {"input": df, "deduplicated": deduped, "segmented": segmented, "engaged": engaged, "trimmed": trimmed,
             "counted": counted, "gridded": gridded, "clean": filter_min_length(gridded, cfg.min_rows)}
 

@@ -85,19 +85,26 @@ def segment_gaps(df: DataFrame, gap_s: int = SEGMENT_GAP_S) -> DataFrame:
 
 def segment_gap_or_jump(df: DataFrame, key: str = "icao24", gap_s: int = 60, jump_m: float = 5_000.0,
                         min_rows: int = 10) -> DataFrame:
-    """Cut tracks on a time gap or a position jump and drop the short pieces; numbering starts at 0."""
-    w = ordered([key])
-    cut = (F.col("time") - F.lag("time").over(w) > gap_s) | (
-        haversine_m(F.lag("lat").over(w), F.lag("lon").over(w), "lat", "lon") > jump_m)
-    pieces = (
-        df.withColumn("cut", F.coalesce(cut, F.lit(False)).cast("long"))
-        .withColumn("seg", F.sum("cut").over(running([key])))
-        .withColumn("n_rows", F.count(F.lit(1)).over(Window.partitionBy(key, "seg")))
-    )
-    return (
-        pieces.filter(F.col("n_rows") >= min_rows)
-        .withColumn("seg_id", F.concat_ws("_", key, F.col("seg").cast("string"))).drop("cut", "seg")
-    )
+    """Cut tracks on a time gap or a position jump and drop the short pieces; numbering starts at 0.
+
+    Rows are ordered in (key, day) pieces. The last row of the day before, the number of cuts before a day and
+    the lengths of the pieces come from tables with one row per day or piece.
+    """
+    day = F.floor(F.col("time") / SECONDS_PER_DAY)
+    dated = df.withColumn("day_", day)
+    days = Window.partitionBy(key).orderBy("day_")
+    in_day = ordered([key, "day_"])
+    point = F.struct("time", "lat", "lon")
+    ends = dated.groupBy(key, "day_").agg(F.max(point).alias("end_")).select(key, "day_", F.lag("end_").over(days).alias("before_"))
+    seen = dated.join(ends, [key, "day_"]).withColumn("last_", F.coalesce(F.lag(point).over(in_day), "before_"))
+    cut = (F.col("time") - F.col("last_.time") > gap_s) | (haversine_m("last_.lat", "last_.lon", "lat", "lon") > jump_m)
+    cuts = seen.withColumn("cut_", F.coalesce(cut, F.lit(False)).cast("long")).withColumn("local_", F.sum("cut_").over(running([key, "day_"])))
+    per_day = cuts.groupBy(key, "day_").agg(F.max("local_").alias("cuts_"))
+    earlier = days.rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_day.select(key, "day_", F.coalesce(F.sum("cuts_").over(earlier), F.lit(0)).alias("carry_"))
+    pieces = cuts.join(carried, [key, "day_"]).withColumn("seg_", F.col("local_") + F.col("carry_"))
+    lengths = pieces.groupBy(key, "seg_").agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") >= min_rows)
+    return pieces.join(lengths, [key, "seg_"]).withColumn("seg_id", F.concat_ws("_", key, F.col("seg_").cast("string"))).select(*df.columns, "n_rows", "seg_id")
 
 
 def with_step_speed(df: DataFrame, keys: Sequence[str] = ("flight_id", "segment_id")) -> DataFrame:

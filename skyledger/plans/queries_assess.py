@@ -160,7 +160,7 @@ def _(v):
 @register("year_drift", digits=6)
 def _(v):
     rows = materialize(reference.reference_rows(train_attempts(v)), "refrows")
-    return reference.year_drift(reference.year_cells(rows, 10), v.envelope)
+    return reference.year_drift(reference.year_cells(rows, 20), materialize(reference.fit_reference(rows), "envelope"))
 
 
 @register("validate_reference")
@@ -315,4 +315,8 @@ def _(v):
 
 @register("suppression_recoverable")
 def _(v):
-    return disclosure.suppression_recoverable(count_maps(v), ["section"])
+    # one map more, with a single case beside a companion of ten: its hidden cell follows from the total
+    kinds = v.obs.groupBy(F.expr("k % 16").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    tight = kinds.select(F.lit("kinds").alias("section"), F.concat(F.lit("kind "), F.col("kind").cast("string")).alias("key"),
+                         F.expr("CASE WHEN kind = 4 THEN least(n, 1L) ELSE least(n, 10L) END").alias("n")).filter("key IN ('kind 4', 'kind 9')")
+    return disclosure.suppression_recoverable(count_maps(v).unionByName(tight), ["section"])

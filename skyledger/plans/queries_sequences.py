@@ -9,6 +9,7 @@ from skyledger.config import FEATURES, MEASURED
 from skyledger.operators import approach, checks, profiles, resample, segments, sequence, windows
 from skyledger.plans.queries_rows import wild
 from skyledger.plans.views import PREP, WINDOW, register
+from skyledger.session import materialize
 
 SEG = ("flight_id", "segment_id")
 
@@ -183,7 +184,9 @@ def _(v):
 
 @register("assert_grid")
 def _(v):
-    return resample.grid_violations(v.clean).groupBy("null_feature", "bad_step").agg(F.count(F.lit(1)).alias("n"))
+    # a damaged grid: some steps shifted by five seconds, some latitudes lost
+    damaged = v.clean.withColumns({"lat": F.expr("CASE WHEN time div 10 % 90 = 7 THEN NULL ELSE lat END"), "time": F.expr("time + CASE WHEN time div 10 % 70 = 3 THEN 5 ELSE 0 END")})
+    return resample.grid_violations(damaged).groupBy("null_feature", "bad_step").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("project_grid_size")
@@ -199,7 +202,7 @@ def _(v):
 
 @register("reject_summary")
 def _(v):
-    return checks.step_losses(resample.preprocess_steps(v.d21, PREP))
+    return checks.step_losses(resample.preprocess_steps(v.d21, PREP, materialize))
 
 
 @register("imputation_counters")
