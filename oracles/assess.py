@@ -1,5 +1,6 @@
 """SQL for assessment, fitting, context, reports and disclosure."""
 
+import oracles.sources  # noqa: F401  (the decoded reports)
 from oracles.base import ROW_CRITERIA, assessed, biased, bins, crits, cte, frame, limits, long_rows, pmod, query, r, spans
 from skyledger.operators.approach import CRITERIA
 
@@ -121,7 +122,10 @@ def rate(n: str) -> str:
 
 O["context_coverage"] = query("SELECT count(*) AS attempts, " + ", ".join(f"{r(f'round({rate(n)}, 4)', 6)} AS {n}_rate" for n in RATES) + ", " + ", ".join(
     f"CASE WHEN {rate(n)} >= {m} THEN 'passed' ELSE 'failed' END AS gate_{g}" for g, n, m in (("weather_qnh", "qnh", 0.95), ("wind_direction", "wind_direction", 0.8), ("aircraft_type", "aircraft_typecode", 0.8))) + " FROM facts", "facts")
-O["weather_missing_reasons"] = query("SELECT weather_reason, count(*) AS n FROM facts WHERE weather_reason IS NOT NULL GROUP BY 1", "facts")
+cte("wxm", "wx1", "SELECT observed_at, qnh AS qnh_hpa, wdir AS wind_from_deg, wspd AS wind_speed, missing_reasons FROM wx1")
+cte("facts2", "fkey wxm reg", f"SELECT f.*, m.missing_reasons FROM ({with_weather('fkey').replace('JOIN wx w', 'JOIN wxm w')}) f LEFT JOIN wxm m ON m.observed_at = f.observed_at")
+O["weather_missing_reasons"] = query("""SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(CASE WHEN weather_reason IS NOT NULL THEN weather_reason
+ELSE concat_ws(',', missing_reasons, CASE WHEN abs((1013.25e0 - qnh_hpa) * 9.144e0) > 500 THEN 'qnh_pressure_altitude_proxy_outside_supported_bias' END) END, ',')) AS reason FROM facts2) WHERE reason <> '' GROUP BY 1""", "facts2")
 O["top_typecodes"] = query("SELECT typecode, count(*) AS n FROM facts WHERE typecode IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20", "facts")
 O["supplied_context"] = query("""SELECT flight_id, sparse AS sparse_weather_context, conf AS conflicting_aircraft_context FROM (SELECT flight_id, k, k % 8 = 0 AND count(*) FILTER (i % 10 = 0 AND i % 20 <> 0) > 0 AND count(*) FILTER (i % 20 = 0) > 0 AS sparse,
 k % 5 = 0 AND count(*) FILTER (i = 3) > 0 AND count(*) FILTER (i < 9 AND i <> 3) > 0 AS conf FROM obs GROUP BY 1, 2) WHERE sparse OR conf""", "obs")

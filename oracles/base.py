@@ -25,7 +25,7 @@ def query(select: str, *needs: str) -> str:
 
     for need in needs:
         visit(need)
-    body = ", ".join(f"{n} AS ({CTES[n][1]})" for n in order)
+    body = ", ".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in order)
     return f"WITH {body} {select}" if order else select
 
 

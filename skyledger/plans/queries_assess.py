@@ -201,7 +201,7 @@ def _(v):
 
 @register("weather_missing_reasons")
 def _(v):
-    return reports.missing_reasons(reports.attempt_facts(v.assessed, v.wx, v.reg, STATION))
+    return reports.missing_reasons(reports.attempt_facts(v.assessed, v.decoded, v.reg, STATION))
 
 
 @register("top_typecodes")

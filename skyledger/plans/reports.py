@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.functions.decode import crosswind_from_right, headwind
+from skyledger.functions.decode import crosswind_from_right, headwind, qnh_bias_m, supported_bias
 from skyledger.operators.approach import ATTEMPT, CRITERIA
 from skyledger.operators.context import aircraft_lookup, asof_weather
 from skyledger.operators.disclosure import published_rate, suppress_small_cells
@@ -58,12 +58,19 @@ def allowed_fold(fold: str) -> str:
 
 
 def attempt_facts(assessed: DataFrame, reports: DataFrame, registry: DataFrame, station: str) -> DataFrame:
-    """Context availability per attempt, at the middle of its assessed rows."""
+    """Context availability per attempt, at the middle of its assessed rows.
+
+    missing_reasons: why no report was matched, else what the matched report itself lacks, and a pressure whose
+    altitude bias is beyond the supported one.
+    """
     keyed = assessed.select(*ATTEMPT, "status", "bearing", "barometric_path_proxy", F.expr("(start_time + end_time) div 2").alias("midpoint"),
                             F.lower(F.substring_index("flight_id", "_", 1)).alias("icao24"), F.lit(station).alias("station"))
     joined = asof_weather(aircraft_lookup(keyed, registry), reports)
     flat = joined.withColumns({c: F.col(f"weather.{c}") for c in ("qnh_hpa", "wind_from_deg", "wind_speed")})
-    return flat.withColumns({"headwind": headwind(), "crosswind": F.abs(crosswind_from_right())})
+    own = F.col("weather.missing_reasons") if "missing_reasons" in reports.columns else F.lit(None)
+    lacking = F.when(F.col("weather_reason").isNotNull(), F.array("weather_reason")).otherwise(F.coalesce(own.cast("array<string>"), F.array().cast("array<string>")))
+    unsupported = F.when(qnh_bias_m().isNotNull() & supported_bias().isNull(), "qnh_pressure_altitude_proxy_outside_supported_bias")
+    return flat.withColumns({"headwind": headwind(), "crosswind": F.abs(crosswind_from_right()), "missing_reasons": F.array_compact(F.concat(lacking, F.array(unsupported)))})
 
 
 def context_coverage(facts: DataFrame) -> DataFrame:
@@ -81,7 +88,8 @@ def context_coverage(facts: DataFrame) -> DataFrame:
 
 
 def missing_reasons(facts: DataFrame) -> DataFrame:
-    return facts.filter("weather_reason IS NOT NULL").groupBy("weather_reason").agg(F.count(F.lit(1)).alias("n"))
+    """Attempts per missing reason."""
+    return facts.select(F.explode("missing_reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_typecodes(facts: DataFrame, k: int = 20) -> DataFrame:

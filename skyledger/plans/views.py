@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyledger.config import PrepConfig
+from skyledger.functions import decode
 from skyledger.operators import approach, context, derive, inject, resample, segments, splits, windows
 from skyledger.operators.sequence import segment_gaps
 from skyledger.session import materialize
@@ -47,6 +48,12 @@ class Views:
     def wxt(self) -> DataFrame:
         return derived.weather_text(self.wx)
 
+    @cached_property
+    def decoded(self) -> DataFrame:
+        """The text reports decoded, one per time, with their own missing reasons."""
+        one = context.prefer_report_type(self.wxt.withColumn("file_order", F.col("h")))
+        return one.withColumns(decode.weather_columns()).select(F.col("STATION").alias("station"), "observed_at", "qnh_hpa", "wind_from_deg", "wind_speed", "missing_reasons")
+
     @cached_property
     def reg(self) -> DataFrame:
         return derived.registry(self.obs)
