@@ -32,7 +32,31 @@ def _(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir), bpe.Vocabulary.read(public_tokenizers.path("word_bpe_49k.json")))
 
 
-@register("op6_entropy_mixing")
+OP6_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
+w AS (SELECT *, 3e0 * source_size AS lim, 3e0 * source_size / weight AS fill FROM (
+  SELECT source, source_size, (1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::DOUBLE AS weight FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source))),
+lev AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(lim) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level FROM w
+  WINDOW o AS (ORDER BY fill, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS MATERIALIZED (SELECT source, source_size, least(lim, weight * (SELECT arg_min(level, fill) FROM lev WHERE level <= fill)) AS target FROM lev),
+h AS MATERIALIZED (SELECT d.source, d.size, count(*) AS n FROM d WHERE size > 0 GROUP BY 1, 2),
+m AS MATERIALIZED (SELECT t.*, sum(h.size * n)::DOUBLE / sum(n)::DOUBLE AS mean, ln(3e0) * (sum(h.size * n)::DOUBLE / sum(n)::DOUBLE) / min(h.size) + 1e-6 AS top
+  FROM t JOIN h ON h.source IS NOT DISTINCT FROM t.source WHERE target < 3 * source_size GROUP BY ALL),
+it(step, source, lo, hi) AS (SELECT 0, source, -1e4, top FROM m UNION ALL
+  SELECT it.step + 1, it.source, CASE WHEN sum(h.size * h.n * least(3e0, exp(least((lo + hi) / 2 * h.size / m.mean, 50e0)))) < any_value(m.target) THEN (lo + hi) / 2 ELSE lo END,
+    CASE WHEN sum(h.size * h.n * least(3e0, exp(least((lo + hi) / 2 * h.size / m.mean, 50e0)))) < any_value(m.target) THEN hi ELSE (lo + hi) / 2 END
+  FROM it JOIN m ON m.source IS NOT DISTINCT FROM it.source JOIN h ON h.source IS NOT DISTINCT FROM it.source WHERE it.step < 70 GROUP BY it.step, it.source, it.lo, it.hi),
+s AS (SELECT t.source, t.source_size, t.target, m.mean, round((it.lo + it.hi) / 2, 6) AS t FROM t LEFT JOIN m ON m.source IS NOT DISTINCT FROM t.source LEFT JOIN it ON it.source IS NOT DISTINCT FROM t.source AND it.step = 70),
+r AS (SELECT d.doc_id, d.source, d.size, s.source_size, s.target, CASE WHEN d.size = 0 THEN 0e0 WHEN s.t IS NULL THEN 3e0 ELSE least(3e0, exp(least(s.t * (d.size::DOUBLE / s.mean), 50e0))) END AS rate
+  FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source),
+x AS (SELECT *, floor(rate)::BIGINT AS whole, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296e0 - (rate - floor(rate)) AS excess FROM r),
+y AS (SELECT *, CASE WHEN whole < 3 THEN size ELSE 0 END AS room FROM x),
+z AS (SELECT *, sum(room) OVER (PARTITION BY source ORDER BY excess, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS upto, sum(whole * size) OVER (PARTITION BY source) AS sure FROM y)
+SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(room, round(target)::BIGINT - sure - (upto - room))))::BIGINT AS taken FROM z
+"""
+
+
+@register("op6_entropy_mixing", OP6_SQL)
 def _(spark, sf_dir):
     from skyledger.llm import mixing
 
@@ -103,21 +127,55 @@ def _(spark, sf_dir):
     return scored.select("doc_id", *(F.round(c, 6).alias(c) for c in ("p_content", "p_meta", "score")), "kept")
 
 
-@register("op1_substring_dedup")
+OP1_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(words[i + 1:i + 20], ' ')) AS k FROM (SELECT doc_id, words, unnest(range(0, len(words) - 19)) AS i FROM w WHERE len(words) >= 20)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS rn FROM win) WHERE rn > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM (SELECT doc_id, i, unnest(range(0, 20)) AS j FROM later)),
+pos AS (SELECT doc_id, unnest(words) AS word, unnest(range(0, len(words))) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM pos ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
+@register("op1_substring_dedup", OP1_SQL)
 def _(spark, sf_dir):
     from skyledger.llm import substring_dedup
 
     return substring_dedup.dedup(table(spark, sf_dir), digest=True)
 
 
-@register("op2_ngram_jaccard_join")
+OP2_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, md5(array_to_string(words[i + 1:i + 5], ' ')) AS g FROM (SELECT doc_id, words, unnest(range(0, greatest(len(words) - 4, 1))) AS i FROM w WHERE len(words) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, root) AS (SELECT doc_id, doc_id FROM w UNION SELECT e.b, r.root FROM reach r JOIN both_ways e ON r.node = e.a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.root AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT node, min(root) AS root FROM reach GROUP BY node) c ON c.node = w.doc_id
+"""
+
+
+@register("op2_ngram_jaccard_join", OP2_SQL)
 def _(spark, sf_dir):
     from skyledger.llm import jaccard_join
 
     return jaccard_join.join_components(table(spark, sf_dir))
 
 
-@register("op4_nn_descent")
+OP4_SQL = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda t: t IS NULL OR NOT isfinite(t))) = 0 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT e.b, r.root FROM reach r JOIN both_ways e ON r.node = e.a)
+SELECT vec_id, coalesce(d.n, 0)::BIGINT AS n_links, c.root AS component_id, vec_id = c.root AS kept FROM embeddings
+LEFT JOIN (SELECT a, count(*) AS n FROM both_ways GROUP BY a) d ON d.a = vec_id JOIN (SELECT node, min(root) AS root FROM reach GROUP BY node) c ON c.node = vec_id
+"""
+
+
+@register("op4_nn_descent", OP4_SQL)
 def _(spark, sf_dir):
     from skyledger.llm import nn_descent
 
