@@ -16,6 +16,7 @@ GRID_S = 10
 SECONDS_PER_DAY = 86_400
 
 
+# Limits of the approach rules.
 @dataclass(frozen=True)
 class ApproachConfig:
     """Limits of the approach rules; distances in metres, rates in m/s, angles in degrees."""
@@ -96,6 +97,7 @@ LEGACY_POINTS = {
     "36R": (40.4450, -3.5339),
 }
 
+# Edges of the distance classes of the envelope, in metres.
 DISTANCE_BINS = (0.0, 1_500.0, 3_000.0, 6_000.0, 10_000.0, 20_000.0)
 MIN_CELL_ATTEMPTS = 20
 MIN_CELL_SAMPLES = 100
@@ -123,6 +125,7 @@ STANDARD_PRESSURE_HPA = 1013.25
 METRES_PER_HPA = 9.144
 MAX_ALTITUDE_BIAS_M = 500.0
 
+# The column lists of the cleaning job and the detectors.
 MEASURED = ("lat", "lon", "baroaltitude", "velocity", "vertrate", "heading")
 INTERPOLATED = ("lat", "lon", "baroaltitude", "velocity", "vertrate")
 SCALED = ("lat", "lon", "baroaltitude", "velocity", "vertrate", "dist_to_runway_m")
@@ -131,6 +134,7 @@ IDENTIFIERS = ("icao24", "flight_id", "segment_id", "callsign")
 EMERGENCY_SQUAWKS = (7500, 7600, 7700)
 
 
+# Limits of the cleaning job.
 @dataclass(frozen=True)
 class PrepConfig:
     """Limits of the historical cleaning job."""

@@ -14,12 +14,14 @@ from skyledger.functions.geo import closest_runway_m
 from skyledger.operators.derive import flight_phase
 from skyledger.operators.profiles import unpivot
 
+# Columns that must be filled, numeric and boolean columns.
 CRITICAL = ("time", "icao24", "lat", "lon", "baroaltitude", "flight_id")
 NUMERIC = ("time", "lat", "lon", "baroaltitude", "geoaltitude", "velocity", "heading", "vertrate", "lastcontact", "velocity_kmh", "dist_to_runway_m")
 BOOLEAN = ("onground", "alert", "spi")
 # Physical bounds of the feed.
 BOUNDS = {"lat": (-90, 90), "lon": (-180, 180), "baroaltitude": (-500, 50_000), "geoaltitude": (-500, 50_000), "velocity": (0, 400),
           "heading": (0, 360), "vertrate": (-100, 100), "velocity_kmh": (0, 1500), "dist_to_runway_m": (0, 200_000)}
+# The region of the feed.
 REGION = {"lat": (38.5, 42.5), "lon": (-6.0, -1.1)}
 # Decimals kept per canonical column.
 PRECISION = {"lat": 8, "lon": 8, "baroaltitude": 6, "geoaltitude": 6, "velocity": 6, "heading": 6, "vertrate": 6, "lastcontact": 6,

@@ -73,7 +73,7 @@ COLUMNS = ("k", "i", "flight_id", "time", "icao24", "lat", "lon", "baroaltitude"
 
 
 def spread(keys: DataFrame) -> DataFrame:
-    """Rows over all tasks when the scan has fewer splits than there are shuffle partitions."""
+    """The same rows over all tasks when the scan has fewer splits than there are shuffle partitions: layout only."""
     tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return keys.repartition(tasks, *keys.columns) if keys.rdd.getNumPartitions() < tasks else keys
 
