@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def row_slices(batches: Iterable[pa.RecordBatch], column: str = "__in", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

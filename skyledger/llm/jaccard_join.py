@@ -10,9 +10,9 @@ one class; a class is compared once.
    classes hold, and the class with the least key among them, the bucket's pivot.
 3. Prefix overlaps with pivots are counted per fragment and summed per pair. Each class is compared with its
    most promising pivot: overlaps are counted in vertical parts of the n-gram range and summed per pair.
-4. Links join classes to components. Buckets that hold different components are gone through again, first with
-   other pivots, then for every pair in different components that enough shared n-grams allow. So a group of
-   near copies costs a few comparisons per member, and no possible link between components is left out.
+4. Links join classes to components. Where the classes around the pivots of one component are still in different
+   components, all of them that size and shared n-grams allow are compared block by block, inside tasks that return only links which
+   join components. So no pair is written, and no possible link between components is left out.
 
 Components are exact; links inside a component that is already known are not all computed.
 
@@ -39,6 +39,7 @@ SKETCH_BITS = 21
 SLICES = 64
 PARTS = 4
 GROUP = 256
+BLOCK = 1024
 PREFIX = {"shingle": "u8", "key": "u8"}
 SETS = "doc_id long, text_key long, key long, n int, slice int, counts binary"
 
@@ -239,7 +240,7 @@ def _best(rows: DataFrame) -> DataFrame:
     return best.select("x.a", "b", "x.na", "x.nb")
 
 
-def class_links(docs: DataFrame, sets: DataFrame, sketch: np.ndarray, id_col: str, text_col: str, rounds: int = 2) -> DataFrame | None:
+def class_links(docs: DataFrame, sets: DataFrame, sketch: np.ndarray, id_col: str, text_col: str) -> DataFrame | None:
     """Links (a, b) between classes that join them to their components; None where no n-gram is shared."""
     buckets = buckets_of(docs, sketch, text_col)
     held = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("held"))
@@ -249,30 +250,104 @@ def class_links(docs: DataFrame, sets: DataFrame, sketch: np.ndarray, id_col: st
         return None
     stored = stored_sets(docs, info, id_col, text_col)
 
-    pairs = buckets.filter("key <> pivot").groupBy(F.col("pivot").alias("a"), F.col("key").alias("b")).agg(F.count(F.lit(1)).alias("common"))
+    # every two classes of a bucket are among the members of its pivot
+    stars = materialize(buckets.filter("key <> pivot").groupBy("pivot", "key").agg(F.count(F.lit(1)).alias("common")), "stars")
     x, y = info.alias("x"), info.alias("y")
-    rated = pairs.join(x, F.col("a") == F.col("x.key")).join(y, F.col("b") == F.col("y.key")).filter(_able("x", "y"))
-    links = links_of(_best(rated.select("a", "b", "common", F.col("x.n").alias("na"), F.col("y.n").alias("nb"))), stored)
-
-    for step in range(1, rounds + 1):
-        labels = components(links)
-        open_ = buckets.select("shingle", "key").join(info.select("key", "n", "held"), "key").join(labels.withColumnRenamed("node", "key"), "key", "left")
-        open_ = open_.withColumn("component", F.coalesce("component", "key"))
-        ends = open_.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                            F.min(F.struct(F.xxhash64("key", F.lit(step)).alias("order"), "key", "n", "held", "component")).alias("p")).filter("low < high")
-        if step < rounds:
-            x, y = open_.alias("x"), ends.select("shingle", "p.*").alias("y")
-            near = x.join(y, "shingle").filter((F.col("x.component") != F.col("y.component")) & _able("x", "y"))
-            near = near.groupBy(F.col("y.key").alias("a"), F.col("x.key").alias("b")).agg(F.count(F.lit(1)).alias("common"), F.min("y.n").alias("na"), F.min("x.n").alias("nb"))
-            new = links_of(_best(near), stored)
-        else:
-            rest = materialize(open_.join(ends.select("shingle"), "shingle", "left_semi"), "open")
-            x, y = rest.alias("x"), rest.alias("y")
-            every = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & _able("x", "y"))
-            every = every.groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(F.count(F.lit(1)).alias("common"), F.min("x.n").alias("na"), F.min("y.n").alias("nb"))
-            new = links_of(every.filter(F.col("common") >= _least_common(F.col("na"), F.col("nb"))).drop("common"), stored)
-        links = links.unionByName(new)
-    return links
+    rated = stars.join(x, F.col("pivot") == F.col("x.key")).join(y, stars["key"] == F.col("y.key")).filter(_able("x", "y"))
+    links = links_of(_best(rated.select(F.col("pivot").alias("a"), stars["key"].alias("b"), "common", F.col("x.n").alias("na"), F.col("y.n").alias("nb"))), stored)
+
+    labels = components(links).withColumnRenamed("node", "key")
+    known = info.select("key", "n", "held").join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    # pivots of one component share a group, so that a class meets its near copies once and not once per pivot
+    owners = known.select(F.col("key").alias("pivot"), F.col("component").alias("cluster"))
+    groups = stars.select("pivot", "key").join(owners, "pivot").select("cluster", "key").unionByName(stars.select("pivot").distinct().join(owners, "pivot").select("cluster", F.col("pivot").alias("key"))).distinct()
+    return links.unionByName(open_links(materialize(groups.join(known, "key"), "members"), stored))
+
+
+def open_links(members: DataFrame, stored: DataFrame) -> DataFrame:
+    """Links between classes of one cluster that are in different components, as many as join them.
+
+    A cluster's members are dealt to blocks of about BLOCK; every block meets every other one. First only sizes and
+    components meet, which tells the classes that have a possible partner at all; then the sets of these. A task
+    counts overlaps part by part over its sets and returns only links that join two components.
+    """
+    groups = fr.count_fragments(members.sparkSession)
+    spans = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("cluster", "blocks")
+    dealt = members.join(spans, "cluster").withColumn("own", F.pmod(F.xxhash64("key", F.lit(5)), F.col("blocks")).cast("int"))
+    ends = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
+    meet = dealt.select("cluster", "key", "n", "held", "component", "own", F.inline(ends))
+    meet = meet.withColumn(fr.FRAGMENT, F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(groups)).cast("int"))
+    names = ["cluster", "i", "j", "own", "key", "n", "held", "component"]
+
+    def able(n, held, component):
+        """Which pairs are in different components, of a fitting size, and can share enough prefix n-grams."""
+        low, high = np.minimum(n[:, None], n), np.maximum(n[:, None], n)
+        least = np.maximum(1, -(-PERCENT * (n[:, None] + n) // (100 + PERCENT)) - (-(-PERCENT * high // 100) - 1))
+        return (component[:, None] != component) & (low * 100 >= high * PERCENT) & (np.minimum(held[:, None], held) >= least)
+
+    def pick(table):
+        cols = {c: table.column(c).to_numpy().astype(np.int64) for c in names}
+        order = np.lexsort([cols["j"], cols["i"], cols["cluster"]])
+        head = np.flatnonzero(np.concatenate([[True], np.any([np.diff(cols[c][order]) != 0 for c in ("cluster", "i", "j")], axis=0)])) if len(order) else []
+        keep = [index[able(*(cols[c][index] for c in ("n", "held", "component"))).any(axis=1)] for index in np.split(order, head[1:])] if len(order) else []
+        chosen = np.concatenate([np.zeros(0, np.int64), *keep])
+        return pa.table([pa.array(cols[c][chosen]) for c in names], names=names)
+
+    wide = ", ".join(f"{c} long" for c in names)
+    wanted = meet.select(*names, fr.FRAGMENT).groupBy(fr.FRAGMENT).applyInArrow(pick, wide)
+    rows = wanted.join(stored, "key").withColumn(fr.FRAGMENT, F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(groups)).cast("int"))
+
+    def compare(table):
+        gathered: dict[tuple, dict] = {}
+        for cluster, i, j, key, n, held, component, part, raw in zip(*(table.column(c).to_pylist() for c in ("cluster", "i", "j", "key", "n", "held", "component", "part", "shingles")), strict=True):
+            gathered.setdefault((cluster, i, j), {}).setdefault(key, (n, held, component, {}))[3][part] = np.frombuffer(raw, np.uint64)
+        a, b = [], []
+        for classes in gathered.values():
+            keys = np.array(list(classes), np.int64)
+            n, held, component = (np.array([c[k] for c in classes.values()], np.int64) for k in range(3))
+            possible = able(n, held, component)
+            overlap = np.zeros(possible.shape, np.int32)
+            for part in range(PARTS):
+                sets = [c[3].get(part, np.zeros(0, np.uint64)) for c in classes.values()]
+                count_common(sets, possible, overlap)
+            linked = possible & (100 * overlap >= PERCENT * (n[:, None] + n - overlap))
+            root = {c: c for c in component.tolist()}
+            for x, y in zip(*np.nonzero(np.triu(linked)), strict=True):
+                p, q = _root(root, int(component[x])), _root(root, int(component[y]))
+                if p != q:
+                    root[p] = q
+                    a.append(int(keys[x]))
+                    b.append(int(keys[y]))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    columns = ["cluster", "i", "j", "key", "n", "held", "component", "part", "shingles", fr.FRAGMENT]
+    return materialize(rows.select(*columns).groupBy(fr.FRAGMENT).applyInArrow(compare, "a long, b long"), "links")
+
+
+def _root(up: dict[int, int], x: int) -> int:
+    while up[x] != x:
+        up[x] = up[up[x]]
+        x = up[x]
+    return x
+
+
+def count_common(sets: list[np.ndarray], possible: np.ndarray, overlap: np.ndarray) -> None:
+    """Add the common elements of the sets to overlap, for the rows that have a possible partner."""
+    sizes = np.array([len(s) for s in sets])
+    if not sizes.sum():
+        return
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(token, kind="stable")
+    holders = owner[order]
+    first = np.searchsorted(token[order], np.arange(token.max() + 2))
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    for x in np.flatnonzero(possible.any(axis=1)):
+        mine = token[at[x]:at[x + 1]]
+        begin, count = first[mine], first[mine + 1] - first[mine]
+        if count.sum():
+            flat = np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            overlap[x] += np.bincount(holders[flat], minlength=len(sets)).astype(np.int32)
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
