@@ -248,10 +248,13 @@ def class_links(docs: DataFrame, sets: DataFrame, sketch: np.ndarray, id_col: st
     info = materialize(classes.join(held, "key"), "classes")
     if info.isEmpty():
         return None
-    stored = stored_sets(docs, info, id_col, text_col)
-
     # every two classes of a bucket are among the members of its pivot
     stars = materialize(buckets.filter("key <> pivot").groupBy("pivot", "key").agg(F.count(F.lit(1)).alias("common")), "stars")
+    # only classes with a possible partner around some pivot have their sets stored and moved
+    around = stars.select(F.col("pivot").alias("cluster"), "key").unionByName(stars.select(F.col("pivot").alias("cluster"), F.col("pivot").alias("key")).distinct())
+    able = possible_partners(around.join(info.select("key", "n", "held"), "key").withColumn("component", F.col("key"))).select("key").distinct()
+    info = materialize(info.join(able, "key"), "able")
+    stored = stored_sets(docs, info, id_col, text_col)
     x, y = info.alias("x"), info.alias("y")
     rated = stars.join(x, F.col("pivot") == F.col("x.key")).join(y, stars["key"] == F.col("y.key")).filter(_able("x", "y"))
     links = links_of(_best(rated.select(F.col("pivot").alias("a"), stars["key"].alias("b"), "common", F.col("x.n").alias("na"), F.col("y.n").alias("nb"))), stored)
@@ -264,12 +267,20 @@ def class_links(docs: DataFrame, sets: DataFrame, sketch: np.ndarray, id_col: st
     return links.unionByName(open_links(materialize(groups.join(known, "key"), "members"), stored))
 
 
-def open_links(members: DataFrame, stored: DataFrame) -> DataFrame:
-    """Links between classes of one cluster that are in different components, as many as join them.
+COLUMNS = ("cluster", "i", "j", "own", "key", "n", "held", "component")
+
+
+def able_pairs(n: np.ndarray, held: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """Which pairs are in different components, of a fitting size, and can share enough prefix n-grams."""
+    low, high = np.minimum(n[:, None], n), np.maximum(n[:, None], n)
+    least = np.maximum(1, -(-PERCENT * (n[:, None] + n) // (100 + PERCENT)) - (-(-PERCENT * high // 100) - 1))
+    return (component[:, None] != component) & (low * 100 >= high * PERCENT) & (np.minimum(held[:, None], held) >= least)
+
+
+def possible_partners(members: DataFrame) -> DataFrame:
+    """COLUMNS of the members (cluster, key, n, held, component) that have a possible partner in their cluster.
 
-    A cluster's members are dealt to blocks of about BLOCK; every block meets every other one. First only sizes and
-    components meet, which tells the classes that have a possible partner at all; then the sets of these. A task
-    counts overlaps part by part over its sets and returns only links that join two components.
+    A cluster's members are dealt to blocks of about BLOCK; every block (i) meets every other one (j).
     """
     groups = fr.count_fragments(members.sparkSession)
     spans = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("cluster", "blocks")
@@ -277,24 +288,28 @@ def open_links(members: DataFrame, stored: DataFrame) -> DataFrame:
     ends = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
     meet = dealt.select("cluster", "key", "n", "held", "component", "own", F.inline(ends))
     meet = meet.withColumn(fr.FRAGMENT, F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(groups)).cast("int"))
-    names = ["cluster", "i", "j", "own", "key", "n", "held", "component"]
-
-    def able(n, held, component):
-        """Which pairs are in different components, of a fitting size, and can share enough prefix n-grams."""
-        low, high = np.minimum(n[:, None], n), np.maximum(n[:, None], n)
-        least = np.maximum(1, -(-PERCENT * (n[:, None] + n) // (100 + PERCENT)) - (-(-PERCENT * high // 100) - 1))
-        return (component[:, None] != component) & (low * 100 >= high * PERCENT) & (np.minimum(held[:, None], held) >= least)
 
     def pick(table):
-        cols = {c: table.column(c).to_numpy().astype(np.int64) for c in names}
+        cols = {c: table.column(c).to_numpy().astype(np.int64) for c in COLUMNS}
         order = np.lexsort([cols["j"], cols["i"], cols["cluster"]])
-        head = np.flatnonzero(np.concatenate([[True], np.any([np.diff(cols[c][order]) != 0 for c in ("cluster", "i", "j")], axis=0)])) if len(order) else []
-        keep = [index[able(*(cols[c][index] for c in ("n", "held", "component"))).any(axis=1)] for index in np.split(order, head[1:])] if len(order) else []
-        chosen = np.concatenate([np.zeros(0, np.int64), *keep])
-        return pa.table([pa.array(cols[c][chosen]) for c in names], names=names)
+        new = np.any([np.diff(cols[c][order]) != 0 for c in ("cluster", "i", "j")], axis=0)
+        found = [np.zeros(0, np.int64)]
+        for index in np.split(order, np.flatnonzero(new) + 1):
+            found.append(index[able_pairs(*(cols[c][index] for c in ("n", "held", "component"))).any(axis=1)])
+        chosen = np.concatenate(found)
+        return pa.table([pa.array(cols[c][chosen]) for c in COLUMNS], names=list(COLUMNS))
+
+    return meet.select(*COLUMNS, fr.FRAGMENT).groupBy(fr.FRAGMENT).applyInArrow(pick, ", ".join(f"{c} long" for c in COLUMNS))
+
+
+def open_links(members: DataFrame, stored: DataFrame) -> DataFrame:
+    """Links between classes of one cluster that are in different components, as many as join them.
 
-    wide = ", ".join(f"{c} long" for c in names)
-    wanted = meet.select(*names, fr.FRAGMENT).groupBy(fr.FRAGMENT).applyInArrow(pick, wide)
+    First only sizes and components meet, which tells the classes that have a possible partner at all; then the
+    sets of these. A task counts overlaps part by part over its sets and returns only links that join two components.
+    """
+    groups = fr.count_fragments(members.sparkSession)
+    wanted = possible_partners(members)
     rows = wanted.join(stored, "key").withColumn(fr.FRAGMENT, F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(groups)).cast("int"))
 
     def compare(table):
@@ -305,7 +320,7 @@ def open_links(members: DataFrame, stored: DataFrame) -> DataFrame:
         for classes in gathered.values():
             keys = np.array(list(classes), np.int64)
             n, held, component = (np.array([c[k] for c in classes.values()], np.int64) for k in range(3))
-            possible = able(n, held, component)
+            possible = able_pairs(n, held, component)
             overlap = np.zeros(possible.shape, np.int32)
             for part in range(PARTS):
                 sets = [c[3].get(part, np.zeros(0, np.uint64)) for c in classes.values()]
