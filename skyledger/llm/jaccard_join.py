@@ -262,8 +262,9 @@ def class_links(docs: DataFrame, sets: DataFrame, sketch: np.ndarray, id_col: st
     labels = components(links).withColumnRenamed("node", "key")
     known = info.select("key", "n", "held").join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
     # pivots of one component share a group, so that a class meets its near copies once and not once per pivot
-    owners = known.select(F.col("key").alias("pivot"), F.col("component").alias("cluster"))
-    groups = stars.select("pivot", "key").join(owners, "pivot").select("cluster", "key").unionByName(stars.select("pivot").distinct().join(owners, "pivot").select("cluster", F.col("pivot").alias("key"))).distinct()
+    # a pivot without a possible partner still names its bucket, in which the others meet
+    owners = stars.select("pivot").distinct().join(known.select(F.col("key").alias("pivot"), "component"), "pivot", "left").select("pivot", F.coalesce("component", "pivot").alias("cluster"))
+    groups = stars.select("pivot", "key").join(owners, "pivot").select("cluster", "key").unionByName(owners.select("cluster", F.col("pivot").alias("key"))).distinct()
     return links.unionByName(open_links(materialize(groups.join(known, "key"), "members"), stored))
 
 

@@ -84,6 +84,19 @@ def test_jaccard_on_a_large_group_of_near_copies(spark):
     assert got == jaccard_components(rows)
 
 
+def test_jaccard_of_near_copies_beside_a_longer_text_with_the_least_key(spark):
+    one, others = prose(50, 100).split(), [prose(51 + k, 100) for k in range(3)]
+    near = [" ".join(one), " ".join([*one[:50], "changed", *one[51:]])]
+
+    def key(text):
+        return jaccard_join.set_key(jaccard_join.shingle_sets([text.encode()])[0])
+
+    glued = next(t for k in range(200) if key(t := " ".join([near[0], *others, f"end{k}"])) < min(map(key, near)))
+    rows = [(0, near[0]), (1, near[1]), (2, glued)] + [(10 + k, others[k % 3]) for k in range(12)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == jaccard_components(rows) and got[1][1] == 0
+
+
 def test_jaccard_on_awkward_rows(spark):
     rows = unique(awkward())
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join_components(documents(spark, rows)).collect()}
