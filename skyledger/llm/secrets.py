@@ -1,7 +1,7 @@
 """Secret scans with a random forest that removes false findings. DataFrame functions and Spark ML only.
 
-Scan: every word of a text whose longest run of key characters has `MIN_LENGTH` or more is a candidate, with
-its neighbouring words. Features: length, shares of character classes, changes of class between neighbouring
+Scan: every run of `MIN_LENGTH` or more key characters in a word is a candidate, with its place in the word and the
+neighbouring words; after an assignment to a hinting name `SHORT_LENGTH` characters are enough. Features: length, shares of character classes, changes of class between neighbouring
 characters, coverage by a dictionary of letter pairs counted over all candidates of the corpus, hints in the
 neighbouring words and in the path. A random forest trained from labelled findings scores every candidate.
 
@@ -23,8 +23,12 @@ from skyledger.llm.line_rules import words_of
 from skyledger.session import materialize
 
 MIN_LENGTH = 16
-RUN = r"[A-Za-z0-9+/_\-]{%d,}" % MIN_LENGTH
+SHORT_LENGTH = 8
+KEY = r"[A-Za-z0-9+/_\-]"
+RUN, SHORT_RUN = KEY + "{%d,}" % MIN_LENGTH, KEY + "{%d,}" % SHORT_LENGTH
 HINT = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api_?key|access_?key|auth|bearer|credential|private)"
+#: An assignment to a hinting name, up to where the value begins.
+NAMED = HINT + r"[A-Za-z0-9_\-]*[\"'`]*\s*[=:]+\s*[\"'`]*"
 TAME_PATH = r"(?i)(test|example|sample|fixture|doc)"
 #: Published formats of access keys, and assignments of long hexadecimal values to a hinting name.
 FORMATS = (r"^AKIA[0-9A-Z]{16}$", r"^ASIA[0-9A-Z]{16}$", r"^gh[pousr]_[A-Za-z0-9]{36}$", r"^xox[abprs]-[A-Za-z0-9\-]{10,}$", r"^AIza[0-9A-Za-z_\-]{35}$", r"^sk_live_[0-9A-Za-z]{24,}$")
@@ -34,12 +38,24 @@ FEATURES = ("length", "digit_share", "upper_share", "lower_share", "sign_share",
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", path_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(doc_id, path, place, word, candidate, before, before2, after): `place` numbers the words of a text from 0."""
-    rows = docs.filter(F.col(text_col).rlike(RUN)).select(F.col(id_col).alias("doc_id"), F.col(path_col).cast("string").alias("path"), words_of(F.col(text_col)).alias("words"))
-    found = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("place"), w.alias("word"))), lambda x: (F.length(x.word) >= MIN_LENGTH) & x.word.rlike(RUN))
+    """(doc_id, path, place, word, before, before2, after, offset, left, candidate), a row per run.
+
+    `place` numbers the words of a text and `offset` the characters of a word from 0. `left` is what stands before
+    the candidate in its own field of the word: after the last of , ; & ? and brackets.
+    """
+    rows = docs.filter(F.col(text_col).rlike(RUN) | F.col(text_col).rlike(NAMED + SHORT_RUN)).select(F.col(id_col).alias("doc_id"), F.col(path_col).cast("string").alias("path"), words_of(F.col(text_col)).alias("words"))
+    found = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("place"), w.alias("word"))), lambda x: (F.length(x.word) >= SHORT_LENGTH) & (
+        x.word.rlike(RUN) | (x.word.rlike(SHORT_RUN) & F.concat_ws(" ", F.get("words", x.place - 2), F.get("words", x.place - 1), x.word).rlike(NAMED + SHORT_RUN))))
     around = F.transform(found, lambda x: F.struct(x.place.alias("place"), x.word.alias("word"), F.get("words", x.place - 1).alias("before"), F.get("words", x.place - 2).alias("before2"), F.get("words", x.place + 1).alias("after")))
     rows = rows.select("doc_id", "path", F.explode(around).alias("x")).select("doc_id", "path", "x.*")
-    return rows.withColumn("candidate", F.regexp_extract("word", RUN, 0))
+    rows = rows.withColumn("runs", F.regexp_extract_all("word", F.lit(SHORT_RUN), F.lit(0))).withColumn("gaps", F.split("word", SHORT_RUN))
+    # the runs and the gaps before them, in turn, make up the word
+    offset = F.length(F.array_join(F.slice("gaps", 1, F.col("k") + 1), "")) + F.length(F.array_join(F.slice("runs", 1, F.col("k")), ""))
+    rows = rows.select("*", F.posexplode("runs").alias("k", "candidate")).withColumn("offset", offset)
+    prefix = F.substring("word", F.lit(1), F.col("offset"))
+    rows = rows.withColumn("left", F.substring_index(F.translate(prefix, ";&?{}()[]", "," * 9), ",", -1))
+    named = F.concat_ws(" ", "before2", "before", "left").rlike(NAMED + "$")
+    return rows.filter((F.length("candidate") >= MIN_LENGTH) | named).drop("runs", "gaps", "k")
 
 
 def _count(c: Column, pattern: str) -> Column:
@@ -78,8 +94,8 @@ def featured(found: DataFrame, dictionary: list[bool]) -> DataFrame:
         "*", n.cast("double").alias("length"), (_count(c, "[0-9]") / n).alias("digit_share"), (_count(c, "[A-Z]") / n).alias("upper_share"),
         (_count(c, "[a-z]") / n).alias("lower_share"), (_count(c, r"[+/_\-]") / n).alias("sign_share"), ((runs - 1) / n).alias("changes"),
         (_count(c, "[0-9a-f]") / n).alias("hex_share"), covered.cast("double").alias("covered"),
-        near.rlike(HINT).cast("double").alias("hint_before"), F.expr("substring(word, 1, instr(word, candidate) - 1)").rlike(HINT).cast("double").alias("hint_inside"),
-        (F.coalesce("before", F.lit("")).rlike("[=:]$") | F.expr("substring(word, 1, instr(word, candidate) - 1)").rlike("[=:]")).cast("double").alias("assigned"),
+        near.rlike(HINT).cast("double").alias("hint_before"), F.col("left").rlike(HINT).cast("double").alias("hint_inside"),
+        (F.coalesce("before", F.lit("")).rlike("[=:]$") | F.col("left").rlike("[=:]")).cast("double").alias("assigned"),
         F.col("word").rlike("[\"'`]").cast("double").alias("quoted"), ((F.length("word") - n) / F.length("word")).alias("word_rest"),
         F.coalesce(F.col("path"), F.lit("")).rlike(TAME_PATH).cast("double").alias("tame_path"))
     return rows.withColumn("rule_label", rule_label())
@@ -97,7 +113,7 @@ def rule_label() -> Column:
 def train(rows: DataFrame, label_col: str = "rule_label", max_findings: int = 10_000, trees: int = 20, depth: int = 6, seed: int = 7):
     """A forest from at most `max_findings` labelled findings per class, or None where a class is missing."""
     labelled = rows.filter(F.col(label_col).isNotNull()).select(*FEATURES, F.col(label_col).cast("double").alias("label"), "candidate", "doc_id", "place")
-    order = (F.xxhash64("candidate"), F.col("candidate"), F.col("doc_id"), F.col("place"))
+    order = (F.xxhash64("candidate"), F.col("candidate"), F.col("doc_id"), F.col("place"), *map(F.col, FEATURES))
     sample = labelled.filter("label = 1").orderBy(*order).limit(max_findings).unionByName(labelled.filter("label = 0").orderBy(*order).limit(max_findings))
     sample = materialize(sample.select(*FEATURES, "label"), "findings")
     if sample.select("label").distinct().count() < 2:

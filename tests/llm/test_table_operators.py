@@ -173,6 +173,25 @@ def test_secrets_are_found_and_masked(spark):
     assert all(masked[r[0]] == r[1] for r in rows[30:])
 
 
+def test_every_run_of_a_word_is_a_candidate(spark):
+    rng = random.Random(9)
+    hexed = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(4)]
+    jwt = ["eyJhbGciOiJIUzI1NiJ9", "eyJzdWIiOiIxMjM0NTY3ODkwIn0", "dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"]
+    aws, github = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "ghp_" + "a1B2" * 9
+    texts = [f"AWS_SECRET_ACCESS_KEY={aws}", f"GITHUB_ACCESS_TOKEN={github}", f"DATABASE_MASTER_PASSWORD={hexed[0]}", f'{{"first_secret":"{hexed[1]}","other_api_key":"{hexed[2]}"}}',
+             f"https://example.org/long/path/of/page?token={hexed[3]}", "Bearer " + ".".join(jwt), "password = 'ab12cd34'", "an ordinary word pa55word", "pass=" + hexed[0] + ":" + hexed[0]]
+    docs = documents(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])
+    found = secrets.candidates(docs).collect()
+    assert all(r.word[r.offset:r.offset + len(r.candidate)] == r.candidate for r in found)
+    listed = [(r.doc_id, r.candidate) for r in found]
+    wanted = [(0, aws), (1, github), (2, hexed[0]), (3, hexed[1]), (3, hexed[2]), (4, hexed[3]), *((5, x) for x in jwt), (6, "ab12cd34"), (8, hexed[0])]
+    assert set(wanted) <= set(listed) and listed.count((8, hexed[0])) == 2 and not [x for x in listed if x[0] == 7]
+    secret = {(r.doc_id, r.candidate) for r in secrets.scan(docs).filter("is_secret").collect()}
+    masked = {r.doc_id: r.text for r in secrets.mask(docs, secrets.scan(docs).filter("is_secret")).collect()}
+    assert {(1, github), (2, hexed[0]), (3, hexed[1]), (3, hexed[2]), (4, hexed[3])} <= secret
+    assert masked[3] == '{"first_secret":"[SECRET]","other_api_key":"[SECRET]"}' and hexed[3] not in masked[4]
+
+
 def test_secret_forest_learns_from_given_findings(spark):
     rows, _ = secret_rows()
     docs = documents(spark, rows)
