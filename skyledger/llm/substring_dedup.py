@@ -15,7 +15,7 @@ Pieces count as equal when the 64-bit hash of their words and that of their mini
 64-bit and a 32-bit hash agree. No text travels but to its own spans.
 
 Which copy stays: the one that starts first, by doc_id and then by place. Null texts and texts shorter than a
-window stay whole. Rows equal in id and text are one document. Null ids come last, equal ids in order of text.
+window stay whole. Rows equal in id and text are one document: what they hold at one place is met once. Null ids come last, equal ids in order of text.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ from skyledger.llm.words import Runs, mixed, word_hashes
 from skyledger.session import materialize
 
 SEED_WORDS = 6
+NO_SOURCE = -1  # as source_start; ids may be negative
 PIECES = {"seed": "u8", "path": "u8", "doc": "i8", "start": "i4", "n": "u1", "source": "i8", "source_start": "i4"}
 WINDOWS = {"key": "u8", "check": "u4", "doc": "i8", "start": "i4"}
 FOUND = "doc long, start int, n int, source long, source_start int"
@@ -69,13 +70,19 @@ def cut_pieces(raws: list[bytes], docs: np.ndarray, window: int) -> dict[str, np
     start = windows[first]
     doc = owner[start]
     return {"seed": seeds[chosen[first]], "path": run(start, start + size + window - 1), "doc": docs[doc], "start": (start - at[doc]).astype(np.int32),
-            "n": size.astype(np.uint8), "source": np.full(len(start), -1), "source_start": np.zeros(len(start), np.int32)}
+            "n": size.astype(np.uint8), "source": np.full(len(start), -1), "source_start": np.full(len(start), NO_SOURCE, np.int32)}
 
 
 def _grouped(columns: dict[str, np.ndarray], keys: tuple[str, ...]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Columns sorted by keys, doc and start; and for each element the index of the first one with its keys."""
+    """Columns sorted by keys, doc and start; and for each element the index of the first one with its keys.
+
+    Of elements with one place, which repeated rows give, one stays.
+    """
     order = np.lexsort([columns[c] for c in ("start", "doc", *reversed(keys))])
     out = {c: x[order] for c, x in columns.items()}
+    once = np.ones(len(order), bool)
+    once[1:] = np.any([out[k][1:] != out[k][:-1] for k in (*keys, "doc", "start")], axis=0)
+    order, out = order[once], {c: x[once] for c, x in out.items()}
     new = np.ones(len(order), bool)
     new[1:] = np.any([out[k][1:] != out[k][:-1] for k in keys], axis=0)
     return out, np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
@@ -86,7 +93,7 @@ def fold_pieces(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     out, head = _grouped(columns, ("seed", "path"))
     later = head != np.arange(len(head))
     out["source"] = np.where(later, out["doc"][head], -1)
-    out["source_start"] = np.where(later, out["start"][head], 0).astype(np.int32)
+    out["source_start"] = np.where(later, out["start"][head], NO_SOURCE).astype(np.int32)
     out["seed"] = np.where(later, np.uint64(0), out["seed"])
     out["path"] = np.where(later, np.uint64(0), out["path"])
     return out
@@ -94,12 +101,12 @@ def fold_pieces(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 def _found(doc, start, n, source, source_start) -> pa.Table:
     return pa.table([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32()),
-                     pa.array(source, pa.int64(), mask=source < 0), pa.array(source_start, pa.int32())], names=["doc", "start", "n", "source", "source_start"])
+                     pa.array(source, pa.int64(), mask=source_start == NO_SOURCE), pa.array(source_start, pa.int32())], names=["doc", "start", "n", "source", "source_start"])
 
 
 def meet_pieces(columns: dict[str, np.ndarray]) -> pa.Table:
     """Repeated pieces with their source; and, with a null source, earliest pieces that share a minimiser with others."""
-    known = columns["source"] >= 0
+    known = columns["source_start"] != NO_SOURCE
     out, head = _grouped({c: x[~known] for c, x in columns.items()}, ("seed", "path"))
     later = head != np.arange(len(head))
     if len(head):
@@ -109,7 +116,7 @@ def meet_pieces(columns: dict[str, np.ndarray]) -> pa.Table:
         shared = np.zeros(0, bool)
     open_ = ~later & shared
     parts = [tuple(out[c][later] for c in ("doc", "start", "n")) + (out["doc"][head][later], out["start"][head][later]),
-             tuple(out[c][open_] for c in ("doc", "start", "n")) + (np.full(int(open_.sum()), -1), np.zeros(int(open_.sum()), np.int32)),
+             tuple(out[c][open_] for c in ("doc", "start", "n")) + (np.full(int(open_.sum()), -1), np.full(int(open_.sum()), NO_SOURCE, np.int32)),
              tuple(columns[c][known] for c in ("doc", "start", "n", "source", "source_start"))]
     return _found(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
@@ -129,7 +136,7 @@ def repeated_pieces(texts: DataFrame, window: int) -> DataFrame:
         parts = (cut_pieces([x.encode() for x in b.column("__in").to_pylist()], b.column("uid").to_numpy(), window) for b in row_slices(batches))
 
         def fragment(c):
-            return np.where(c["source"] >= 0, _spread(c["doc"], n), fr.fragment_of(c["seed"], n))
+            return np.where(c["source_start"] != NO_SOURCE, _spread(c["doc"], n), fr.fragment_of(c["seed"], n))
 
         yield from fr.gathered(parts, PIECES, fragment, fold=fold_pieces)
 

@@ -69,6 +69,15 @@ def test_substring_dedup_on_awkward_rows(spark):
     assert substring_dedup.dedup(documents(spark, [])).collect() == []
 
 
+def test_substring_dedup_keeps_a_repeated_row_and_counts_negative_ids(spark):
+    rows = [(i - 30, t) for i, t in copies_and_edits(5)]
+    want = {i: (n, b" ".join(kept).decode()) for i, (n, kept) in removed_words(rows).items()}
+    long = [r for r in rows if len(r[1].split()) > 20][::3]
+    for frame in (rows, rows + long + long[:2]):
+        got = substring_dedup.dedup(spark.createDataFrame(frame, "doc_id long, text string").repartition(5)).collect()
+        assert len(got) == len(frame) and all((r.n_words, r.kept_text) == want[r.doc_id] for r in got)
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_jaccard_components_match_all_pairs(spark, seed):
     rows = copies_and_edits(seed, 90)
