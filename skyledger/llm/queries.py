@@ -180,3 +180,53 @@ def _(spark, sf_dir):
     from skyledger.llm import nn_descent
 
     return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = r"""
+WITH w AS MATERIALIZED (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+t AS MATERIALIZED (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*)::HUGEINT AS a FROM (
+  SELECT lang, k, array_to_string(ws[i + 1:i + k], ' ') AS phrase FROM (SELECT lang, ws, k, unnest(range(0, len(ws) - k + 1)) AS i FROM w, (VALUES (1), (2), (3)) AS sizes(k) WHERE len(ws) >= k)) GROUP BY ALL),
+p AS MATERIALIZED (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 10),
+cut AS (SELECT lang, k, phrase, a, c, array_to_string(ws[1:c], ' ') AS first, array_to_string(ws[c + 1:k], ' ') AS rest FROM (SELECT *, unnest(range(1, k)) AS c FROM p)),
+s AS (SELECT cut.lang, cut.k, cut.phrase, cut.a, c, x.a AS l, y.a AS r, 1000000 * cut.a * cut.a // (x.a * y.a) AS score FROM cut
+  JOIN f x ON x.lang = cut.lang AND x.phrase = first JOIN f y ON y.lang = cut.lang AND y.phrase = rest),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS least FROM s),
+longer AS (SELECT lang, part, max(a) AS a FROM (SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS part FROM p WHERE k = 3) GROUP BY ALL),
+r AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, phrase) AS rank FROM b LEFT JOIN longer ON longer.lang = b.lang AND part = phrase
+  WHERE least = 1 AND (longer.a IS NULL OR 100 * longer.a < 50 * b.a))
+SELECT r.lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, t.n, score::BIGINT AS score FROM r JOIN t ON t.lang = r.lang WHERE rank <= 2000
+"""
+
+
+@register("op11_phrase_collocations", OP11_SQL)
+def _(spark, sf_dir):
+    from skyledger.llm import collocations
+
+    return collocations.mine(table(spark, sf_dir))
+
+
+OP12_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents WHERE text IS NOT NULL),
+c AS (SELECT count(*)::BIGINT AS docs, sum(len(ts))::BIGINT AS length FROM d WHERE len(ts) > 0),
+q AS MATERIALIZED (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+p AS MATERIALIZED (SELECT row, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT row, doc_id, len(ts)::BIGINT AS n, unnest(ts) AS term FROM d) SEMI JOIN q USING (term) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, c GROUP BY term, docs),
+s AS (SELECT item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // length))))::BIGINT AS score FROM q JOIN p USING (term) JOIN w USING (term), c GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 50
+"""
+
+
+@register("op12_best_position_search", OP12_SQL)
+def _(spark, sf_dir):
+    from skyledger.llm import best_position
+
+    return best_position.search(table(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+@register("op13_tag_path_text")
+def _(spark, sf_dir):
+    from skyledger.llm import html_text
+
+    return html_text.extract(table(spark, sf_dir, "pages"))
