@@ -1,6 +1,6 @@
 """Phrase collocations: mergeable Misra-Gries summaries find every frequent n-gram, a second pass counts them.
 
-Pass 1. Tasks fold the n-grams of about 8 MB of text to summaries, one per hash bucket: sorted 64-bit keys and their
+Pass 1. Tasks fold the n-grams of about 4 MB of text to summaries, one per hash bucket: sorted 64-bit keys and their
 counts. The summaries of a bucket meet in one partition behind small rows that state their mass, so the capacity is
 known before the first summary arrives: twice the mass divided by the threshold. Where a merge exceeds it, the
 count of the first n-gram beyond the capacity is taken off all counters. Every such cut takes more than `capacity`
@@ -11,7 +11,7 @@ Pass 2. The survivors set bits of a filter of fixed size (2^26 bits; a full filt
 texts are read again and only n-grams that pass it are counted, by their words, so the counts are exact.
 
 Awkward rows: a null text has no words; a null group value counts as `und`; repeated rows and repeated ids count each
-time; other columns are not read; texts of any length are read whole, one at a time if longer than 8 MB. Empty
+time; other columns are not read; texts of any length are read whole, one at a time if longer than 4 MB. Empty
 tables give an empty result. Ties of score go by count, then by phrase in byte order.
 """
 
@@ -31,8 +31,9 @@ from skyledger.llm.batches import row_slices
 from skyledger.llm.words import mixed
 from skyledger.session import materialize
 
-CHUNK_BYTES = 8 << 20
-FLUSH_KEYS = 4 << 20
+CHUNK_BYTES = 4 << 20
+FLUSH_KEYS = 2 << 20
+BATCH_KEYS = 1 << 18
 BUCKET_BYTES = 2 << 20  # of text per hash bucket
 FILTER_BITS = 26
 SLACK = 2
@@ -61,6 +62,7 @@ def grams(texts: list[bytes], longest: int) -> tuple[list[bytes], int, Iterator[
     number = defaultdict(count().__next__)
     number[BREAK]  # gets 0
     ids = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
+    del tokens
     bits = max(1, len(number).bit_length())
 
     def sizes():
@@ -146,13 +148,16 @@ def survivors(rows: DataFrame, longest: int, min_count: int) -> DataFrame:
         def rows_of():
             key, times = folded(keys, counts)
             edge = np.searchsorted(key, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(key)]
-            out = []
+            out, size = [], 0
             for bucket in range(1 << bits):
                 a, b = edge[bucket], edge[bucket + 1]
                 if a < b:
                     out.append((bucket, int(times[a:b].sum()), None, None))
-                    out.append((bucket, 0, key[a:b].tobytes(), times[a:b].astype(np.int64).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "mass", "keys", "counts"])
+                    out.append((bucket, 0, key[a:b].tobytes(), times[a:b].astype(np.uint32).tobytes()))  # below the 2^31 bytes of a text
+                    size += b - a
+                if out and (size > BATCH_KEYS or bucket + 1 == 1 << bits):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "mass", "keys", "counts"])
+                    out, size = [], 0
 
         for group, texts in grouped(batches):
             words, _, sizes = grams(texts, longest)
@@ -183,7 +188,7 @@ def survivors(rows: DataFrame, longest: int, min_count: int) -> DataFrame:
                     mass += row["mass"]
                     continue
                 summary = summary or Summary(SLACK * mass // min_count + 1)
-                summary.add(np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["counts"], np.int64))
+                summary.add(np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["counts"], np.uint32).astype(np.int64))
         if summary:
             yield out()
 
