@@ -155,8 +155,10 @@ O["per_segment_broadcast"] = query("SELECT segment_id, time, n AS hits, n > 0 AS
 # ---- windows ----
 cte("scl", "clean", "SELECT " + ", ".join(f"avg({c}) AS mean_{c}, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1e0 END AS sd_{c}" for c in SCALED) + " FROM clean")
 MISS = " OR ".join(f"{c}_missing" for c in MEASURED)
-cte("zrow", "clean scl", "SELECT c.*, row_number() OVER (PARTITION BY segment_id ORDER BY time) - 1 AS step, NOT (" + MISS + ") AS valid, "
+# the number is taken off outside the part: a filter on it would be pushed below the subtraction
+cte("zrow0", "clean scl", "SELECT c.*, row_number() OVER (PARTITION BY segment_id ORDER BY time) AS rn, NOT (" + MISS + ") AS valid, "
     + ", ".join(f"({c} - mean_{c}) / sd_{c} AS z_{c}" for c in SCALED) + ", hdg_sin AS z_hdg_sin, hdg_cos AS z_hdg_cos, CAST(CAST(onground AS INTEGER) AS DOUBLE) AS z_onground FROM clean c, scl")
+cte("zrow", "zrow0", "SELECT * EXCLUDE (rn), rn - 1 AS step FROM zrow0")
 O["to_sequences"] = query("SELECT s.segment_id, s.n > 15 AS was_truncated, s.j AS step, " + r("CASE WHEN z.segment_id IS NULL THEN 0 ELSE 1 END") + " AS mask, " + r("CASE WHEN z.valid THEN 1 ELSE 0 END") + " AS loss_mask, "
                           + ", ".join(f"{r(f'coalesce(z_{c}, 0e0)')} AS z_{c}" for c in FEATURES)
                           + " FROM (SELECT segment_id, count(*) AS n, unnest(range(0, 15)) AS j FROM clean GROUP BY 1) s LEFT JOIN zrow z ON z.segment_id = s.segment_id AND z.step = s.j", "zrow")
