@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyledger.config import FEATURES
+from skyledger.operators import pivot_tree
 from skyledger.operators.splits import hash_uniform
 from skyledger.session import materialize
 
@@ -151,98 +152,13 @@ def isolation_forest(train: DataFrame, rows: DataFrame, key: str = "segment_id",
 
 # ---- nearest neighbours -----------------------------------------------------------------------
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    sq = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * a @ b.T
-    return np.sqrt(np.maximum(sq, 0.0))
-
-
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype="float64").reshape(len(column), -1)
 
 
-def _smallest(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
-    """The k smallest distances from each row of x to y, fewer if y is shorter."""
-    m = min(k, len(y))
-    return np.vstack([np.partition(_distances(x[s:s + 256], y), m - 1, axis=1)[:, :m] for s in range(0, len(x), 256)])
-
-
-def _parts(cells: dict[int, int]) -> Column:
-    """Number of parts of the row's cell, from a literal with one entry per pivot."""
-    return F.element_at(F.create_map(*[F.lit(int(v)) for item in cells.items() for v in item]), F.col("cell"))
-
-
-def _meet(left: DataFrame, base: DataFrame, key: str, k: int, blocks: dict[int, int], block_rows: int) -> DataFrame:
-    """(key, d): the k smallest distances of every left row to every block of the cell it names.
-
-    A cell's train rows are dealt to blocks of about `block_rows`, its query rows to groups of the same size.
-    """
-    n = left.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()  # one number per pivot
-    salts = {r.cell: -(-r.n // block_rows) for r in n if r.cell in blocks}
-    kind = dict(left.dtypes)[key]
-    if not salts:
-        return left.limit(0).select(key, F.lit(0.0).alias("d"))
-    named = F.col("cell").isin([int(c) for c in salts])
-    ask = left.filter(named).withColumn("salt", F.pmod(F.xxhash64(key), _parts(salts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), (_parts(blocks) - 1).cast("int"))))
-    have = base.filter(named).withColumn("block", F.pmod(F.xxhash64(key, F.lit(1)), _parts(blocks)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), (_parts(salts) - 1).cast("int"))))
-
-    def compare(_, a: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(t):
-            return pd.DataFrame({key: pd.Series(dtype="object"), "d": pd.Series(dtype="float64")})
-        best = _smallest(_matrix(a["features"]), _matrix(t["features"]), k)
-        return pd.DataFrame({key: np.repeat(a[key].to_numpy(), best.shape[1]), "d": best.ravel()})
-
-    ids = ["cell", "block", "salt"]
-    return ask.groupBy(*ids).cogroup(have.groupBy(*ids)).applyInPandas(compare, f"{key} {kind}, d double")
-
-
-def _k_best(found: DataFrame, key: str, k: int) -> DataFrame:
-    ranked = found.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy("d")))
-    return ranked.filter(F.col("rn") <= k).drop("rn")
-
-
-def knn_score(train: DataFrame, rows: DataFrame, key: str = "segment_id", k: int = 5, pivots: int = 32, block_rows: int = 4_000) -> DataFrame:
-    """Exact distance to the k-th nearest train vector, in two rounds over pivot cells.
-
-    The first round compares every row with its own cell and so bounds its k-th distance. The second one goes
-    to those other cells that the triangle inequality does not rule out for that row. Both are joins on the cell;
-    the driver sees the pivots and one count and radius per pivot.
-    """
-    spark = rows.sparkSession
-    chosen = train.select("features", hash_uniform(F.col(key), "pivot").alias("u")).orderBy("u").limit(pivots).toPandas()
-    if chosen.empty:
-        return rows.limit(0).select(key, F.lit(0.0).alias("score"))
-    shared = spark.sparkContext.broadcast(_matrix(chosen["features"]))  # `pivots` vectors
-
-    def place(batches):
-        for pdf in batches:
-            d = _distances(_matrix(pdf["features"]), shared.value)
-            cell = d.argmin(axis=1) if len(d) else np.zeros(0, int)
-            yield pdf.assign(cell=cell.astype("int32"), reach=d[np.arange(len(d)), cell])
-
-    kind = dict(rows.dtypes)[key]
-    schema = f"{key} {kind}, features array<double>, cell int, reach double"
-    queries = materialize(rows.select(key, F.col("features").cast("array<double>")).mapInPandas(place, schema), "knn")
-    base = materialize(train.select(key, F.col("features").cast("array<double>")).mapInPandas(place, schema), "knn")
-    cells = base.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("r")).collect()
-    blocks = {c.cell: -(-c.n // block_rows) for c in cells}
-    radius = {c.cell: c.r for c in cells}
-
-    first = materialize(_k_best(_meet(queries, base, key, k, blocks, block_rows), key, k), "knn")
-    bounds = first.groupBy(key).agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).alias("bound"))
-
-    def others(batches):
-        for pdf in batches:
-            d = _distances(_matrix(pdf["features"]), shared.value)
-            bound = pdf["bound"].fillna(np.inf).to_numpy() + 1e-9
-            wanted = np.zeros(d.shape, bool)
-            for c, r in radius.items():
-                wanted[:, c] = (d[:, c] - r <= bound) & (pdf["cell"].to_numpy() != c)
-            i, c = np.nonzero(wanted)
-            yield pd.DataFrame({key: pdf[key].to_numpy()[i], "features": pdf["features"].to_numpy()[i], "cell": c.astype("int32")})
-
-    further = queries.join(bounds, key, "left").mapInPandas(others, f"{key} {kind}, features array<double>, cell int")
-    second = _meet(materialize(further, "knn"), base, key, k, blocks, block_rows)
-    return _k_best(first.unionByName(second), key, k).groupBy(key).agg(F.max("d").alias("score"))
+def knn_score(train: DataFrame, rows: DataFrame, key: str = "segment_id", k: int = 5, **tree) -> DataFrame:
+    """Exact distance to the k-th nearest train vector, over a pivot tree that grows with the train rows."""
+    return pivot_tree.nearest(train, rows, key, k, **tree).select(key, "score")
 
 
 def _nearest_positions(asked: DataFrame, points: DataFrame, k: int, edge: float, block_rows: int) -> DataFrame:

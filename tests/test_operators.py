@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from skyledger.operators import approach, detectors, disclosure, metrics, ranks, segments, sequence
+from skyledger.operators import approach, detectors, disclosure, metrics, pivot_tree, ranks, segments, sequence
 from skyledger.sources import writers
 
 
@@ -57,16 +57,39 @@ def vectors(spark, x, prefix):
     return frame(spark, [(f"{prefix}{i}", [float(v) for v in row]) for i, row in enumerate(x)], "segment_id string, features array<double>")
 
 
-def test_block_neighbours_equal_brute_force(spark):
+def kth(train, rows, k=5):
+    return np.sort(np.sqrt(((rows[:, None] - train[None]) ** 2).sum(axis=2)), axis=1)[:, min(k, len(train)) - 1]
+
+
+def scores_in_order(found):
+    got = found.toPandas()
+    return got.assign(i=got["segment_id"].str[1:].astype(int)).sort_values("i")
+
+
+def test_tree_neighbours_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     train, rows = rng.normal(size=(400, 6)), rng.normal(size=(90, 6))
-    train[:140] = train[0]
-    want = np.sort(np.sqrt(((rows[:, None] - train[None]) ** 2).sum(axis=2)), axis=1)[:, 4]
+    train[:140] = train[0]  # a third are copies
+    rows[:20] = train[0] + 1e-3 * rng.normal(size=(20, 6))
     a, b = vectors(spark, train, "t"), vectors(spark, rows, "r")
-    for pivots, block_rows in ((6, 60), (300, 4_000)):
-        got = detectors.knn_score(a, b, pivots=pivots, block_rows=block_rows).toPandas()
-        got = got.assign(i=got["segment_id"].str[1:].astype(int)).sort_values("i")["score"].to_numpy()
-        assert np.allclose(got, want)
+    for options in ({}, {"fanout": 3, "leaf_rows": 8, "group_rows": 30}):
+        got = scores_in_order(detectors.knn_score(a, b, **options))["score"].to_numpy()
+        assert np.allclose(got, kth(train, rows), rtol=0, atol=1e-12)
+    few = scores_in_order(detectors.knn_score(a.limit(0).unionByName(vectors(spark, train[-3:], "t")), b))["score"].to_numpy()
+    assert np.allclose(few, kth(train[-3:], rows))
+    assert detectors.knn_score(a.limit(0), b).count() == 0 and detectors.knn_score(a, b.limit(0)).count() == 0
+
+
+def test_tree_compares_a_falling_share(spark):
+    """Ten times the train rows: more leaves, and a smaller share of them is compared."""
+    rng = np.random.default_rng(5)
+    shares = []
+    for n in (600, 6_000):
+        train, rows = rng.normal(size=(n, 3)), rng.normal(size=(60, 3))
+        got = scores_in_order(pivot_tree.nearest(vectors(spark, train, "t"), vectors(spark, rows, "r"), fanout=8, leaf_rows=32))
+        assert np.allclose(got["score"].to_numpy(), kth(train, rows))
+        shares.append(got["compared"].mean() / n)
+    assert shares[1] < shares[0] / 3 and shares[0] < 0.6
 
 
 def test_forest_and_mixture_rank_an_outlier_first(spark):
