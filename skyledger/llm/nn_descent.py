@@ -4,12 +4,15 @@
    order along one more direction are compared in blocks and each keeps its best neighbours.
 2. Descent: the neighbours of a vector, both ways, are compared with each other (a join of the graph with itself
    through the vector in the middle); better neighbours enter the lists. Rounds go on while new links appear.
-3. Audit: vectors chosen by hash (a bounded number) are compared with all; below the wanted recall the lists are
-   made longer and the descent goes on.
-4. Links at the threshold join vectors to components. A list full of links is saturated and may miss some, so the
-   links of a component are counted exactly among its members: small components at once; in large ones, members
-   within half the threshold angle of the centroid are all linked with each other and counted by number, the
-   others are compared with all members block by block. No pair is ever written.
+3. Saturated lists: equal vectors are folded to one before the start. Where a list is still full of links, the vectors
+   of its label start and descend again with lists of vectors outside their own component, so a group of near copies
+   cannot hide its neighbours; links found merge components, until none is found.
+4. Audit: vectors chosen by hash (a bounded number) are compared with all; below the wanted recall all starts again
+   with longer lists and new planes. If recall stays below the floor, the operator fails instead of answering.
+5. Links at the threshold join vectors to components, and the links of a component are counted exactly among its
+   members: small components at once; in large ones, members within half the threshold angle of the centroid are
+   all linked with each other and counted by number, the others are compared with all members block by block. No
+   pair is ever written. A link that the descent misses altogether is missing in both.
 
 A vector is left alone (no links, its own component) if it or its label is null, it is zero, or it has a null
 or non-finite component. Vectors of different lengths do not link. Rows equal in id and content are one vector.
@@ -63,14 +66,16 @@ def matrix(column, kind=np.float64) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1).astype(kind, copy=False)
 
 
-def top(sims: np.ndarray, ids: np.ndarray, k: int, rows: list) -> None:
-    """Append the k best of every row of a square matrix as (v, u, sim)."""
-    np.fill_diagonal(sims, -2)
+def top(sims: np.ndarray, ids: np.ndarray, comp: np.ndarray, k: int, rows: list) -> None:
+    """Append the k best of every row of a square matrix, outside the row's own component, as (v, u, sim)."""
+    sims[comp[:, None] == comp[None, :]] = -2
     k = min(k, len(ids) - 1)
     if k < 1:
         return
     best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-    rows.append((np.repeat(ids, k), ids[best.ravel()], np.take_along_axis(sims, best, axis=1).ravel()))
+    found = np.take_along_axis(sims, best, axis=1).ravel()
+    own = found > -2
+    rows.append((np.repeat(ids, k)[own], ids[best.ravel()][own], found[own]))
 
 
 def edges_table(rows: list) -> pa.Table:
@@ -93,7 +98,7 @@ def best_lists(edges: DataFrame, k: int) -> DataFrame:
 
 
 def first_lists(stored: DataFrame, k: int, trees: int = TREES, seed: int = 11) -> DataFrame:
-    """Neighbours from cells of random hyperplanes."""
+    """Neighbours from cells of random hyperplanes, outside the component `comp` of each vector."""
     spark = stored.sparkSession
     biggest = stored.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first().n or 0
     bits = max(0, min(30, round(math.log2(max(1, biggest / CELL)))))
@@ -102,7 +107,7 @@ def first_lists(stored: DataFrame, k: int, trees: int = TREES, seed: int = 11) -
     def cells(batches):
         for batch in batches:
             raw = batch.column("vec").to_pylist()
-            uid, grp = batch.column("uid").to_numpy(), batch.column("grp").to_numpy()
+            uid, grp, comp = (batch.column(c).to_numpy() for c in ("uid", "grp", "comp"))
             sizes = np.array([len(x) for x in raw])
             for size in set(sizes.tolist()):
                 at = np.flatnonzero(sizes == size)
@@ -111,26 +116,27 @@ def first_lists(stored: DataFrame, k: int, trees: int = TREES, seed: int = 11) -
                     planes = np.random.default_rng([seed, tree, size]).standard_normal((size // 8, bits + 1))
                     side = x @ planes
                     code = (side[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(at), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(grp[at]), pa.array(np.full(len(at), tree, np.int32)), pa.array(code.astype(np.int64)), pa.array(side[:, bits]), pa.array(uid[at]), pa.array([x[i].astype(np.float32).tobytes() for i in range(len(at))], pa.binary())],
-                                                     names=["grp", "tree", "code", "along", "uid", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(grp[at]), pa.array(np.full(len(at), tree, np.int32)), pa.array(code.astype(np.int64)), pa.array(side[:, bits]), pa.array(uid[at]), pa.array(comp[at]), pa.array([x[i].astype(np.float32).tobytes() for i in range(len(at))], pa.binary())],
+                                                     names=["grp", "tree", "code", "along", "uid", "comp", "vec"])
 
-    rows = stored.mapInArrow(cells, "grp long, tree int, code long, along double, uid long, vec binary")
+    shape = "grp long, tree int, code long, along double, uid long, comp long, vec binary"
+    rows = stored.mapInArrow(cells, shape)
     # cells above SALTED vectors are dealt to several tasks
-    crowded = stored.mapInArrow(cells, "grp long, tree int, code long, along double, uid long, vec binary").groupBy("grp", "tree", "code").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SALTED)
+    crowded = stored.mapInArrow(cells, shape).groupBy("grp", "tree", "code").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SALTED)
     rows = rows.join(crowded, ["grp", "tree", "code"], "left")
-    rows = rows.withColumn("salt", F.pmod(F.hash("uid"), F.coalesce(F.ceil(F.col("n") / SALTED), F.lit(1)).cast("int"))).drop("n")
+    rows = rows.withColumn("salt", F.pmod(F.hash("uid", "tree"), F.coalesce(F.ceil(F.col("n") / SALTED), F.lit(1)).cast("int"))).drop("n")
     rows = rows.withColumn(FRAGMENT, F.pmod(F.xxhash64("grp", "tree", "code", "salt"), F.lit(n)).cast("int"))
 
     def compare(table):
         out: list = []
-        cols = [table.column(c).to_numpy() for c in ("grp", "tree", "code", "salt", "along", "uid")]
+        cols = [table.column(c).to_numpy() for c in ("grp", "tree", "code", "salt", "along", "uid", "comp")]
         raw = table.column("vec").to_pylist()
         for index in groups(cols[:4]):
             index = index[np.argsort(cols[4][index], kind="stable")]
             for a in range(0, len(index), BLOCK):
                 block = index[a:a + BLOCK]
                 x = np.frombuffer(b"".join(raw[i] for i in block), np.float32).reshape(len(block), -1)
-                top(x @ x.T, cols[5][block], k, out)
+                top(x @ x.T, cols[5][block], cols[6][block], k, out)
         return edges_table(out)
 
     return best_lists(rows.groupBy(FRAGMENT).applyInArrow(compare, "v long, u long, sim double"), k)
@@ -143,24 +149,24 @@ def descend(lists: DataFrame, stored: DataFrame, k: int) -> DataFrame:
     # of a vector in many lists about k are followed back, chosen by hash; the lists themselves stay whole
     back = lists.join(lists.groupBy("u").agg(F.count(F.lit(1)).alias("in")), "u").filter(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 20)) < F.lit(1 << 20) * k / F.col("in"))
     around = lists.select(F.col("v").alias("mid"), F.col("u").alias("uid")).unionByName(back.select(F.col("u").alias("mid"), F.col("v").alias("uid"))).unionByName(lists.select(F.col("v").alias("mid"), F.col("v").alias("uid"))).distinct()
-    known = stored.select("uid", "vec").join(floors.withColumnRenamed("v", "uid"), "uid", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+    known = stored.select("uid", "comp", "vec").join(floors.withColumnRenamed("v", "uid"), "uid", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
 
     def single(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("floor"), pa.array([np.frombuffer(x, np.float64).astype(np.float32).tobytes() for x in b.column("vec").to_pylist()], pa.binary())], names=["uid", "floor", "vec"])
+            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("comp"), b.column("floor"), pa.array([np.frombuffer(x, np.float64).astype(np.float32).tobytes() for x in b.column("vec").to_pylist()], pa.binary())], names=["uid", "comp", "floor", "vec"])
 
-    known = known.select("uid", "floor", "vec").mapInArrow(single, "uid long, floor double, vec binary")
+    known = known.select("uid", "comp", "floor", "vec").mapInArrow(single, "uid long, comp long, floor double, vec binary")
     rows = around.join(known, "uid").withColumn(FRAGMENT, F.pmod(F.xxhash64("mid"), F.lit(n)).cast("int"))
 
     def compare(table):
         out: list = []
-        mid, uid, floor = (table.column(c).to_numpy() for c in ("mid", "uid", "floor"))
+        mid, uid, comp, floor = (table.column(c).to_numpy() for c in ("mid", "uid", "comp", "floor"))
         raw = table.column("vec").to_pylist()
         for index in groups([mid]):
             x = np.frombuffer(b"".join(raw[i] for i in index), np.float32).reshape(len(index), -1)
             sims = x @ x.T
-            np.fill_diagonal(sims, -2)
-            i, j = np.nonzero(sims > floor[index][:, None])
+            sims[comp[index][:, None] == comp[index][None, :]] = -2
+            i, j = np.nonzero(sims > np.maximum(floor[index], -2)[:, None])
             out.append((uid[index][i], uid[index][j], sims[i, j]))
         return edges_table(out)
 
@@ -278,28 +284,78 @@ def recall(stored: DataFrame, links: DataFrame, threshold: float, audited: int =
     return got.hit / got.n if got.n else 1.0
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = NEIGHBOURS, rounds: int = 4, wanted: float = 0.95,
+def descended(stored: DataFrame, k: int, rounds: int, threshold: float, seed: int) -> DataFrame:
+    """Lists of the k best neighbours outside each vector's component, refined until links stop appearing."""
+    lists = materialize(first_lists(stored, k, seed=seed), "lists")
+    linked = lists.filter(F.col("sim") >= threshold).count()
+    for _ in range(rounds):
+        lists = materialize(descend(lists, stored, k), "lists")
+        before, linked = linked, lists.filter(F.col("sim") >= threshold).count()
+        if linked <= before * 1.001:
+            break
+    return lists
+
+
+def saturated(lists: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(uid): vectors whose list is full of links, so that it may hide others."""
+    return lists.groupBy(F.col("v").alias("uid")).agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("last")).filter((F.col("n") >= k) & (F.col("last") >= threshold - MARGIN)).select("uid")
+
+
+def merged(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, component) after links between components, given by their vectors."""
+    own = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    other = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    edges = pairs.join(own, "a", "left").join(other, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = components(edges)
+    named = joined.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    old = labels.join(named, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    return materialize(old.unionByName(joined.join(labels.select("node"), "node", "left_anti")), "components")
+
+
+def linked_components(stored: DataFrame, k: int, rounds: int, threshold: float, seed: int) -> DataFrame:
+    """(node, component) of the vectors with a link."""
+    lists = descended(stored.withColumn("comp", F.col("uid")), k, rounds, threshold, seed)
+    labels = materialize(components(links_at(lists, stored, threshold)), "components")
+    while True:
+        full = materialize(saturated(lists, k, threshold), "saturated")
+        if full.isEmpty():
+            return labels
+        some = stored.join(stored.join(full, "uid", "left_semi").select("grp").distinct(), "grp", "left_semi")
+        some = materialize(some.join(labels.withColumnsRenamed({"node": "uid", "component": "comp"}), "uid", "left").withColumn("comp", F.coalesce("comp", "uid")), "outside")
+        seed += 1
+        lists = descended(some, k, rounds, threshold, seed)
+        pairs = materialize(links_at(lists, some, threshold), "links")
+        if pairs.isEmpty():
+            return labels
+        labels = merged(labels, pairs)  # fewer components each time
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = NEIGHBOURS, rounds: int = 4, wanted: float = 0.95, floor: float = 0.9,
                     id_col: str = "vec_id", limit: int = 2048) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row of (vec_id, embedding, label)."""
+    """(vec_id, n_links, component_id, kept) for every row of (vec_id, embedding, label).
+
+    Fails if the audited recall stays below `floor` in spite of longer lists.
+    """
     slim = vectors.select(F.col(id_col).cast("long").alias("vec_id"), "embedding", "label")
     content = F.concat_ws(";", F.coalesce(F.col("label").cast("string"), F.lit("-")), F.coalesce(F.col("embedding").cast("string"), F.lit("-")))
     keyed = with_uid(slim, "vec_id", content)
     stored = materialize(usable(keyed), "vectors")
-    lists = materialize(first_lists(stored, k), "lists")
+    folded = materialize(stored.groupBy("grp", "vec").agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("copies")), "folded")
+    twins = stored.join(folded.select("grp", "vec", F.col("uid").alias("rep"), "copies"), ["grp", "vec"]).select("uid", "rep", "copies")
+    twins = materialize(twins, "twins")
     for attempt in range(3):
-        linked = lists.filter(F.col("sim") >= threshold).count()
-        for _ in range(rounds):
-            lists = materialize(descend(lists, stored, k), "lists")
-            before, linked = linked, lists.filter(F.col("sim") >= threshold).count()
-            if linked <= before * 1.001:
-                break
-        labels = materialize(components(links_at(lists, stored, threshold)), "components")
-        if recall(stored, labels, threshold) >= wanted:
+        labels = linked_components(folded.drop("copies"), k, rounds, threshold, 11 + 1000 * attempt)
+        every = twins.join(labels.withColumnRenamed("node", "rep"), "rep", "left").filter("component IS NOT NULL OR copies > 1")
+        every = materialize(every.select(F.col("uid").alias("node"), F.coalesce("component", "rep").alias("component")), "components")
+        found_share = recall(stored, every, threshold)
+        if found_share >= wanted:
             break
         k *= 2
-    members = stored.select("uid", "vec").join(labels.withColumnRenamed("node", "uid"), "uid").select("uid", "component", "vec")
-    found = counted(members, threshold, limit)
-    result = keyed.select("vec_id", "uid").join(found, "uid", "left").join(labels.withColumnRenamed("node", "uid"), "uid", "left")
+    if found_share < floor:
+        raise RuntimeError(f"recall {found_share:.3f} of audited links is below {floor}")
+    labels = every.withColumnRenamed("node", "uid")
+    found = counted(stored.select("uid", "vec").join(labels, "uid").select("uid", "component", "vec"), threshold, limit)
+    result = keyed.select("vec_id", "uid").join(found, "uid", "left").join(labels, "uid", "left")
     names = keyed.select(F.col("uid").alias("component"), F.col("vec_id").alias("name")).distinct()
     result = result.join(names, "component", "left").withColumn("component_id", F.coalesce("name", "vec_id"))
     return result.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -65,6 +65,37 @@ def test_vector_links_match_all_pairs(spark, limit):
     assert got == {i: (n, c, i == c) for i, (n, c) in vector_truth(rows).items()}
 
 
+def at_angle(degrees, jitter=0.0, rng=None):
+    v = np.zeros(16)
+    v[0], v[1] = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    return (v + jitter * rng.standard_normal(16) if jitter else v).tolist()
+
+
+def test_saturated_lists_hide_no_links(spark):
+    """Exact and near copies fill every list; links between the groups, and along a chain of three, are still found."""
+    rng = np.random.default_rng(5)
+    apart = math.degrees(math.acos(0.985))
+    rows = [(k, at_angle(0 if k < 20 else apart), 1) for k in range(40)]
+    rows += [(100 + k, at_angle((k // 30) * apart, 1e-4, rng), 2) for k in range(90)]
+    rows += [(300 + k, rng.standard_normal(16).tolist(), 2) for k in range(200)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in nn_descent.near_duplicates(frame).collect()}
+    assert got == {i: (n, c, i == c) for i, (n, c) in vector_truth(rows).items()}
+    assert got[0] == (39, 0, True) and got[100][1] == got[189][1] == 100
+
+
+def test_one_vector_nine_thousand_times(spark):
+    rows = spark.range(9_000).selectExpr("id AS vec_id", "array(1.0D, 2.0D, 3.0D) AS embedding", "1 AS label")
+    found = nn_descent.near_duplicates(rows).groupBy("n_links", "component_id").count().collect()
+    assert [tuple(r) for r in found] == [(8_999, 0, 9_000)]
+
+
+def test_low_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "recall", lambda *a: 0.5)
+    with pytest.raises(RuntimeError, match="recall"):
+        nn_descent.near_duplicates(spark.createDataFrame([(1, [1.0], 1)], "vec_id long, embedding array<double>, label int"))
+
+
 def test_vectors_with_repeated_and_missing_ids(spark):
     rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (None, [1.0, 0.01], 1), (None, None, None)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
