@@ -3,6 +3,8 @@
 from oracles.base import closest, cte, hav, pmod, query, r
 from oracles.rows import BAND, b32
 from oracles.sequences import MISS
+import math
+
 from skyledger.config import FEATURES, FOLD_DATES, INJECTION_MIX, LEGACY_POINTS, MEASURED, SCALED
 from skyledger.operators.inject import COMPARISON_KINDS
 from skyledger.sources.derived import number
@@ -218,6 +220,19 @@ count(*) FILTER (NOT score {op} {thr} AND y = 1) AS fn, count(*) FILTER (NOT sco
 cte("scored0", "scored", "SELECT *, (SELECT quantile_cont(score, 0.95) FROM scored WHERE y = 0) AS t95 FROM scored")
 O["operating_point"] = query("SELECT " + point(">=", "1e0"), "scored0")
 O["threshold_p95_normal"] = query(f"SELECT {r('thr', 6)} AS threshold, " + point(">", "t95"), "scored0")
+def poisson(u: str, most: int = 16) -> str:
+    term, upto, out = math.exp(-1.0), 0.0, []
+    for k in range(most):
+        upto += term
+        out.append(f"CAST({u} >= {upto!r}::DOUBLE AS BIGINT)")
+        term /= k + 1
+    return " + ".join(out)
+
+
+cte("boot", "scored", f"SELECT rep, score, y, {poisson('u')} AS w FROM (SELECT score, y, rep, {hu('segment_id', S, 'CAST(rep AS VARCHAR)')} AS u FROM scored, (SELECT unnest(range(0, 1000)) AS rep))")
+O["bootstrap_ci"] = query(f"""SELECT {r('quantile_cont(a, 0.025)')} AS lo, {r('quantile_cont(a, 0.975)')} AS hi, count(a) AS replicates FROM (
+SELECT sum(p * (below + n / 2e0)) / nullif(sum(p) * sum(n), 0) AS a FROM (SELECT *, sum(n) OVER (PARTITION BY rep ORDER BY score) - n AS below FROM (
+SELECT rep, score, sum(w * y) AS p, sum(w * (1 - y)) AS n FROM boot GROUP BY 1, 2)) GROUP BY rep)""", "boot")
 O["precision_at_k"] = query("SELECT CAST(sum(y) AS BIGINT) AS hits, count(*) AS k FROM (SELECT y FROM scored ORDER BY score DESC, segment_id LIMIT 50)", "scored")
 O["weak_ecdf_percentile"] = query(f"SELECT segment_id, {r('score', 6)} AS score, {r('100 * cume_dist() OVER (ORDER BY score)', 6)} AS pct FROM scored", "scored")
 O["strict_percentile_vs_normal"] = query(f"SELECT segment_id, {r('score', 6)} AS score, {r('(SELECT count(*) * 1e2 / (SELECT count(*) FROM scored WHERE y = 0) FROM scored n WHERE n.y = 0 AND n.score < s.score)', 6)} AS pct FROM scored s", "scored")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -175,11 +175,23 @@ def error_report(canonical: DataFrame) -> DataFrame:
     return canonical.filter(F.size("errors") > 0).withColumn("n_errors", F.size("errors"))
 
 
-def step_losses(steps: dict[str, DataFrame], key: str = "segment_id") -> DataFrame:
-    """Rows and segments left after each step of a job."""
-    result = None
-    for i, (name, df) in enumerate(steps.items()):
-        segments = F.count_distinct(key) if key in df.columns else F.lit(None).cast("long")
-        row = df.agg(F.lit(i).alias("step_no"), F.lit(name).alias("step"), F.count(F.lit(1)).alias("rows"), segments.alias("segments"))
-        result = row if result is None else result.unionByName(row)
-    return result
+def step_losses(build: Callable[[Callable[[str, DataFrame], DataFrame]], dict[str, DataFrame]], keys: tuple[str, ...] = ("flight_id", "segment_id"), order: str = "time") -> DataFrame:
+    """Rows and segments left after each step of a job, from metrics that one run of its last step observes.
+
+    build(tap) makes the steps and passes each through tap. A segment is counted at its first row, by a window on the
+    partitioning that the steps have anyway; steps without the keys have no segments. Nothing is stored.
+    """
+    taken: dict[str, Observation] = {}
+
+    def tap(name: str, df: DataFrame) -> DataFrame:
+        taken[name] = Observation()
+        rows = F.count(F.lit(1)).alias("rows")
+        if not set(keys) <= set(df.columns):
+            return df.observe(taken[name], rows)
+        first = F.lag(F.lit(1)).over(Window.partitionBy(*keys).orderBy(order)).isNull()
+        return df.withColumn("first_", first).observe(taken[name], rows, F.count_if("first_").alias("segments")).drop("first_")
+
+    last = list(build(tap).values())[-1]
+    last.write.format("noop").mode("overwrite").save()
+    found = [(i, name, int(o.get["rows"]), o.get.get("segments")) for i, (name, o) in enumerate(taken.items())]
+    return last.sparkSession.createDataFrame(found, "step_no int, step string, rows long, segments long")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.operators.ranks import cumulative, exact_quantiles, with_block
+from skyledger.operators import ranks
+from skyledger.operators.ranks import cumulative, exact_quantiles
+from skyledger.operators.splits import hash_uniform
 from skyledger.session import materialize
 
 
@@ -29,10 +30,32 @@ def _wins(pos: str = "pos") -> Column:
 
 def auroc(df: DataFrame, score: str = "score", label: str = "label", keys: Sequence[str] = ()) -> DataFrame:
     """Share of (positive, negative) pairs in the right order, ties counting half."""
+    if not keys:
+        return _auroc_by_ranges(df, score, label)
     steps = confusion_steps(df, score, label, keys)
     return steps.groupBy(*keys).agg(F.try_divide(F.sum(_wins()), F.max(F.col("t_pos") * F.col("t_neg"))).alias("auroc"))
 
 
+def _auroc_by_ranges(df: DataFrame, score: str, label: str, limit: int = 50_000) -> DataFrame:
+    """Pairs of different ranges follow from counts; only ranges of several values that hold both classes are ordered."""
+    rows = ranks.slim(df.withColumn("y_", F.col(label).cast("long")), score, "y_")
+    ranges = ranks.even_ranges(rows, score, limit)
+    wins, pos, neg, mixed = 0.0, 0, 0, []
+    if ranges:
+        cut = ranks.with_range(rows, score, ranges)
+        sums = {r.range_: r for r in cut.groupBy("range_").agg(F.sum("y_").alias("p"), F.sum(1 - F.col("y_")).alias("n")).collect()}
+        for i, r in enumerate(ranges):
+            p, n = sums[i].p or 0, sums[i].n or 0
+            wins += p * neg + (p * n / 2 if r.single else 0)
+            mixed += [(i,)] if p and n and not r.single else []
+            pos, neg = pos + p, neg + n
+        if mixed:
+            inner = cut.join(F.broadcast(df.sparkSession.createDataFrame(mixed, "range_ int")), "range_").groupBy("range_", score).agg(F.sum("y_").alias("pos"), F.sum(1 - F.col("y_")).alias("neg"))
+            upto = Window.partitionBy("range_").orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            wins += inner.withColumn("c_neg", F.sum("neg").over(upto)).agg(F.sum(_wins())).first()[0]
+    return df.sparkSession.createDataFrame([(wins / (pos * neg) if pos and neg else None,)], "auroc double")
+
+
 def _at_or_above() -> dict[str, Column]:
     return {"tp": F.col("t_pos") - F.col("c_pos") + F.col("pos"), "fp": F.col("t_neg") - F.col("c_neg") + F.col("neg")}
 
@@ -116,38 +139,56 @@ def seen_unseen(df: DataFrame, train_keys: DataFrame, key: str, score: str = "sc
     return auroc(df.join(known, key, "left").withColumn("seen", F.coalesce("seen", F.lit(False))), score, label, ["seen"])
 
 
-def bootstrap_auroc(df: DataFrame, score: str = "score", label: str = "label", replicates: int = 1_000, seed: int = 42,
-                    rows_per_block: int = 20_000) -> DataFrame:
+def poisson_draw(u: Column, mean: float = 1.0, most: int = 16) -> Column:
+    """A Poisson number by inversion of u in [0, 1): how many of the cumulative probabilities are at or below it."""
+    term, upto, out = math.exp(-mean), 0.0, F.lit(0)
+    for k in range(most):
+        upto += term
+        out = out + (u >= F.lit(upto)).cast("int")
+        term *= mean / (k + 1)
+    return out
+
+
+def bootstrap_auroc(df: DataFrame, score: str = "score", label: str = "label", key: str = "segment_id", replicates: int = 1_000, seed: int = 42,
+                    rows_per_block: int = 4_000) -> DataFrame:
     """2.5% and 97.5% of the AUROC over Poisson resamples.
 
-    Equal scores are folded first (c copies resample as one Poisson draw with mean c), then cut into
-    even ordered blocks. A block draws all replicates for its own scores and returns one row per
-    replicate: its weights and its inner wins. Offsets between blocks are sums over blocks, so no
-    row is copied per replicate and no block needs another block's rows.
+    A row's weight in a replicate is a Poisson draw with mean 1 by inversion of a hash of key, seed and replicate, so any
+    engine can repeat it. Rows are cut into even ranges of the score; a range is one array in order, which every
+    replicate folds to its weights and inner wins (twice, as whole numbers). Ranges of one score need sums only,
+    and are dealt to parts. Offsets between ranges are sums over ranges. No row moves per replicate.
     """
-    hit = F.col(label).cast("long")
-    slim = materialize(df.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(
-        F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg")), "boot")
-    cut = with_block(slim, "s", max(1, -(-slim.count() // rows_per_block)))
-
-    def draw(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("s", kind="stable")
-        rng = np.random.default_rng([seed, int(key[0])])
-        pos, neg = pdf["pos"].to_numpy("float64"), pdf["neg"].to_numpy("float64")
-        out = []
-        for start in range(0, replicates, 50):
-            reps = range(start, min(start + 50, replicates))
-            p = rng.poisson(pos[:, None], size=(len(pos), len(reps)))
-            n = rng.poisson(neg[:, None], size=(len(neg), len(reps)))
-            wins = (p * (np.cumsum(n, axis=0) - n / 2)).sum(axis=0)
-            out.append(pd.DataFrame({"block": int(key[0]), "rep": list(reps), "p": p.sum(axis=0).astype("float64"),
-                                     "n": n.sum(axis=0).astype("float64"), "u": wins}))
-        return pd.concat(out)
-
-    parts = cut.groupBy("block").applyInPandas(draw, "block int, rep int, p double, n double, u double")
-    prior = Window.partitionBy("rep").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    linked = parts.withColumn("u", F.col("u") + F.col("p") * F.coalesce(F.sum("n").over(prior), F.lit(0.0)))
-    reps = linked.groupBy("rep").agg((F.sum("u") / F.nullif(F.sum("p") * F.sum("n"), F.lit(0.0))).alias("a"))
+    rows = ranks.slim(df.withColumn("y_", F.col(label).cast("int")), score, "y_", F.col(key).cast("string").alias("id_"))
+    ranges = ranks.even_ranges(rows, score, rows_per_block)
+    if not ranges:
+        return df.sparkSession.createDataFrame([(None, None, 0)], "lo double, hi double, replicates long")
+    parts = [(i, r.single, -(-r.n // rows_per_block) if r.single else 1) for i, r in enumerate(ranges)]
+    placed = ranks.with_range(rows, score, ranges).join(F.broadcast(df.sparkSession.createDataFrame(parts, "range_ int, single boolean, parts int")), "range_")
+    packed = placed.groupBy("range_", "single", F.pmod(F.xxhash64("id_"), F.col("parts")).alias("part")).agg(F.array_sort(F.collect_list(F.struct(F.col(score).alias("s"), "y_", "id_"))).alias("rows"))
+    spread = packed.repartition("range_", "part").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+
+    def weighed(row: Column) -> Column:
+        # the inner transform draws the hash once for all comparisons
+        drawn = F.transform(F.array(hash_uniform(row["id_"], seed, F.col("rep").cast("string"))), lambda u: poisson_draw(u).cast("long"))
+        return F.struct(row["s"].alias("s"), row["y_"].alias("y_"), drawn[0].alias("w"))
+
+    def step(state: Column, row: Column) -> Column:
+        w = row["w"]
+        p, n = F.when(row["y_"] == 1, w).otherwise(F.lit(0).cast("long")), F.when(row["y_"] == 1, F.lit(0).cast("long")).otherwise(w)
+        same = row["s"] == state["s"]
+        # wins of a row against those before it: whole for lower scores, half for equal ones; equal pairs count from either side
+        tied_p, tied_n = F.when(same, state["tied_p"]).otherwise(F.lit(0).cast("long")), F.when(same, state["tied_n"]).otherwise(F.lit(0).cast("long"))
+        return F.struct(
+            row["s"].alias("s"), (state["p"] + p).alias("p"), (state["n"] + n).alias("n"),
+            (state["u"] + 2 * p * (state["n"] - tied_n) + p * tied_n + n * tied_p).alias("u"), (tied_p + p).alias("tied_p"), (tied_n + n).alias("tied_n"))
+
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit(None).cast("double").alias("s"), *[zero.alias(c) for c in ("p", "n", "u", "tied_p", "tied_n")])
+    folded = spread.select("range_", "single", "rep", F.aggregate(F.transform("rows", weighed), start, step).alias("f"))
+    sums = folded.groupBy("range_", "single", "rep").agg(*[F.sum(f"f.{c}").alias(c) for c in ("p", "n", "u")]).withColumn("u", F.when(F.col("single"), F.col("p") * F.col("n")).otherwise(F.col("u")))
+    prior = Window.partitionBy("rep").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    linked = sums.withColumn("u", F.col("u") + 2 * F.col("p") * F.coalesce(F.sum("n").over(prior), zero))
+    reps = linked.groupBy("rep").agg((F.sum("u") / F.nullif(2 * F.sum("p") * F.sum("n"), zero)).alias("a"))
     return reps.agg(F.percentile("a", 0.025).alias("lo"), F.percentile("a", 0.975).alias("hi"), F.count("a").alias("replicates"))
 
 

@@ -73,33 +73,56 @@ def missing_masks(df: DataFrame) -> DataFrame:
     return df.withColumns({f"{c}_missing": F.col(c).isNull() for c in MEASURED})
 
 
-def interpolate(df: DataFrame, columns, keys=SEGMENT) -> DataFrame:
-    """Linear between the nearest observed rows, nearest value outside them, null if there is none."""
-    ahead = Window.partitionBy(*keys).orderBy("time").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    seen = {c: F.when(F.col(c).isNotNull(), F.struct("time", F.col(c).alias("v"))) for c in columns}
-    df = df.withColumns({f"p_{c}": F.last(s, True).over(running(keys)) for c, s in seen.items()}
-                        | {f"n_{c}": F.first(s, True).over(ahead) for c, s in seen.items()})
+def neighbours(df: DataFrame, columns: dict[str, Column], keys=SEGMENT) -> DataFrame:
+    """Add p_<name> and n_<name>: the last value at or before and the first at or after each row.
+
+    Both are running values, the second in reverse order, so the work grows with the rows of a segment, not with
+    their square as it would over frames that end at the segment's end.
+    """
+    back = Window.partitionBy(*keys).orderBy(F.col("time").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumns({f"n_{c}": F.last(v, True).over(back) for c, v in columns.items()}).withColumns(
+        {f"p_{c}": F.last(v, True).over(running(keys)) for c, v in columns.items()})
+
+
+def _observed(columns) -> dict[str, Column]:
+    return {c: F.when(F.col(c).isNotNull(), F.struct("time", F.col(c).alias("v"))) for c in columns}
+
+
+def _interpolated(columns) -> dict[str, Column]:
     filled = {}
     for c in columns:
         p, n = F.col(f"p_{c}"), F.col(f"n_{c}")
         share = F.try_divide(F.col("time") - p["time"], n["time"] - p["time"])
         filled[c] = F.coalesce(F.col(c), F.when(p.isNotNull() & n.isNotNull(), p["v"] + (n["v"] - p["v"]) * share), p["v"], n["v"])
-    return df.withColumns(filled).drop(*[f"{a}_{c}" for a in "pn" for c in columns])
+    return filled
+
+
+def _nearest(columns) -> dict[str, Column]:
+    return {c: F.coalesce(f"p_{c}", f"n_{c}") for c in columns}
+
+
+def _without(df: DataFrame, columns) -> DataFrame:
+    return df.drop(*[f"{a}_{c}" for a in "pn" for c in columns])
+
+
+def interpolate(df: DataFrame, columns, keys=SEGMENT) -> DataFrame:
+    """Linear between the nearest observed rows, nearest value outside them, null if there is none."""
+    return _without(neighbours(df, _observed(columns), keys).withColumns(_interpolated(columns)), columns)
 
 
 def fill_nearest(df: DataFrame, columns, keys=SEGMENT) -> DataFrame:
     """Last value carried forward, then the first one carried back."""
-    ahead = Window.partitionBy(*keys).orderBy("time").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return df.withColumns({c: F.coalesce(F.last(c, True).over(running(keys)), F.first(c, True).over(ahead)) for c in columns})
+    return _without(neighbours(df, {c: F.col(c) for c in columns}, keys).withColumns(_nearest(columns)), columns)
 
 
 def resample(df: DataFrame) -> DataFrame:
     """Grid, masks and imputation; every window has the segment key, so one shuffle serves all."""
     carried = tuple(c for c in ("onground", "flight_phase", "squawk") if c in df.columns)
     grid = missing_masks(expand_grid(snap_to_grid(df), (*MEASURED, *carried)))
-    parts = grid.withColumns(heading_parts())
-    full = interpolate(parts, (*INTERPOLATED, "hdg_sin", "hdg_cos"))
-    full = fill_nearest(full, carried).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in (*INTERPOLATED, "hdg_sin", "hdg_cos")})
+    smooth = (*INTERPOLATED, "hdg_sin", "hdg_cos")
+    parts = neighbours(grid.withColumns(heading_parts()), _observed(smooth) | {c: F.col(c) for c in carried})
+    full = _without(parts.withColumns(_interpolated(smooth) | _nearest(carried)), (*smooth, *carried))
+    full = full.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in smooth})
     full = normalised_heading(full)
     return full.withColumns({"onground": F.coalesce("onground", F.lit(False)), "dist_to_runway_m": closest_runway_m()})
 
@@ -114,20 +137,20 @@ CLEAN_COLUMNS = ("segment_id", "flight_id", "icao24", "time", *INTERPOLATED, "he
                  "n_imputed_impossible", "n_imputed_missing", "n_steps")
 
 
-def preprocess_steps(df: DataFrame, cfg: PrepConfig = PREP, store: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
-    """The ordered steps of the cleaning job by name, each built on the one before.
+def preprocess_steps(df: DataFrame, cfg: PrepConfig = PREP, tap: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> dict[str, DataFrame]:
+    """The ordered steps of the cleaning job by name, each built on the one before; tap sees every step as it passes."""
+    steps: dict[str, DataFrame] = {}
 
-    store keeps the rows after the steps that move them; a caller that reads several steps passes `materialize`,
-    so that none runs twice.
-    """
-    deduped = store(dedupe_rounded_time(df))
-    segmented = store(segment_gaps(deduped, cfg.gap_s))
-    engaged = filter_d(segmented)
-    trimmed = trim_idle(with_step_speed(engaged), cfg.move_speed).drop("step_s", "step_m", "step_speed")
-    counted = store(with_counters(flag_impossible(trimmed, cfg)))
-    gridded = store(resample(counted))
-    return {"input": df, "deduplicated": deduped, "segmented": segmented, "engaged": engaged, "trimmed": trimmed,
-            "counted": counted, "gridded": gridded, "clean": filter_min_length(gridded, cfg.min_rows)}
+    def keep(name: str, rows: DataFrame) -> DataFrame:
+        steps[name] = tap(name, rows)
+        return steps[name]
+
+    segmented = keep("segmented", segment_gaps(keep("deduplicated", dedupe_rounded_time(keep("input", df))), cfg.gap_s))
+    engaged = keep("engaged", filter_d(segmented))
+    trimmed = keep("trimmed", trim_idle(with_step_speed(engaged), cfg.move_speed).drop("step_s", "step_m", "step_speed"))
+    counted = keep("counted", with_counters(flag_impossible(trimmed, cfg)))
+    keep("clean", filter_min_length(keep("gridded", resample(counted)), cfg.min_rows))
+    return steps
 
 
 def preprocess(df: DataFrame, cfg: PrepConfig = PREP) -> DataFrame:

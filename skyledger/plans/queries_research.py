@@ -245,7 +245,7 @@ def _(v):
 
 @register("bootstrap_ci")
 def _(v):
-    return metrics.bootstrap_auroc(labelled(v).select("score", "y"), "score", "y")
+    return metrics.bootstrap_auroc(labelled(v), "score", "y")
 
 
 @register("precision_at_k")

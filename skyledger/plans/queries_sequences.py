@@ -9,7 +9,6 @@ from skyledger.config import FEATURES, MEASURED
 from skyledger.operators import approach, checks, profiles, resample, segments, sequence, windows
 from skyledger.plans.queries_rows import wild
 from skyledger.plans.views import PREP, WINDOW, register
-from skyledger.session import materialize
 
 SEG = ("flight_id", "segment_id")
 
@@ -202,7 +201,7 @@ def _(v):
 
 @register("reject_summary")
 def _(v):
-    return checks.step_losses(resample.preprocess_steps(v.d21, PREP, materialize))
+    return checks.step_losses(lambda tap: resample.preprocess_steps(v.d21, PREP, tap))
 
 
 @register("imputation_counters")

@@ -49,8 +49,35 @@ def test_auroc_with_a_third_of_equal_scores(spark):
     pos, neg = score[label == 1], score[label == 0]
     want = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
     assert abs(metrics.auroc(df).first()[0] - want) < 1e-12
-    ci = metrics.bootstrap_auroc(df, replicates=200, rows_per_block=100).first()
-    assert ci.lo < want < ci.hi and ci.hi - ci.lo < 0.15 and ci.replicates == 200
+    keyed = frame(spark, [(f"k{i}", float(s), int(y)) for i, (s, y) in enumerate(zip(score, label))], "segment_id string, score double, label int")
+    cis = [metrics.bootstrap_auroc(keyed, replicates=20, rows_per_block=n).first() for n in (50, 100_000)]
+    assert cis[0] == cis[1] and cis[0].lo < want < cis[0].hi and cis[0].hi - cis[0].lo < 0.15 and cis[0].replicates == 20
+    assert metrics.bootstrap_auroc(keyed.limit(0), replicates=5).first().replicates == 0
+    for limit in (60,):
+        assert abs(metrics._auroc_by_ranges(df, "score", "label", limit).first()[0] - want) < 1e-12
+    assert metrics.auroc(df.filter("label = 0")).first()[0] is None and metrics.auroc(df.limit(0)).first()[0] is None
+
+
+def test_refined_histograms_select_and_rank(spark):
+    rng = np.random.default_rng(8)
+    values = np.concatenate([np.full(500, 2.5), rng.normal(size=700), 10.0 ** rng.uniform(-300, 300, 200), -(10.0 ** rng.uniform(-5, 5, 100)), [0.0, -0.0, 5e-324, 1.7e308, -1.7e308]])
+    rng.shuffle(values)
+    df = frame(spark, [(float(v), i) for i, v in enumerate(values)] + [(None, -1), (float("nan"), -2)], "v double, i int")
+    stored = ranks.slim(df, "v")
+    want = np.sort(values)
+    places = [0, 1, 17, 700, 701, 1200, len(want) - 1]
+    for limit in (150, 10_000):
+        assert ranks.order_statistics(stored, "v", places, limit) == {p: want[p] for p in places}
+        ranges = ranks.even_ranges(stored, "v", limit)
+        assert sum(r.n for r in ranges) == len(want) and all(r.n <= limit or r.single for r in ranges)
+        got = {r.i: r.pct for r in ranks.weak_percentile(df, "v", limit=limit).collect()}
+        assert got.pop(-1) is None and got.pop(-2) is None
+        upto = np.searchsorted(want, values, side="right") * 100.0 / len(want)
+        assert np.allclose([got[i] for i in range(len(values))], upto, rtol=0, atol=1e-9)
+    row = ranks.exact_quantiles(df, "v", [0.0, 0.33, 0.5, 1.0]).first()
+    assert row.n == len(want) and np.allclose(list(row)[1:], np.quantile(want, [0.0, 0.33, 0.5, 1.0]), rtol=1e-12)
+    empty = ranks.exact_quantiles(df.limit(0), "v", [0.5]).first()
+    assert empty.n is None and empty.q0 is None and ranks.weak_percentile(df.limit(0), "v").count() == 0
 
 
 def vectors(spark, x, prefix):
