@@ -7,10 +7,13 @@ from skyledger.config import EARTH_RADIUS_M, FEATURES, LANDING_RUNWAYS, LEGACY_P
 from skyledger.sources import derived
 
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
+RECURSIVE: set[str] = set()
 
 
-def cte(name: str, deps: str, sql: str) -> None:
+def cte(name: str, deps: str, sql: str, recursive: bool = False) -> None:
     CTES[name] = (tuple(deps.split()), sql)
+    if recursive:
+        RECURSIVE.add(name)
 
 
 def query(select: str, *needs: str) -> str:
@@ -25,8 +28,8 @@ def query(select: str, *needs: str) -> str:
 
     for need in needs:
         visit(need)
-    body = ", ".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in order)
-    return f"WITH {body} {select}" if order else select
+    body = ", ".join(f"{n} AS {'' if n in RECURSIVE else 'MATERIALIZED '}({CTES[n][1]})" for n in order)
+    return f"WITH {'RECURSIVE ' if RECURSIVE & set(order) else ''}{body} {select}" if order else select
 
 
 def r(expr: str, digits: int = 3) -> str:

@@ -172,6 +172,67 @@ cte("vec", "tz split", "SELECT segment_id, any_value(fold) AS fold, " + ", ".joi
 DIST = "sqrt(" + " + ".join(f"(a.f{i} - b.f{i}) * (a.f{i} - b.f{i})" for i in range(24)) + ")"
 O["knn_score"] = query(f"SELECT segment_id, {r('d')} AS score FROM (SELECT a.segment_id, {DIST} AS d, row_number() OVER (PARTITION BY a.segment_id ORDER BY {DIST}) AS rn FROM vec a, vec b WHERE a.fold <> 'train' AND b.fold = 'train') WHERE rn = 5", "vec")
 
+# ---- isolation forest: 200 trees of the 256 rows of least hash ----
+cte("vec6", "vec", "SELECT segment_id, fold, [" + ", ".join(f"round(f{i}, 6) + 0e0" for i in range(24)) + "] AS f FROM vec")
+cte("fsam", "vec6", f"SELECT tree, segment_id, f FROM (SELECT tree, segment_id, f, row_number() OVER (PARTITION BY tree ORDER BY u, segment_id) AS rn FROM (SELECT tree, segment_id, f, {hu('segment_id', 'CAST(tree AS VARCHAR)', S)} AS u FROM vec6, (SELECT unnest(range(0, 200)) AS tree) WHERE fold = 'train')) WHERE rn <= 256")
+
+
+def path_length(n: str) -> str:
+    return f"CASE WHEN {n} <= 1 THEN 0e0 WHEN {n} = 2 THEN 1e0 ELSE 2e0 * (ln({n} - 1e0) + 0.5772156649015329::DOUBLE) - 2e0 * ({n} - 1e0) / {n} END"
+
+
+def split(source: str) -> str:
+    """Rows of nodes with the node's size, feature (from 1; 0 in leaves) and cut."""
+    w = "OVER (PARTITION BY tree, node)"
+    spans = (f"SELECT *, count(*) {w} AS n, [" + ", ".join(f"min(f[{i}]) {w}" for i in range(1, 25)) + "] AS lows, [" + ", ".join(f"max(f[{i}]) {w}" for i in range(1, 25)) + f"] AS highs FROM ({source})")
+    node = "CAST(tree AS VARCHAR)", "CAST(node AS VARCHAR)", S
+    varied = f"SELECT *, list_filter(range(1, 25), lambda i: highs[i] > lows[i]) AS varied FROM ({spans})"
+    picked = (f"SELECT *, CASE WHEN depth >= ceil(log2(greatest(least(256, (SELECT count(*) FROM vec6 WHERE fold = 'train')), 2))) OR n <= 1 OR len(varied) = 0 THEN 0 ELSE varied[1 + CAST(floor({hu(*node, chr(39) + 'feature' + chr(39))} * len(varied)) AS BIGINT)] END AS feature FROM ({varied})")
+    drawn = f"SELECT *, lows[feature] + {hu(*node, chr(39) + 'cut' + chr(39))} * (highs[feature] - lows[feature]) AS drawn FROM ({picked})"
+    return f"SELECT tree, node, depth, f, n, feature, CASE WHEN drawn < highs[feature] THEN drawn ELSE lows[feature] END AS cut FROM ({drawn})"
+
+
+cte("grown", "fsam", split("SELECT tree, 1::BIGINT AS node, 0 AS depth, f FROM fsam") + " UNION ALL " + split("SELECT tree, 2 * node + CAST(f[feature] > cut AS BIGINT) AS node, depth + 1 AS depth, f FROM grown WHERE feature > 0"), recursive=True)
+cte("fnode", "grown", f"SELECT DISTINCT tree, node, feature, cut, CASE WHEN feature = 0 THEN depth + {path_length('n')} END AS path FROM grown")
+cte("walk", "fnode", "SELECT segment_id, tree, f, 1::BIGINT AS node FROM vec6, (SELECT unnest(range(0, 200)) AS tree) WHERE fold <> 'train' UNION ALL SELECT walk.segment_id, walk.tree, walk.f, 2 * walk.node + CAST(walk.f[x.feature] > x.cut AS BIGINT) FROM walk JOIN fnode x ON x.tree = walk.tree AND x.node = walk.node WHERE x.feature > 0", recursive=True)
+O["isolation_forest"] = query(f"SELECT segment_id, {r('pow(2e0, -sum(path) / (SELECT sum(' + path_length('m') + ') FROM (SELECT count(*) AS m FROM fsam GROUP BY tree)))')} AS score FROM walk JOIN fnode x ON x.tree = walk.tree AND x.node = walk.node WHERE x.feature = 0 GROUP BY 1", "walk")
+
+# ---- mixture of 8 diagonal components ----
+DIM = range(1, 25)
+cte("gstart", "vec6", f"SELECT row_number() OVER (ORDER BY u, segment_id) AS c, f AS m FROM (SELECT segment_id, f, {hu('segment_id', S, chr(39) + 'gmm' + chr(39))} AS u FROM vec6 WHERE fold = 'train' ORDER BY u, segment_id LIMIT 8)")
+LOGD = "ln(w) - list_sum(list_transform(range(1, 25), lambda i: (f[i] - m[i]) * (f[i] - m[i]) / v[i] + ln(2e0 * pi() * v[i]))) / 2"
+WHOLE = f"SELECT *, top + ln(sum(exp(l - top)) OVER (PARTITION BY segment_id)) AS whole FROM (SELECT *, max(l) OVER (PARTITION BY segment_id) AS top FROM (SELECT *, {LOGD} AS l FROM "
+cte("em", "gstart", "SELECT 0 AS step, c, 1e0 / (SELECT count(*) FROM gstart) AS w, m, (SELECT [" + ", ".join(f"greatest(var_pop(f[{i}]), 1e-6)" for i in DIM) + "] FROM vec6 WHERE fold = 'train') AS v, NULL::DOUBLE AS ll, FALSE AS done FROM gstart UNION ALL "
+    "SELECT step + 1, c, mass / sum(mass) OVER () AS w, list_transform(sx, lambda x: x / mass) AS m, list_transform(range(1, 25), lambda i: greatest(sxx[i] / mass - (sx[i] / mass) * (sx[i] / mass), 1e-6)) AS v, now AS ll, coalesce(abs(now - ll) < 1e-3, FALSE) AS done FROM ("
+    "SELECT *, greatest(n, 1e-9) AS mass, sum(rw) OVER () / greatest(sum(n) OVER (), 1e-9) AS now FROM (SELECT step, c, any_value(ll) AS ll, sum(resp) AS n, sum(resp * whole) AS rw, [" + ", ".join(f"sum(resp * f[{i}])" for i in DIM) + "] AS sx, [" + ", ".join(f"sum(resp * f[{i}] * f[{i}])" for i in DIM)
+    + f"] AS sxx FROM (SELECT *, exp(l - whole) AS resp FROM ({WHOLE}(SELECT em.*, segment_id, f FROM em, vec6 WHERE fold = 'train' AND NOT done AND step < 200))))) GROUP BY step, c))", recursive=True)
+O["gmm_score"] = query(f"SELECT segment_id, {r('any_value(-whole)')} AS score FROM ({WHOLE}(SELECT em.*, segment_id, f FROM em, vec6 WHERE fold <> 'train' AND step = (SELECT max(step) FROM em))))) GROUP BY 1", "em")
+
+# ---- principal components by orthogonal iteration ----
+ZS = [f"z_{c}" for c in FEATURES]
+cte("pz", "clean tscl split", f"SELECT *, hdg_sin AS z_hdg_sin, hdg_cos AS z_hdg_cos, CAST(CAST(onground AS INTEGER) AS DOUBLE) AS z_onground FROM (SELECT c.*, fold, NOT ({MISS}) AS valid, " + ", ".join(f"({c} - mean_{c}) / sd_{c} AS z_{c}" for c in SCALED) + f" FROM (SELECT *, row_number() OVER ({W}) AS st FROM clean) c JOIN split USING (segment_id), tscl WHERE st <= 15)")
+cte("pcov", "pz", "SELECT [" + ", ".join(f"avg({z})" for z in ZS) + "] AS mu, [" + ", ".join("[" + ", ".join(f"covar_pop({x}, {y})" for y in ZS) + "]" for x in ZS) + "] AS cov FROM pz WHERE fold = 'train'")
+
+
+def times(q: str) -> str:
+    return f"list_transform(cov, lambda line: list_dot_product(line, {q}))"
+
+
+def without(y: str, *qs: str) -> str:
+    return f"list_transform(range(1, 10), lambda i: {y}[i]" + "".join(f" - list_dot_product({y}, {q}) * {q}[i]" for q in qs) + ")"
+
+
+def scaled_to_one(y: str) -> str:
+    return f"list_transform({y}, lambda x: x / sqrt(list_dot_product({y}, {y})))"
+
+
+cte("axes", "pcov", "SELECT 0 AS step, " + ", ".join("[" + ", ".join("1e0" if i == k else f"{0.01 * (i + 1):.2f}::DOUBLE" for i in range(9)) + f"] AS q{k}" for k in range(3)) + " UNION ALL "
+    f"SELECT step + 1, q0, q1, {scaled_to_one('y2')} AS q2 FROM (SELECT step, q0, q1, {without('p2', 'q0', 'q1')} AS y2 FROM (SELECT step, q0, {scaled_to_one('y1')} AS q1, p2 FROM (SELECT step, q0, {without('p1', 'q0')} AS y1, p2 FROM ("
+    f"SELECT step, {scaled_to_one('p0')} AS q0, p1, p2 FROM (SELECT step, {times('q0')} AS p0, {times('q1')} AS p1, {times('q2')} AS p2 FROM axes, pcov WHERE step < 1500)))))", recursive=True)
+cte("perr", "axes pz", "SELECT segment_id, time, valid, list_sum(list_transform(range(1, 10), lambda i: pow(d[i] - a0 * q0[i] - a1 * q1[i] - a2 * q2[i], 2))) / 9 AS se FROM (SELECT *, list_dot_product(d, q0) AS a0, list_dot_product(d, q1) AS a1, list_dot_product(d, q2) AS a2 FROM ("
+    "SELECT segment_id, time, valid, list_transform(range(1, 10), lambda i: z[i] - mu[i]) AS d, q0, q1, q2 FROM (SELECT *, [" + ", ".join(ZS) + "] AS z FROM pz WHERE fold <> 'train'), pcov, (SELECT * FROM axes WHERE step = 1500)))")
+O["pca_reconstruction"] = query(O["reconstruction_scores"][O["reconstruction_scores"].rindex("SELECT segment_id, round(CAST(coalesce(avg(ok)"):].replace("FROM err)", "FROM perr)"), "perr")
+
 # ---- scores, metrics ----
 cte("sfacts", "clean", states("clean"))
 cte("scored", "clean sfacts meta", f"""SELECT s.*, f.* EXCLUDE (segment_id), m.icao24, {LAB} AS label, CASE WHEN {LAB} = 'normal' THEN 0 ELSE 1 END AS y FROM (

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import warnings
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,21 +50,30 @@ def feature_errors(rows: DataFrame, keys=("flight_id", "segment_id")) -> DataFra
     return rows.groupBy(*keys).agg(*aggs)
 
 
+def covariance(rows: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, covariance) of the columns, folded to one row of sums about a first mean."""
+    centre = np.array([float(x or 0.0) for x in rows.agg(*[F.avg(c) for c in columns]).first()])
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    moved = [F.col(c) - F.lit(float(m)) for c, m in zip(columns, centre)]
+    sums = rows.agg(*[F.avg(moved[i] * moved[j]) for i, j in pairs]).first()
+    out = np.zeros((len(columns), len(columns)))
+    for (i, j), v in zip(pairs, sums):
+        out[i, j] = out[j, i] = float(v or 0.0)
+    return centre, out
+
+
 def pca_reconstruction(train: DataFrame, rows: DataFrame, k: int = 3) -> DataFrame:
-    """r_<feature>: each row projected on the k leading components of the train rows and back."""
-    vector = array_to_vector(F.array(*[F.col(f"z_{c}") for c in FEATURES]))
-    centre = train.agg(*[F.avg(f"z_{c}") for c in FEATURES]).first()
-    model = PCA(k=k, inputCol="v_", outputCol="p_").fit(train.withColumn("v_", vector))
-    basis = model.pc.toArray()
-    projected = model.transform(rows.withColumn("v_", vector)).withColumn("p_", vector_to_array("p_"))
-    shift = basis @ (basis.T @ np.array([float(x) for x in centre]))
+    """r_<feature>: each row projected on the k leading components of the train rows and back, about their mean."""
+    centre, spread = covariance(train, [f"z_{c}" for c in FEATURES])
+    basis = np.linalg.eigh(spread)[1][:, ::-1][:, :k]
+    onto = basis @ basis.T
     rebuilt = {}
     for i, c in enumerate(FEATURES):
-        value = F.lit(float(centre[i]) - float(shift[i]))
-        for j in range(k):
-            value = value + F.col("p_")[j] * float(basis[i, j])
+        value = F.lit(float(centre[i]))
+        for j, other in enumerate(FEATURES):
+            value = value + F.lit(float(onto[i, j])) * (F.col(f"z_{other}") - F.lit(float(centre[j])))
         rebuilt[f"r_{c}"] = value
-    return projected.withColumns(rebuilt).drop("v_", "p_")
+    return rows.withColumns(rebuilt)
 
 
 # ---- isolation forest -------------------------------------------------------------------------
@@ -76,54 +84,58 @@ def _average_path(n: float) -> float:
     return 1.0 if n == 2 else 2.0 * (math.log(n - 1.0) + EULER_GAMMA) - 2.0 * (n - 1.0) / n
 
 
-def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[dict]:
-    """Nodes as (feature, cut, left, right, path): feature −1 marks a leaf."""
-    nodes: list[list] = []
-    stack = [(np.arange(len(x)), 0, -1, False)]
+def _draw(*parts) -> float:
+    """What hash_uniform gives for the same parts."""
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 4294967296.0
+
+
+def _grow(x: np.ndarray, tree: int, seed: int, limit: int) -> list[dict]:
+    """Nodes of a tree, numbered from 1 with children 2n and 2n + 1: feature −1 marks a leaf, path is its depth in the score."""
+    nodes = []
+    stack = [(np.arange(len(x)), 0, 1)]
     while stack:
-        idx, depth, parent, right = stack.pop()
-        me = len(nodes)
-        spread = x[idx].max(axis=0) - x[idx].min(axis=0)
-        varied = np.flatnonzero(spread > 0)
+        idx, depth, node = stack.pop()
+        low, high = x[idx].min(axis=0), x[idx].max(axis=0)
+        varied = np.flatnonzero(high > low)
         if depth >= limit or len(idx) <= 1 or not len(varied):
-            nodes.append([-1, 0.0, -1, -1, depth + _average_path(len(idx))])
-        else:
-            f = int(rng.choice(varied))
-            low, high = x[idx, f].min(), x[idx, f].max()
-            cut = float(rng.uniform(low, high))
-            cut = cut if cut < high else float(low)
-            nodes.append([f, cut, -1, -1, 0.0])
-            stack += [(idx[x[idx, f] <= cut], depth + 1, me, False), (idx[x[idx, f] > cut], depth + 1, me, True)]
-        if parent >= 0:
-            nodes[parent][3 if right else 2] = me
-    return [dict(zip(("feature", "cut", "left", "right", "path"), n)) for n in nodes]
+            nodes.append((node, -1, 0.0, depth + _average_path(len(idx))))
+            continue
+        f = int(varied[int(_draw(tree, node, seed, "feature") * len(varied))])
+        cut = float(low[f] + _draw(tree, node, seed, "cut") * (high[f] - low[f]))
+        cut = cut if cut < high[f] else float(low[f])
+        nodes.append((node, f, cut, 0.0))
+        stack += [(idx[x[idx, f] <= cut], depth + 1, 2 * node), (idx[x[idx, f] > cut], depth + 1, 2 * node + 1)]
+    return [dict(zip(("node", "feature", "cut", "path"), n)) for n in sorted(nodes)]
 
 
 def fit_forest(train: DataFrame, key: str = "segment_id", trees: int = 200, sample: int = 256, seed: int = 42) -> DataFrame:
-    """One row per tree with its nodes. Each tree sees `sample` rows chosen by hash.
+    """One row per tree with its nodes. Each tree sees the `sample` rows of least hash; splits are drawn by hash of the node.
 
-    A row is first offered to a tree with a probability that yields about three samples' worth, so
-    only a fixed number of rows per tree is ever shuffled, whatever the size of train.
+    So the forest does not depend on the engine or the order of rows. A row is offered to a tree if its hash is below
+    a share that yields about three samples' worth, so only a fixed number of rows per tree is ever shuffled.
     """
     n = train.count()
     share = min(1.0, 3.0 * sample / max(n, 1))
-    draw = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
-        t.alias("tree"), F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(1 << 30)).alias("u")))
-    offered = train.select("features", key, F.inline(F.filter(draw, lambda d: d["u"] < int(share * (1 << 30)))))
+    draw = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), hash_uniform(F.col(key).cast("string"), t.cast("string"), seed).alias("u")))
+    offered = train.select("features", key, F.inline(F.filter(draw, lambda d: d["u"] < share)))
     chosen = offered.withColumn("rn", F.row_number().over(Window.partitionBy("tree").orderBy("u", key))).filter(F.col("rn") <= sample)
 
     def build(key_, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf.sort_values("rn")["features"].tolist(), dtype="float64")
-        nodes = _grow(x, np.random.default_rng([seed, int(key_[0])]), int(math.ceil(math.log2(max(len(x), 2)))))
+        x = np.array(pdf["features"].tolist(), dtype="float64")
+        nodes = _grow(x, int(key_[0]), seed, int(math.ceil(math.log2(max(len(x), 2)))))
         return pd.DataFrame({"tree": [int(key_[0])], "n": [len(x)], "nodes": [nodes]})
 
-    return chosen.select("tree", "rn", "features").groupBy("tree").applyInPandas(
-        build, "tree int, n int, nodes array<struct<feature:int, cut:double, left:int, right:int, path:double>>")
+    return chosen.select("tree", "features").groupBy("tree").applyInPandas(build, "tree int, n int, nodes array<struct<node:int, feature:int, cut:double, path:double>>")
 
 
 def score_forest(rows: DataFrame, forest: DataFrame, key: str = "segment_id") -> DataFrame:
-    """score in (0, 1], higher is more isolated. The forest is trees × at most 511 nodes."""
-    grown = [(r["n"], np.array([tuple(x) for x in r["nodes"]], dtype="float64")) for r in forest.orderBy("tree").collect()]
+    """score in (0, 1], higher is more isolated. The forest is trees × at most 512 nodes."""
+    grown = []
+    for r in forest.orderBy("tree").collect():
+        table = np.zeros((1 + max(x["node"] for x in r["nodes"]), 3))
+        for x in r["nodes"]:
+            table[x["node"]] = x["feature"], x["cut"], x["path"]
+        grown.append((r["n"], table))
     shared = rows.sparkSession.sparkContext.broadcast(grown)
 
     def score(batches):
@@ -132,14 +144,13 @@ def score_forest(rows: DataFrame, forest: DataFrame, key: str = "segment_id") ->
             depth = np.zeros(len(x))
             scale = 0.0
             for n, t in shared.value:
-                at = np.zeros(len(x), dtype="int64")
+                at = np.ones(len(x), dtype="int64")
                 live = np.flatnonzero(t[at, 0] >= 0)
                 while len(live):
                     node = t[at[live]]
-                    left = x[live, node[:, 0].astype("int64")] <= node[:, 1]
-                    at[live] = np.where(left, node[:, 2], node[:, 3]).astype("int64")
+                    at[live] = 2 * at[live] + (x[live, node[:, 0].astype("int64")] > node[:, 1])
                     live = live[t[at[live], 0] >= 0]
-                depth += t[at, 4]
+                depth += t[at, 2]
                 scale += _average_path(n)
             yield pd.DataFrame({key: pdf[key], "score": np.power(2.0, -depth / max(scale, 1e-12))})
 
@@ -228,48 +239,50 @@ def position_knn(train: DataFrame, rows: DataFrame, k: int = 5, keys=("flight_id
 
 # ---- Gaussian mixture -------------------------------------------------------------------------
 
-def _log_density(x: np.ndarray, weight, mean, var) -> np.ndarray:
-    logs = [np.log(w) - 0.5 * (np.log(2 * np.pi * v).sum() + ((x - m) ** 2 / v).sum(axis=1)) for w, m, v in zip(weight, mean, var)]
-    return np.stack(logs, axis=1)
+def _responsibilities(rows: DataFrame, weight: np.ndarray, mean: np.ndarray, var: np.ndarray) -> DataFrame:
+    """Add whole, the log density of the mixture, and resp, the share of each component in it, by log-sum-exp."""
+    const = np.log(weight) - 0.5 * np.log(2 * np.pi * var).sum(axis=1)
+    state = [([(float(c), [float(a) for a in m], [float(a) for a in v]) for c, m, v in zip(const, mean, var)],)]
+    one = rows.sparkSession.createDataFrame(state, "p array<struct<k:double, m:array<double>, v:array<double>>>")  # one row
+
+    def total(array: Column) -> Column:
+        return F.aggregate(array, F.lit(0.0), lambda a, b: a + b)
+
+    def log_density(c: Column) -> Column:
+        gaps = F.zip_with("features", c["m"], lambda x, m: (x - m) * (x - m))
+        return c["k"] - total(F.zip_with(gaps, c["v"], lambda g, v: g / v)) / 2
+
+    logs = rows.crossJoin(F.broadcast(one)).withColumn("logs", F.transform("p", log_density)).drop("p").withColumn("top", F.array_max("logs"))
+    whole = F.col("top") + F.log(total(F.transform("logs", lambda x: F.exp(x - F.col("top")))))
+    return logs.withColumn("whole", whole).withColumn("resp", F.transform("logs", lambda x: F.exp(x - F.col("whole")))).drop("logs", "top")
 
 
 def fit_gmm(train: DataFrame, key: str = "segment_id", components: int = 8, iterations: int = 200, seed: int = 42, floor: float = 1e-6, tolerance: float = 1e-3):
-    """Diagonal mixture by expectation-maximisation; a pass returns one small row per partition.
+    """Diagonal mixture by expectation-maximisation; a pass is one grouped sum over (component, dimension).
 
-    Stops when the mean log likelihood changes by less than `tolerance`; a warning says if it never does.
+    Starts from the rows of least hash. Stops when the mean log likelihood changes by less than `tolerance`; a
+    warning says if it never does.
     """
-    start = train.select("features", hash_uniform(F.col(key), seed, "gmm").alias("u")).orderBy("u").limit(components).toPandas()
+    start = train.select("features", key, hash_uniform(F.col(key), seed, "gmm").alias("u")).orderBy("u", key).limit(components).toPandas()
     mean = _matrix(start["features"])
     dims = mean.shape[1]
     spread = train.agg(*[F.var_pop(F.col("features")[i]).alias(f"v{i}") for i in range(dims)]).first()
     var = np.tile(np.maximum(np.array([float(v or 0.0) for v in spread]), floor), (len(mean), 1))
     weight = np.full(len(mean), 1.0 / len(mean))
-    vectors = materialize(train.select("features"), "gmm")
+    vectors = materialize(train.select(F.col("features").cast("array<double>").alias("features")), "gmm")
     last = None
     for _ in range(iterations):
-        now = vectors.sparkSession.sparkContext.broadcast((weight, mean, var))
-
-        def expect(batches):
-            total = None
-            for pdf in batches:
-                x = _matrix(pdf["features"])
-                if not len(x):
-                    continue
-                logs = _log_density(x, *now.value)
-                whole = np.logaddexp.reduce(logs, axis=1)
-                resp = np.exp(logs - whole[:, None])
-                part = np.concatenate([resp.sum(axis=0)[:, None], resp.T @ x, resp.T @ (x * x), np.full((len(now.value[0]), 1), whole.sum())], axis=1)
-                total = part if total is None else total + part
-            if total is not None:
-                yield pd.DataFrame({"c": np.repeat(np.arange(len(total)), total.shape[1]), "i": np.tile(np.arange(total.shape[1]), len(total)), "v": total.ravel()})
-
-        sums = vectors.mapInPandas(expect, "c int, i int, v double").groupBy("c", "i").agg(F.sum("v").alias("v")).toPandas()
-        table = np.zeros((len(mean), 2 + 2 * dims))
-        table[sums["c"], sums["i"]] = sums["v"]
-        likelihood = table[0, -1] / max(table[:, 0].sum(), 1e-9)
-        mass = np.maximum(table[:, :1], 1e-9)
-        weight, mean = (mass / mass.sum())[:, 0], table[:, 1:1 + dims] / mass
-        var = np.maximum(table[:, 1 + dims:-1] / mass - mean ** 2, floor)
+        shares = _responsibilities(vectors, weight, mean, var).select("features", "whole", F.posexplode("resp").alias("c", "r"))
+        cells = shares.select("c", "r", "whole", F.posexplode("features").alias("i", "x")).groupBy("c", "i").agg(
+            F.sum("r").alias("n"), F.sum(F.col("r") * F.col("x")).alias("sx"), F.sum(F.col("r") * F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("r") * F.col("whole")).alias("ll")).toPandas()
+        table = np.zeros((4, len(mean), dims))  # components × dimensions numbers
+        for k, c in enumerate(("n", "sx", "sxx", "ll")):
+            table[k, cells["c"], cells["i"]] = cells[c]
+        n, sx, sxx, whole = table
+        likelihood = whole[:, 0].sum() / max(n[:, 0].sum(), 1e-9)
+        mass = np.maximum(n[:, :1], 1e-9)
+        weight, mean = (mass / mass.sum())[:, 0], sx / mass
+        var = np.maximum(sxx / mass - mean ** 2, floor)
         if last is not None and abs(likelihood - last) < tolerance:
             break
         last = likelihood
@@ -280,11 +293,5 @@ def fit_gmm(train: DataFrame, key: str = "segment_id", components: int = 8, iter
 
 def gmm_score(train: DataFrame, rows: DataFrame, key: str = "segment_id", components: int = 8, seed: int = 42) -> DataFrame:
     """Minus the log density under the mixture fitted on train."""
-    shared = rows.sparkSession.sparkContext.broadcast(fit_gmm(train, key, components, seed=seed))
-
-    def score(batches):
-        for pdf in batches:
-            x = _matrix(pdf["features"])
-            yield pd.DataFrame({key: pdf[key], "score": -np.logaddexp.reduce(_log_density(x, *shared.value), axis=1)})
-
-    return rows.select(key, "features").mapInPandas(score, f"{key} {dict(rows.dtypes)[key]}, score double")
+    slim = rows.select(key, F.col("features").cast("array<double>").alias("features"))
+    return _responsibilities(slim, *fit_gmm(train, key, components, seed=seed)).select(key, (-F.col("whole")).alias("score"))

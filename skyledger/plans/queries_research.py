@@ -141,6 +141,12 @@ def shifted(v):
     return rows.withColumns({f"r_{c}": F.coalesce(F.lag(f"z_{c}").over(w), F.col(f"z_{c}")) for c in FEATURES})
 
 
+def rest_window(v):
+    """Windows of the segments outside train."""
+    rest = v.stored_clean.join(v.split.filter("fold <> 'train'").select("segment_id"), "segment_id", "left_semi")
+    return windows.window_rows(windows.scale(rest, v.scaler), WINDOW)
+
+
 @register("reconstruction_scores")
 def _(v):
     return detectors.reconstruction_scores(detectors.step_errors(shifted(v)), WINDOW).drop("flight_id")
@@ -160,31 +166,33 @@ def _(v):
 
 @register("pca_reconstruction")
 def _(v):
-    rows = detectors.step_errors(detectors.pca_reconstruction(v.train_window, v.eval_window))
+    rows = detectors.step_errors(detectors.pca_reconstruction(materialize(v.train_window, "train"), rest_window(v)))
     return detectors.reconstruction_scores(rows, WINDOW).drop("flight_id")
 
 
 # ---- detectors --------------------------------------------------------------------------------
 
-def vectors(v):
-    train = materialize(windows.summary_vectors(v.train_window), "train")
-    return train, materialize(windows.summary_vectors(v.eval_window), "rows")
+def vectors(v, digits: int | None = None):
+    """Summary vectors of the train segments and of all others."""
+    frames = [windows.summary_vectors(x) for x in (v.train_window, rest_window(v))]
+    if digits is not None:  # so that sums in another order give equal vectors
+        frames = [x.withColumn("features", F.transform("features", lambda f: F.round(f, digits) + F.lit(0.0))) for x in frames]
+    return materialize(frames[0], "train"), materialize(frames[1], "rows")
 
 
 @register("isolation_forest")
 def _(v):
-    return detectors.isolation_forest(*vectors(v))
+    return detectors.isolation_forest(*vectors(v, 6))
 
 
 @register("knn_score")
 def _(v):
-    rest = windows.scale(v.stored_clean.join(v.split.filter("fold <> 'train'").select("segment_id"), "segment_id", "left_semi"), v.scaler)
-    return detectors.knn_score(materialize(windows.summary_vectors(v.train_window), "train"), materialize(windows.summary_vectors(windows.window_rows(rest, WINDOW)), "rows"))
+    return detectors.knn_score(*vectors(v))
 
 
 @register("gmm_score")
 def _(v):
-    return detectors.gmm_score(*vectors(v))
+    return detectors.gmm_score(*vectors(v, 6))
 
 
 @register("position_knn")
