@@ -37,13 +37,13 @@ O["reference_lookup"] = query("SELECT flight_id, time, b.bin, CASE WHEN e.bin IS
 cte("akey", "att", f"SELECT {K}, (min(time) + max(time)) // 2 AS midpoint, any_value(bearing) AS bearing, split_part(flight_id, '_', 1) AS icao24 FROM att GROUP BY 1, 2")
 
 
-def with_weather(source: str) -> str:
+def with_weather(source: str, shown: str = "") -> str:
     return f"""SELECT a.*, w.observed_at, a.midpoint - w.observed_at AS age_s, CASE WHEN w.observed_at IS NULL THEN 'weather_observation_not_yet_available' WHEN a.midpoint - w.observed_at > 1800 THEN 'latest_prior_weather_observation_too_old' END AS weather_reason,
-CASE WHEN a.midpoint - w.observed_at <= 1800 THEN qnh_hpa END AS qnh_hpa, CASE WHEN a.midpoint - w.observed_at <= 1800 THEN wind_from_deg END AS wind_from_deg, CASE WHEN a.midpoint - w.observed_at <= 1800 THEN wind_speed END AS wind_speed,
+CASE WHEN a.midpoint - w.observed_at <= 1800 THEN qnh_hpa END AS qnh_hpa, CASE WHEN a.midpoint - w.observed_at <= 1800 THEN wind_from_deg END AS wind_from_deg, CASE WHEN a.midpoint - w.observed_at <= 1800 THEN wind_speed END AS wind_speed, {shown}
 r.typecode, r.icao24 IS NOT NULL AS registered FROM {source} a ASOF LEFT JOIN wx w ON a.midpoint >= w.observed_at LEFT JOIN reg r ON r.icao24 = a.icao24"""
 
 
-cte("ctx0", "akey wx reg", with_weather("akey"))
+cte("ctx0", "akey wx reg", with_weather("akey", ", ".join(f"CASE WHEN a.midpoint - w.observed_at <= 1800 THEN {e} END AS {c}" for c, e in (("report_age_s", "a.midpoint - w.observed_at"), ("temperature_c", "temperature_c"), ("dew_point_c", "dew_point_c"))) + ","))
 A = f"radians({pmod('wind_from_deg - bearing')})"
 cte("ctx", "ctx0", f"SELECT *, wind_speed * cos({A}) AS headwind, wind_speed * sin({A}) AS crosswind, (1013.25e0 - qnh_hpa) * 9.144e0 AS qnh_bias, coalesce(typecode, 'unknown') AS speed_class FROM ctx0")
 O["aircraft_lookup"] = query(f"SELECT {K}, icao24, registered, typecode FROM ctx", "ctx")
@@ -95,7 +95,7 @@ cte("crowc", "limc", long_rows("limc"))
 cte("spanc", "crowc", spans("crowc"))
 cte("critc", "crowc spanc", crits("crowc", "spanc"))
 cte("asdc", "limc critc", assessed("limc", "critc"))
-O["assess_contextual"] = query(f"SELECT {K}, status, outcome, {r('bias')} AS bias, bias_source, fallbacks, failed, " + ", ".join(CRITERIA) + " FROM asdc", "asdc")
+O["assess_contextual"] = query(f"SELECT {K}, status, outcome, {r('bias')} AS bias, bias_source, fallbacks, failed, " + ", ".join(CRITERIA) + f", report_age_s, {r('temperature_c')} AS temperature_c, {r('dew_point_c')} AS dew_point_c, CASE WHEN list_contains(string_split(fallbacks, ','), 'unknown_speed_class') AND x.speed_class <> 'unknown' THEN x.speed_class || ',unknown' ELSE x.speed_class END AS effective_classes FROM asdc LEFT JOIN (SELECT {K}, report_age_s, temperature_c, dew_point_c, speed_class FROM ctx) x USING ({K})", "asdc", "ctx")
 cte("pairs", "asd asdc", f"SELECT a.flight_id, a.cluster, a.status AS base_status, c.status AS context_status, c.fallbacks FROM asd a JOIN asdc c ON a.flight_id = c.flight_id AND a.cluster = c.cluster")
 O["base_vs_context"] = query("SELECT * FROM pairs", "pairs")
 RB, RC = "base_status = 'review_required'", "context_status = 'review_required'"

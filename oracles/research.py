@@ -233,6 +233,10 @@ cte("perr", "axes pz", "SELECT segment_id, time, valid, list_sum(list_transform(
     "SELECT segment_id, time, valid, list_transform(range(1, 10), lambda i: z[i] - mu[i]) AS d, q0, q1, q2 FROM (SELECT *, [" + ", ".join(ZS) + "] AS z FROM pz WHERE fold <> 'train'), pcov, (SELECT * FROM axes WHERE step = 1500)))")
 O["pca_reconstruction"] = query(O["reconstruction_scores"][O["reconstruction_scores"].rindex("SELECT segment_id, round(CAST(coalesce(avg(ok)"):].replace("FROM err)", "FROM perr)"), "perr")
 
+cte("near5", "pz", """SELECT a.z_lat, a.z_lon, list_last(min(sqrt(pow(a.z_lat - b.z_lat, 2) + pow(a.z_lon - b.z_lon, 2)), 5)) AS d FROM (SELECT DISTINCT z_lat, z_lon FROM pz WHERE valid AND fold <> 'train') a,
+(SELECT z_lat, z_lon, unnest(range(0, least(n, 5))) AS copy FROM (SELECT z_lat, z_lon, count(*) AS n FROM pz WHERE valid AND fold = 'train' GROUP BY 1, 2)) b GROUP BY 1, 2""")
+O["position_knn"] = query(f"SELECT segment_id, {r('coalesce(avg(d) FILTER (valid), 0)')} AS score FROM pz LEFT JOIN near5 USING (z_lat, z_lon) WHERE fold <> 'train' GROUP BY 1", "near5")
+
 # ---- scores, metrics ----
 cte("sfacts", "clean", states("clean"))
 cte("scored", "clean sfacts meta", f"""SELECT s.*, f.* EXCLUDE (segment_id), m.icao24, {LAB} AS label, CASE WHEN {LAB} = 'normal' THEN 0 ELSE 1 END AS y FROM (

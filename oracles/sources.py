@@ -80,7 +80,7 @@ O["normalize_column_aliases"] = query(f"SELECT icao24, time, {r('baroaltitude')}
 O["union_batches"] = query("SELECT CASE WHEN time < 1530000000 THEN 'early' ELSE 'late' END AS batch, count(*) AS n_rows, count(CASE WHEN time >= 1530000000 THEN lon END) AS with_lon FROM obs GROUP BY 1", "obs")
 
 # uploads
-cte("up", "raw", """SELECT k, i, CASE WHEN (k + i) % 61 = 0 THEN time + 0.5e0 ELSE CAST(time AS DOUBLE) END AS tnum,
+cte("up", "raw", """SELECT k, i, flight_id, time, strftime(make_timestamp(CAST(time * 1000000 AS BIGINT)), '%Y%m') AS month, CASE WHEN (k + i) % 61 = 0 THEN time + 0.5e0 ELSE CAST(time AS DOUBLE) END AS tnum,
   CASE WHEN (k + i) % 67 = 0 THEN NULL ELSE icao24 END AS icao24, CASE WHEN (k + i) % 71 = 0 THEN 95.5e0 ELSE lat END AS lat, lon, baroaltitude,
   CASE WHEN (k + i) % 73 = 0 THEN NULL ELSE velocity END AS velocity, heading, vertrate, CASE WHEN i % 5 <= 1 THEN FALSE ELSE onground END AS og,
   CASE WHEN i % 7 = 0 THEN 0e0 ELSE CAST(i AS DOUBLE) END AS wdir, CASE WHEN i % 13 = 0 THEN 1200e0 ELSE 1013.26e0 END AS qnh,
@@ -93,6 +93,6 @@ O["null_and_bool_tokens"] = query("""SELECT onground, aircraft_typecode, CASE WH
 CASE onground WHEN 'null' THEN NULL WHEN '0' THEN FALSE WHEN 'TRUE' THEN TRUE ELSE FALSE END AS flag, onground = 'TRUE' AS flag_or_false, count(*) AS n FROM (
 SELECT CASE WHEN i % 5 = 0 THEN 'null' WHEN i % 5 = 1 THEN '0' WHEN onground THEN 'TRUE' ELSE 'False' END AS onground, CASE WHEN k % 5 = 0 THEN 'a320 ' ELSE 'na' END AS aircraft_typecode FROM raw)
 GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY 1, 2, 3, 4, 5"), "raw")
-O["error_position_report"] = query(f"SELECT split_part(e, ':', 1) AS field, split_part(e, ':', 2) AS code, count(*) AS n FROM (SELECT unnest(string_split({ERR}, ',')) AS e FROM up WHERE {ERR} <> '') GROUP BY 1, 2", "up")
+O["error_position_report"] = query(f"SELECT month, row_number, split_part(e, ':', 1) AS field, split_part(e, ':', 2) AS code FROM (SELECT month, row_number, unnest(string_split({ERR}, ',')) AS e FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY flight_id, time) AS row_number FROM up) WHERE {ERR} <> '')", "up")
 O["collapse_or_conflict"] = query("""SELECT icao24, time, count(*) - 1 AS duplicates, CASE WHEN count(DISTINCT coalesce(velocity, -1e9)) > 1 THEN 'conflict' ELSE 'kept' END AS result
 FROM raw GROUP BY 1, 2""", "raw")

@@ -9,6 +9,7 @@ from skyledger.config import DEFAULT, WEATHER_MAX_AGE_S, ApproachConfig
 from skyledger.functions.decode import crosswind_from_right, headwind, qnh_bias_m, supported_bias
 from skyledger.operators.approach import ATTEMPT, assess
 
+SHOWN = ("report_age_s", "temperature_c", "dew_point_c", "headwind", "crosswind")
 HOUR_S = 3_600
 DAY_S = 86_400
 
@@ -84,17 +85,28 @@ def attempt_context(attempts: DataFrame, reports: DataFrame, registry: DataFrame
     """Weather, wind components, altitude bias and type of every attempt."""
     joined = asof_weather(aircraft_lookup(attempt_keys(attempts, station), registry), reports)
     flat = joined.withColumns({c: F.col(f"weather.{c}") for c in ("qnh_hpa", "wind_from_deg", "wind_speed")})
+    given = set(reports.columns)
+    flat = flat.withColumns({c: F.col(f"weather.{c}") if c in given else F.lit(None).cast("double") for c in ("temperature_c", "dew_point_c")})
     return flat.withColumns({
         "headwind": headwind(), "crosswind": crosswind_from_right(), "qnh_bias": qnh_bias_m(),
         "bias_override": supported_bias(), "bias_override_source": F.lit("qnh_pressure_altitude_proxy"),
         "speed_class": F.coalesce("typecode", F.lit("unknown")),
+        "report_age_s": F.when(F.col("weather_reason").isNull(), F.col("age_s")),
     })
 
 
 def assess_contextual(attempts: DataFrame, context: DataFrame, envelope: DataFrame, cfg: ApproachConfig = DEFAULT) -> DataFrame:
-    """Assess with the pressure-derived bias and the aircraft's own class; wind is shown only."""
+    """Assess with the pressure-derived bias and the aircraft's own class.
+
+    Wind, report age, temperature, dew point and the class that counted are shown only; the class is that of the
+    envelope rows used, so an attempt that fell back on the unknown class shows both.
+    """
     facts = context.select(*ATTEMPT, "bias_override", "bias_override_source", "speed_class")
-    return assess(attempts.drop("speed_class").join(facts, list(ATTEMPT)), cfg, envelope)
+    judged = assess(attempts.drop("speed_class").join(facts, list(ATTEMPT)), cfg, envelope)
+    shown = context.select(*ATTEMPT, *[c for c in SHOWN if c not in judged.columns], F.col("speed_class").alias("own_class"))
+    fallback = F.array_contains(F.split("fallbacks", ","), "unknown_speed_class") if dict(judged.dtypes)["fallbacks"] == "string" else F.array_contains("fallbacks", "unknown_speed_class")
+    classes = F.when(fallback, F.when(F.col("own_class") == "unknown", F.lit("unknown")).otherwise(F.concat_ws(",", "own_class", F.lit("unknown")))).otherwise(F.col("own_class"))
+    return judged.join(shown, list(ATTEMPT), "left").withColumn("effective_classes", classes).drop("own_class")
 
 
 def supplied_context_violations(df: DataFrame) -> DataFrame:

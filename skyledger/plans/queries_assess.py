@@ -171,7 +171,8 @@ def _(v):
 
 @register("assess_contextual")
 def _(v):
-    return context.assess_contextual(v.attempts, v.context, fitted(v)).select(*KEY, "status", "outcome", "bias", "bias_source", "fallbacks", "failed", *CRITERIA)
+    return context.assess_contextual(v.attempts, v.context, fitted(v)).select(
+        *KEY, "status", "outcome", "bias", "bias_source", "fallbacks", "failed", *CRITERIA, "report_age_s", "temperature_c", "dew_point_c", "effective_classes")
 
 
 def pairs(v):

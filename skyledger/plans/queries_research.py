@@ -197,7 +197,7 @@ def _(v):
 
 @register("position_knn")
 def _(v):
-    return detectors.position_knn(materialize(v.train_window, "train"), v.eval_window).drop("flight_id")
+    return detectors.position_knn(materialize(v.train_window, "train"), rest_window(v)).drop("flight_id")
 
 
 # ---- metrics ----------------------------------------------------------------------------------

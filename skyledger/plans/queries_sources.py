@@ -196,7 +196,11 @@ def _(v):
 
 def upload_text(v):
     """Uploaded rows as text with the usual defects."""
-    return v.raw.select(
+    return v.raw.select(*uploaded(v))
+
+
+def uploaded(v):
+    return (
         F.expr("CASE WHEN (k + i) % 61 = 0 THEN concat(time, '.5') ELSE CAST(time AS STRING) END").alias("time"),
         F.expr("CASE WHEN (k + i) % 67 = 0 THEN ' NaN ' ELSE concat(' ', upper(icao24), ' ') END").alias("icao24"),
         F.expr("CASE WHEN (k + i) % 71 = 0 THEN '95.5' ELSE CAST(lat AS STRING) END").alias("lat"), F.col("lon").cast("string").alias("lon"),
@@ -222,8 +226,14 @@ def _(v):
 
 @register("error_position_report")
 def _(v):
-    bad = checks.error_report(checks.canonical_values(upload_text(v)))
-    return bad.select(F.explode("errors").alias("e")).groupBy("e.field", "e.code").agg(F.count(F.lit(1)).alias("n"))
+    """Uploads of a month as one file each, in order: field, code and row number of every error."""
+    path = scratch_path(v.spark, "uploads")
+    text = upload_text(v)
+    dated = v.raw.select(F.date_format(F.timestamp_seconds("time"), "yyyyMM").alias("month"), F.struct("flight_id", "time").alias("order_"), *uploaded(v))
+    dated.repartition("month").sortWithinPartitions("month", "order_").drop("order_").write.partitionBy("month").option("header", True).csv(path)
+    read = readers.scan_upload_csv(v.spark, path, text.columns)
+    bad = checks.error_report(checks.canonical_values(read))
+    return bad.select(F.regexp_extract("file", r"month=(\d+)/", 1).alias("month"), F.col("row").alias("row_number"), F.inline("errors"))
 
 
 @register("collapse_or_conflict")

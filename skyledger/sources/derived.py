@@ -150,6 +150,8 @@ def weather_reports(obs: DataFrame) -> DataFrame:
             F.expr("1e3 + h % 30").alias("qnh_hpa"),
             F.expr("CASE WHEN h % 9 = 0 THEN NULL ELSE CAST(17 * h % 360 AS DOUBLE) END").alias("wind_from_deg"),
             F.expr("CASE WHEN h % 11 = 0 THEN NULL ELSE 2e0 + h % 8 END").alias("wind_speed"),
+            F.expr("CASE WHEN h % 17 = 0 THEN NULL ELSE h % 300 / 1e1 - 5e0 END").alias("temperature_c"),
+            F.expr("CASE WHEN h % 19 = 0 THEN NULL ELSE h % 150 / 1e1 - 5e0 END").alias("dew_point_c"),
         )
     )
 
@@ -157,7 +159,8 @@ def weather_reports(obs: DataFrame) -> DataFrame:
 def weather_reports_sql() -> str:
     return ("SELECT '08221099999' AS station, observed_at, h, 1e3 + h % 30 AS qnh_hpa, "
             "CASE WHEN h % 9 = 0 THEN NULL ELSE CAST(17 * h % 360 AS DOUBLE) END AS wind_from_deg, "
-            "CASE WHEN h % 11 = 0 THEN NULL ELSE 2e0 + h % 8 END AS wind_speed FROM "
+            "CASE WHEN h % 11 = 0 THEN NULL ELSE 2e0 + h % 8 END AS wind_speed, "
+            "CASE WHEN h % 17 = 0 THEN NULL ELSE h % 300 / 1e1 - 5e0 END AS temperature_c, CASE WHEN h % 19 = 0 THEN NULL ELSE h % 150 / 1e1 - 5e0 END AS dew_point_c FROM "
             "(SELECT observed_at, observed_at // 1800 AS h FROM (SELECT unnest(range(a, b + 1, 1800)) AS observed_at "
             "FROM (SELECT min(time) // 3600 * 3600 AS a, max(time) // 3600 * 3600 + 3600 AS b FROM obs))) "
             "WHERE h % 20 <> 7")

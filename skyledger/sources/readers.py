@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,6 +140,24 @@ def dedupe_flight_slices(slices: DataFrame) -> DataFrame:
     return slices.groupBy("icao24", "firstseen").agg(F.min(F.struct(*rest)).alias("r")).select("icao24", "firstseen", "r.*").orderBy("firstseen", "icao24")
 
 
+def with_row_numbers(df: DataFrame, file: str = "file", row: str = "row") -> DataFrame:
+    """Add the file and the number (from 1) of each row in it to rows read from files, before any shuffle.
+
+    A split keeps the order of its rows, so rows are numbered within their split and shifted by the rows of the splits
+    before it: the counts are one row per split.
+    """
+    read = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.file_block_start").alias("block_")).withColumn("at_", F.monotonically_increasing_id())
+    before = Window.partitionBy(file).orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = read.groupBy(file, "block_").agg(F.count(F.lit(1)).alias("n_")).withColumn("before_", F.coalesce(F.sum("n_").over(before), F.lit(0))).drop("n_")
+    place = F.row_number().over(Window.partitionBy(file, "block_").orderBy("at_"))
+    return read.withColumn("place_", place).join(sizes, [file, "block_"]).withColumn(row, F.col("before_") + F.col("place_")).drop("block_", "at_", "place_", "before_")
+
+
+def scan_upload_csv(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
+    """Text columns of header CSV files with the file and row number of every row."""
+    return with_row_numbers(spark.read.schema(text_schema(names)).option("header", True).csv(path))
+
+
 def day_ranges(first: int, last: int, column: str = "time") -> list[str]:
     """Disjoint day predicates covering [first, last], for a partitioned remote read."""
     return [f"{column} >= {d} AND {column} < {d + 86_400}" for d in range(first // 86_400 * 86_400, last + 1, 86_400)]
