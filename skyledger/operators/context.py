@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skyledger.config import DEFAULT, WEATHER_MAX_AGE_S, ApproachConfig
 from skyledger.functions.decode import crosswind_from_right, headwind, qnh_bias_m, supported_bias
 from skyledger.operators.approach import ATTEMPT, assess
+from skyledger.session import materialize
 
 SHOWN = ("report_age_s", "temperature_c", "dew_point_c", "headwind", "crosswind")
 HOUR_S = 3_600
@@ -101,6 +102,7 @@ def assess_contextual(attempts: DataFrame, context: DataFrame, envelope: DataFra
     Wind, report age, temperature, dew point and the class that counted are shown only; the class is that of the
     envelope rows used, so an attempt that fell back on the unknown class shows both.
     """
+    context = materialize(context, "context")  # one row per attempt, read twice
     facts = context.select(*ATTEMPT, "bias_override", "bias_override_source", "speed_class")
     judged = assess(attempts.drop("speed_class").join(facts, list(ATTEMPT)), cfg, envelope)
     shown = context.select(*ATTEMPT, *[c for c in SHOWN if c not in judged.columns], F.col("speed_class").alias("own_class"))

@@ -242,8 +242,12 @@ def position_knn(train: DataFrame, rows: DataFrame, k: int = 5, keys=("flight_id
 def _responsibilities(rows: DataFrame, weight: np.ndarray, mean: np.ndarray, var: np.ndarray) -> DataFrame:
     """Add whole, the log density of the mixture, and resp, the share of each component in it, by log-sum-exp."""
     const = np.log(weight) - 0.5 * np.log(2 * np.pi * var).sum(axis=1)
-    state = [([(float(c), [float(a) for a in m], [float(a) for a in v]) for c, m, v in zip(const, mean, var)],)]
-    one = rows.sparkSession.createDataFrame(state, "p array<struct<k:double, m:array<double>, v:array<double>>>")  # one row
+
+    def numbers(values) -> str:
+        return "array(" + ", ".join(f"{float(a)!r}D" for a in values) + ")"
+
+    # a folded literal: no join, and the same generated code in every pass
+    state = F.expr("array(" + ", ".join(f"named_struct('k', {float(c)!r}D, 'm', {numbers(m)}, 'v', {numbers(v)})" for c, m, v in zip(const, mean, var)) + ")")
 
     def total(array: Column) -> Column:
         return F.aggregate(array, F.lit(0.0), lambda a, b: a + b)
@@ -252,7 +256,7 @@ def _responsibilities(rows: DataFrame, weight: np.ndarray, mean: np.ndarray, var
         gaps = F.zip_with("features", c["m"], lambda x, m: (x - m) * (x - m))
         return c["k"] - total(F.zip_with(gaps, c["v"], lambda g, v: g / v)) / 2
 
-    logs = rows.crossJoin(F.broadcast(one)).withColumn("logs", F.transform("p", log_density)).drop("p").withColumn("top", F.array_max("logs"))
+    logs = rows.withColumn("logs", F.transform(state, log_density)).withColumn("top", F.array_max("logs"))
     whole = F.col("top") + F.log(total(F.transform("logs", lambda x: F.exp(x - F.col("top")))))
     return logs.withColumn("whole", whole).withColumn("resp", F.transform("logs", lambda x: F.exp(x - F.col("whole")))).drop("logs", "top")
 

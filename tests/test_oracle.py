@@ -9,7 +9,8 @@ from tests.compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
 QUICK = ("segment_flights", "dedupe_observations", "merge_intervals", "infer_runway", "assess_operations", "asof_weather", "flag_impossible",
-         "sliding_windows", "suppression_recoverable", "severity_band")
+         "sliding_windows", "suppression_recoverable", "severity_band", "reconstruction_scores", "knn_score", "isolation_forest", "bootstrap_ci", "reject_summary", "error_position_report",
+         "column_profile")
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 NAMES = sorted(QUERIES) if os.environ.get("ORACLE_ALL") else QUICK
 
