@@ -138,8 +138,9 @@ O["dedupe_flight_time"] = query(f"""SELECT flight_id, t AS time, {r('velocity')}
 FROM (SELECT *, CAST(round_even(time + 0.5e0 * (i % 2), 0) AS BIGINT) AS t FROM raw)) WHERE rn = 1""", "raw")
 O["dedupe_observations"] = query(f"SELECT {K}, {r('lat')} AS lat, {r('velocity')} AS velocity FROM (SELECT *, row_number() OVER (PARTITION BY flight_id, time ORDER BY lat, lon, baroaltitude NULLS FIRST, velocity NULLS FIRST) AS rn FROM raw) WHERE rn = 1", "raw")
 cte("rc", "raw", "SELECT k, i, flight_id, time, lat, lon, velocity, count(*) AS copies FROM raw GROUP BY 1, 2, 3, 4, 5, 6, 7")
-O["duplicate_profile"] = query("""SELECT 'flight_time' AS key_set, CAST(count(*) - count(DISTINCT (flight_id, time)) AS BIGINT) AS extra_rows FROM raw
-UNION ALL SELECT 'flight_time_position', CAST(count(*) - count(DISTINCT (flight_id, time, lat, lon)) AS BIGINT) FROM raw UNION ALL SELECT 'full_row', CAST(sum(copies - 1) AS BIGINT) FROM rc""", "rc")
+O["duplicate_profile"] = query("""SELECT *, CASE WHEN cause = 'full_row' THEN 'fail' WHEN cause IS NOT NULL THEN 'review' ELSE 'pass' END AS verdict FROM (SELECT *, max_by(key_set, CASE WHEN extra_rows > 0 THEN list_position(['flight_time', 'flight_time_position', 'full_row'], key_set) END) OVER () AS cause FROM (SELECT 'flight_time' AS key_set, CAST(count(*) - count(DISTINCT (flight_id, time)) AS BIGINT) AS extra_rows FROM raw
+UNION ALL SELECT 'flight_time_position', CAST(count(*) - count(DISTINCT (flight_id, time, lat, lon)) AS BIGINT) FROM raw UNION ALL SELECT 'full_row', CAST(sum(copies - 1) AS BIGINT) FROM rc))""", "rc")
 O["duplicate_multiplicity"] = query("SELECT copies, count(*) AS unique_rows, CAST(sum(copies) AS BIGINT) AS instances FROM rc GROUP BY 1", "rc")
+O["most_repeated_row"] = query(f"SELECT flight_id, time, icao24, {', '.join(f'{r(c)} AS {c}' for c in ('lat', 'lon', 'baroaltitude', 'velocity'))}, copies FROM (SELECT flight_id, time, icao24, lat, lon, baroaltitude, velocity, count(*) AS copies FROM raw GROUP BY ALL HAVING count(*) > 1 ORDER BY copies DESC, flight_id, time LIMIT 3)", "raw")
 O["duplicates_by_day"] = query("SELECT time // 86400 AS day, CAST(sum(copies - 1) AS BIGINT) AS extras, CAST(sum(copies) AS BIGINT) AS total FROM rc GROUP BY 1", "rc")
 O["dedupe_full_rows"] = query("SELECT CAST(sum(copies) AS BIGINT) AS before, count(*) AS after FROM rc", "rc")

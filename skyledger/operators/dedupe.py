@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyledger.session import materialize
+
 TIE_BREAK = ("lat", "lon", "baroaltitude", "velocity", "vertrate", "heading")
 
 
@@ -59,7 +61,11 @@ def collapse_or_conflict(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame,
 
 
 def duplicate_profile(df: DataFrame, key_sets: dict[str, Sequence[str]]) -> DataFrame:
-    """Rows beyond the first for each key set, from one aggregation per set."""
+    """Rows beyond the first for each key set, from one aggregation per set, with a diagnosis of all.
+
+    Key sets go from coarse to fine and end with the full row. The finest set with extra rows is the cause: full rows
+    point at a repeated load (fail), anything coarser has to be looked at (review).
+    """
     parts = [
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
         .agg(F.lit(name).alias("key_set"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra_rows"))
@@ -68,4 +74,14 @@ def duplicate_profile(df: DataFrame, key_sets: dict[str, Sequence[str]]) -> Data
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
-    return result
+    result = materialize(result, "duplicates")  # one row per key set
+    names = list(key_sets)
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("key_set"))
+    finest = result.agg(F.max_by("key_set", F.when(F.col("extra_rows") > 0, place)).alias("cause"))
+    verdict = F.when(F.col("cause") == names[-1], "fail").when(F.col("cause").isNotNull(), "review").otherwise("pass")
+    return result.crossJoin(finest).withColumn("verdict", verdict)
+
+
+def most_repeated(df: DataFrame, k: int = 1) -> DataFrame:
+    """The k rows with most copies, the smallest by their columns first; a top-k report, so the limit is the feature."""
+    return full_row_counts(df).filter("copies > 1").orderBy(F.desc("copies"), *df.columns).limit(k)

@@ -11,6 +11,7 @@ from skyledger.functions.geo import folded_change, haversine_m
 from skyledger.operators.derive import engaging_parts
 from skyledger.operators.ranks import exact_quantiles
 from skyledger.operators.sequence import grounded, islands, ordered, segment_gaps
+from skyledger.session import materialize
 
 FLIGHT = ["flight_id"]
 PHASES = ("on_ground", "takeoff", "climb", "cruise", "descent", "approach")
@@ -143,6 +144,18 @@ def extreme_topk(df: DataFrame, k: int = 20) -> DataFrame:
     return result
 
 
+def extreme_quantiles(df: DataFrame, qs: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """Count, mean, deviation, least, quantiles and largest of the flights' maxima, one row per metric."""
+    flights = materialize(flight_extremes(df), "extremes")
+    result = None
+    for m in EXTREMES:
+        whole = flights.agg(F.lit(m).alias("metric"), F.count(m).alias("flights"), F.avg(m).alias("mean"), F.stddev_samp(m).alias("deviation"), F.min(m).alias("least"), F.max(m).alias("largest"))
+        found = exact_quantiles(flights, m, qs).select(*[F.col(f"q{i}").alias(f"p{round(100 * q)}") for i, q in enumerate(qs)])
+        part = whole.crossJoin(found)  # one row each
+        result = part if result is None else result.unionByName(part)
+    return result
+
+
 def impossible_share(df: DataFrame, limit_m: float = 16_000.0) -> DataFrame:
     """How much of each affected flight lies above the altitude limit."""
     flights = df.groupBy("flight_id").agg(F.count_if(F.col("baroaltitude") > limit_m).alias("high"), F.count(F.lit(1)).alias("n")).filter("high > 0")

@@ -96,6 +96,11 @@ def _(v):
     return profiles.extreme_topk(wild(v).withColumn("velocity", F.expr("velocity + k * 1e-3D")))
 
 
+@register("extreme_quantiles")
+def _(v):
+    return profiles.extreme_quantiles(wild(v).withColumn("velocity", F.expr("velocity + k * 1e-3D")))
+
+
 @register("impossible_share")
 def _(v):
     return profiles.impossible_share(wild(v))

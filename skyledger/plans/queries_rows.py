@@ -326,6 +326,11 @@ def _(v):
     return dedupe.full_row_counts(v.raw).groupBy("copies").agg(F.count(F.lit(1)).alias("unique_rows"), F.sum("copies").alias("instances"))
 
 
+@register("most_repeated_row")
+def _(v):
+    return dedupe.most_repeated(v.raw.select("flight_id", "time", "icao24", "lat", "lon", "baroaltitude", "velocity"), 3)
+
+
 @register("duplicates_by_day")
 def _(v):
     counts = dedupe.full_row_counts(v.raw)

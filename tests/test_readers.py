@@ -61,3 +61,21 @@ def test_weather_of_the_day_before_still_counts(spark):
     got = {r.id: (r.weather and r.weather.qnh_hpa, r.weather_reason) for r in context.asof_weather(attempts, reports).collect()}
     assert got == {"a": (1.0, None), "b": (None, "latest_prior_weather_observation_too_old"), "c": (2.0, None),
                    "d": (None, "weather_observation_not_yet_available"), "e": (None, "weather_observation_unavailable")}
+
+
+def test_rows_are_numbered_over_splits(spark, tmp_path):
+    """Files cut into many splits: numbers follow the lines of each file, without its header."""
+    for name, n in (("a", 4_000), ("b", 900), ("c", 0)):
+        (tmp_path / f"{name}.csv").write_text("time,icao24\n" + "".join(f"{k},{name}{k}\n" for k in range(1, n + 1)))
+    old = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        rows = readers.scan_upload_csv(spark, str(tmp_path), ["time", "icao24"])
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+        found = rows.collect()
+    finally:
+        for c, value in old.items():
+            spark.conf.set(c, value)
+    assert len(found) == 4_900
+    assert all(int(r.time) == r.row and r.file.endswith(f"{r.icao24[0]}.csv") for r in found)
