@@ -42,8 +42,8 @@ O["motion_tail_counts"] = query(" UNION ALL ".join(f"SELECT '{n}' AS feature, co
 cte("ext", "wild", """SELECT flight_id, max(velocity + k * 1e-3) AS max_velocity, max(abs(vertrate)) AS max_vertrate, max(baroaltitude) AS max_altitude, max(hc) AS max_heading_change FROM (
 SELECT *, CASE WHEN c > 180 THEN 360 - c ELSE c END AS hc FROM (SELECT *, abs(heading - lag(heading) OVER (PARTITION BY flight_id ORDER BY time)) AS c FROM wild)) GROUP BY 1""")
 O["extreme_topk"] = query(" UNION ALL ".join(f"SELECT * FROM (SELECT '{m}' AS metric, flight_id, {r(m)} AS value FROM ext WHERE {m} IS NOT NULL ORDER BY {m} DESC, flight_id LIMIT 20)" for m in ("max_velocity", "max_vertrate", "max_altitude", "max_heading_change")), "ext")
-O["extreme_quantiles"] = query(" UNION ALL ".join(f"SELECT '{m}' AS metric, count({m}) AS flights, {r(f'avg({m})')} AS mean, {r(f'stddev_samp({m})')} AS deviation, {r(f'min({m})')} AS least, {r(f'max({m})')} AS largest, "
-                                 + ", ".join(f"{r(f'quantile_cont({m}, {q})')} AS p{round(100 * q)}" for q in (0.5, 0.9, 0.99)) + " FROM ext" for m in ("max_velocity", "max_vertrate", "max_altitude", "max_heading_change")), "ext")
+O["extreme_quantiles"] = query(" UNION ALL ".join(f"SELECT '{m}' AS metric, count({m}) AS flights, {r(f'avg({m})', 1)} AS mean, {r(f'stddev_samp({m})', 1)} AS deviation, {r(f'min({m})', 1)} AS least, {r(f'max({m})', 1)} AS largest, "
+                                 + ", ".join(f"{r(f'quantile_cont({m}, {q})', 1)} AS p{round(100 * q)}" for q in (0.5, 0.9, 0.99)) + " FROM ext" for m in ("max_velocity", "max_vertrate", "max_altitude", "max_heading_change")), "ext")
 O["impossible_share"] = query(f"""SELECT count(*) AS flights, CAST(sum(h) AS BIGINT) AS rows_high, {r('max(s)')} AS max_share, {r('quantile_cont(s, 0.1)')} AS p10, {r('quantile_cont(s, 0.5)')} AS p50, {r('quantile_cont(s, 0.9)')} AS p90 FROM (
 SELECT count(*) FILTER (baroaltitude > 16000) AS h, CAST(count(*) FILTER (baroaltitude > 16000) AS DOUBLE) / count(*) AS s FROM wild GROUP BY flight_id) WHERE h > 0""", "wild")
 O["ground_air_split"] = query(f"""SELECT i < 6 AS onground, flight_phase, count(*) AS n FROM (SELECT *, CASE WHEN c > 180 THEN 360 - c ELSE c END AS hc FROM (SELECT *, abs(h - lag(h) OVER (PARTITION BY flight_id ORDER BY time)) AS c FROM (

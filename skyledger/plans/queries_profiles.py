@@ -96,7 +96,7 @@ def _(v):
     return profiles.extreme_topk(wild(v).withColumn("velocity", F.expr("velocity + k * 1e-3D")))
 
 
-@register("extreme_quantiles")
+@register("extreme_quantiles", digits=1)
 def _(v):
     return profiles.extreme_quantiles(wild(v).withColumn("velocity", F.expr("velocity + k * 1e-3D")))
 
