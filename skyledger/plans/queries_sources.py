@@ -10,7 +10,7 @@ from skyledger.operators import checks, context
 from skyledger.operators.dedupe import collapse_or_conflict
 from skyledger.plans.views import STATION, register
 from skyledger.session import scratch_path
-from skyledger.sources import readers, writers
+from skyledger.sources import day_ranges, readers, writers
 
 STATE_OUT = ("icao24", "time", "lat", "lon", "velocity", "baroaltitude", "onground", "squawk", "lastcontact")
 
@@ -97,8 +97,12 @@ def _(v):
 
 @register("scan_by_day_ranges")
 def _(v):
-    """The day predicates cover every row exactly once: rows per range."""
-    return v.obs.groupBy(F.expr("time div 86400 * 86400").alias("range_start")).agg(F.count(F.lit(1)).alias("n_rows"))
+    """Rows per day, read back through the splits of thirty days each that cover every row exactly once."""
+    path = scratch_path(v.spark, "days")
+    rows = v.obs.select("time", "icao24", "lat", "lon")
+    day_ranges.write_by_day_ranges(rows, path, days=30)
+    read = day_ranges.scan_stored_day_ranges(v.spark, path, rows.schema, 0, 4_000_000_000, days=30)
+    return read.groupBy(F.expr("time div 86400 * 86400").alias("range_start")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @register("choose_canonical_batches")

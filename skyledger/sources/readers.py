@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import csv
+import hashlib
 from collections.abc import Sequence
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +18,7 @@ from skyledger.functions.geo import closest_runway_m
 from skyledger.operators.checks import require_flat, validate_columns
 from skyledger.operators.context import prefer_report_type
 from skyledger.operators.derive import filter_radius, flight_phase
+from skyledger.sources.day_ranges import open_path
 
 _DOUBLE = ("lat", "lon", "velocity", "heading", "vertrate", "baroaltitude", "geoaltitude")
 _LONG = ("time", "lastposupdate", "lastcontact")
@@ -192,7 +196,26 @@ def union_batches(batches: dict[str, DataFrame]) -> DataFrame:
     return result
 
 
-def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Name, size and SHA-256 of each input file."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+def file_manifest(spark: SparkSession, path: str, chunk_bytes: int = 8 << 20, max_tasks: int = 10_000) -> DataFrame:
+    """Name, size and SHA-256 of each input file, empty ones included.
+
+    Only the names pass through the driver. A task reads each of its files in chunks, so a file of any length takes
+    the memory of one chunk.
+    """
+    def run(batches):
+        for batch in batches:
+            sizes, sums = [], []
+            for uri in batch.column("path").to_pylist():
+                digest, size = hashlib.sha256(), 0
+                where, place = open_path(uri)
+                with where.open_input_stream(place) as stream:
+                    while chunk := stream.read(chunk_bytes):
+                        digest.update(chunk)
+                        size += len(chunk)
+                sizes.append(size)
+                sums.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(sizes, pa.int64()), pa.array(sums, pa.string())], names=["path", "bytes", "sha256"])
+
+    names = sorted(unquote(f) for f in spark.read.format("binaryFile").load(path).inputFiles())
+    files = spark.createDataFrame([(n,) for n in names], "path string").repartition(max(1, min(len(names), max_tasks)))
+    return files.mapInArrow(run, "path string, bytes long, sha256 string").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "bytes", "sha256")

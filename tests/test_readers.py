@@ -1,11 +1,13 @@
 """Headers in any order, repeated headers, the scratch folder, registry and weather look-ups."""
 
+import hashlib
+
 import pytest
 
 from skyledger import session
 from skyledger.config import STATE_COLUMNS
 from skyledger.operators import context
-from skyledger.sources import readers
+from skyledger.sources import day_ranges, readers
 
 
 def test_state_columns_are_found_by_name(spark, tmp_path):
@@ -79,3 +81,36 @@ def test_rows_are_numbered_over_splits(spark, tmp_path):
             spark.conf.set(c, value)
     assert len(found) == 4_900
     assert all(int(r.time) == r.row and r.file.endswith(f"{r.icao24[0]}.csv") for r in found)
+
+
+def test_a_file_is_digested_in_chunks(spark, tmp_path):
+    """An empty file, one with odd characters in its name and one above 2 GiB (with a hole)."""
+    (tmp_path / "empty.bin").write_bytes(b"")
+    (tmp_path / "a b%41.bin").write_bytes(b"abc" * 1_000_003)
+    with open(tmp_path / "large.bin", "wb") as f:
+        f.seek((1 << 31) + 5)
+        f.write(b"end")
+    got = {r.name: (r.bytes, r.sha256) for r in readers.file_manifest(spark, str(tmp_path)).collect()}
+    large = hashlib.sha256()
+    for _ in range(1 << 11):
+        large.update(bytes(1 << 20))
+    large.update(bytes(5) + b"end")
+    assert got == {"empty.bin": (0, hashlib.sha256().hexdigest()), "a b%41.bin": (3_000_009, hashlib.sha256(b"abc" * 1_000_003).hexdigest()),
+                   "large.bin": ((1 << 31) + 8, large.hexdigest())}
+
+
+def test_day_ranges_cover_each_row_once(spark, tmp_path):
+    """Negative times, rows on both ends of a day, days without rows, rows without a time."""
+    day = 86_400
+    times = [-day, -1, 0, day - 1, day, 5 * day + 7, 6 * day, None]
+    rows = spark.createDataFrame([(t, f"r{k}", None if k % 2 else 0.5 * k) for k, t in enumerate(times)], "time long, name string, lat double")
+    path = str(tmp_path / "days")
+    day_ranges.write_by_day_ranges(rows, path, days=2)
+    read = day_ranges.scan_stored_day_ranges(spark, path, rows.schema, -10 * day, 10 * day, days=2)
+    assert sorted(read.collect()) == sorted(r for r in rows.collect() if r.time is not None)
+    assert read.rdd.getNumPartitions() == 4
+    part = day_ranges.scan_stored_day_ranges(spark, path, rows.schema, 0, 5 * day + 7, days=2)
+    assert {r.name for r in part.collect()} == {"r2", "r3", "r4", "r5"}
+    few = read.filter(f"time >= {5 * day} AND time < {6 * day}")
+    assert few.rdd.getNumPartitions() == 1 and [r.name for r in few.collect()] == ["r5"]
+    assert read.filter("time > 90000000").count() == 0
