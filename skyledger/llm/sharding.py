@@ -1,8 +1,9 @@
 """Shards through fixed virtual slots and a versioned slot-to-shard map.
 
 Every record is hashed into one of `slots` virtual slots. Bytes and rows are summed per slot, which leaves one
-row per slot whatever the input holds. A map gives each slot its shard; rebalancing edits the map (a new
-version) and so moves whole slots, never single records.
+row per slot whatever the input holds. A map gives each slot its shard; rebalancing reads the stored map, edits its
+latest version and appends the result as the next one, so it moves whole slots, never single records, and every
+earlier version stays readable. A map that needs no edit gets no new version.
 
 Nulls: a null text has no bytes and the checksum of an empty text; a null id is hashed with its text's checksum
 alone. Repeated rows share a slot and get separate positions. An empty table gives an empty result.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -95,19 +97,41 @@ def _near(ordered: list[tuple[int, int]], value: float) -> list[tuple[int, int]]
     return ordered[max(0, i - 1): i + 1]
 
 
-def store_map(spark: SparkSession, versions: list[dict[int, int]], path: str | None = None) -> DataFrame:
-    """Write all versions of the map as one table (version, vslot, shard) and read it back."""
-    path = path or scratch_path(spark, "slot-map")
-    rows = [(v, slot, shard) for v, m in enumerate(versions, 1) for slot, shard in sorted(m.items())]
-    spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
+def stored_map(spark: SparkSession, path: str) -> DataFrame | None:
+    """The map at path, None where there is none yet."""
+    try:
+        return spark.read.schema(MAP_SCHEMA).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def append_versions(spark: SparkSession, path: str, versions: dict[int, dict[int, int]]) -> DataFrame:
+    """Add versions to the table (version, vslot, shard) at path and read all of it."""
+    rows = [(v, slot, shard) for v, m in versions.items() for slot, shard in sorted(m.items())]
+    spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("append").parquet(path)
     return spark.read.schema(MAP_SCHEMA).parquet(path)
 
 
 def plan_map(slim: DataFrame, shards: int, slots: int = SLOTS, path: str | None = None) -> DataFrame:
-    """Version 1 deals slots in turn; version 2 is edited by the bytes per slot. Only `slots` rows reach the driver."""
+    """The map at path with a version for these loads; only `slots` rows reach the driver.
+
+    Without a stored map, version 1 deals the slots in turn and version 2 is edited from it.
+    """
+    spark = slim.sparkSession
+    path = path or scratch_path(spark, "slot-map")
     loads = {r.vslot: r.bytes for r in slot_loads(slim).collect()}
-    first = initial_map(slots, shards)
-    return store_map(slim.sparkSession, [first, rebalance(first, loads, shards)], path)
+    known = stored_map(spark, path)
+    latest = known.agg(F.max("version").alias("version")).first().version if known is not None else None
+    if latest is None:
+        first = initial_map(slots, shards)
+        return append_versions(spark, path, {1: first, 2: rebalance(first, loads, shards)})
+    current = {r.vslot: r.shard for r in known.filter(F.col("version") == latest).collect()}
+    if set(current) != set(range(slots)):
+        raise ValueError(f"the map at {path} has {len(current)} virtual slots, not {slots}")
+    edited = rebalance(current, loads, shards)
+    return known if edited == current else append_versions(spark, path, {latest + 1: edited})
 
 
 def place(slim: DataFrame, slot_map: DataFrame, version: int | None = None) -> DataFrame:
