@@ -6,18 +6,24 @@ In every round each classifier labels the unlabelled documents it is most sure o
 training set of the *other* one. At the end each view is calibrated on labelled documents kept out of training,
 a combination of the two is fitted there, and all documents are scored in one map over the table.
 
-Training reads a bounded sample: at most `max_labelled` labelled and `max_pool` other documents, chosen by a hash of
-the id over the whole table. Only their feature vectors reach the driver. Scoring covers every row and whole texts.
+Labelled rows are a bounded sample: at most `max_labelled`, chosen by a hash of the id over the whole table; only
+their vectors reach the driver. All unlabelled rows take part in every round: their vectors are stored once, a map
+over them counts margins in bins of a fixed width, the driver reads the cut of each class from the sums, and the
+Newton steps add up slopes and curvatures, of a fixed size, in a tree. Scoring covers every row and whole texts.
 
 Nulls: a null text counts as empty, null source and language have a bucket of their own; a label that is null
-is no label, of several labels of one id the lowest counts. With labels of fewer than two classes nothing can
-be learned: every score is 1 and every document is kept. Repeated rows get equal scores.
+is no label, of several labels of one id the lowest counts; a row without an id is unlabelled. Rows that share a
+labelled id are one document, the one with the smallest vector. With labels of fewer than two classes nothing can
+be learned: every score is 1 and every document is kept. Repeated rows get equal scores. A column of docs that has
+the name of an added one is replaced by it. Weights are rounded to six digits, so that sums in another order agree.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,11 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from skyledger.llm.batches import row_slices
+from skyledger.session import materialize
 
 WORD_BUCKETS = 256
 CONTENT = 16 + WORD_BUCKETS
 SOURCE_BUCKETS, LANG_BUCKETS = 64, 16
 META = 8 + SOURCE_BUCKETS + LANG_BUCKETS
+EDGE, BIN = 35.0, 0.02  # margins are counted from -EDGE to EDGE in bins of this width
 PUNCTUATION = np.array([c in b".,;:!?'\"()-" for c in range(256)])
 SYMBOL = np.array([33 <= c <= 126 and not chr(c).isalnum() and not PUNCTUATION[c] for c in range(256)])
 DIGIT = np.array([48 <= c <= 57 for c in range(256)])
@@ -39,6 +47,11 @@ UPPER = np.array([65 <= c <= 90 for c in range(256)])
 LETTER = np.array([chr(c).isalpha() and c < 128 or c >= 128 for c in range(256)])
 
 
+def packed(v: np.ndarray) -> np.ndarray:
+    """Half precision, in training and scoring alike; larger values count as 60,000."""
+    return np.minimum(v, 6e4).astype(np.float16)
+
+
 def content_vector(raw: bytes) -> np.ndarray:
     """Features of the words of a text."""
     v = np.zeros(CONTENT, np.float32)
@@ -46,7 +59,7 @@ def content_vector(raw: bytes) -> np.ndarray:
     n = len(words)
     if not n:
         v[0] = 1.0
-        return v
+        return packed(v)
     chars = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     total = max(1, len(raw))
     counts = Counter(words)
@@ -61,7 +74,7 @@ def content_vector(raw: bytes) -> np.ndarray:
     hashed = v[16:]
     np.sqrt(hashed, out=hashed)
     hashed /= max(1e-6, float(np.linalg.norm(hashed)))
-    return v
+    return packed(v)
 
 
 def meta_vector(source: str | None, lang: str | None, raw: bytes) -> np.ndarray:
@@ -73,7 +86,7 @@ def meta_vector(source: str | None, lang: str | None, raw: bytes) -> np.ndarray:
     v[6] = np.log1p(len(raw) / max(1, raw.count(b" ")))
     v[8 + (zlib.crc32(source.encode("utf-8", "surrogatepass")) % (SOURCE_BUCKETS - 1) + 1 if source is not None else 0)] = 1
     v[8 + SOURCE_BUCKETS + (zlib.crc32(lang.encode("utf-8", "surrogatepass")) % (LANG_BUCKETS - 1) + 1 if lang is not None else 0)] = 1
-    return v
+    return packed(v)
 
 
 def sigmoid(z):
@@ -89,25 +102,44 @@ class Logistic:
     weights: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 3.0, steps: int = 12) -> Logistic:
-        mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-        z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))]).astype(np.float64)
-        w = np.zeros(z.shape[1])
-        penalty = np.full(len(w), ridge)
-        penalty[-1] = 1e-6
-        for _ in range(steps):
-            p = sigmoid(z @ w)
-            slope = z.T @ (weight * (p - y)) + penalty * w
-            curve = (z * (weight * np.maximum(p * (1 - p), 1e-5))[:, None]).T @ z + np.diag(penalty)
-            move = np.linalg.solve(curve, slope)
-            w = w - move
-            if np.abs(move).max() < 1e-5:
-                break
-        return cls(mean, scale, w)
+    def start(cls, moments: np.ndarray) -> Logistic:
+        """Without weights yet, standardised by the moments (see `moments_of`) of all rows."""
+        n, (total, squares) = moments[0], moments[1:].reshape(2, -1)
+        mean = total / n
+        return cls(np.round(mean, 6), np.round(np.sqrt(np.maximum(squares / n - mean * mean, 0)), 6) + 1e-3, np.zeros(len(mean) + 1))
+
+    def with_weights(self, weights: np.ndarray) -> Logistic:
+        return Logistic(self.mean, self.scale, weights)
+
+    def rows(self, x: np.ndarray) -> np.ndarray:
+        return np.hstack([(x - self.mean) / self.scale, np.ones((len(x), 1))])
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         return (x - self.mean) / self.scale @ self.weights[:-1] + self.weights[-1]
 
+    def sums(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Slope and curvature of the loss over rows, one after the other."""
+        z = self.rows(x)
+        p = sigmoid(z @ self.weights)
+        curve = (z * np.maximum(p * (1 - p), 1e-5)[:, None]).T @ z
+        return np.concatenate([z.T @ (p - y), curve.ravel()])
+
+    def moved(self, sums: np.ndarray, ridge: float) -> Logistic:
+        """One Newton step for the sums over all rows."""
+        n = len(self.weights)
+        penalty = np.full(n, ridge)
+        penalty[-1] = 1e-6
+        curve = sums[n:].reshape(n, n) + np.diag(penalty)
+        return self.with_weights(np.round(self.weights - np.linalg.solve(curve, sums[:n] + penalty * self.weights), 6))
+
+
+@dataclass
+class Round:
+    """The models of a round, and per view the margins up to and from which it labels for the other one."""
+
+    models: list[Logistic]
+    cuts: list[tuple[float, float]]
+
 
 @dataclass
 class CoTrained:
@@ -131,47 +163,129 @@ def _line(margins: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def co_train(content: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_content: np.ndarray, pool_meta: np.ndarray,
-             rounds: int = 4, share: float = 0.1, sure: float = 0.9) -> CoTrained:
-    """Train the two views on y, exchanging confident labels over the pool for `rounds` rounds.
+def given_labels(views: list[np.ndarray], rounds: list[Round]) -> list[np.ndarray]:
+    """The label that each view has been given by the other one in the rounds so far, else nan; the first one stays."""
+    given = [np.full(len(views[0]), np.nan), np.full(len(views[0]), np.nan)]
+    for r in rounds:
+        for k in (0, 1):
+            margin, (low, high) = r.models[k].margin(views[k]), r.cuts[k]
+            free = np.isnan(given[1 - k])
+            given[1 - k][free & (margin >= high)] = 1.0
+            given[1 - k][free & (margin <= low)] = 0.0
+    return given
+
+
+def add_up(pool: DataFrame, part: Callable[[list[np.ndarray]], np.ndarray], size: int) -> np.ndarray:
+    """The sum of part([content, meta]) over the stored vectors: one array per task, added in a tree."""
+    def run(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                total += part([np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float16).reshape(batch.num_rows, -1).astype(np.float64) for c in ("content", "meta")])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+
+    parts = pool.mapInArrow(run, "part binary").rdd
+    tasks = parts.getNumPartitions()
+    if not tasks:
+        return np.zeros(size)
+    return parts.map(lambda r: np.frombuffer(r.part)).treeReduce(np.add, depth=max(2, math.ceil(math.log(tasks, 32))))
+
+
+def moments_of(x: np.ndarray) -> np.ndarray:
+    """Number of rows, sums and sums of squares."""
+    return np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
+
+
+def margin_bins(margin: np.ndarray) -> np.ndarray:
+    return np.floor((np.clip(margin, -EDGE, EDGE) + EDGE) / BIN).astype(int)
+
+
+def cut_of(counts: np.ndarray, wanted: float, sure: float) -> tuple[float, float]:
+    """The lowest margin, not below `sure`, from which at most `wanted` rows lie, and their number.
+
+    Rows of one bin are taken together; the highest bin that has any is always taken.
+    """
+    above = np.cumsum(counts[::-1])[::-1]
+    lowest = int(np.ceil((EDGE + sure) / BIN))
+    able = np.flatnonzero(above[lowest:] <= max(1.0, wanted)) + lowest
+    first = int(able[0]) if len(able) else len(counts) - 1
+    held = np.flatnonzero(counts[lowest:]) + lowest
+    if len(held):
+        first = min(first, int(held[-1]))
+    return first * BIN - EDGE, float(above[first])
+
+
+def newton(start: Logistic, x: np.ndarray, y: np.ndarray, ridge: float = 3.0, steps: int = 12) -> Logistic:
+    """Newton steps over rows in memory."""
+    for _ in range(steps):
+        before, start = start.weights, start.moved(start.sums(x, y), ridge)
+        if np.abs(start.weights - before).max() < 1e-5:
+            break
+    return start
+
+
+def co_train(content: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: DataFrame | None,
+             rounds: int = 4, share: float = 0.1, sure: float = 0.9, steps: int = 3, ridge: float = 3.0) -> CoTrained:
+    """Train the two views on y, exchanging confident labels over all rows of the pool for `rounds` rounds.
 
     A round adds up to `share` of the pool per view, in the class proportions of y, and only labels of a
-    probability of at least `sure`. A fifth of the labelled rows is kept out for calibration.
+    probability of at least `sure`. A given label weighs half a real one, and all of a view together at most half
+    of the real ones, so that the size of the pool does not drown them. A fifth of the labelled rows is kept out
+    for calibration. Features are standardised by all rows, labelled or not.
     """
     fold = np.arange(len(y)) % 5 == 4
     if len(set(y[fold])) < 2 or len(set(y[~fold])) < 2:
         fold[:] = False
     fit, held = ~fold, fold if fold.any() else ~fold
-    views = [content, meta]
-    pools = [pool_content, pool_meta]
-    given = [np.full(len(pool_content), np.nan), np.full(len(pool_content), np.nan)]  # labels that a view learns from
-    models: list[Logistic] = []
-    history = []
-    for step in range(rounds + 1):
-        models = []
-        for k in (0, 1):
-            extra = ~np.isnan(given[k])
-            x = np.vstack([views[k][fit], pools[k][extra]])
-            labels = np.concatenate([y[fit], given[k][extra]])
-            weight = np.concatenate([np.ones(fit.sum()), np.full(int(extra.sum()), 0.5)])
-            models.append(Logistic.fit(x, labels, weight))
-        history.append({"round": step, "content_labels": int((~np.isnan(given[0])).sum()), "meta_labels": int((~np.isnan(given[1])).sum())})
-        if step == rounds or not len(pool_content):
+    views = [content.astype(np.float64), meta.astype(np.float64)]
+    moments = [moments_of(v) for v in views]
+    if pool is not None:
+        added = add_up(pool, lambda x: np.concatenate([moments_of(v) for v in x]), sum(map(len, moments)))
+        moments = [moments[0] + added[:len(moments[0])], moments[1] + added[len(moments[0]):]]
+    models = [newton(Logistic.start(m), v[fit], y[fit], ridge) for m, v in zip(moments, views, strict=True)]
+    done: list[Round] = []
+    labels = [0.0, 0.0]  # rows with a given label, per view
+    history = [{"round": 0, "content_labels": 0, "meta_labels": 0}]
+    bins, least = int(2 * EDGE / BIN) + 1, math.log(sure / (1 - sure))
+    sizes = [len(m.weights) * (len(m.weights) + 1) for m in models]
+    for step in range(1, rounds + 1 if pool is not None else 1):
+        def margins(x, models=tuple(models), done=tuple(done)):
+            given = given_labels(x, done)
+            free = [np.bincount(margin_bins(models[k].margin(x[k])[np.isnan(given[1 - k])]), minlength=bins) for k in (0, 1)]
+            return np.concatenate([*free, [len(x[0])]])
+
+        counted = add_up(pool, margins, 2 * bins + 1)
+        total, share_1 = counted[-1], y.mean()
+        if not total:
             break
+        cuts = []
         for k in (0, 1):
-            p = sigmoid(models[k].margin(pools[k]))
-            free = np.isnan(given[1 - k])
-            for label, chance, part in ((1.0, p, y.mean()), (0.0, 1 - p, 1 - y.mean())):
-                able = np.flatnonzero(free & (chance >= sure))
-                best = able[np.argsort(-chance[able], kind="stable")][: max(1, int(share * part * len(p)))]
-                given[1 - k][best] = label
+            counts = counted[k * bins:(k + 1) * bins]
+            high, n_1 = cut_of(counts, share * share_1 * total, least)
+            low, n_0 = cut_of(counts[::-1], share * (1 - share_1) * total, least)
+            cuts.append((BIN - low if low < EDGE else -math.inf, high))
+            labels[1 - k] += n_1 + n_0
+        done.append(Round(models, cuts))
+        for _ in range(steps):
+            def slopes(x, models=tuple(models), done=tuple(done)):
+                given = given_labels(x, done)
+                return np.concatenate([models[k].sums(x[k][~np.isnan(given[k])], given[k][~np.isnan(given[k])]) for k in (0, 1)])
+
+            added = add_up(pool, slopes, sum(sizes))
+            weight = [0.5 * min(1.0, fit.sum() / max(1.0, n)) for n in labels]
+            extra = [added[:sizes[0]] * weight[0], added[sizes[0]:] * weight[1]]
+            before = models
+            models = [models[k].moved(models[k].sums(views[k][fit], y[fit]) + extra[k], ridge) for k in (0, 1)]
+            if max(np.abs(m.weights - b.weights).max() for m, b in zip(models, before, strict=True)) < 1e-3:
+                break
+        history.append({"round": step, "content_labels": int(labels[0]), "meta_labels": int(labels[1])})
     own = [_line(models[k].margin(views[k][held])[:, None], y[held]) for k in (0, 1)]
     margins = np.stack([models[k].margin(views[k][held]) * own[k][0] + own[k][1] for k in (0, 1)], axis=1)
     return CoTrained(models[0], models[1], (own[0], own[1]), _line(margins, y[held]), history)
 
 
 def vectors(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, content binary, meta binary): float32 feature vectors."""
+    """(doc_id, content binary, meta binary): half-precision feature vectors."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("__in"))
 
     def run(batches):
@@ -184,34 +298,38 @@ def vectors(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return slim.mapInArrow(run, "doc_id long, content binary, meta binary")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = 8_000, max_pool: int = 6_000, id_col: str = "doc_id"):
-    """Feature matrices of the bounded sample: (content, meta, y) with labels, and (content, meta) without."""
+def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = 8_000, id_col: str = "doc_id"):
+    """(content, meta, y) of the bounded labelled sample, and the stored vectors of all rows without a label."""
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    marked = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.min(label_col).cast("double").alias("y"))
+    marked = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label_col).cast("double").alias("y"))
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
-    with_label = ids.join(marked, "doc_id").orderBy(*order).limit(max_labelled)
-    without = ids.join(marked, "doc_id", "left_anti").orderBy(*order).limit(max_pool).withColumn("y", F.lit(None).cast("double"))
-    sample = with_label.unionByName(without).toPandas()  # two columns of at most max_labelled + max_pool rows
+    sample = ids.join(marked, "doc_id").orderBy(*order).limit(max_labelled).toPandas()  # two columns of at most max_labelled rows
     chosen = docs.sparkSession.createDataFrame(sample, "doc_id long, y double")
     rows = docs.withColumn("__key", F.col(id_col).cast("long")).join(F.broadcast(chosen.select(F.col("doc_id").alias("__key"))), "__key", "left_semi")
-    found = vectors(rows, id_col).dropDuplicates(["doc_id"]).toPandas().merge(sample, on="doc_id").sort_values("doc_id", key=lambda s: s * 2654435761 % 4294967291, kind="stable")
-    content = np.frombuffer(b"".join(found.content), np.float32).reshape(-1, CONTENT)
-    meta = np.frombuffer(b"".join(found.meta), np.float32).reshape(-1, META)
-    has = found.y.notna().to_numpy()
-    return content[has], meta[has], found.y.to_numpy(float)[has], content[~has], meta[~has]
+    one = vectors(rows, id_col).groupBy("doc_id").agg(F.min(F.struct("content", "meta")).alias("v")).select("doc_id", "v.*")
+    found = one.toPandas().merge(sample, on="doc_id").sort_values("doc_id", key=lambda s: s * 2654435761 % 4294967291, kind="stable")
+    content = np.frombuffer(b"".join(found.content), np.float16).reshape(-1, CONTENT)
+    meta = np.frombuffer(b"".join(found.meta), np.float16).reshape(-1, META)
+    y = found.y.to_numpy(float)
+    if len(set(y)) < 2:
+        return content, meta, y, None
+    # a null id matches no label; the second key spreads such rows
+    spread = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("content", "meta"), F.lit(1024))).otherwise(F.lit(0)).alias("spread")
+    known = marked.select("doc_id", F.lit(0).cast("long").alias("spread"))
+    rest = vectors(docs, id_col).select("*", spread).join(known, ["doc_id", "spread"], "left_anti").select("content", "meta")
+    return content, meta, y, materialize(rest, "unlabelled-vectors")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = 8_000, max_pool: int = 6_000) -> CoTrained | None:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = 8_000) -> CoTrained | None:
     """The co-trained model, or None when the labels hold fewer than two classes."""
-    content, meta, y, pool_content, pool_meta = training_rows(docs, labels, label_col, max_labelled, max_pool)
-    if len(set(y)) < 2:
-        return None
-    return co_train(content, meta, y, pool_content, pool_meta)
+    content, meta, y, pool = training_rows(docs, labels, label_col, max_labelled)
+    return None if pool is None else co_train(content, meta, y, pool)
 
 
 def score(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5, prefix: str = "") -> DataFrame:
     """All columns of docs with p_content, p_meta, score and kept, under names that begin with `prefix`."""
     added = [prefix + c for c in ("p_content", "p_meta", "score", "kept")]
+    docs = docs.drop(*added)
     if model is None:
         return docs.select("*", *(F.lit(1.0).alias(c) for c in added[:3]), F.lit(True).alias(added[3]))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two weight vectors
@@ -222,8 +340,8 @@ def score(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5, pref
         m = shared.value
         for batch in row_slices(batches):
             raw = [x.encode("utf-8", "surrogatepass") for x in batch.column("__in").to_pylist()]
-            content = np.stack([content_vector(x) for x in raw])
-            meta = np.stack([meta_vector(s, g, x) for s, g, x in zip(batch.column("__source").to_pylist(), batch.column("__lang").to_pylist(), raw, strict=True)])
+            content = np.stack([content_vector(x) for x in raw]).astype(np.float64)
+            meta = np.stack([meta_vector(s, g, x) for s, g, x in zip(batch.column("__source").to_pylist(), batch.column("__lang").to_pylist(), raw, strict=True)]).astype(np.float64)
             margins = [model_.margin(x) * line[0] + line[1] for model_, x, line in zip((m.content, m.meta), (content, meta), m.calibrate, strict=True)]
             total = sigmoid(margins[0] * m.combine[0] + margins[1] * m.combine[1] + m.combine[2])
             out = [sigmoid(margins[0]), sigmoid(margins[1]), total]

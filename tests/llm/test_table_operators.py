@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -165,6 +166,49 @@ def test_rebalancing_for_one_more_shard_moves_only_what_it_needs():
     assert sum(before[s] != after[s] for s in loads) <= 400 / 9 * 2
 
 
+def test_a_stored_map_is_read_edited_and_appended(spark, tmp_path):
+    path = str(tmp_path / "map")
+    slim = sharding.slotted(documents(spark, [(k, prose(k, 10 + k % 30), "en", "s") for k in range(400)]), 256).cache()
+
+    def versions():
+        got = {}
+        for r in spark.read.parquet(path).collect():
+            got.setdefault(r.version, {})[r.vslot] = r.shard
+        return got
+
+    sharding.plan_map(slim, 8, 256, path)
+    before = versions()
+    assert set(before) == {1, 2} and before[1] == sharding.initial_map(256, 8)
+    sharding.plan_map(slim, 9, 256, path)
+    after = versions()
+    assert set(after) == {1, 2, 3} and {v: after[v] for v in (1, 2)} == before
+    loads = {r.vslot: r.bytes for r in sharding.slot_loads(slim).collect()}
+    assert after[3] == sharding.rebalance(before[2], loads, 9)
+    assert {after[3][k] for k in after[3] if after[3][k] != before[2][k]} <= set(range(9)) and sum(after[3][k] != before[2][k] for k in after[3]) < 100
+    placed = sharding.place(slim, sharding.stored_map(spark, path))
+    assert {r.shard for r in placed.collect()} == set(range(9))
+    assert {r.shard for r in sharding.place(slim, sharding.stored_map(spark, path), 2).collect()} == set(range(8))
+    with pytest.raises(ValueError, match="virtual slots"):
+        sharding.plan_map(slim, 8, 128, path)
+    assert versions() == after
+
+
+def test_shards_equal_a_plain_version(spark):
+    """Sizes, checksums and places from plain Python, for ids that repeat, are negative or null."""
+    rows = [(k % 190 - 20, prose(k % 170, 5 + k % 40), "en", "s") for k in range(400)] + [(None, prose(k % 3, 8), "en", "s") for k in range(30)] + awkward()
+    got = sharding.shard(documents(spark, rows).repartition(5), 7, 64).collect()
+    plain = sorted((-1 if i is None else 0, i or 0, zlib.crc32((t or "").encode()), len((t or "").encode()) + 8) for i, t, *_ in rows)
+    assert sorted((-1 if r.doc_id is None else 0, r.doc_id or 0, r.text_crc32, r.size) for r in got) == plain
+    for s in range(7):
+        own = sorted((r for r in got if r.shard == s), key=lambda r: (r.vslot, r.doc_id is not None, r.doc_id or 0, r.text_crc32, r.size))
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+        keys = [(r.vslot, r.doc_id, r.text_crc32, r.size) for r in own]
+        assert [(r.vslot, r.doc_id, r.text_crc32, r.size) for r in sorted(own, key=lambda r: r.slot)] == keys
+    at = {}
+    for r in got:
+        assert at.setdefault(r.vslot, r.shard) == r.shard
+
+
 def test_line_rules_on_awkward_rows(spark):
     got = line_rules.rules(documents(spark, awkward())).collect()
     assert len(got) == len(awkward())
@@ -252,6 +296,50 @@ def test_quality_of_held_out_labels(spark):
     assert sum(good) >= 0.95 * len(good) and sum(bad) <= 0.3 * len(bad)
 
 
+def test_all_unlabelled_rows_take_part_and_reruns_agree(spark):
+    rng = np.random.default_rng(3)
+    truth = rng.random(9_000) < 0.7
+    content = (rng.standard_normal((9_000, 6)) + truth[:, None] * 2).astype(np.float16)
+    meta = (rng.standard_normal((9_000, 4)) + truth[:, None] * 1.5).astype(np.float16)
+    meta[8_000:, 3] += 5
+    pool = spark.createDataFrame([(c.tobytes(), m.tobytes()) for c, m in zip(content[300:], meta[300:], strict=True)], "content binary, meta binary")
+    y = truth[:300].astype(float)
+
+    def weights(rows):
+        model = quality.co_train(content[:300], meta[:300], y, rows)
+        return np.concatenate([model.content.weights, model.meta.weights, model.combine]), model
+
+    a, model = weights(pool.repartition(7))
+    b, _ = weights(pool.coalesce(1))
+    assert np.abs(a - b).max() < 1e-5
+    assert np.abs(a - weights(pool.limit(6_000))[0]).max() > 1e-3
+    assert [h["round"] for h in model.history] == list(range(5)) and model.history[1]["meta_labels"] > 500
+    margin = model.content.margin(content.astype(float))
+    assert ((margin > 0) == truth).mean() > 0.95
+    sums = quality.add_up(pool.repartition(40), lambda x: np.concatenate([model.content.sums(x[0], np.ones(len(x[0]))), quality.moments_of(x[1])]), 56 + 9)
+    plain = np.concatenate([model.content.sums(content[300:].astype(float), np.ones(8_700)), quality.moments_of(meta[300:].astype(float))])
+    assert np.allclose(sums, plain)
+    assert (quality.add_up(pool.filter("content IS NULL"), lambda x: np.ones(3), 3) == 0).all()
+
+
+def test_cuts_take_the_surest_rows():
+    margin = np.array([-9.0, -3, 0, 1, 2.3, 2.5, 2.5, 4, 6, 40])
+    counts = np.bincount(quality.margin_bins(margin), minlength=3501)
+    taken = {wanted: [m for m in margin if m >= quality.cut_of(counts, wanted, math.log(9))[0]] for wanted in (0, 2, 4, 5, 99)}
+    assert taken == {0: [40], 2: [6, 40], 4: [4, 6, 40], 5: [2.5, 2.5, 4, 6, 40], 99: [2.3, 2.5, 2.5, 4, 6, 40]}
+    assert all(quality.cut_of(counts, w, math.log(9))[1] == len(t) for w, t in taken.items())
+
+
+def test_scores_replace_columns_of_their_names_and_repeated_ids_train_alike(spark):
+    rows = [(k % 60, prose(k, 40) if k % 3 else " ".join(w + "##" for w in prose(k, 30).split()), "en", "s") for k in range(200)]
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(40)], "doc_id long, quality int")
+    docs = documents(spark, rows).withColumn("score", F.lit("x")).withColumn("kept", F.lit("y"))
+    first = quality.classify(docs.repartition(5), labels)
+    assert first.schema["score"].dataType.simpleString() == "double" and first.columns.count("kept") == 1
+    again = quality.classify(docs.repartition(3), labels)
+    assert sorted((r.doc_id, r.text, round(r.score, 4)) for r in first.collect()) == sorted((r.doc_id, r.text, round(r.score, 4)) for r in again.collect())
+
+
 def test_quality_on_awkward_rows(spark):
     docs = documents(spark, awkward())
     one_class = spark.createDataFrame([(1, 1), (2, None), (None, 0)], "doc_id long, quality int")
