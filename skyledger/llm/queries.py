@@ -115,7 +115,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     from skyledger.llm import secrets
 
-    return secrets.scan(table(spark, sf_dir)).filter("is_secret").select("doc_id", "place", "candidate", "word", "before", "after", "rule_label", "score", "is_secret")
+    return secrets.scan(table(spark, sf_dir)).filter("is_secret").select("doc_id", "place", "offset", "candidate", "word", "before", "after", "rule_label", "score", "is_secret")
 
 
 @register("op5_quality_classifier")

@@ -34,20 +34,26 @@ TAME_PATH = r"(?i)(test|example|sample|fixture|doc)"
 FORMATS = (r"^AKIA[0-9A-Z]{16}$", r"^ASIA[0-9A-Z]{16}$", r"^gh[pousr]_[A-Za-z0-9]{36}$", r"^xox[abprs]-[A-Za-z0-9\-]{10,}$", r"^AIza[0-9A-Za-z_\-]{35}$", r"^sk_live_[0-9A-Za-z]{24,}$")
 DICTIONARY_SHARE = 0.0005
 MASK = "[SECRET]"
+WORD = r"[^\x20\x09-\x0D]+"
 FEATURES = ("length", "digit_share", "upper_share", "lower_share", "sign_share", "changes", "hex_share", "covered", "hint_before", "hint_inside", "assigned", "quoted", "word_rest", "tame_path")
 
 
+def may_hold(text_col: str) -> Column:
+    """Could the text hold a candidate at all? Null counts as no."""
+    return F.coalesce(F.col(text_col).rlike(RUN) | F.col(text_col).rlike(NAMED + SHORT_RUN), F.lit(False))
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", path_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(doc_id, path, place, word, before, before2, after, offset, left, candidate), a row per run.
+    """(doc_id, path, text_hash, place, word, before, before2, after, offset, left, candidate), a row per run.
 
     `place` numbers the words of a text and `offset` the characters of a word from 0. `left` is what stands before
     the candidate in its own field of the word: after the last of , ; & ? and brackets.
     """
-    rows = docs.filter(F.col(text_col).rlike(RUN) | F.col(text_col).rlike(NAMED + SHORT_RUN)).select(F.col(id_col).alias("doc_id"), F.col(path_col).cast("string").alias("path"), words_of(F.col(text_col)).alias("words"))
+    rows = docs.filter(may_hold(text_col)).select(F.col(id_col).alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.xxhash64(text_col).alias("text_hash"), words_of(F.col(text_col)).alias("words"))
     found = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("place"), w.alias("word"))), lambda x: (F.length(x.word) >= SHORT_LENGTH) & (
         x.word.rlike(RUN) | (x.word.rlike(SHORT_RUN) & F.concat_ws(" ", F.get("words", x.place - 2), F.get("words", x.place - 1), x.word).rlike(NAMED + SHORT_RUN))))
     around = F.transform(found, lambda x: F.struct(x.place.alias("place"), x.word.alias("word"), F.get("words", x.place - 1).alias("before"), F.get("words", x.place - 2).alias("before2"), F.get("words", x.place + 1).alias("after")))
-    rows = rows.select("doc_id", "path", F.explode(around).alias("x")).select("doc_id", "path", "x.*")
+    rows = rows.select("doc_id", "path", "text_hash", F.explode(around).alias("x")).select("doc_id", "path", "text_hash", "x.*")
     rows = rows.withColumn("runs", F.regexp_extract_all("word", F.lit(SHORT_RUN), F.lit(0))).withColumn("gaps", F.split("word", SHORT_RUN))
     # the runs and the gaps before them, in turn, make up the word
     offset = F.length(F.array_join(F.slice("gaps", 1, F.col("k") + 1), "")) + F.length(F.array_join(F.slice("runs", 1, F.col("k")), ""))
@@ -141,13 +147,27 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_
     found = materialize(candidates(docs, id_col, path_col, text_col), "candidates")
     rows = featured(found, pair_dictionary(found))
     forest = train(rows if labelled is None else labelled)
-    return score(rows, forest).select("doc_id", "path", "place", "word", "candidate", "before", "after", "covered", "rule_label", "score", "is_secret")
+    return score(rows, forest).select("doc_id", "path", "text_hash", "place", "offset", "word", "candidate", "before", "after", "covered", "rule_label", "score", "is_secret")
 
 
 def mask(docs: DataFrame, secrets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with every found secret replaced by MASK. Findings are joined by id; rows without any stay as they are."""
-    listed = secrets.select(F.col("doc_id").alias("__id"), F.col("candidate").alias("__c")).distinct().groupBy("__id").agg(
-        F.array_sort(F.collect_list("__c"), lambda a, b: F.length(b) - F.length(a)).alias("__found"))
-    rows = docs.join(listed, F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    text = F.when(F.col("__found").isNull(), F.col(text_col)).otherwise(F.aggregate("__found", F.col(text_col), lambda t, s: F.replace(t, s, F.lit(MASK))))
-    return rows.withColumn(text_col, text).drop("__id", "__found")
+    """The documents with every found secret replaced by MASK at its own place; all other text stays as it is.
+
+    Findings meet the text they were found in by id and text hash, so rows with a null or repeated id keep apart.
+    Only texts that may hold a candidate are moved for that. Repeated rows are masked alike.
+    """
+    key = ["doc_id", "text_hash"]
+    hits = secrets.select(*key, "place", "word", "offset", F.length("candidate").alias("n")).distinct()
+    at = F.array_sort(F.collect_list(F.struct((-F.col("offset")).alias("back"), "n")))  # the last one in the word first
+    cut = F.aggregate("at", F.col("word"), lambda w, x: F.concat(F.substring(w, F.lit(1), -x["back"]), F.lit(MASK), F.substring(w, x["n"] - x["back"] + 1, F.length(w))))
+    words = hits.groupBy(*key, "place", "word").agg(at.alias("at")).select(*key, "place", cut.alias("masked"))
+    listed = words.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("place", "masked"))).alias("__found")).select(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("__found.place").alias("__places"), F.col("__found.masked").alias("__masked"))
+    able = docs.filter(may_hold(text_col))
+    rows = able.join(listed, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash")), "left")
+    own, gaps = words_of(F.col(text_col)), F.split(text_col, WORD)
+    # text = gap, word, gap … word, gap
+    parts = F.zip_with(gaps, F.transform(own, lambda w, i: F.coalesce(F.get("__masked", F.array_position("__places", i).cast("int") - 1), w)),
+                       lambda gap, w: F.concat(gap, F.coalesce(w, F.lit(""))))
+    text = F.when(F.col("__places").isNull(), F.col(text_col)).otherwise(F.array_join(parts, ""))
+    return rows.withColumn(text_col, text).select(docs.columns).unionByName(docs.filter(~may_hold(text_col)))

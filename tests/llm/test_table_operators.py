@@ -267,6 +267,20 @@ def test_every_run_of_a_word_is_a_candidate(spark):
     assert masked[3] == '{"first_secret":"[SECRET]","other_api_key":"[SECRET]"}' and hexed[3] not in masked[4]
 
 
+def test_masks_stand_at_the_places_of_findings(spark):
+    """The same run elsewhere in the text stays; ids that are null or repeat keep their own texts; white space stays."""
+    a, b = "0123456789abcdef" * 2, "fedcba9876543210" * 2
+    texts = [(1, f"  token={a},{b};x\n\nhttp://h/{a}more {a}\t"), (1, f"{b} at first, token={b}"), (None, f"token={a}"), (None, "nothing here"), (2, None), (3, "")]
+    docs = documents(spark, [(i, t, "en", "s") for i, t in texts] + [(1, f"{b} at first, token={b}", "en", "s")])
+    found = secrets.candidates(docs)
+    chosen = found.filter(F.col("left").rlike("token=$") | (F.col("candidate") == b) & (F.col("place") == 0) & F.col("word").rlike("^token"))
+    got = sorted((r.doc_id or 0, r.text or "") for r in secrets.mask(docs, chosen).collect())
+    m = secrets.MASK
+    assert got == sorted([(1, f"  token={m},{m};x\n\nhttp://h/{a}more {a}\t"), (1, f"{b} at first, token={m}"), (1, f"{b} at first, token={m}"),
+                          (0, f"token={m}"), (0, "nothing here"), (2, ""), (3, "")])
+    assert secrets.mask(docs, chosen).columns == docs.columns and secrets.mask(docs, chosen.limit(0)).count() == 7
+
+
 def test_secret_forest_learns_from_given_findings(spark):
     rows, _ = secret_rows()
     docs = documents(spark, rows)
