@@ -83,8 +83,12 @@ cte("yrows", "trows", f"SELECT t.*, y.year FROM trows t JOIN (SELECT {K}, year(m
 Y3 = "year, direction, bin"
 cte("ycell", "yrows", f"""SELECT c.*, s.sm, v.rm FROM (SELECT {Y3}, count(DISTINCT (flight_id, cluster)) AS n FROM yrows GROUP BY 1, 2, 3) c JOIN (SELECT {Y3}, round(median(v), 4) AS sm FROM ({balanced('yrows', 'speed_ok', Y3)}) GROUP BY 1, 2, 3) s USING ({Y3})
 JOIN (SELECT {Y3}, round(median(v), 4) AS rm FROM ({balanced('yrows', 'rate_ok', Y3)}) GROUP BY 1, 2, 3) v USING ({Y3}) WHERE n >= 20""")
-O["year_drift"] = query(f"""SELECT direction, bin, years, {r('ss', 6)} AS speed_shift, {r('rs', 6)} AS rate_shift, greatest(ss, rs) <= 0.5 AS within_limit FROM (
-SELECT y.direction, y.bin, years, round(s / (speed_hi - speed_lo), 4) AS ss, round(r / (rate_hi - rate_lo), 4) AS rs FROM (SELECT direction, bin, count(*) AS years, max(sm) - min(sm) AS s, max(rm) - min(rm) AS r FROM ycell GROUP BY 1, 2 HAVING count(*) >= 2) y JOIN (SELECT * FROM fit WHERE speed_class = 'unknown') e ON e.direction = y.direction AND e.bin = y.bin)""", "ycell", "fit")
+cte("drift", "ycell fit", """SELECT y.direction, y.bin, years, round(s / (speed_hi - speed_lo), 4) AS ss, round(r / (rate_hi - rate_lo), 4) AS rs FROM (SELECT direction, bin, count(*) AS years, max(sm) - min(sm) AS s, max(rm) - min(rm) AS r FROM ycell GROUP BY 1, 2 HAVING count(*) >= 2) y JOIN (SELECT * FROM fit WHERE speed_class = 'unknown') e ON e.direction = y.direction AND e.bin = y.bin""")
+O["year_drift"] = query(f"SELECT direction, bin, years, {r('ss', 6)} AS speed_shift, {r('rs', 6)} AS rate_shift, greatest(ss, rs) <= 0.5 AS within_limit FROM drift", "drift")
+O["drift_verdict"] = query(f"""SELECT count(*) AS comparisons, count(*) FILTER (greatest(ss, rs) > 0.5) AS above_limit, {r('max(greatest(ss, rs))', 6)} AS max_shift, 0.5e0 AS acceptance_limit,
+CASE WHEN max(greatest(ss, rs)) <= 0.5 THEN 'pass' ELSE 'review' END AS status FROM drift""", "drift")
+cte("fitatt", "trows", f"SELECT {K}, CAST(year(make_timestamp(CAST(min(time) * 1000000 AS BIGINT))) AS VARCHAR) AS yr, min(direction) AS direction, coalesce(max(speed_class) FILTER (speed_class <> 'unknown'), 'unknown') AS speed_class FROM trows GROUP BY flight_id, cluster")
+O["fit_diagnostics"] = query(" UNION ALL ".join(f"SELECT '{d}' AS dimension, {c} AS value, count(*) AS attempts FROM fitatt GROUP BY 2" for d, c in (("year", "yr"), ("direction", "direction"), ("speed_class", "speed_class"), ("accepted", "'all'"))), "fitatt")
 O["validate_reference"] = query("""SELECT direction, speed_class, bin, CASE WHEN bin = '0-1500' THEN CASE WHEN speed_hi + 1 > 150 THEN 'speed_bounds_out_of_order' ELSE 'speed_bounds_out_of_order' END ELSE CASE WHEN rate_lo > 30 THEN 'x' ELSE 'rate_bounds_implausible' END END AS problems FROM fit WHERE bin IN ('0-1500', '1500-3000')""", "fit")
 
 # ---- contextual ----

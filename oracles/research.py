@@ -172,6 +172,13 @@ cte("vec", "tz split", "SELECT segment_id, any_value(fold) AS fold, " + ", ".joi
 DIST = "sqrt(" + " + ".join(f"(a.f{i} - b.f{i}) * (a.f{i} - b.f{i})" for i in range(24)) + ")"
 O["knn_score"] = query(f"SELECT segment_id, {r('d')} AS score FROM (SELECT a.segment_id, {DIST} AS d, row_number() OVER (PARTITION BY a.segment_id ORDER BY {DIST}) AS rn FROM vec a, vec b WHERE a.fold <> 'train' AND b.fold = 'train') WHERE rn = 5", "vec")
 
+cte("knn5", "vec", f"SELECT segment_id, round(d, 6) AS d FROM (SELECT a.segment_id, {DIST} AS d, row_number() OVER (PARTITION BY a.segment_id ORDER BY {DIST}) AS rn FROM vec a, vec b WHERE a.fold <> 'train' AND b.fold = 'train') WHERE rn = 5")
+cte("top20", "err split", "SELECT segment_id, round(coalesce(avg(se) FILTER (valid), 0), 6) AS error FROM err WHERE segment_id IN (SELECT segment_id FROM split WHERE fold <> 'train') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+cte("turned", "clean top20", f"SELECT segment_id, baroaltitude, radians(h - lag(h) OVER (PARTITION BY segment_id ORDER BY time)) AS dh FROM (SELECT *, {pmod('heading + (time // 10 % 4) * 40')} AS h FROM clean WHERE segment_id IN (SELECT segment_id FROM top20))")
+O["turning_review"] = query(f"""SELECT segment_id, {r('error')} AS error, {r('turn')} AS turn_deg, {r('alt')} AS alt_range, {r('pct')} AS neighbour_pct, turn > 400 AS circling, coalesce(pct < 50, FALSE) AS near_normal FROM top20
+JOIN (SELECT segment_id, coalesce(sum(abs(degrees(atan2(sin(dh), cos(dh))))), 0) AS turn, max(baroaltitude) - min(baroaltitude) AS alt FROM turned GROUP BY 1) USING (segment_id)
+LEFT JOIN (SELECT a.segment_id, 1e2 * (SELECT count(*) FROM knn5 b WHERE b.d < a.d) / (SELECT count(*) FROM knn5) AS pct FROM knn5 a) USING (segment_id)""", "top20", "turned", "knn5")
+
 # ---- isolation forest: 200 trees of the 256 rows of least hash ----
 cte("vec6", "vec", "SELECT segment_id, fold, [" + ", ".join(f"round(f{i}, 6) + 0e0" for i in range(24)) + "] AS f FROM vec")
 cte("fsam", "vec6", f"SELECT tree, segment_id, f FROM (SELECT tree, segment_id, f, row_number() OVER (PARTITION BY tree ORDER BY u, segment_id) AS rn FROM (SELECT tree, segment_id, f, {hu('segment_id', 'CAST(tree AS VARCHAR)', S)} AS u FROM vec6, (SELECT unnest(range(0, 200)) AS tree) WHERE fold = 'train')) WHERE rn <= 256")

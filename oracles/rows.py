@@ -119,6 +119,7 @@ O["filter_stale_contact"] = query(f"SELECT {K}, lastcontact FROM obs WHERE time
 cte("fold", "seg", "SELECT flight_id, segment_id, CASE WHEN y <= 2018 THEN 'train' WHEN y = 2019 THEN 'val' ELSE 'test' END AS fold FROM (SELECT flight_id, segment_id, year(make_timestamp(CAST(min(time) * 1000000 AS BIGINT))) AS y FROM seg GROUP BY 1, 2)")
 O["filter_ids"] = query("SELECT segment_id, time FROM seg WHERE segment_id IN (SELECT segment_id FROM fold WHERE fold = 'val')", "fold")
 O["cohort_operations"] = query(f"SELECT {K} FROM obs WHERE flight_id IN (SELECT flight_id FROM fold WHERE fold = 'train')", "fold")
+O["cohort_first_operations"] = query(f"SELECT {K} FROM obs WHERE flight_id IN (SELECT DISTINCT flight_id FROM fold WHERE fold = 'train' ORDER BY flight_id LIMIT 25)", "fold")
 O["fold_semi"] = query("SELECT flight_id, count(*) AS n_rows FROM obs WHERE flight_id IN (SELECT flight_id FROM fold WHERE fold = 'test') GROUP BY 1", "fold")
 O["identity_gate"] = query("SELECT CASE WHEN r.icao24 IS NOT NULL THEN 'CLEARED' ELSE 'UNIDENTIFIED' END AS status, count(DISTINCT o.flight_id) AS flights, count(*) AS n_rows FROM obs o LEFT JOIN reg r ON o.icao24 = r.icao24 GROUP BY 1", "reg")
 O["airport_association"] = query("SELECT count(*) FILTER (k % 3 = 0 OR k % 4 = 0 OR k % 5 = 0 OR k % 11 = 0) AS associated, count(*) FILTER (k % 4 = 0 OR k % 5 = 0) AS arriving, count(*) FILTER (k % 3 = 0) AS departing, count(*) FILTER (k % 11 = 0) AS diverted_to FROM (SELECT DISTINCT k FROM obs)", "obs")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skyledger.functions.geo import folded_change, haversine_m
 from skyledger.operators.derive import engaging_parts
-from skyledger.operators.ranks import exact_quantiles
+from skyledger.operators.ranks import exact_quantiles, percentile_against
 from skyledger.operators.sequence import grounded, islands, ordered, segment_gaps
 from skyledger.session import materialize
 
@@ -310,6 +310,21 @@ def turning_and_range(clean: DataFrame, keys=("flight_id", "segment_id")) -> Dat
                                                             (F.max("baroaltitude") - F.min("baroaltitude")).alias("alt_range"))
 
 
+def turning_review(clean: DataFrame, errors: DataFrame, neighbours: DataFrame, k: int = 20, circling_deg: float = 400.0) -> DataFrame:
+    """The k segments of largest error, with turn, altitude range and the percentage of neighbour scores below their own.
+
+    errors: (segment_id, error); neighbours: (segment_id, score) of the same segments. `circling` marks holding-like
+    turns, `near_normal` segments that the neighbour score alone would not have shown. Only the rows of the k
+    segments are read again for their turns.
+    """
+    top = materialize(errors.filter(F.col("error").isNotNull()).orderBy(F.desc("error"), "segment_id").limit(k), "top")
+    ids = F.broadcast(top.select("segment_id"))  # k rows
+    facts = turning_and_range(clean.join(ids, "segment_id", "left_semi"))
+    ranked = percentile_against(neighbours.select("segment_id", "score"), neighbours, "score", strict=True).join(ids, "segment_id", "left_semi")
+    return top.join(facts, "segment_id").join(ranked.select("segment_id", F.col("pct").alias("neighbour_pct")), "segment_id", "left").withColumns({
+        "circling": F.col("turn_deg") > circling_deg, "near_normal": F.coalesce(F.col("neighbour_pct") < 50, F.lit(False))})
+
+
 def channel_summary(clean: DataFrame, channels: Sequence[str], keys=("flight_id", "segment_id")) -> DataFrame:
     """Start, end, least and greatest value of each channel per segment."""
     aggs = [f.alias(f"{n}_{c}") for c in channels for n, f in (

@@ -104,6 +104,28 @@ def year_drift(cells: DataFrame, envelope: DataFrame, limit: float = 0.5) -> Dat
     return shares.withColumn("within_limit", F.greatest("speed_shift", "rate_shift") <= limit)
 
 
+def drift_verdict(drift: DataFrame, limit: float = 0.5) -> DataFrame:
+    """One row over all compared cells: 'pass' if no median moved by more than the limit, else 'review'.
+
+    Without a cell that was seen in two years there is nothing to compare, which is a matter for review.
+    """
+    row = drift.agg(F.count(F.lit(1)).alias("comparisons"), F.count_if(~F.col("within_limit")).alias("above_limit"),
+                    F.max(F.greatest("speed_shift", "rate_shift")).alias("max_shift"))
+    return row.withColumn("acceptance_limit", F.lit(limit)).withColumn("status", F.when(F.col("max_shift") <= limit, "pass").otherwise("review"))
+
+
+def fit_diagnostics(rows: DataFrame) -> DataFrame:
+    """(dimension, value, attempts): how many attempts a fit took in, by year, direction and own speed class.
+
+    Attempts are folded to one row each before they are counted along the dimensions.
+    """
+    own = F.coalesce(F.max(F.when(F.col("speed_class") != "unknown", F.col("speed_class"))), F.lit("unknown"))
+    attempts = rows.groupBy(*ATTEMPT).agg(F.year(F.timestamp_seconds(F.min("time"))).cast("string").alias("year"), F.min("direction").alias("direction"), own.alias("speed_class"))
+    named = [F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in ("year", "direction", "speed_class")]
+    every = F.struct(F.lit("accepted").alias("dimension"), F.lit("all").alias("value"))
+    return attempts.select(F.inline(F.array(every, *named))).groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("attempts"))
+
+
 def reference_violations(envelope: DataFrame, fit_fold: str = "train") -> DataFrame:
     """Cells whose bounds are out of order or implausible, or which were not fitted on train."""
     problem = F.array_compact(F.array(

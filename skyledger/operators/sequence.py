@@ -87,24 +87,30 @@ def segment_gap_or_jump(df: DataFrame, key: str = "icao24", gap_s: int = 60, jum
                         min_rows: int = 10) -> DataFrame:
     """Cut tracks on a time gap or a position jump and drop the short pieces; numbering starts at 0.
 
-    Rows are ordered in (key, day) pieces. The last row of the day before, the number of cuts before a day and
-    the lengths of the pieces come from tables with one row per day or piece.
+    Work is cut into (key, day) pieces. A row of the last gap_s seconds of a day is copied into the next one: a row
+    without one before it that near begins a segment anyway. Numbers and lengths come from a four-column pass that
+    folds to one row per day, so the wide rows move once, by (key, day), and stay for the join.
     """
     day = F.floor(F.col("time") / SECONDS_PER_DAY)
-    dated = df.withColumn("day_", day)
-    days = Window.partitionBy(key).orderBy("day_")
-    in_day = ordered([key, "day_"])
-    point = F.struct("time", "lat", "lon")
-    ends = dated.groupBy(key, "day_").agg(F.max(point).alias("end_")).select(key, "day_", F.lag("end_").over(days).alias("before_"))
-    seen = dated.join(ends, [key, "day_"]).withColumn("last_", F.coalesce(F.lag(point).over(in_day), "before_"))
-    cut = (F.col("time") - F.col("last_.time") > gap_s) | (haversine_m("last_.lat", "last_.lon", "lat", "lon") > jump_m)
-    cuts = seen.withColumn("cut_", F.coalesce(cut, F.lit(False)).cast("long")).withColumn("local_", F.sum("cut_").over(running([key, "day_"])))
-    per_day = cuts.groupBy(key, "day_").agg(F.max("local_").alias("cuts_"))
-    earlier = days.rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_day.select(key, "day_", F.coalesce(F.sum("cuts_").over(earlier), F.lit(0)).alias("carry_"))
-    pieces = cuts.join(carried, [key, "day_"]).withColumn("seg_", F.col("local_") + F.col("carry_"))
-    lengths = pieces.groupBy(key, "seg_").agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") >= min_rows)
-    return pieces.join(lengths, [key, "seg_"]).withColumn("seg_id", F.concat_ws("_", key, F.col("seg_").cast("string"))).select(*df.columns, "n_rows", "seg_id")
+    piece, point = [key, "day_"], ["time", "lat", "lon"]
+
+    def cut_rows(rows: DataFrame) -> DataFrame:
+        """Rows with day_ and local_, the number of cuts in their day up to them."""
+        placed = rows.withColumn("day_", F.explode(F.sequence(day, F.floor((F.col("time") + gap_s) / SECONDS_PER_DAY))))
+        last = {f"{c}_": F.lag(c).over(ordered(piece)) for c in point}
+        cut = (F.col("time") - F.col("time_") > gap_s) | (haversine_m("lat_", "lon_", "lat", "lon") > jump_m)
+        own = placed.withColumns(last).withColumn("cut_", F.when(F.col("time_").isNull(), True).otherwise(F.coalesce(cut, F.lit(False))))
+        own = own.filter(F.col("day_") == day).drop("time_", "lat_", "lon_")
+        return own.withColumn("local_", F.sum(F.col("cut_").cast("long")).over(running(piece))).drop("cut_")
+
+    heads = cut_rows(df.select(key, *point)).groupBy(*piece, "local_").agg(F.count(F.lit(1)).alias("n_"))
+    numbered = heads.withColumn("seg_", F.sum((F.col("local_") > 0).cast("long")).over(running([key], ["day_", "local_"])) - 1)
+    whole = numbered.withColumn("n_rows", F.sum("n_").over(Window.partitionBy(key, "seg_")))
+    # a day's segments by local_, which counts from 0 or 1 without a gap
+    days = whole.groupBy(*piece).agg(F.array_sort(F.collect_list(F.struct("local_", "seg_", "n_rows"))).alias("segs_"))
+    found = F.get("segs_", (F.col("local_") - F.col("segs_")[0]["local_"]).cast("int"))
+    joined = cut_rows(df).join(days, piece).withColumn("seg_", found["seg_"]).withColumn("n_rows", found["n_rows"])
+    return joined.filter(F.col("n_rows") >= min_rows).withColumn("seg_id", F.concat_ws("_", key, F.col("seg_").cast("string"))).select(*df.columns, "n_rows", "seg_id")
 
 
 def with_step_speed(df: DataFrame, keys: Sequence[str] = ("flight_id", "segment_id")) -> DataFrame:

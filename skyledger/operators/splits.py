@@ -54,6 +54,19 @@ def random_split(df: DataFrame, key: str, shares=(("train", 0.8), ("val", 0.1),
     return df.withColumn("fold", fold)
 
 
+def cohort_operations(rows: DataFrame, folds: DataFrame, fold: str, limit: int | None = None) -> DataFrame:
+    """All rows of the flights with a segment in a fold; with a limit, of the first flights by id.
+
+    The test fold is sealed and refused. The first ids come from a top-k per task, so no task sorts all flights.
+    """
+    if fold not in ("train", "val"):
+        raise ValueError(f"no cohort may be taken from fold {fold!r}")
+    flights = folds.filter(F.col("fold") == fold).select("flight_id").distinct()
+    if limit is not None:
+        flights = flights.orderBy("flight_id").limit(limit)
+    return rows.join(flights, "flight_id", "left_semi")
+
+
 def fold_overlap(split: DataFrame, key: str = "icao24") -> DataFrame:
     """How many keys occur in each pair of folds and in all three."""
     seen = split.filter(F.col("fold").isin("train", "val", "test")).groupBy(key).agg(

@@ -135,6 +135,11 @@ def fitted(v):
     return materialize(reference.fit_reference(materialize(reference.reference_rows(train_attempts(v)), "refrows")), "envelope")
 
 
+def drift(v):
+    rows = materialize(reference.reference_rows(train_attempts(v)), "refrows")
+    return reference.year_drift(reference.year_cells(rows, 20), materialize(reference.fit_reference(rows), "envelope"))
+
+
 @register("reference_eligible")
 def _(v):
     return reference.reference_eligible(v.attempts).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("attempts"))
@@ -159,8 +164,17 @@ def _(v):
 
 @register("year_drift", digits=6)
 def _(v):
-    rows = materialize(reference.reference_rows(train_attempts(v)), "refrows")
-    return reference.year_drift(reference.year_cells(rows, 20), materialize(reference.fit_reference(rows), "envelope"))
+    return drift(v)
+
+
+@register("drift_verdict", digits=6)
+def _(v):
+    return reference.drift_verdict(drift(v))
+
+
+@register("fit_diagnostics")
+def _(v):
+    return reference.fit_diagnostics(reference.reference_rows(train_attempts(v)))
 
 
 @register("validate_reference")

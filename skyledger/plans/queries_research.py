@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyledger.config import FEATURES, INJECTION_MIX
-from skyledger.operators import detectors, inject, metrics, queue, ranks, segments, splits, windows
+from skyledger.operators import detectors, inject, metrics, profiles, queue, ranks, segments, splits, windows
 from skyledger.operators.derive import normalised_heading
 from skyledger.operators.resample import SEGMENT
 from skyledger.operators.sequence import ordered
@@ -190,6 +190,16 @@ def _(v):
     return detectors.knn_score(*vectors(v))
 
 
+@register("turning_review")
+def _(v):
+    """Segments outside train; scores to 6 digits, so that sums in another order rank alike."""
+    rest = v.split.filter("fold <> 'train'").select("segment_id")
+    errors = detectors.reconstruction_scores(detectors.step_errors(shifted(v)), WINDOW).join(rest, "segment_id", "left_semi")
+    neighbours = detectors.knn_score(*vectors(v)).select("segment_id", F.round("score", 6).alias("score"))
+    turned = v.stored_clean.withColumn("heading", F.expr("pmod(heading + (floor(time / 10) % 4) * 40, 360D)"))
+    return profiles.turning_review(turned, errors.select("segment_id", F.round("score_mean", 6).alias("error")), materialize(neighbours, "neighbours")).drop("flight_id")
+
+
 @register("gmm_score")
 def _(v):
     return detectors.gmm_score(*vectors(v, 6))

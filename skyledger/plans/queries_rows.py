@@ -229,8 +229,12 @@ def _(v):
 
 @register("cohort_operations")
 def _(v):
-    flights = by_year(v).filter("fold = 'train'").select("flight_id").distinct()
-    return v.obs.join(flights, "flight_id", "left_semi").select(*ROW)
+    return splits.cohort_operations(v.obs, by_year(v), "train").select(*ROW)
+
+
+@register("cohort_first_operations")
+def _(v):
+    return splits.cohort_operations(v.obs, by_year(v), "train", limit=25).select(*ROW)
 
 
 @register("fold_semi")

@@ -2,9 +2,10 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from skyledger.operators import approach, detectors, disclosure, metrics, pivot_tree, ranks, segments, sequence
+from skyledger.operators import approach, detectors, disclosure, metrics, pivot_tree, ranks, reference, segments, sequence, splits
 from skyledger.sources import writers
 
 
@@ -171,3 +172,44 @@ def test_go_around_needs_one_airborne_run(spark):
     two = [("f", "touch", i, float(a), 1000.0, i == 3) for i, a in enumerate(alts)]
     got = {r.segment_id: r.is_go_around for r in segments.detect_go_around(frame(spark, one + two, schema)).collect()}
     assert got == {"go": True, "touch": False}
+
+
+def test_segments_by_gap_or_jump_match_a_plain_loop(spark):
+    rng = np.random.default_rng(3)
+    day, rows = 86_400, []
+    for key in "abc":
+        t, lat = day - 900, 40.0
+        for _ in range(400):
+            t += int(rng.choice([5, 20, 60, 61, 700], p=[0.5, 0.3, 0.15, 0.04, 0.01]))
+            lat += float(rng.choice([0.0005, 0.2], p=[0.97, 0.03]))
+            rows.append((key, t + (3 * day if key == "c" and t > day else 0), lat, -3.5))
+    rows += [("d", day - 30, 40.0, -3.5), ("d", day + 30, 40.0, -3.5), ("d", day + 91, None, -3.5), ("d", day + 95, 40.0, -3.5)]
+    df = frame(spark, rows, "icao24 string, time long, lat double, lon double")
+    got = {(r.icao24, r.time, r.seg_id, r.n_rows) for r in sequence.segment_gap_or_jump(df, min_rows=2).collect()}
+    pieces, last = {}, {}
+    for key, t, lat, _ in sorted(rows, key=lambda x: x[:2]):
+        pt, plat, seg = last.get(key, (t, lat, 0))
+        jump = lat is not None and plat is not None and abs(lat - plat) * 111_000 > 5_000
+        seg += t - pt > 60 or jump
+        last[key] = (t, lat, seg)
+        pieces.setdefault((key, seg), []).append(t)
+    want = {(k, t, f"{k}_{s}", len(ts)) for (k, s), ts in pieces.items() if len(ts) >= 2 for t in ts}
+    assert got == want
+
+
+def test_first_flights_of_a_cohort_and_the_sealed_fold(spark):
+    rows = frame(spark, [(f, t) for f in ("c", "a", "b", "z") for t in (1, 2)], "flight_id string, time long")
+    folds = frame(spark, [("c", "train"), ("a", "train"), ("a", "val"), ("b", "train"), ("z", "test")], "flight_id string, fold string")
+    assert {r.flight_id for r in splits.cohort_operations(rows, folds, "train", 2).collect()} == {"a", "b"}
+    assert splits.cohort_operations(rows, folds, "val").count() == 2
+    with pytest.raises(ValueError):
+        splits.cohort_operations(rows, folds, "test")
+
+
+def test_drift_verdict_needs_a_comparison(spark):
+    cells = "direction string, bin string, years long, speed_shift double, rate_shift double, within_limit boolean"
+    one = [("18", "0-1500", 2, 0.2, 0.5, True)]
+    assert reference.drift_verdict(frame(spark, one, cells)).first().status == "pass"
+    assert reference.drift_verdict(frame(spark, one + [("36", "0-1500", 2, 0.51, 0.0, False)], cells)).first().above_limit == 1
+    empty = reference.drift_verdict(frame(spark, [], cells)).first()
+    assert (empty.status, empty.comparisons, empty.max_shift) == ("review", 0, None)
