@@ -3,13 +3,13 @@
 Base rules count words, symbols, repeated lines and repeated 8-word windows inside one text. The cross-document
 rule hashes every normalised line (lower case, one space between words, digits as 0), counts for each host the
 distinct documents that hold it, removes lines above the limit and rejects documents that lose too many words.
-Copies of a text count once on a host, so a group of copies does not make its own lines frequent.
+Every document counts, copies of a text too; rows equal in id and text are one document.
 
-A host's limit is `share` of its distinct documents, at least `least`. Lines above it are few: their number per
-host is below the mean number of lines of a document divided by the share.
+The limit is `most` documents of a host, whatever its size; on a small host it is tighter: `share` of its
+documents, but at least `least`. So at most one line in `least` of a host, by occurrences, can be above it.
 
-Nulls: a null text has no words and fails the base rules; null hosts are one host. Repeated rows get equal
-results. An empty table gives no rows.
+Nulls: a null text has no words and fails the base rules; null hosts are one host, null ids one id. Repeated rows
+get equal results. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyledger.llm.numbered import ids_are_unique
 from skyledger.session import materialize
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -75,21 +76,30 @@ def host_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text"
     return rows.select("host", "text_key", "place", F.xxhash64(normal_line(F.col("raw"))).alias("line"), F.size(words_of(F.col("raw"))).alias("n_words"))
 
 
-def frequent_lines(docs: DataFrame, share: float = 0.1, least: int = 20, host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(host, line, n_docs): lines in more distinct documents of their host than its limit."""
-    lines = host_lines(docs, host_col, text_col).select("host", "line", "text_key")
-    counts = lines.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > least)
-    hosts = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(host_col).alias("host"), F.xxhash64(text_col).alias("text_key")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    return counts.join(hosts, "host").filter(F.col("n_docs") > F.col("host_docs") * share).select("host", "line", "n_docs")
+def frequent_lines(docs: DataFrame, most: int = 100, share: float = 0.1, least: int = 20,
+                   id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
+    """(host, line, n_docs): lines in more documents of their host than its limit.
+
+    A document lists each of its lines once. Where ids are unique these are counted as they come, folded in each
+    task; else documents are first told apart by id and text.
+    """
+    texts = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(host_col).alias("host"), F.xxhash64(id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
+    own = F.array_distinct(F.transform(worded_lines(F.col("text")), lambda x: F.xxhash64(normal_line(x))))
+    hosts, lines = texts.select("host", "doc"), texts.select("host", "doc", F.explode(own).alias("line"))
+    if not ids_are_unique(docs, id_col):
+        hosts, lines = hosts.distinct(), lines.distinct()
+    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > least)
+    limits = hosts.groupBy("host").agg(F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), F.count(F.lit(1)) * share)).alias("limit"))
+    return counts.join(limits, "host").filter("n_docs > limit").select("host", "line", "n_docs")
 
 
-def rules(docs: DataFrame, share: float = 0.1, least: int = 20, min_left: float = 0.3,
+def rules(docs: DataFrame, most: int = 100, share: float = 0.1, least: int = 20, min_left: float = 0.3,
           id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
     """Base counts and verdict of every document, with the words lost to frequent lines.
 
     A document is depleted when less than `min_left` of its words stay.
     """
-    frequent = materialize(frequent_lines(docs, share, least, host_col, text_col), "lines")
+    frequent = materialize(frequent_lines(docs, most, share, least, id_col, host_col, text_col), "lines")
     hits = host_lines(docs, host_col, text_col).join(frequent, ["host", "line"])
     lost = hits.groupBy("host", "text_key", "place").agg(F.min("n_words").alias("n_words")).groupBy("host", "text_key").agg(F.sum("n_words").alias("n_line_words"))
     rows = base_rules(docs, id_col, host_col, text_col).join(lost, ["host", "text_key"], "left")

@@ -90,8 +90,9 @@ cov AS (SELECT text, sum(least(8, coalesce(nxt - i, 8))) AS n FROM (SELECT text,
 tl AS (SELECT DISTINCT source, text, lines FROM b),
 ln AS (SELECT source, text, translate(lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'))), '123456789', '000000000') AS line,
         len(list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM (SELECT source, text, unnest(lines) AS l FROM tl)),
-f AS (SELECT source, line FROM ln GROUP BY source, line
-      HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > 0.1 * (SELECT count(DISTINCT text) FROM documents x WHERE x.source IS NOT DISTINCT FROM ln.source)),
+copies AS (SELECT source, text, count(DISTINCT coalesce(doc_id::VARCHAR, '')) AS n_docs FROM b GROUP BY source, text),
+f AS (SELECT source, line FROM (SELECT DISTINCT ln.source, ln.text, line, n_docs FROM ln JOIN copies c ON c.text = ln.text AND c.source IS NOT DISTINCT FROM ln.source) o GROUP BY source, line
+      HAVING sum(n_docs) > least(100, greatest(20, 0.1 * (SELECT count(DISTINCT (doc_id, text)) FROM documents x WHERE x.text IS NOT NULL AND x.source IS NOT DISTINCT FROM o.source)))),
 lost AS (SELECT ln.source, ln.text, sum(n) AS n FROM ln JOIN f ON ln.source IS NOT DISTINCT FROM f.source AND ln.line = f.line GROUP BY ln.source, ln.text),
 r AS (SELECT b.doc_id, len(words) AS n_words, length(regexp_replace(b.text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
         length(b.text) - length(translate(b.text, '#*$%&|<>', '')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
