@@ -26,7 +26,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
 BLOCKS = 2048
-STEPS = 40
+STEPS = 200  # a bracket of 1e-8 takes some 45 halvings
 
 
 def n_words(text: Column) -> Column:
@@ -61,7 +61,8 @@ def dual(histogram: DataFrame, targets: DataFrame, steps: int = STEPS, tolerance
 
     Per step one aggregate over the histogram gives each source its taken words f(t) and the derivative. A step
     that leaves the bracket [lo, hi] is replaced by the bracket's middle. A source at three times its size has
-    no finite solution; its t stays null and its rate is the limit.
+    no finite solution; its t stays null and its rate is the limit. A source is done when its words meet the target
+    or its bracket is far narrower than the digits kept of t; more than `steps` steps are an error.
     """
     open_ = (F.col("source_size") > 0) & (F.col("target") < MAX_COPIES * F.col("source_size"))
     mean = histogram.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"), F.min("size").alias("least"))
@@ -85,12 +86,14 @@ def dual(histogram: DataFrame, targets: DataFrame, steps: int = STEPS, tolerance
         step = F.col("s.t") - gap / F.col("u.slope")
         moved = s.join(u, F.expr("s.source <=> u.source"), "left").select(
             "s.source", "s.source_size", "s.target", "s.mean", "s.t", lo.alias("lo"), hi.alias("hi"), step.alias("step"),
-            (F.col("s.done") | (F.abs(gap) <= tolerance * F.col("s.target"))).alias("done"))
+            (F.col("s.done") | (F.abs(gap) <= tolerance * F.col("s.target")) | F.coalesce(hi - lo <= 1e-8, F.lit(False))).alias("done"))
         inside = F.col("step").isNotNull() & (F.col("step") > F.col("lo")) & (F.col("step") < F.col("hi"))
         state = materialize(moved.select("source", "source_size", "target", "mean",
                                          F.when(F.col("done"), F.col("t")).when(inside, F.col("step")).otherwise((F.col("lo") + F.col("hi")) / 2).alias("t"), "lo", "hi", "done"), "dual")
         if state.filter("NOT done").isEmpty():
             break
+    else:
+        raise RuntimeError(f"the dual has not converged in {steps} steps")
     return state.select("source", "source_size", "target", "mean", F.round("t", 6).alias("t"))
 
 
@@ -98,22 +101,30 @@ def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
 
 
-def mix(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) from (doc_id, source, size)."""
+def solved(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """(source, source_size, target, mean, t), one stored row per source, from (doc_id, source, size)."""
     histogram = materialize(slim.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
     totals = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
     targets = materialize(source_targets(totals, weights), "targets")
-    solved = dual(histogram.filter("size > 0"), targets)
-    sources = targets.alias("a").join(solved.alias("b"), F.expr("a.source <=> b.source"), "left").select("a.source", "a.source_size", "a.target", "b.mean", "b.t")
-    sources = materialize(sources, "sources")
+    multipliers = dual(histogram.filter("size > 0"), targets)
+    sources = targets.alias("a").join(multipliers.alias("b"), F.expr("a.source <=> b.source"), "left").select("a.source", "a.source_size", "a.target", "b.mean", "b.t")
+    return materialize(sources, "sources")
+
+
+def _rounded(doc_id: Column, size: Column, mean: Column, t: Column) -> tuple[Column, Column, Column]:
+    """(whole, excess, room): copies taken as they are, place in the order for one more, words that it would add."""
+    rate = F.when(size > 0, F.when(t.isNull(), F.lit(float(MAX_COPIES))).otherwise(_rate(t, size / mean))).otherwise(0.0)
+    whole = F.floor(rate)
+    uniform = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return whole, uniform - (rate - whole), F.when(whole < MAX_COPIES, size).otherwise(0)
+
 
+def _shared(slim: DataFrame, sources: DataFrame) -> DataFrame:
+    """(doc_id, source, size, source_size, target, whole, excess, more): `more` words are taken beside the whole copies."""
     d, s = slim.alias("d"), sources.alias("s")
-    rate = F.when(F.col("s.t").isNull(), F.lit(float(MAX_COPIES))).otherwise(_rate(F.col("s.t"), F.col("d.size") / F.col("s.mean")))
-    rated = d.join(s, F.expr("d.source <=> s.source")).select("d.doc_id", "d.source", "d.size", "s.source_size", "s.target", F.when(F.col("d.size") > 0, rate).otherwise(0.0).alias("rate"))
-    uniform = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    rated = rated.withColumn("whole", F.floor("rate")).withColumn("excess", uniform - (F.col("rate") - F.col("whole")))
-    room = F.when(F.col("whole") < MAX_COPIES, F.col("size")).otherwise(0)
-    rated = rated.withColumn("room", room).withColumn("block", F.floor((F.col("excess") + 1) * (BLOCKS // 2)).cast("int"))
+    whole, excess, room = _rounded(F.col("d.doc_id"), F.col("d.size"), F.col("s.mean"), F.col("s.t"))
+    rated = d.join(s, F.expr("d.source <=> s.source")).select("d.doc_id", "d.source", "d.size", "s.source_size", "s.target", whole.alias("whole"), excess.alias("excess"), room.alias("room"))
+    rated = rated.withColumn("block", F.floor((F.col("excess") + 1) * (BLOCKS // 2)).cast("int"))
 
     blocks = rated.groupBy("source", "block").agg(F.sum("room").alias("room"), F.sum(F.col("whole") * F.col("size")).alias("taken"))
     before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -123,8 +134,39 @@ def mix(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     r, b = running.alias("r"), blocks.alias("b")
     short = F.round(F.col("r.target")).cast("long") - F.col("b.sure") - (F.col("b.offset") + F.col("r.upto") - F.col("r.room"))
     more = F.greatest(F.lit(0), F.least(F.col("r.room"), short))
-    return r.join(b, F.expr("r.source <=> b.source AND r.block = b.block")).select(
-        "r.doc_id", "r.size", "r.source_size", "r.target", (F.col("r.whole") * F.col("r.size") + more).cast("long").alias("taken"))
+    return r.join(b, F.expr("r.source <=> b.source AND r.block = b.block")).select("r.doc_id", "r.source", "r.size", "r.source_size", "r.target", "r.whole", "r.excess", more.alias("more"))
+
+
+def mix(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) from (doc_id, source, size)."""
+    taken = (F.col("whole") * F.col("size") + F.col("more")).cast("long")
+    return _shared(slim, solved(slim, weights)).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def cutoffs(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """(source, mean, t, last): the mix as one stored row per source.
+
+    `last` is the last document in a source's order that is taken once more, with the words it adds: those before
+    it are taken once more as a whole, those after it are not.
+    """
+    sources = solved(slim, weights)
+    last = _shared(slim, sources).filter("more > 0").groupBy("source").agg(F.max(F.struct("excess", "doc_id", "size", "more")).alias("last"))
+    return materialize(sources.alias("a").join(last.alias("b"), F.expr("a.source <=> b.source"), "left").select("a.source", "a.mean", "a.t", "b.last"), "cutoffs")
+
+
+def with_copies(docs: DataFrame, cuts: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", out: str = "copies") -> DataFrame:
+    """Add the number of copies of each document: its taken words by its size, a part counting from a half on.
+
+    Only the small table of `cutoffs` meets the documents, so their texts stay where they are.
+    """
+    small = cuts.select(F.struct("source", "mean", "t", "last").alias("__cut"))
+    rows = docs.withColumn("__size", n_words(F.col(text_col))).join(small, F.col(source_col).eqNullSafe(F.col("__cut.source")))
+    size, last = F.col("__size"), F.col("__cut.last")
+    whole, excess, room = _rounded(F.col(id_col), size, F.col("__cut.mean"), F.col("__cut.t"))
+    place, end = F.struct(excess, F.col(id_col), size), F.struct(last["excess"], last["doc_id"], last["size"])
+    more = F.when(last.isNull(), 0).when(F.col(id_col).eqNullSafe(last["doc_id"]) & (size == last["size"]), last["more"]).when(place < end, room).otherwise(0)
+    taken = F.when(size > 0, F.floor((whole * size + more) / size + 0.5)).otherwise(0)
+    return rows.withColumn(out, taken.cast("int")).drop("__size", "__cut")
 
 
 def balance(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:

@@ -137,6 +137,27 @@ def test_mixing_rates_are_the_entropy_solution(spark):
         assert math.isclose(sum(s * n * min(3, math.exp(r.t * s / r.mean)) for s, n in own), r.target, rel_tol=1e-4)
 
 
+def test_copies_by_cutoffs_are_the_mix(spark):
+    rng = random.Random(4)
+    rows = [(k, prose(k, rng.randrange(0, 60)), "en", rng.choice(["a", "b", "c", "d", None])) for k in range(400)] + [(900, None, "en", "zero"), (901, prose(5, 10), "en", "tiny")]
+    docs = documents(spark, rows).repartition(3)
+    cuts = mixing.cutoffs(mixing.sized(docs))
+    got = {r.doc_id: r.copies for r in mixing.with_copies(docs, cuts).collect()}
+    want = {r.doc_id: math.floor(r.taken / r.size + 0.5) if r.size else 0 for r in mixing.balance(docs).collect()}
+    assert got == want and len(set(want.values())) == 4
+    again = mixing.with_copies(documents(spark, awkward()), mixing.cutoffs(mixing.sized(documents(spark, awkward()))))
+    assert again.count() == len(awkward())
+    nothing = documents(spark, [])
+    assert mixing.with_copies(nothing, mixing.cutoffs(mixing.sized(nothing))).collect() == []
+
+
+def test_a_dual_that_does_not_converge_is_an_error(spark):
+    histogram = spark.createDataFrame([("a", 7, 3), ("a", 50, 2), ("b", 9, 40)], "source string, size long, n long")
+    totals = spark.createDataFrame([("a", 121), ("b", 360)], "source string, source_size long")
+    with pytest.raises(RuntimeError):
+        mixing.dual(histogram, mixing.source_targets(totals), steps=1, tolerance=0.0)
+
+
 def test_mixing_on_awkward_rows(spark):
     assert mixing.balance(documents(spark, awkward())).count() == len(awkward())
     assert mixing.balance(documents(spark, [])).collect() == []
@@ -231,6 +252,18 @@ def test_frequent_lines_are_removed_and_depleted_documents_rejected(spark):
     assert cleaned[3] == prose(3, 40) and cleaned[100] == rows[-1][1] and cleaned[99] == ""
 
 
+def test_line_limit_is_absolute_on_large_hosts_and_counts_documents(spark):
+    rare, often = "this line is in fewer documents than the limit", "this line stands in one of twenty documents here"
+    rows = [(k, f"words of document number {'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyz'[k // 100 % 6]}{'ABCDEFGH'[k // 600]}" + (f"\n{often}" if k % 20 == 0 else "") + (f"\n{rare}" if k < 100 else ""), "en", "big") for k in range(2400)]
+    rows += [(5000 + k, "a copied page of some length", "en", "big") for k in range(101)]
+    docs = documents(spark, rows)
+    found = {r.n_docs for r in line_rules.frequent_lines(docs).collect()}
+    assert found == {120, 101}  # 5% of the host; copies count as documents
+    twice = docs.unionByName(docs)  # repeated rows do not
+    assert {r.n_docs for r in line_rules.frequent_lines(twice).collect()} == found
+    assert {r.n_docs for r in line_rules.frequent_lines(docs, most=130).collect()} == set()
+
+
 def secret_rows():
     rng = random.Random(8)
     hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(30)]
