@@ -49,9 +49,9 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out documents so that the sources meet their weights; a part of a copy counts from a half on."""
     keyed = _keyed(docs)
-    taken = mixing.balance(keyed, id_col=UID).filter("taken > 0")
-    copies = taken.groupBy(F.col("doc_id").alias(UID)).agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("__copies")).filter("__copies > 0")
-    return keyed.join(copies, UID).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    cuts = mixing.cutoffs(mixing.sized(keyed, id_col=UID))
+    rows = mixing.with_copies(keyed, cuts, id_col=UID, out="__copies").filter("__copies > 0")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
