@@ -102,11 +102,15 @@ def from_aviation_units(df: DataFrame) -> DataFrame:
         F.col("callsign").cast("string").alias("callsign")).dropna(subset=["lat", "lon", "time"])
 
 
-def flights_of_airport(flights: DataFrame, airport: str, start: int, end: int, limit: int | None = None) -> DataFrame:
-    """Flights of a stored list by day partition, airport and time, oldest first."""
-    days = [d for d in range(start // 86_400 * 86_400, end + 1, 86_400)]
+def flights_of_airport(flights: DataFrame, airport: str, start: int | None = None, end: int | None = None, limit: int | None = None) -> DataFrame:
+    """Flights of a stored list by day partition, airport and time, oldest first. A bound of None is open."""
     arrival, departure = F.col("arrival_airport") == airport, F.col("departure_airport") == airport
-    found = flights.filter(F.col("day").between(days[0], days[-1]) & (arrival | departure) & (F.col("firstseen") >= start) & (F.col("lastseen") <= end)).select(
+    wanted = arrival | departure
+    if start is not None:
+        wanted = wanted & (F.col("day") >= start // 86_400 * 86_400) & (F.col("firstseen") >= start)
+    if end is not None:
+        wanted = wanted & (F.col("day") <= end // 86_400 * 86_400) & (F.col("lastseen") <= end)
+    found = flights.filter(wanted).select(
         "icao24", "callsign", "firstseen", "lastseen", F.when(arrival, "arrival").when(departure, "departure").otherwise("unknown").alias("operation"))
     found = found.orderBy("firstseen", "icao24")
     return found.limit(limit) if limit is not None else found
