@@ -21,6 +21,8 @@ from pyspark.sql.types import StructType
 
 DAY_S = 86_400
 FOLDER = "range_start="
+# Fixed value: a second beyond all times, for a bound that is not given.
+OPEN = 1 << 62
 
 
 def open_path(uri: str) -> tuple[fs.FileSystem, str]:
@@ -46,7 +48,7 @@ class DayRangeReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.schema = schema
         self.path, self.column = options["path"], options.get("column", "time")
-        self.first, self.last = int(options["first"]), int(options["last"])
+        self.first, self.last = int(options.get("first", -OPEN)), int(options.get("last", OPEN))
         self.span = int(options.get("days", 1)) * DAY_S
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -98,16 +100,22 @@ class DayRangeSource(DataSource):
 
 
 def write_by_day_ranges(df: DataFrame, path: str, days: int = 1, column: str = "time") -> None:
-    """One folder per range of `days` days; rows without a time belong to none and are left out."""
+    """One folder per range of `days` days; rows without a time belong to none and are left out.
+
+    Rows move by range and time first, so a task writes to few folders and a busy range is shared by several tasks.
+    """
     span = days * DAY_S
     start = F.floor(F.col(column) / span) * span
     placed = df.filter(F.col(column).isNotNull()).withColumn(FOLDER[:-1], start)
-    placed.sortWithinPartitions(FOLDER[:-1], column).write.partitionBy(FOLDER[:-1]).parquet(path)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    moved = placed.repartitionByRange(tasks, FOLDER[:-1], column)
+    moved.sortWithinPartitions(FOLDER[:-1], column).write.partitionBy(FOLDER[:-1]).parquet(path)
 
 
-def scan_stored_day_ranges(spark: SparkSession, path: str, schema: StructType, first: int, last: int, days: int = 1, column: str = "time") -> DataFrame:
-    """Rows of [first, last] from a table written by `write_by_day_ranges` with the same number of days."""
+def scan_stored_day_ranges(spark: SparkSession, path: str, schema: StructType, first: int | None = None, last: int | None = None, days: int = 1, column: str = "time") -> DataFrame:
+    """Rows of [first, last] from a table written by `write_by_day_ranges` with the same number of days; None is open."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(DayRangeSource)
     reader = spark.read.format("day_ranges").schema(schema)
-    return reader.option("path", path).option("first", first).option("last", last).option("days", days).option("column", column).load()
+    bounds = {name: bound for name, bound in (("first", first), ("last", last)) if bound is not None}
+    return reader.options(path=path, days=days, column=column, **bounds).load()
