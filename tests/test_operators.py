@@ -3,9 +3,10 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from skyledger.operators import approach, detectors, disclosure, metrics, pivot_tree, ranks, reference, segments, sequence, splits
+from skyledger.operators import approach, detectors, disclosure, metrics, pivot_tree, queue, ranks, reference, segments, sequence, splits
 from skyledger.sources import writers
 
 
@@ -213,3 +214,11 @@ def test_drift_verdict_needs_a_comparison(spark):
     assert reference.drift_verdict(frame(spark, one + [("36", "0-1500", 2, 0.51, 0.0, False)], cells)).first().above_limit == 1
     empty = reference.drift_verdict(frame(spark, [], cells)).first()
     assert (empty.status, empty.comparisons, empty.max_shift) == ("review", 0, None)
+
+
+def test_ranking_attempts_does_not_run_their_assessment_twice(spark):
+    rows = frame(spark, [("a", "criteria_observed", 5), ("b", "review_required", 1), ("c", "review_required", 7)], "attempt_id string, status string, start_time long")
+    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("status").orderBy("start_time")))
+    ranked = queue.rank_attempts(numbered)
+    assert "Window" not in ranked._jdf.queryExecution().executedPlan().toString()
+    assert [r.attempt_id for r in ranked.collect()] == ["c", "b", "a"]
