@@ -26,3 +26,9 @@ def test_asof_join_broadcasts_one_row_per_station_only(spark):
     assert got["a"] == (9_000, None) and got["d"] == (None, "weather_observation_unavailable")
     assert got["b"][0] == 40 * DAY + 7_200 and got["b"][1] == "latest_prior_weather_observation_too_old"
     assert got["c"] == (None, "weather_observation_not_yet_available")
+
+
+def test_tasks_for_flights_grow_with_the_orders(spark, tmp_path):
+    spark.range(1000).withColumnRenamed("id", "o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    assert derived.flight_tasks(spark, str(tmp_path), 10) == 100
+    assert derived.flight_tasks(spark, str(tmp_path)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
