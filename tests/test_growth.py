@@ -1,6 +1,9 @@
 """What keeps the work of a query in proportion to its tables: tasks, stored steps and where columns are computed."""
 
+from pyspark.sql import functions as F
+
 from skyledger.operators import approach
+from skyledger.plans import queries_assess
 from skyledger.plans.views import Views
 from skyledger.sources import derived
 
@@ -19,3 +22,12 @@ def test_shared_columns_are_computed_once_per_order(spark):
     above, below = plan.split("Generate explode", 1)
     assert "concat(FLT" in below and "concat(FLT" not in above
     assert {"flight_id", "t0", "squawk"}.isdisjoint(derived.MOVING) and {"lat", "time", "velocity"} <= derived.MOVING
+
+
+def test_fits_derive_the_attempts_once(spark):
+    v = Views(spark, SMALL)
+    train, every = queries_assess.train_attempts(v), queries_assess.typed_attempts(v)
+    for rows in (train, every):
+        assert "visit0" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert every.count() == v.stored_attempts.count() > 0
+    assert train.agg(F.max("time")).first()[0] < 1_546_300_800 + 3_600 and train.count() > 0
