@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from skyledger.operators import approach
+from skyledger.operators import approach, resample
 from skyledger.plans import queries_assess
-from skyledger.plans.views import Views
+from skyledger.plans.views import PREP, Views
 from skyledger.sources import derived
 
 SMALL = "/root/testdata/sf0.001"
@@ -31,3 +31,16 @@ def test_fits_derive_the_attempts_once(spark):
         assert "visit0" not in rows._jdf.queryExecution().optimizedPlan().toString()
     assert every.count() == v.stored_attempts.count() > 0
     assert train.agg(F.max("time")).first()[0] < 1_546_300_800 + 3_600 and train.count() > 0
+
+
+def test_cleaning_deals_flights_over_the_tasks_asked_for(spark):
+    v = Views(spark, SMALL)
+    clean = resample.preprocess(v.d21, PREP, 23)
+    assert clean.rdd.getNumPartitions() == 23
+    assert clean.exceptAll(resample.preprocess(v.d21, PREP)).isEmpty()
+
+
+def test_one_sort_serves_the_windows_of_a_segment(spark):
+    plan = resample.preprocess(Views(spark, SMALL).d21, PREP, 23)._jdf.queryExecution().executedPlan().toString()
+    sorts = [line for line in plan.splitlines() if "Sort [flight_id" in line and "segment_id" in line]
+    assert sorts and all("time" in line for line in sorts)
