@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from skyledger.operators import approach, resample
-from skyledger.plans import queries_assess
+from skyledger.operators import approach, inject, resample
+from skyledger.plans import queries_assess, queries_research
 from skyledger.plans.views import PREP, Views
 from skyledger.sources import derived
 
@@ -44,3 +44,11 @@ def test_one_sort_serves_the_windows_of_a_segment(spark):
     plan = resample.preprocess(Views(spark, SMALL).d21, PREP, 23)._jdf.queryExecution().executedPlan().toString()
     sorts = [line for line in plan.splitlines() if "Sort [flight_id" in line and "segment_id" in line]
     assert sorts and all("time" in line for line in sorts)
+
+
+def test_draws_are_made_only_for_the_kind_that_uses_them(spark, monkeypatch):
+    uses = {"mag_": "zone_violation", "climb_": "altitude_high", "target_": "final_approach_intercept", "factor_": "speed_spike"}
+    monkeypatch.setattr(inject, "replay_derived", lambda df: df.withColumns({f"seen_{c}": F.col(c) for c in uses}))
+    rows = inject.inject(queries_research.eval_source(Views(spark, SMALL)))
+    for name, kind in uses.items():
+        assert {r.kind for r in rows.filter(F.col(f"seen_{name}").isNotNull()).select("kind").distinct().collect()} <= {kind}
