@@ -9,7 +9,8 @@ one class; a class is compared once.
    order. These prefixes are cut into fragments of the n-gram range; fragments find the n-grams that two or more
    classes hold, and the class with the least key among them, the bucket's pivot.
 3. Prefix overlaps with pivots are counted per fragment and summed per pair. Each class is compared with its
-   most promising pivot: overlaps are counted in vertical parts of the n-gram range and summed per pair.
+   most promising pivot: overlaps are counted in vertical parts of the n-gram range and summed per pair. Only classes
+   take part that share enough prefix n-grams with another one of a fitting size; the buckets hold these n-grams.
 4. Links join classes to components. Where the classes around the pivots of one component are still in different
    components, all of them that size and shared n-grams allow are compared block by block, inside tasks that return only links which
    join components. So no pair is written, and no possible link between components is left out.
@@ -22,13 +23,17 @@ Sets are told apart by a 64-bit key.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyledger.llm import fragments as fr
 from skyledger.llm.batches import row_slices
+from skyledger.llm.filters import with_possible
 from skyledger.llm.graph import components
 from skyledger.llm.words import Runs, mixed, word_hashes
 from skyledger.session import materialize
@@ -154,41 +159,45 @@ def buckets_of(docs: DataFrame, sketch: np.ndarray, text_col: str) -> DataFrame:
     return materialize(fr.by_fragment(slim.mapInArrow(run, fr.schema(PREFIX)), meet, PREFIX, "shingle long, key long, pivot long"), "buckets")
 
 
-def stored_sets(docs: DataFrame, info: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, part, shingles) of the classes in info, cut into vertical parts of the n-gram range; one document stands for its class."""
-    texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("__in")).alias("d")
-    rows = texts.join(info.alias("i"), F.expr("d.text_key = i.text_key AND d.doc_id <=> i.doc_id")).select("i.key", "d.__in")
+def set_parts(rows: DataFrame, docs: DataFrame, info: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """rows (key, ...) with part and shingles: the class's set, cut into vertical parts of the n-gram range.
+
+    One document stands for its class. Only texts that may be asked for are moved to meet their rows; a text takes less
+    room than its n-grams, so sets are made behind that join and move once, to where they are compared.
+    """
+    place = rows.join(info.select("key", "doc_id", "text_key"), "key")
+    texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("__in"))
+    texts = with_possible(texts, F.col("text_key"), place, F.col("text_key"), "__asked").filter("__asked").drop("__asked").alias("d")
+    # a merge join: the asked classes grow with the input, and a broadcast would pass them through the driver
+    asked = texts.join(place.hint("merge").alias("i"), F.expr("d.text_key = i.text_key AND d.doc_id <=> i.doc_id")).select(*[F.col(f"i.{c}") for c in rows.columns], "d.__in")
+    names = rows.columns
 
     def run(batches):
         for batch in row_slices(batches):
             sets = shingle_sets([x.encode() for x in batch.column("__in").to_pylist()])
-            keys, parts, values = [], [], []
-            for key, own in zip(batch.column("key").to_pylist(), sets, strict=True):
+            at, values = [], []
+            for k, (key, own) in enumerate(zip(batch.column("key").to_pylist(), sets, strict=True)):
                 if int(signed([set_key(own)])[0]) != key:
                     continue  # another text with the same hash
-                cuts = np.searchsorted(own, np.arange(1, PARTS, dtype=np.uint64) << np.uint64(62))
-                for part, x in enumerate(np.split(own, cuts)):
-                    keys.append(key)
-                    parts.append(part)
-                    values.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(parts, pa.int32()), pa.array(values, pa.binary())], names=["key", "part", "shingles"])
+                at.append(k)
+                values += [x.tobytes() for x in np.split(own, np.searchsorted(own, np.arange(1, PARTS, dtype=np.uint64) << np.uint64(62)))]
+            at = pa.array(np.repeat(np.array(at, np.int64), PARTS))
+            part = pa.array(np.tile(np.arange(PARTS, dtype=np.int32), len(at) // PARTS))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in names], part, pa.array(values, pa.binary())], names=[*names, "part", "shingles"])
 
-    return materialize(rows.mapInArrow(run, "key long, part int, shingles binary"), "shingles")
+    return asked.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("shingles", T.BinaryType())]))
 
 
-def overlaps(pairs: DataFrame, stored: DataFrame) -> DataFrame:
+def overlaps(pairs: DataFrame, parts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(a, b, overlap): common n-grams, counted per vertical part and summed per pair.
 
     A pair's sets meet under its first class; a class with many partners is spread over groups of about GROUP.
     """
     groups = fr.count_fragments(pairs.sparkSession)
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("salts"))
-    own = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"))
-    other = pairs.join(salts, "a").select("a", F.pmod(F.hash("b"), F.col("salts")).alias("salt"), "b")
-    s = stored.alias("s")
-    left = own.join(s, F.col("a") == F.col("s.key")).select("a", "salt", "b", "part", "shingles")
-    right = other.join(s, F.col("b") == F.col("s.key")).select("a", "salt", "b", "part", "shingles")
-    rows = left.unionByName(right).withColumn(fr.FRAGMENT, F.pmod(F.xxhash64("a", "salt", "part"), F.lit(groups)).cast("int"))
+    own = salts.select(F.col("a").alias("key"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"))
+    other = pairs.join(salts, "a").select(F.col("b").alias("key"), "a", F.pmod(F.hash("b"), F.col("salts")).alias("salt"), "b")
+    rows = parts_of(own.unionByName(other)).withColumn(fr.FRAGMENT, F.pmod(F.xxhash64("a", "salt", "part"), F.lit(groups)).cast("int"))
 
     def count(table):
         sets: dict[tuple, dict] = {}
@@ -204,7 +213,8 @@ def overlaps(pairs: DataFrame, stored: DataFrame) -> DataFrame:
                     out.append((a, b, int((first[at] == x).sum())))
         return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["a", "b", "overlap"])
 
-    return rows.groupBy(fr.FRAGMENT).applyInArrow(count, "a long, b long, overlap long").groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
+    counted = rows.select("a", "salt", "b", "part", "shingles", fr.FRAGMENT).groupBy(fr.FRAGMENT).applyInArrow(count, "a long, b long, overlap long")
+    return counted.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
 
 
 def _sizes_allow(a: Column, b: Column) -> Column:
@@ -227,10 +237,10 @@ def _able(x: str, y: str) -> Column:
     return _sizes_allow(nx, ny) & (F.least(f"{x}.held", f"{y}.held") >= _least_common(nx, ny))
 
 
-def links_of(pairs: DataFrame, stored: DataFrame) -> DataFrame:
+def links_of(pairs: DataFrame, parts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The pairs (a, b, na, nb) that link."""
     pairs = materialize(pairs, "pairs")
-    found = pairs.join(overlaps(pairs.select("a", "b"), stored), ["a", "b"])
+    found = pairs.join(overlaps(pairs.select("a", "b"), parts_of), ["a", "b"])
     return materialize(found.filter(100 * F.col("overlap") >= PERCENT * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b"), "links")
 
 
@@ -250,14 +260,20 @@ def class_links(docs: DataFrame, sets: DataFrame, sketch: np.ndarray, id_col: st
         return None
     # every two classes of a bucket are among the members of its pivot
     stars = materialize(buckets.filter("key <> pivot").groupBy("pivot", "key").agg(F.count(F.lit(1)).alias("common")), "stars")
-    # only classes with a possible partner around some pivot have their sets stored and moved
+    # only classes with a possible partner around some pivot have their texts and sets moved
     around = stars.select(F.col("pivot").alias("cluster"), "key").unionByName(stars.select(F.col("pivot").alias("cluster"), F.col("pivot").alias("key")).distinct())
-    able = possible_partners(around.join(info.select("key", "n", "held"), "key").withColumn("component", F.col("key"))).select("key").distinct()
+    possible = materialize(possible_partners(around.join(info.select("key", "n", "held"), "key").withColumn("component", F.col("key"))), "possible")
+    asked = buckets.join(possible.select("key").distinct(), "key", "left_semi")
+    prefixes = materialize(asked.groupBy("key").agg(F.collect_list("shingle").alias("prefix")), "prefixes")
+    able = close_partners(possible, prefixes).select("key").distinct()
     info = materialize(info.join(able, "key"), "able")
-    stored = stored_sets(docs, info, id_col, text_col)
+
+    def parts_of(rows: DataFrame) -> DataFrame:
+        return set_parts(rows, docs, info, id_col, text_col)
+
     x, y = info.alias("x"), info.alias("y")
     rated = stars.join(x, F.col("pivot") == F.col("x.key")).join(y, stars["key"] == F.col("y.key")).filter(_able("x", "y"))
-    links = links_of(_best(rated.select(F.col("pivot").alias("a"), stars["key"].alias("b"), "common", F.col("x.n").alias("na"), F.col("y.n").alias("nb"))), stored)
+    links = links_of(_best(rated.select(F.col("pivot").alias("a"), stars["key"].alias("b"), "common", F.col("x.n").alias("na"), F.col("y.n").alias("nb"))), parts_of)
 
     labels = components(links).withColumnRenamed("node", "key")
     known = info.select("key", "n", "held").join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
@@ -265,17 +281,29 @@ def class_links(docs: DataFrame, sets: DataFrame, sketch: np.ndarray, id_col: st
     # a pivot without a possible partner still names its bucket, in which the others meet
     owners = stars.select("pivot").distinct().join(known.select(F.col("key").alias("pivot"), "component"), "pivot", "left").select("pivot", F.coalesce("component", "pivot").alias("cluster"))
     groups = stars.select("pivot", "key").join(owners, "pivot").select("cluster", "key").unionByName(owners.select("cluster", F.col("pivot").alias("key"))).distinct()
-    return links.unionByName(open_links(materialize(groups.join(known, "key"), "members"), stored))
+    return links.unionByName(open_links(materialize(groups.join(known, "key"), "members"), prefixes, parts_of))
 
 
 COLUMNS = ("cluster", "i", "j", "own", "key", "n", "held", "component")
 
 
+def least_common(n: np.ndarray) -> np.ndarray:
+    """`_least_common` for all pairs."""
+    high = np.maximum(n[:, None], n)
+    return np.maximum(1, -(-PERCENT * (n[:, None] + n) // (100 + PERCENT)) - (-(-PERCENT * high // 100) - 1))
+
+
 def able_pairs(n: np.ndarray, held: np.ndarray, component: np.ndarray) -> np.ndarray:
     """Which pairs are in different components, of a fitting size, and can share enough prefix n-grams."""
     low, high = np.minimum(n[:, None], n), np.maximum(n[:, None], n)
-    least = np.maximum(1, -(-PERCENT * (n[:, None] + n) // (100 + PERCENT)) - (-(-PERCENT * high // 100) - 1))
-    return (component[:, None] != component) & (low * 100 >= high * PERCENT) & (np.minimum(held[:, None], held) >= least)
+    return (component[:, None] != component) & (low * 100 >= high * PERCENT) & (np.minimum(held[:, None], held) >= least_common(n))
+
+
+def blocks_of(cols: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """The row numbers of every (cluster, i, j)."""
+    order = np.lexsort([cols["j"], cols["i"], cols["cluster"]])
+    new = np.any([np.diff(cols[c][order]) != 0 for c in ("cluster", "i", "j")], axis=0)
+    return np.split(order, np.flatnonzero(new) + 1)
 
 
 def possible_partners(members: DataFrame) -> DataFrame:
@@ -292,10 +320,8 @@ def possible_partners(members: DataFrame) -> DataFrame:
 
     def pick(table):
         cols = {c: table.column(c).to_numpy().astype(np.int64) for c in COLUMNS}
-        order = np.lexsort([cols["j"], cols["i"], cols["cluster"]])
-        new = np.any([np.diff(cols[c][order]) != 0 for c in ("cluster", "i", "j")], axis=0)
         found = [np.zeros(0, np.int64)]
-        for index in np.split(order, np.flatnonzero(new) + 1):
+        for index in blocks_of(cols):
             found.append(index[able_pairs(*(cols[c][index] for c in ("n", "held", "component"))).any(axis=1)])
         chosen = np.concatenate(found)
         return pa.table([pa.array(cols[c][chosen]) for c in COLUMNS], names=list(COLUMNS))
@@ -303,15 +329,41 @@ def possible_partners(members: DataFrame) -> DataFrame:
     return meet.select(*COLUMNS, fr.FRAGMENT).groupBy(fr.FRAGMENT).applyInArrow(pick, ", ".join(f"{c} long" for c in COLUMNS))
 
 
-def open_links(members: DataFrame, stored: DataFrame) -> DataFrame:
+def close_partners(possible: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The possible partners that share as many prefix n-grams with one of theirs as a linked pair of their sizes does.
+
+    prefixes (key, prefix) are from the buckets: an n-gram that the prefixes of two classes share has one.
+    """
+    groups = fr.count_fragments(possible.sparkSession)
+    meet = possible.join(prefixes, "key").withColumn(fr.FRAGMENT, F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(groups)).cast("int"))
+
+    def pick(table):
+        cols = {c: table.column(c).to_numpy().astype(np.int64) for c in COLUMNS}
+        lists = table.column("prefix").combine_chunks()
+        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        grams = lists.flatten().to_numpy()
+        found = [np.zeros(0, np.int64)]
+        for index in blocks_of(cols):
+            n = cols["n"][index]
+            possible = able_pairs(n, cols["held"][index], cols["component"][index])
+            common = np.zeros(possible.shape, np.int32)
+            count_common([grams[ends[k]:ends[k + 1]] for k in index], possible, common)
+            found.append(index[(possible & (common >= least_common(n))).any(axis=1)])
+        chosen = np.concatenate(found)
+        return pa.table([pa.array(cols[c][chosen]) for c in COLUMNS], names=list(COLUMNS))
+
+    return meet.select(*COLUMNS, "prefix", fr.FRAGMENT).groupBy(fr.FRAGMENT).applyInArrow(pick, ", ".join(f"{c} long" for c in COLUMNS))
+
+
+def open_links(members: DataFrame, prefixes: DataFrame, parts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links between classes of one cluster that are in different components, as many as join them.
 
-    First only sizes and components meet, which tells the classes that have a possible partner at all; then the
-    sets of these. A task counts overlaps part by part over its sets and returns only links that join two components.
+    First only sizes, components and shared prefixes meet, which tells the classes that have a possible partner at all; then
+    the sets of these. A task counts overlaps part by part over its sets and returns only links that join two components.
     """
     groups = fr.count_fragments(members.sparkSession)
-    wanted = possible_partners(members)
-    rows = wanted.join(stored, "key").withColumn(fr.FRAGMENT, F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(groups)).cast("int"))
+    wanted = materialize(close_partners(possible_partners(members), prefixes), "wanted")
+    rows = parts_of(wanted).withColumn(fr.FRAGMENT, F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(groups)).cast("int"))
 
     def compare(table):
         gathered: dict[tuple, dict] = {}
