@@ -52,3 +52,17 @@ def test_draws_are_made_only_for_the_kind_that_uses_them(spark, monkeypatch):
     rows = inject.inject(queries_research.eval_source(Views(spark, SMALL)))
     for name, kind in uses.items():
         assert {r.kind for r in rows.filter(F.col(f"seen_{name}").isNotNull()).select("kind").distinct().collect()} <= {kind}
+
+
+def test_the_corridors_share_one_backward_sort(spark):
+    plan = approach.extract_attempts(Views(spark, SMALL).masked)._jdf.queryExecution().executedPlan().toString()
+    assert "visit0" in plan
+    assert sum("Sort [flight_id" in line for line in plan.splitlines()) <= 5
+
+
+def test_variants_are_listed_without_an_array_per_row(spark):
+    rows = derived.with_masks(derived.observations(spark, SMALL))
+    assert "array_compact" not in (plan := rows._jdf.queryExecution().optimizedPlan().toString()) and "filter(array" not in plan
+    kinds = {r.variant: r.n for r in rows.selectExpr("CASE WHEN lat_missing THEN 1 WHEN lat IS NULL THEN 3 ELSE 0 END AS variant").groupBy("variant").agg(F.count(F.lit(1)).alias("n")).collect()}
+    want = derived.observations(spark, SMALL).selectExpr("count_if((k + i) % 7 = 3) AS a", "count_if((k + i) % 13 = 5) AS b").first()
+    assert (kinds[1], kinds[3]) == (want.a, want.b)
