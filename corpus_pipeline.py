@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.llm import bpe, jaccard_join, mixing, numbered, quality, secrets
-from skyledger.session import scratch_path
+from skyledger.llm.filters import with_possible
+from skyledger.session import materialize, scratch_path
 
 UID = "__uid"
 
@@ -19,6 +20,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return numbered.with_uid(docs, "doc_id", F.coalesce(F.sha2("text", 256), F.lit("")), UID)
 
 
+def without(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not in dropped; only those are moved that a filter of fixed size does not clear."""
+    hashed = F.xxhash64(key)
+    flagged = with_possible(rows, hashed, dropped, hashed, "__suspect")
+    rest = flagged.filter("__suspect").join(dropped.hint("merge"), key, "left_anti")
+    return flagged.filter("NOT __suspect").unionByName(rest).drop("__suspect")
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the co-trained classifier rejects."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -30,8 +39,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Keep the first document of every group of near copies."""
     keyed = _keyed(docs)
     groups = jaccard_join.join_components(keyed, UID)
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(UID))
-    rows = keyed.join(kept, UID, "left_semi")
+    dropped = materialize(groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(UID)), "dropped")
+    rows = without(keyed, dropped, UID)
     if not numbered.ids_are_unique(docs, "doc_id"):
         rows = rows.dropDuplicates([UID])
     return rows.select(docs.columns)

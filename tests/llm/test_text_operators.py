@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from skyledger.llm import bpe, jaccard_join, langid, substring_dedup, words
+from skyledger.llm.filters import with_possible
 from tests.llm.common import awkward, documents, jaccard_components, prose, removed_words
 
 SF = "/root/testdata/sf0.001"
@@ -106,6 +108,33 @@ def test_jaccard_of_near_copies_beside_a_longer_text_with_the_least_key(spark):
     assert got == jaccard_components(rows) and got[1][1] == 0
 
 
+def test_only_texts_with_a_close_partner_are_moved(spark, monkeypatch):
+    """Texts of one size that share a passage too short for a link stay where they are; near copies meet."""
+    moved, whole = [], jaccard_join.set_parts
+
+    def watched(rows, *rest):
+        moved.extend(r.key for r in rows.select("key").distinct().collect())
+        return whole(rows, *rest)
+
+    monkeypatch.setattr(jaccard_join, "set_parts", watched)
+    passage, near = prose(70, 12), prose(90, 100).split()
+    rows = [(k, f"{passage} {prose(71 + k, 100)}") for k in range(8)] + [(20, " ".join(near)), (21, " ".join([*near[:50], "changed", *near[51:]]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == jaccard_components(rows) and got[21][1] == 20
+    keys = {jaccard_join.set_key(s) for s in jaccard_join.shingle_sets([t.encode() for _, t in rows[8:]])}
+    assert set(moved) == {int(jaccard_join.signed([k])[0]) for k in keys}
+
+
+def test_the_filter_clears_most_rows_and_no_wanted_one(spark):
+    rows, wanted = spark.range(20_000).withColumnRenamed("id", "uid"), spark.range(0, 20_000, 100).withColumnRenamed("id", "uid")
+    hashed = F.xxhash64("uid")
+    flagged = {r.uid for r in with_possible(rows, hashed, wanted, hashed, "flag").filter("flag").collect()}
+    assert set(range(0, 20_000, 100)) <= flagged and len(flagged) < 250
+    left = corpus_pipeline.without(rows, wanted, "uid")
+    assert sorted(r.uid for r in left.collect()) == [k for k in range(20_000) if k % 100]
+    assert corpus_pipeline.without(rows, wanted.limit(0), "uid").count() == 20_000
+
+
 def test_jaccard_on_awkward_rows(spark):
     rows = unique(awkward())
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join_components(documents(spark, rows)).collect()}
