@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 SLICE_BYTES = 1 << 20
+BATCH_BYTES = 1 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark pass batches of some BATCH_BYTES to Python, for the rest of the session.
+
+    By default a batch ends at 10,000 rows or 64 MB, and a task holds several of them off the heap and in its worker.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving back at the end of a task what its worker holds without use; workers serve many tasks."""
+    def done(batches):
+        yield from run(batches)
+        for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+            pool.release_unused()
+
+    return done
 
 
 def row_slices(batches: Iterable[pa.RecordBatch], column: str = "__in", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

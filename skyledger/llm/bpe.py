@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from skyledger.llm.batches import row_slices
+from skyledger.llm.batches import row_slices, small_batches, tidy
 
 CACHE_WORDS = 150_000
 
@@ -144,6 +144,7 @@ class Codec:
 
 def _map(df: DataFrame, vocabulary: Vocabulary, text_col: str, keep: list[str], fields: str, one) -> DataFrame:
     """Apply one(codec, value) -> tuple to each row of `text_col`, beside the columns of `keep`."""
+    small_batches(df.sparkSession)
     slim = df.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).alias("__in"))
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)  # a tokenizer file's tables, a fixed size
     schema = StructType([*slim.drop("__in").schema.fields, *StructType.fromDDL(fields).fields])
@@ -156,7 +157,7 @@ def _map(df: DataFrame, vocabulary: Vocabulary, text_col: str, keep: list[str],
             made = [pa.array(values, arrow.field(len(keep) + k).type) for k, values in enumerate(zip(*rows, strict=True))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], schema=arrow)
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(tidy(run), schema)
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from skyledger.llm.batches import row_slices
+
 FRAGMENT = "fragment"
 
 
@@ -46,15 +48,16 @@ def dealt(fragment: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatc
     order = np.argsort(fragment, kind="stable")
     ids, first = np.unique(fragment[order], return_index=True)
     ends = [*first[1:].tolist(), len(order)]
-    parts = {c: x[order] for c, x in columns.items()}
-    arrays = [pa.array(ids, pa.int32())]
-    arrays += [pa.array([pack(x[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary()) for x in parts.values()]
-    return pa.RecordBatch.from_arrays(arrays, names=[FRAGMENT, *columns])
+    names, arrays = [FRAGMENT, *columns], [pa.array(ids, pa.int32())]
+    for c in names[1:]:
+        x = columns.pop(c)[order]  # a column is let go of before the next one is packed
+        arrays.append(pa.array([pack(x[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary()))
+    return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
 def gathered(found: Iterator[dict[str, np.ndarray]], kinds: dict[str, str], fragment: Callable[[dict], np.ndarray], flush: int = 1 << 20,
              fold: Callable[[dict], dict] | None = None) -> Iterator[pa.RecordBatch]:
-    """Collect the columns that a task finds and deal them whenever `flush` elements have come together."""
+    """Collect the columns that a task finds and deal them, in small batches, whenever `flush` elements have come together."""
     held: list[dict] = []
     n = 0
     for part in found:
@@ -64,14 +67,14 @@ def gathered(found: Iterator[dict[str, np.ndarray]], kinds: dict[str, str], frag
         held.append(part)
         n += size
         if n >= flush:
-            yield _flush(held, kinds, fragment, fold)
+            yield from row_slices([_flush(held, kinds, fragment, fold)], next(iter(kinds)))
             held, n = [], 0
     if held:
-        yield _flush(held, kinds, fragment, fold)
+        yield from row_slices([_flush(held, kinds, fragment, fold)], next(iter(kinds)))
 
 
 def _flush(held, kinds, fragment, fold) -> pa.RecordBatch:
-    columns = {c: np.concatenate([p[c] for p in held]).astype(kind, copy=False) for c, kind in kinds.items()}
+    columns = {c: np.concatenate([p.pop(c) for p in held]).astype(kind, copy=False) for c, kind in kinds.items()}
     if fold:
         columns = fold(columns)
     return dealt(fragment(columns), columns)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyledger.llm import fragments as fr
-from skyledger.llm.batches import row_slices
+from skyledger.llm.batches import row_slices, small_batches, tidy
 from skyledger.llm.filters import with_possible
 from skyledger.llm.graph import components
 from skyledger.llm.words import Runs, mixed, word_hashes
@@ -45,6 +45,7 @@ SLICES = 64
 PARTS = 4
 GROUP = 256
 BLOCK = 1024
+TEXT_BYTES = 1 << 18  # of texts whose sets are made at once: words are hashed with some 40 bytes per byte of text
 PREFIX = {"shingle": "u8", "key": "u8"}
 SETS = "doc_id long, text_key long, key long, n int, slice int, counts binary"
 
@@ -78,24 +79,24 @@ def slots(shingles: np.ndarray) -> np.ndarray:
 
 def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One pass: (doc_id, text_key, key, n) per row, and the counters of each task in rows with a slice."""
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.coalesce(text_col, F.lit("")).alias("__in"))
     names = [x.split()[0] for x in SETS.split(", ")]
 
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.int32)
-        for batch in row_slices(batches):
+        for batch in row_slices(batches, limit=TEXT_BYTES):
             sets = shingle_sets([x.encode() for x in batch.column("__in").to_pylist()])
             rows = len(sets)
             if rows:
-                counts += np.bincount(slots(np.concatenate(sets)), minlength=len(counts)).astype(np.int32)
+                np.add.at(counts, slots(np.concatenate(sets)), 1)
             keys = signed([set_key(s) for s in sets])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(keys), pa.array([len(s) for s in sets], pa.int32()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
         if counts.any():
-            parts = counts.reshape(SLICES, -1)
             empty = pa.nulls(SLICES, pa.int64())
-            yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.nulls(SLICES, pa.int32()), pa.array(range(SLICES), pa.int32()), pa.array([fr.pack(x) for x in parts], pa.binary())], names=names)
+            yield from row_slices([pa.RecordBatch.from_arrays([empty, empty, empty, pa.nulls(SLICES, pa.int32()), pa.array(range(SLICES), pa.int32()), pa.array([fr.pack(x) for x in counts.reshape(SLICES, -1)], pa.binary())], names=names)], "counts")
 
-    return materialize(slim.mapInArrow(run, SETS), "sets")
+    return materialize(slim.mapInArrow(tidy(run), SETS), "sets")
 
 
 def sketch_of(described_: DataFrame) -> np.ndarray:
@@ -146,7 +147,7 @@ def buckets_of(docs: DataFrame, sketch: np.ndarray, text_col: str) -> DataFrame:
         return {"shingle": a[new], "key": b[new]}
 
     def run(batches):
-        yield from fr.gathered(map(one, row_slices(batches)), PREFIX, lambda c: fr.fragment_of(c["shingle"], n), fold=fold)
+        yield from fr.gathered(map(one, row_slices(batches, limit=TEXT_BYTES)), PREFIX, lambda c: fr.fragment_of(c["shingle"], n), fold=fold)
 
     def meet(columns):
         c = fold(columns)
@@ -156,7 +157,7 @@ def buckets_of(docs: DataFrame, sketch: np.ndarray, text_col: str) -> DataFrame:
         keep = np.bincount(group)[group] >= 2
         return pa.table([pa.array(signed(a[keep])), pa.array(b[keep]), pa.array(b[head][group][keep])], names=["shingle", "key", "pivot"])
 
-    return materialize(fr.by_fragment(slim.mapInArrow(run, fr.schema(PREFIX)), meet, PREFIX, "shingle long, key long, pivot long"), "buckets")
+    return materialize(fr.by_fragment(slim.mapInArrow(tidy(run), fr.schema(PREFIX)), meet, PREFIX, "shingle long, key long, pivot long"), "buckets")
 
 
 def set_parts(rows: DataFrame, docs: DataFrame, info: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -173,7 +174,7 @@ def set_parts(rows: DataFrame, docs: DataFrame, info: DataFrame, id_col: str, te
     names = rows.columns
 
     def run(batches):
-        for batch in row_slices(batches):
+        for batch in row_slices(batches, limit=TEXT_BYTES):
             sets = shingle_sets([x.encode() for x in batch.column("__in").to_pylist()])
             at, values = [], []
             for k, (key, own) in enumerate(zip(batch.column("key").to_pylist(), sets, strict=True)):
@@ -185,7 +186,7 @@ def set_parts(rows: DataFrame, docs: DataFrame, info: DataFrame, id_col: str, te
             part = pa.array(np.tile(np.arange(PARTS, dtype=np.int32), len(at) // PARTS))
             yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in names], part, pa.array(values, pa.binary())], names=[*names, "part", "shingles"])
 
-    return asked.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("shingles", T.BinaryType())]))
+    return asked.mapInArrow(tidy(run), T.StructType([*rows.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("shingles", T.BinaryType())]))
 
 
 def overlaps(pairs: DataFrame, parts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -32,13 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from skyledger.llm.batches import row_slices
+from skyledger.llm.batches import row_slices, small_batches, tidy
 from skyledger.session import materialize
 
 WORD_BUCKETS = 256
 CONTENT = 16 + WORD_BUCKETS
 SOURCE_BUCKETS, LANG_BUCKETS = 64, 16
 META = 8 + SOURCE_BUCKETS + LANG_BUCKETS
+SUM_BYTES, FAN_IN = 1 << 19, 32  # content vectors widened at once; arrays that one task adds up
 EDGE, BIN = 35.0, 0.02  # margins are counted from -EDGE to EDGE in bins of this width
 PUNCTUATION = np.array([c in b".,;:!?'\"()-" for c in range(256)])
 SYMBOL = np.array([33 <= c <= 126 and not chr(c).isalnum() and not PUNCTUATION[c] for c in range(256)])
@@ -176,19 +177,34 @@ def given_labels(views: list[np.ndarray], rounds: list[Round]) -> list[np.ndarra
 
 
 def add_up(pool: DataFrame, part: Callable[[list[np.ndarray]], np.ndarray], size: int) -> np.ndarray:
-    """The sum of part([content, meta]) over the stored vectors: one array per task, added in a tree."""
+    """The sum of part([content, meta]) over the stored vectors: one array per task, added in a tree.
+
+    A task widens some thousand vectors at a time, and both steps run in the same Python workers, so that its room
+    does not depend on the size of a batch.
+    """
+    small_batches(pool.sparkSession)
+
+    def one(total):
+        return pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+
     def run(batches):
+        total = np.zeros(size)
+        for batch in row_slices(batches, "content", SUM_BYTES):
+            total += part([np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float16).reshape(batch.num_rows, -1).astype(np.float64) for c in ("content", "meta")])
+        yield one(total)
+
+    def added(batches):
         total = np.zeros(size)
         for batch in batches:
-            if batch.num_rows:
-                total += part([np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float16).reshape(batch.num_rows, -1).astype(np.float64) for c in ("content", "meta")])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+            for raw in batch.column("part"):
+                total += np.frombuffer(raw.as_buffer())
+        yield one(total)
 
-    parts = pool.mapInArrow(run, "part binary").rdd
-    tasks = parts.getNumPartitions()
-    if not tasks:
-        return np.zeros(size)
-    return parts.map(lambda r: np.frombuffer(r.part)).treeReduce(np.add, depth=max(2, math.ceil(math.log(tasks, 32))))
+    parts, tasks = pool.mapInArrow(tidy(run), "part binary"), pool.rdd.getNumPartitions()
+    while tasks > 1:
+        tasks = math.ceil(tasks / FAN_IN)
+        parts = parts.repartition(tasks).mapInArrow(added, "part binary")
+    return sum((np.frombuffer(r.part) for r in parts.collect()), np.zeros(size))  # one row
 
 
 def moments_of(x: np.ndarray) -> np.ndarray:
@@ -286,6 +302,7 @@ def co_train(content: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: DataFra
 
 def vectors(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, content binary, meta binary): half-precision feature vectors."""
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("__in"))
 
     def run(batches):
@@ -295,7 +312,7 @@ def vectors(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
             meta = [meta_vector(s, g, x).tobytes() for s, g, x in zip(batch.column("source").to_pylist(), batch.column("lang").to_pylist(), raw, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(content, pa.binary()), pa.array(meta, pa.binary())], names=["doc_id", "content", "meta"])
 
-    return slim.mapInArrow(run, "doc_id long, content binary, meta binary")
+    return slim.mapInArrow(tidy(run), "doc_id long, content binary, meta binary")
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = 8_000, id_col: str = "doc_id"):
@@ -304,7 +321,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
     marked = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label_col).cast("double").alias("y"))
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
     sample = ids.join(marked, "doc_id").orderBy(*order).limit(max_labelled).toPandas()  # two columns of at most max_labelled rows
-    chosen = docs.sparkSession.createDataFrame(sample, "doc_id long, y double")
+    chosen = docs.sparkSession.createDataFrame(pa.Table.from_pandas(sample, preserve_index=False), "doc_id long, y double")  # as Arrow: rows would start workers of another kind
     rows = docs.withColumn("__key", F.col(id_col).cast("long")).join(F.broadcast(chosen.select(F.col("doc_id").alias("__key"))), "__key", "left_semi")
     one = vectors(rows, id_col).groupBy("doc_id").agg(F.min(F.struct("content", "meta")).alias("v")).select("doc_id", "v.*")
     found = one.toPandas().merge(sample, on="doc_id").sort_values("doc_id", key=lambda s: s * 2654435761 % 4294967291, kind="stable")
@@ -332,6 +349,7 @@ def score(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5, pref
     docs = docs.drop(*added)
     if model is None:
         return docs.select("*", *(F.lit(1.0).alias(c) for c in added[:3]), F.lit(True).alias(added[3]))
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two weight vectors
     columns = docs.columns
     wide = docs.select("*", F.coalesce("text", F.lit("")).alias("__in"), F.col("source").cast("string").alias("__source"), F.col("lang").cast("string").alias("__lang"))
@@ -348,7 +366,7 @@ def score(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5, pref
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *(pa.array(x, pa.float64()) for x in out), pa.array(total >= threshold, pa.bool_())], names=[*columns, *added])
 
     schema = StructType(list(docs.schema.fields)).add(added[0], "double").add(added[1], "double").add(added[2], "double").add(added[3], "boolean")
-    return wide.mapInArrow(run, schema)
+    return wide.mapInArrow(tidy(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> DataFrame:

@@ -369,6 +369,22 @@ def test_all_unlabelled_rows_take_part_and_reruns_agree(spark):
     assert (quality.add_up(pool.filter("content IS NULL"), lambda x: np.ones(3), 3) == 0).all()
 
 
+def test_sums_over_vectors_widen_few_rows_at_once(spark):
+    one = spark.range(0, 5000, 1, 1).select(F.expr(f"cast(repeat('a', {2 * quality.CONTENT}) as binary)").alias("content"), F.expr(f"cast(repeat('a', {2 * quality.META}) as binary)").alias("meta"))
+    for pool in (one, one.repartition(40), one.limit(0)):
+        rows, wide = quality.add_up(pool, lambda x: np.array([len(x[0]), len(x[0]) > 1000]), 2)
+        assert (rows, wide) == (pool.count(), 0)
+
+
+def test_dealt_records_come_in_small_batches():
+    from skyledger.llm import fragments as fr
+
+    x = np.arange(1 << 19, dtype=np.uint64)
+    batches = list(fr.gathered(iter([{"x": x}]), {"x": "u8"}, lambda c: (c["x"] % 64).astype(np.int32)))
+    assert max(b.nbytes for b in batches) <= 2 << 20
+    assert sorted(np.concatenate([fr.unpack(raw, "u8") for b in batches for raw in b.column("x").to_pylist()]).tolist()) == x.tolist()
+
+
 def test_cuts_take_the_surest_rows():
     margin = np.array([-9.0, -3, 0, 1, 2.3, 2.5, 2.5, 4, 6, 40])
     counts = np.bincount(quality.margin_bins(margin), minlength=3501)
