@@ -5,14 +5,19 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.operators import ranks
+from skyledger.operators import draws, ranks
 from skyledger.operators.ranks import cumulative, exact_quantiles
-from skyledger.operators.splits import hash_uniform
 from skyledger.session import materialize
 
+# Rows of a score range whose resamples one call folds, and the most tasks of a bootstrap.
+BLOCK = 4_000
+MAX_TASKS = 10_000
+
 
 def confusion_steps(df: DataFrame, score: str = "score", label: str = "label", keys: Sequence[str] = ()) -> DataFrame:
     """Per distinct score: positives and negatives at it, below or at it (c_), and overall (t_)."""
@@ -149,14 +154,42 @@ def poisson_draw(u: Column, mean: float = 1.0, most: int = 16) -> Column:
     return out
 
 
+def _replicate_sums(table: pa.Table, replicates: int, seed: int) -> pa.Table:
+    """Per replicate the weights of positives (p) and of the others (n) of one piece, and twice the wins inside it (u).
+
+    Wins are whole for lower scores and half for equal ones. A piece of one score (single) needs no wins, so it is
+    drawn in blocks.
+    """
+    single, score = table["single"][0].as_py(), table["s"].to_numpy()
+    order = np.argsort(score, kind="stable")
+    ids = table["id_"].take(order).to_pylist()
+    positive = table["y_"].fill_null(0).to_numpy()[order] == 1
+    if single:
+        p, n, u = (np.zeros(replicates, np.int64) for _ in range(3))
+        for at in range(0, len(ids), BLOCK):
+            drawn, hit = draws.poisson_weights(ids[at:at + BLOCK], seed, replicates), positive[at:at + BLOCK]
+            p, n = p + drawn[hit].sum(0, dtype=np.int64), n + drawn[~hit].sum(0, dtype=np.int64)
+    else:
+        drawn, score = draws.poisson_weights(ids, seed, replicates), score[order]
+        starts = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
+        others = np.add.reduceat(np.where(positive[:, None], np.uint8(0), drawn), starts, dtype=np.int64)
+        upto = np.cumsum(others, axis=0)
+        hits = np.flatnonzero(positive)
+        at = np.searchsorted(starts, hits, "right") - 1  # the score of each positive
+        won, p = drawn[hits].astype(np.int64), drawn[hits].sum(0, dtype=np.int64)
+        u, n = (won * (2 * upto[at] - others[at])).sum(0), upto[-1]
+    return pa.table({"range_": pa.repeat(table["range_"][0], replicates), "single": pa.repeat(single, replicates), "rep": pa.array(np.arange(replicates, dtype=np.int32)),
+                     "p": pa.array(p), "n": pa.array(n), "u": pa.array(u)})
+
+
 def bootstrap_auroc(df: DataFrame, score: str = "score", label: str = "label", key: str = "segment_id", replicates: int = 1_000, seed: int = 42,
-                    rows_per_block: int = 4_000) -> DataFrame:
+                    rows_per_block: int = BLOCK) -> DataFrame:
     """2.5% and 97.5% of the AUROC over Poisson resamples.
 
     A row's weight in a replicate is a Poisson draw with mean 1 by inversion of a hash of key, seed and replicate, so any
-    engine can repeat it. Rows are cut into even ranges of the score; a range is one array in order, which every
-    replicate folds to its weights and inner wins (twice, as whole numbers). Ranges of one score need sums only,
-    and are dealt to parts. Offsets between ranges are sums over ranges. No row moves per replicate.
+    engine can repeat it. Rows are cut into even ranges of the score; a range is one piece, for which all replicates are
+    drawn in numpy and folded to their weights and inner wins (twice, as whole numbers). Ranges of one score need sums
+    only, and are dealt to several pieces. Offsets between ranges are sums over ranges. No row moves per replicate.
     """
     rows = ranks.slim(df.withColumn("y_", F.col(label).cast("int")), score, "y_", F.col(key).cast("string").alias("id_"))
     ranges = ranks.even_ranges(rows, score, rows_per_block)
@@ -164,28 +197,14 @@ def bootstrap_auroc(df: DataFrame, score: str = "score", label: str = "label", k
         return df.sparkSession.createDataFrame([(None, None, 0)], "lo double, hi double, replicates long")
     parts = [(i, r.single, -(-r.n // rows_per_block) if r.single else 1) for i, r in enumerate(ranges)]
     placed = ranks.with_range(rows, score, ranges).join(F.broadcast(df.sparkSession.createDataFrame(parts, "range_ int, single boolean, parts int")), "range_")
-    packed = placed.groupBy("range_", "single", F.pmod(F.xxhash64("id_"), F.col("parts")).alias("part")).agg(F.array_sort(F.collect_list(F.struct(F.col(score).alias("s"), "y_", "id_"))).alias("rows"))
-    spread = packed.repartition("range_", "part").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-
-    def weighed(row: Column) -> Column:
-        # the inner transform draws the hash once for all comparisons
-        drawn = F.transform(F.array(hash_uniform(row["id_"], seed, F.col("rep").cast("string"))), lambda u: poisson_draw(u).cast("long"))
-        return F.struct(row["s"].alias("s"), row["y_"].alias("y_"), drawn[0].alias("w"))
-
-    def step(state: Column, row: Column) -> Column:
-        w = row["w"]
-        p, n = F.when(row["y_"] == 1, w).otherwise(F.lit(0).cast("long")), F.when(row["y_"] == 1, F.lit(0).cast("long")).otherwise(w)
-        same = row["s"] == state["s"]
-        # wins of a row against those before it: whole for lower scores, half for equal ones; equal pairs count from either side
-        tied_p, tied_n = F.when(same, state["tied_p"]).otherwise(F.lit(0).cast("long")), F.when(same, state["tied_n"]).otherwise(F.lit(0).cast("long"))
-        return F.struct(
-            row["s"].alias("s"), (state["p"] + p).alias("p"), (state["n"] + n).alias("n"),
-            (state["u"] + 2 * p * (state["n"] - tied_n) + p * tied_n + n * tied_p).alias("u"), (tied_p + p).alias("tied_p"), (tied_n + n).alias("tied_n"))
-
+    pieces = placed.select("range_", "single", F.pmod(F.xxhash64("id_"), F.col("parts")).alias("part"), F.col(score).alias("s"), "y_", "id_")
+    # a fixed number of tasks: few bytes are much work here, so the planner must not join tasks by their size
+    tasks = min(MAX_TASKS, sum(n for *_, n in parts))
+    place = ["range_", "single", "part"]
+    folded = pieces.repartition(tasks, *place).groupBy(*place).applyInArrow(
+        lambda table: _replicate_sums(table, replicates, seed), "range_ int, single boolean, rep int, p long, n long, u long")
+    sums = folded.groupBy("range_", "single", "rep").agg(*[F.sum(c).alias(c) for c in ("p", "n", "u")]).withColumn("u", F.when(F.col("single"), F.col("p") * F.col("n")).otherwise(F.col("u")))
     zero = F.lit(0).cast("long")
-    start = F.struct(F.lit(None).cast("double").alias("s"), *[zero.alias(c) for c in ("p", "n", "u", "tied_p", "tied_n")])
-    folded = spread.select("range_", "single", "rep", F.aggregate(F.transform("rows", weighed), start, step).alias("f"))
-    sums = folded.groupBy("range_", "single", "rep").agg(*[F.sum(f"f.{c}").alias(c) for c in ("p", "n", "u")]).withColumn("u", F.when(F.col("single"), F.col("p") * F.col("n")).otherwise(F.col("u")))
     prior = Window.partitionBy("rep").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
     linked = sums.withColumn("u", F.col("u") + 2 * F.col("p") * F.coalesce(F.sum("n").over(prior), zero))
     reps = linked.groupBy("rep").agg((F.sum("u") / F.nullif(2 * F.sum("p") * F.sum("n"), zero)).alias("a"))
