@@ -151,14 +151,17 @@ def dedupe_flight_slices(slices: DataFrame) -> DataFrame:
 def with_row_numbers(df: DataFrame, file: str = "file", row: str = "row") -> DataFrame:
     """Add the file and the number (from 1) of each row in it to rows read from files, before any shuffle.
 
-    A split keeps the order of its rows, so rows are numbered within their split and shifted by the rows of the splits
-    before it: the counts are one row per split.
+    A task numbers its rows as it reads them, and a split keeps the order of its rows. So a row's number follows from the
+    first one of its split and the rows of the splits before it: one row per split, which is broadcast. The rows stay.
+    Both reads deal the files alike; a row outside its split says they did not.
     """
     read = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.file_block_start").alias("block_")).withColumn("at_", F.monotonically_increasing_id())
     before = Window.partitionBy(file).orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = read.groupBy(file, "block_").agg(F.count(F.lit(1)).alias("n_")).withColumn("before_", F.coalesce(F.sum("n_").over(before), F.lit(0))).drop("n_")
-    place = F.row_number().over(Window.partitionBy(file, "block_").orderBy("at_"))
-    return read.withColumn("place_", place).join(sizes, [file, "block_"]).withColumn(row, F.col("before_") + F.col("place_")).drop("block_", "at_", "place_", "before_")
+    sizes = read.groupBy(file, "block_").agg(F.count(F.lit(1)).alias("n_"), F.min("at_").alias("first_"))
+    sizes = sizes.withColumn("before_", F.coalesce(F.sum("n_").over(before), F.lit(0)))
+    place = F.col("at_") - F.col("first_")
+    number = F.when(place.between(0, F.col("n_") - 1), F.col("before_") + place + 1).otherwise(F.raise_error(F.lit("the splits of a file changed while it was read")).cast("long"))
+    return read.join(F.broadcast(sizes), [file, "block_"], "left").withColumn(row, number).drop("block_", "at_", "n_", "first_", "before_")
 
 
 def scan_upload_csv(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from skyledger.operators import draws, metrics
 from skyledger.operators.splits import hash_uniform
+from skyledger.sources import derived, readers
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def test_draws_in_numpy_are_those_of_the_hash(spark):
@@ -39,3 +42,36 @@ def test_bootstrap_pieces_are_not_joined_into_one_task(spark):
     rows = spark.range(3_000).select(F.col("id").cast("string").alias("segment_id"), (F.col("id") % 997).cast("double").alias("score"), (F.col("id") % 3 == 0).cast("int").alias("label"))
     plan = metrics.bootstrap_auroc(rows, replicates=10, rows_per_block=100)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_row_numbers_move_no_row(spark, tmp_path):
+    spark.range(1_000).select(F.col("id").cast("string").alias("a")).coalesce(1).write.csv(str(tmp_path / "in"), header=True)
+    rows = readers.scan_upload_csv(spark, str(tmp_path / "in"), ["a"])
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    numbered, sizes = plan.split("BroadcastExchange", 1)
+    assert "Exchange hashpartitioning" not in numbered and "Exchange hashpartitioning" in sizes
+
+
+def test_reports_by_month_are_the_observations(spark):
+    obs = derived.observations(spark, SMALL).withColumn("month", F.date_format(F.timestamp_seconds("time"), "yyyyMM"))
+    found = derived.observations_by_month(spark, SMALL, 23)
+    assert found.rdd.getNumPartitions() == 23
+    assert obs.count() == found.count() and obs.exceptAll(found.select(obs.columns)).isEmpty()
+    tasks = found.select("month", F.spark_partition_id().alias("t")).distinct().groupBy("month").count()
+    assert tasks.filter("count > 1").isEmpty()
+
+
+def test_orders_at_the_turn_of_a_month_and_repeated_ones(spark, tmp_path):
+    """An order whose reports reach into the next month, the same order twice, and one without a key."""
+    turn = spark.range(400_000).selectExpr("id AS o_orderkey")
+    turn.write.parquet(str(tmp_path / "all" / "orders.parquet"))
+    obs = derived.observations(spark, str(tmp_path / "all")).withColumn("month", F.date_format(F.timestamp_seconds("time"), "yyyyMM"))
+    split = obs.groupBy((F.col("k") * 10 + F.expr("i div 8")).alias("o_orderkey")).agg(F.count_distinct("month").alias("n")).filter("n > 1").select("o_orderkey").limit(5)
+    some = [r.o_orderkey for r in split.collect()]
+    assert some
+    spark.createDataFrame([(o,) for o in [*some, some[0], None, 11, 11]], "o_orderkey long").write.parquet(str(tmp_path / "few" / "orders.parquet"))
+    few = str(tmp_path / "few")
+    want = derived.observations(spark, few).withColumn("month", F.date_format(F.timestamp_seconds("time"), "yyyyMM"))
+    got = derived.observations_by_month(spark, few, 3).select(want.columns)
+    assert want.count() > 0 and want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
