@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyledger.operators import draws, metrics
+from skyledger.operators import checks, draws, metrics
 from skyledger.operators.splits import hash_uniform
 from skyledger.sources import derived, readers
 
@@ -75,3 +75,14 @@ def test_orders_at_the_turn_of_a_month_and_repeated_ones(spark, tmp_path):
     want = derived.observations(spark, few).withColumn("month", F.date_format(F.timestamp_seconds("time"), "yyyyMM"))
     got = derived.observations_by_month(spark, few, 3).select(want.columns)
     assert want.count() > 0 and want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
+
+
+def test_cells_of_an_upload_are_read_once(spark):
+    text = spark.createDataFrame([("1", "a", "1", "2", "null", "False", "x"), (None, " NaN ", "95", "2", "3", "maybe", "y" * 17), ("1.5", "b", "fast", "inf", "3", "1.0", "na")],
+                                 "time string, icao24 string, lat string, lon string, velocity string, onground string, aircraft_typecode string")
+    bad = checks.error_report(checks.canonical_values(text))
+    filters = [line for line in bad._jdf.queryExecution().executedPlan().toString().splitlines() if "Filter" in line]
+    assert filters and not any("trim(" in line for line in filters)
+    got = {r.icao24: ({(e.field, e.code) for e in r.errors}, r.onground, r.velocity) for r in bad.collect()}
+    assert got == {None: ({("time", "required"), ("icao24", "required"), ("position", "range"), ("onground", "boolean"), ("aircraft_typecode", "length")}, None, 3.0),
+                   "b": ({("time", "range"), ("lat", "numeric"), ("lon", "numeric")}, True, 3.0)}
