@@ -116,14 +116,14 @@ def _(v):
 
 @register("inject_comparison_kinds")
 def _(v):
-    result = None
-    base = materialize(eval_source(v, "comparison"), "comparison")
-    for kind, size in inject.COMPARISON_KINDS:
-        out = inject.inject_comparison(base, kind, size).groupBy("segment_id").agg(
-            *[F.avg(c).alias(c) for c in ("lat", "lon", "baroaltitude", "velocity", "vertrate")])
-        out = out.select(F.concat_ws(":", F.lit(kind), F.lit(str(int(size * 10)))).alias("variant"), "*")
-        result = out if result is None else result.unionByName(out)
-    return result
+    # the variants are columns of one pass over the segments: each of its own would move and sort the rows again
+    rows, channels, variants = eval_source(v, "comparison"), ("lat", "lon", "baroaltitude", "velocity", "vertrate"), {}
+    for i, (kind, size) in enumerate(inject.COMPARISON_KINDS):
+        rows = inject.inject_comparison(rows, kind, size, into=f"v{i}_")
+        variants[f"{kind}:{int(size * 10)}"] = [f"v{i}_{c}" if f"v{i}_{c}" in rows.columns else c for c in channels]
+    means = rows.groupBy("segment_id").agg(*[F.avg(c).alias(c) for c in dict.fromkeys(c for used in variants.values() for c in used)])
+    packed = F.array(*[F.struct(F.lit(name).alias("variant"), "segment_id", *[F.col(c).alias(n) for c, n in zip(used, channels)]) for name, used in variants.items()])
+    return means.select(F.inline(packed))
 
 
 @register("inject_simple_kinds")

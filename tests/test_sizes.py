@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyledger.operators import checks, draws, metrics
+import __spark_entry__ as entry
+from skyledger.operators import checks, draws, inject, metrics
 from skyledger.operators.splits import hash_uniform
 from skyledger.sources import derived, readers
 
@@ -86,3 +87,24 @@ def test_cells_of_an_upload_are_read_once(spark):
     got = {r.icao24: ({(e.field, e.code) for e in r.errors}, r.onground, r.velocity) for r in bad.collect()}
     assert got == {None: ({("time", "required"), ("icao24", "required"), ("position", "range"), ("onground", "boolean"), ("aircraft_typecode", "length")}, None, 3.0),
                    "b": ({("time", "range"), ("lat", "numeric"), ("lon", "numeric")}, True, 3.0)}
+
+
+def test_comparison_kinds_share_one_shuffle_and_sort(spark):
+    found = entry.queries()["inject_comparison_kinds"](spark, SMALL)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Union") == 0 and text.count("FileScan") <= 3
+    assert sum("Sort [flight_id" in line for line in text.splitlines()) <= 1
+
+
+@pytest.mark.parametrize("kind,size", inject.COMPARISON_KINDS)
+def test_a_prefix_keeps_the_channels_and_adds_the_same_changes(spark, kind, size):
+    rows = [("f", "f#1", 10 * i, i, 8, 4, max(0.0, (i - 4) / 3), "comparison", 40.4 + i / 100, -3.5, 900.0 - i, 80.0, -4.0, 170.0) for i in range(8)]
+    df = spark.createDataFrame(rows, "flight_id string, segment_id string, time long, step int, n long, onset long, ramp double, kind string, lat double, lon double, baroaltitude double, velocity double, vertrate double, heading double")
+    df = df.withColumn("geoaltitude", F.col("baroaltitude"))
+    alone = {r.step: r.asDict() for r in inject.inject_comparison(df, kind, size).collect()}
+    beside = inject.inject_comparison(df, kind, size, into="x_")
+    got = {r.step: r.asDict() for r in beside.collect()}
+    for r in df.collect():
+        assert {c: got[r.step][c] for c in df.columns} == r.asDict()
+        assert {c: got[r.step].get(f"x_{c}", got[r.step].get(c)) for c in alone[r.step]} == alone[r.step]
+    assert "x_dist_to_runway_m" in beside.columns and not any(c.endswith("0_") for c in beside.columns)
