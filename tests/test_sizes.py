@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from skyledger.operators import checks, draws, inject, metrics
+from skyledger.operators import checks, disclosure, draws, inject, metrics
 from skyledger.operators.splits import hash_uniform
+from skyledger.plans import queries_assess
+from skyledger.plans.views import Views
 from skyledger.sources import derived, readers
 
 SMALL = "/root/testdata/sf0.001"
@@ -108,3 +110,12 @@ def test_a_prefix_keeps_the_channels_and_adds_the_same_changes(spark, kind, size
         assert {c: got[r.step][c] for c in df.columns} == r.asDict()
         assert {c: got[r.step].get(f"x_{c}", got[r.step].get(c)) for c in alone[r.step]} == alone[r.step]
     assert "x_dist_to_runway_m" in beside.columns and not any(c.endswith("0_") for c in beside.columns)
+
+
+def test_recoverable_cells_count_the_attempts_once(spark):
+    cells = [("a", "x", 1), ("a", "y", 10), ("b", "x", 3), ("b", "y", 40), ("c", "x", 5)]
+    counts = spark.createDataFrame(cells, "section string, key string, n long").withColumn("n", F.col("n") + F.expr("CAST(0 * length(uuid()) AS BIGINT)"))
+    found = disclosure.suppression_recoverable(counts, ["section"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "uuid" not in plan
+    assert {(r.section, r.key) for r in found.collect()} == {("a", "x"), ("c", "x")}
