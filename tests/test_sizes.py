@@ -119,3 +119,10 @@ def test_recoverable_cells_count_the_attempts_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "uuid" not in plan
     assert {(r.section, r.key) for r in found.collect()} == {("a", "x"), ("c", "x")}
+
+
+def test_facts_of_the_context_are_not_derived_again(spark, monkeypatch):
+    derived_again = []
+    monkeypatch.setattr(Views, "context", property(lambda v: derived_again.append(v)))
+    assert queries_assess.contextual(Views(spark, SMALL)).count() > 0
+    assert not derived_again
